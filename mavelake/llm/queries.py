@@ -7,8 +7,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, linededup, neardup, quality
+from . import ann, bpe, chat, decontaminate, linededup, neardup, quality
 from .common import table
 
 
@@ -37,6 +38,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,9 +55,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
+    "op8_chat": op8_chat,
+    "op9_nearest": op9_nearest,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": linededup.ORACLE_SQL,
+    "op8_chat": chat.ORACLE_SQL,
 }
