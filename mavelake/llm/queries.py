@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, html, linededup, neardup, quality, warc
+from . import ann, bpe, chat, decontaminate, exactdup, html, linededup, neardup, quality, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_exact_substrings": op4_exact_substrings,
     "op5_html": op5_html,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
