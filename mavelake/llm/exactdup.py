@@ -34,7 +34,9 @@ from . import anchors, common, suffixes
 from .anchors import SPAN
 
 HOT = 1000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of text that are hashed together: the arrays take about fifty times that.
+SLICE = 2 << 20
 ROWS = 2048
 
 
@@ -51,7 +53,7 @@ def repeated_anchors(base: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.slices(whole, ROWS):
+            for b in common.slices(whole, ROWS, SLICE):
                 _, _, _, h, _, _, _ = anchors.runs(b.column(1).to_pylist())
                 h, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
@@ -65,7 +67,7 @@ def segments(base: DataFrame, again: DataFrame) -> DataFrame:
 
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.slices(whole, ROWS):
+            for b in common.slices(whole, ROWS, SLICE):
                 _, _, text, h, _, _, _ = anchors.runs(b.column(1).to_pylist())
                 pair = np.unique(np.stack([text, h.view(np.int64)]), axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pair[0])), pa.array(pair[1])], ["id", "h"])
@@ -74,7 +76,7 @@ def segments(base: DataFrame, again: DataFrame) -> DataFrame:
 
     def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.slices(whole, ROWS):
+            for b in common.slices(whole, ROWS, SLICE):
                 hashed, bounds, text, h, anchor, first, last = anchors.runs(b.column(1).to_pylist())
                 marked = b.column(2)
                 owner = np.repeat(np.arange(b.num_rows), marked.value_lengths().to_numpy(zero_copy_only=False))
@@ -104,7 +106,7 @@ def pieces(marked: DataFrame, distinct: DataFrame) -> DataFrame:
         names = ["h", "id", "lo", "bytes", "w1", "w2"]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         for whole in batches:
-            for b in common.slices(whole, ROWS):
+            for b in common.slices(whole, ROWS, SLICE):
                 texts = b.column(1).to_pylist()
                 lists = b.column(2)
                 owner = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -209,7 +211,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         for whole in batches:
-            for part in common.slices(whole, ROWS):
+            for part in common.slices(whole, ROWS, SLICE):
                 rows = []
                 for t, a, b in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                     raw = (t or "").encode("utf-8", "surrogatepass")
