@@ -8,5 +8,5 @@ def same(a: pd.DataFrame, b: pd.DataFrame) -> None:
     a, b = (x[k].sort_values(k, ignore_index=True) for x in (a, b))
     assert len(a) == len(b)
     for c in k:
-        x, y = a[c].fillna("~").astype(str), b[c].fillna("~").astype(str)
+        x, y = (v[c].astype(object).where(v[c].notna(), "~").astype(str) for v in (a, b))
         assert (x == y).all(), (c, a[x != y].head(3), b[x != y].head(3))
