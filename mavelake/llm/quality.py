@@ -1,6 +1,6 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A document's features are the hashed distinct words of its text and a few hashed marks of its shape (shouting, repetition,
+A document's features are the hashed distinct words of its text, their hashed starts, and a few hashed marks of its shape (shouting, repetition,
 punctuation). All grades share one weight per feature; ordered thresholds turn the score s into P(grade > k) =
 sigmoid(s - t_k), which gives the expected grade and the tail probability P(grade >= top) for selection.
 
@@ -32,6 +32,8 @@ from . import common
 BREAKS = {b: " " for b in range(128) if not chr(b).isalnum()}
 CAPS = regex.compile(r"\p{Lu}{2,}").findall
 MARKS = 1 << 10
+#: Letters of a word's start that are a feature as well, so that inflected forms count together.
+STEM = 4
 
 
 @dataclass
@@ -61,8 +63,8 @@ class Features:
         for w in lower:
             h = cache.get(w)
             if h is None:
-                h = cache[w] = MARKS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % (self.size - MARKS)
-            out.add(h)
+                h = cache[w] = tuple(MARKS + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (self.size - MARKS) for x in (w, " " + w[:STEM]))
+            out.update(h)
         n = len(found)
         level = lambda x: int(np.log2(1 + x))
         same = sum(map(str.__eq__, found, found[1:]))
@@ -71,14 +73,26 @@ class Features:
         return sorted(out)
 
 
-def fit(features: list[list[int]], grades: np.ndarray, n_grades: int, bits: int, steps: int = 250, rate: float = 0.05, l2: float = 1e-4, least_rows: int = 8) -> OrdinalModel:
-    """Maximum likelihood with a ridge penalty by Adam over all rows; features of fewer than least_rows rows weigh nothing."""
+def screened(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, size: int, least_z: float, least_rows: int) -> np.ndarray:
+    """Features whose share of low grades differs from the common share by least_z standard deviations; marks always."""
+    n = np.bincount(flat, minlength=size)
+    keep = np.arange(size) < MARKS
+    for k in range(n_grades - 1):
+        low = np.bincount(flat, grades[row] <= k, size)
+        share = np.clip(low.sum() / max(1, len(flat)), 1e-6, 1 - 1e-6)
+        keep |= np.abs(low - n * share) > least_z * np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+    return keep & (n >= least_rows)
+
+
+def fit(features: list[list[int]], grades: np.ndarray, n_grades: int, bits: int, steps: int = 250, rate: float = 0.05, l2: float = 1e-4, least_z: float = 5.0, least_rows: int = 3) -> OrdinalModel:
+    """Maximum likelihood with a ridge penalty by Adam over all rows. Features that say nothing of the grade by themselves
+    weigh nothing: most words are rare, and fitting them would only learn the sample by heart."""
     size, k = 1 << bits, n_grades - 1
     if not features:
         return OrdinalModel(np.zeros(size), np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1)))
     flat = np.array([x for f in features for x in f], np.int64)
     row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    used = np.bincount(flat, minlength=size) >= least_rows
+    used = screened(flat, row, grades, n_grades, size, least_z, least_rows)
     row, flat = row[used[flat]], flat[used[flat]]
     names, flat = np.unique(flat, return_inverse=True)
     n = len(features)
