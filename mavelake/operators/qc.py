@@ -202,7 +202,8 @@ def _scatter(results: DataFrame, x: str, y: str, padjThreshold: float, nTopToLab
     assert_scalar(pointSize, "pointSize", "character", valid_values=["large", "small"])
     p, padj = column_of(results, "p"), column_of(results, "padj")
     top = results.where(F.col(p).isNotNull()).orderBy(p, "mutantName").limit(int(nTopToLabel)).select("mutantName", F.lit(True).alias("labelled"))
-    out = results.select("mutantName", F.col(x).alias("x") if x != "neglog" else F.lit(None), *([F.col(y).alias("y")] if y != "neglog" else [(-F.log10(F.greatest(F.col(p), F.lit(1e-300)))).alias("y")]), (F.coalesce(F.col(padj), F.lit(1.0)) < padjThreshold).alias("significant"))
+    height = -F.log10(F.greatest(F.col(p), F.lit(1e-300))) if y == "neglog" else F.col(y)
+    out = results.select("mutantName", F.col(x).alias("x"), height.alias("y"), (F.coalesce(F.col(padj), F.lit(1.0)) < padjThreshold).alias("significant"))
     return out.join(F.broadcast(top), "mutantName", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
 
 
