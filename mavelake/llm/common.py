@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,12 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so only after a collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -56,3 +64,25 @@ def slices(batch: pa.RecordBatch, rows: int, most_bytes: int = 8 << 20) -> Itera
     step = max(1, min(rows, int(batch.num_rows * most_bytes / max(1, batch.nbytes))))
     for start in range(0, batch.num_rows, step):
         yield batch.slice(start, step)
+
+
+#: Bits of a Bloom filter of ids: 2**18 rows of 64 bits, whatever the number of ids.
+BLOOM_BITS = 24
+
+
+def _bit(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << BLOOM_BITS))
+
+
+def bloom(ids: DataFrame, id_col: str) -> DataFrame:
+    """A table (slot, bits) of fixed size that tells for most other ids that they aren't among these."""
+    at = ids.select(_bit(id_col).alias("at")).select((F.col("at") / 64).cast("int").alias("_slot"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("b"))
+    return cut(at.groupBy("_slot").agg(F.bit_or("b").alias("_bits")), "bloom")
+
+
+def maybe_in(df: DataFrame, id_col: str, filter_: DataFrame, out: str) -> DataFrame:
+    """df with a flag that is true for all ids of the filter and, by chance, for a few others (null ids: false)."""
+    flagged = df.withColumn("_at", _bit(id_col)).withColumn("_slot", (F.col("_at") / 64).cast("int"))
+    flagged = flagged.join(F.broadcast(filter_), "_slot", "left")  # at most 2**18 rows
+    hit = F.expr("(_bits & shiftleft(1L, cast(_at % 64 AS int))) <> 0")
+    return flagged.withColumn(out, F.coalesce(hit, F.lit(False)) & F.col(id_col).isNotNull()).drop("_at", "_slot", "_bits")

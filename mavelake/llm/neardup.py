@@ -183,8 +183,8 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s >= threshold)], ["a", "b", "similar"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similar boolean")
 
 
@@ -286,17 +286,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     sig = common.cut(signatures(docs, idf, id_col, text_col), "signatures")
     worded = sig.where(F.col("d1").isNotNull() & F.col("id").isNotNull())
     own = common.cut(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "distinct")
-    first = own.select("d1", "d2", F.col("rep").alias("id")).join(sig, ["d1", "d2", "id"]).dropDuplicates(["id"])
-    bucket = common.cut(first.select(F.col("id").alias("rep"), "samples", F.posexplode("keys").alias("band", "key")), "buckets")
+    # the hints keep one plan at every size: these tables grow with the corpus
+    first = own.select("d1", "d2", F.col("rep").alias("id")).join(sig.hint("merge"), ["d1", "d2", "id"]).dropDuplicates(["id"])
+    first = common.cut(first.select(F.col("id").alias("rep"), "keys", "samples"), "first")
+    bucket = common.cut(first.select("rep", F.posexplode("keys").alias("band", "key")), "buckets")
     sizes = common.cut(bucket.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     parts = F.ceil(F.col("n") / GROUP).cast("int")
     h = F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30))
     in_all = (parts > 1) & (F.pmod(h, F.greatest(F.lit(1), F.floor(F.col("n") / REPS)).cast("long")) == 0)
     part = F.explode(F.when(in_all, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(h, parts.cast("long")).cast("int")))).alias("part")
-    members = common.cut(bucket.join(sizes, ["band", "key"]).select("band", "key", "rep", "samples", part), "members")
+    members = common.cut(bucket.join(sizes.hint("merge"), ["band", "key"]).select("band", "key", "rep", part), "members")
     common.discard(bucket)
-    needed = members.select(F.col("rep").alias("id")).distinct()
-    texts = common.cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    members = common.cut(members.join(first.select("rep", "samples").hint("merge"), "rep"), "sampled-members")
+    needed = common.cut(members.select(F.col("rep").alias("id")).distinct(), "needed")
+    # most texts have no candidate: a filter of fixed size keeps them out of the shuffle
+    texts = common.maybe_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", common.bloom(needed, "id"), "_near")
+    texts = common.cut(texts.where("_near").drop("_near").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     tree = common.cut(_pairs(members.withColumn("class", F.lit(0)), False), "pairs")
     judged = common.cut(verify(tree, texts, idf, threshold), "judged")
     links = judged.where("similar").select("a", "b")
@@ -316,10 +321,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     named = own.select("d1", "d2", "rep").join(comp.toDF("rep", "class"), "rep", "left").join(degree, "rep", "left")
     named = common.cut(named.select("d1", "d2", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     out = sig.select("id", "d1", "d2").join(named, ["d1", "d2"], "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs without the documents that aren't the first (smallest id) of their class; rows with a null id stay."""
-    first = classes(docs, id_col, text_col, threshold).where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return docs.join(first, id_col, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    later = common.cut(classes(docs, id_col, text_col, threshold).where(F.col(id_col) != F.col("class_id")).select(id_col).distinct(), "later")
+    flagged = common.maybe_in(docs, id_col, common.bloom(later, id_col), "_near_later")
+    sure = flagged.where("NOT _near_later").select(docs.columns)
+    rest = flagged.where("_near_later").select(docs.columns).join(later.hint("merge"), id_col, "left_anti")
+    return sure.unionByName(rest.select(docs.columns))
