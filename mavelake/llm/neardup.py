@@ -195,6 +195,8 @@ def components(links: DataFrame) -> DataFrame:
     components shrink to stars in a number of rounds logarithmic in their size.
     """
     edges = common.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    if edges.isEmpty():
+        return edges.toDF("id", "class")
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = common.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
