@@ -84,18 +84,17 @@ def screened(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: in
     return keep & (n >= least_rows)
 
 
-def fit(features: list[list[int]], grades: np.ndarray, n_grades: int, bits: int, steps: int = 250, rate: float = 0.05, l2: float = 1e-4, least_z: float = 5.0, least_rows: int = 3) -> OrdinalModel:
-    """Maximum likelihood with a ridge penalty by Adam over all rows. Features that say nothing of the grade by themselves
-    weigh nothing: most words are rare, and fitting them would only learn the sample by heart."""
+def fit(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, bits: int, steps: int = 250, rate: float = 0.05, l2: float = 1e-4, least_z: float = 5.0, least_rows: int = 3) -> OrdinalModel:
+    """Maximum likelihood with a ridge penalty by Adam over all rows: feature flat[i] belongs to row[i]. Features
+    that say nothing of the grade by themselves weigh nothing: most words are rare, and fitting them would only learn the
+    sample by heart."""
     size, k = 1 << bits, n_grades - 1
-    if not features:
+    if not len(grades):
         return OrdinalModel(np.zeros(size), np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1)))
-    flat = np.array([x for f in features for x in f], np.int64)
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
     used = screened(flat, row, grades, n_grades, size, least_z, least_rows)
     row, flat = row[used[flat]], flat[used[flat]]
     names, flat = np.unique(flat, return_inverse=True)
-    n = len(features)
+    n = len(grades)
     above = np.array([np.mean(grades > j) for j in range(k)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(above / (1 - above))
     theta = np.concatenate([np.zeros(len(names)), [start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
@@ -123,7 +122,7 @@ def fit(features: list[list[int]], grades: np.ndarray, n_grades: int, bits: int,
     return OrdinalModel(weights, np.cumsum(np.concatenate([theta[w : w + 1], np.exp(theta[w + 1 :])])))
 
 
-def train(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 16_384, bits: int = 18) -> OrdinalModel:
+def train(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8192, bits: int = 18) -> OrdinalModel:
     """Fit on the bounded sample: `grade` is a column of ratings that holds 0 .. n_grades - 1."""
     rated = ratings.select(F.col(id_col).alias("_q_id"), grade.cast("int").alias("_q_grade")).where(F.col("_q_id").isNotNull() & F.col("_q_grade").between(0, n_grades - 1))
     sample = rated.orderBy(F.xxhash64("_q_id"), "_q_id", "_q_grade").limit(sample_rows)
@@ -137,7 +136,12 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1), b.column(2)], ["f", "g", "i"])
 
     rows = texts.select("_q_text", "_q_grade", F.col("_q_id").cast("string")).mapInArrow(run, "f array<int>, g int, i string").toArrow().sort_by([("i", "ascending"), ("g", "ascending")])
-    return fit(rows.column("f").to_pylist(), np.array(rows.column("g").to_pylist(), np.int64), n_grades, bits)
+    lists = rows.column("f").combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)  # flat arrays: the sample's features are many
+    row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    grades = rows.column("g").to_numpy().astype(np.int64)
+    del rows, lists
+    return fit(flat, row, grades, n_grades, bits)
 
 
 def score(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
