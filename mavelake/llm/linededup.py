@@ -4,8 +4,9 @@ Pages are grouped by host. A line's ratio is the share of its host's pages that
 limit, on at least so many pages, are boilerplate there and are dropped from all pages of the host.
 
 The counts are pre-aggregated before their shuffle, so a hot host or a very common line costs one row per task. At most
-(distinct lines per page) / max_ratio lines of a host can be boilerplate, which bounds the list that is joined back; Spark
-broadcasts that table only under its own size limit and otherwise splits skewed hosts.
+(distinct lines per page) / max_ratio lines of a host can be boilerplate, which bounds the list that is joined back. The lists are
+written to the shared folder first, so Spark knows their size: it broadcasts them under its own limit and otherwise splits
+the skewed hosts of a join of two plain exchanges.
 
 Defined cases: null texts stay null and have no lines; blank lines are neither counted nor dropped; a line that repeats
 in a page counts once there; a null host counts as an empty one; lines are told apart by two independent hashes (96 bits)
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 HOST, KEYS = "_ld_host", "_ld_keys"
 
 
@@ -41,7 +44,7 @@ def boilerplate(df: DataFrame, text_col: str = "text", host_col: str = "source",
 def drop_lines(df: DataFrame, text_col: str = "text", host_col: str = "source", max_ratio: float = 0.05, min_pages: int = 5, lines_col: str | None = None, dropped_col: str | None = None) -> DataFrame:
     """df without boilerplate lines in its text; lines_col and dropped_col, if named, count all lines and dropped ones."""
     names = df.columns
-    lists = boilerplate(df, text_col, host_col, max_ratio, min_pages)
+    lists = common.cut(boilerplate(df, text_col, host_col, max_ratio, min_pages), "boilerplate")  # of known size: broadcast only if small
     joined = df.withColumn(HOST, F.coalesce(F.col(host_col).cast("string"), F.lit(""))).join(lists, HOST, "left")
     all_lines = _lines(F.col(text_col))
     kept = F.when(F.col(KEYS).isNull(), all_lines).otherwise(F.filter(all_lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(KEYS), _key(x))))
