@@ -45,7 +45,7 @@ GROUP, REPS = 256, 12
 #: Estimated similarities below these aren't verified: five and two and a half standard deviations below 0.8.
 HOPELESS, DOUBTFUL, BEST = 0.5, 0.65, 2
 #: Bytes of text that are hashed together: the arrays take about fifty times that.
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Most shingles that are sampled together, so that the arrays stay in a core's cache.
 RUN = 1 << 16
 

@@ -49,7 +49,7 @@ class OrdinalModel:
 class Features:
     """Distinct hashed features of a text; words are hashed once while they stay in a bounded cache."""
 
-    def __init__(self, bits: int, cache_words: int = 300_000):
+    def __init__(self, bits: int, cache_words: int = 100_000):
         self.size, self.cache, self.cache_words = 1 << bits, {}, cache_words
 
     def of(self, text: str | None) -> list[int]:
