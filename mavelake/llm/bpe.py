@@ -273,7 +273,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
                 ids, counts = bpe.encode(pc.fill_null(b.column(text_col), ""))
                 yield _with(b, out_col, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32())))
 
-    return df.mapInArrow(run, _plus(df, out_col, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(common.tidy(run), _plus(df, out_col, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded", rows: int = 2048) -> DataFrame:
@@ -291,7 +291,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
                     raise ValueError("an id that the vocabulary lacks")
                 yield _with(b, out_col, pa.array(bpe.decode(ids, counts), pa.string()))
 
-    return df.mapInArrow(run, _plus(df, out_col, T.StringType()))
+    return df.mapInArrow(common.tidy(run), _plus(df, out_col, T.StringType()))
 
 
 def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 2048) -> DataFrame:
@@ -308,4 +308,4 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 texts = [common.sha256_hex(x.encode()) for x in bpe.decode(ids, counts)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(texts)], schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(common.tidy(run), schema)

@@ -198,7 +198,7 @@ def find(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: s
         following = next(blocks, None)
         fields = needed if following else kept
         before = held
-        out = out.mapInArrow(scanner(sc.broadcast(block), [f.name for f in fields], fresh), T.StructType([*fields, *added]))
+        out = out.mapInArrow(common.tidy(scanner(sc.broadcast(block), [f.name for f in fields], fresh)), T.StructType([*fields, *added]))
         if following:
             out = held = common.cut(out, "decontaminate")
         if before is not None and following:
@@ -236,7 +236,7 @@ def clean(df: DataFrame, items: DataFrame, text_col: str = "text", window: int =
                 texts = [cut_out(t, s) if s else t for t, s in zip(b.column(text_col).to_pylist(), b.column(SPANS).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text_col else b.column(n) for n in schema.names], schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(common.tidy(run), schema)
 
 
 def digests(df: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -76,7 +76,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 total = y.copy() if total is None else total + y
         yield pd.DataFrame({"slot": [key[0]], "counts": [total.tobytes()]})
 
-    parts = docs.select(text_col).mapInArrow(count, "slot int, counts binary")
+    parts = docs.select(text_col).mapInArrow(common.tidy(count), "slot int, counts binary")
     found = {r.slot: np.frombuffer(bytes(r.counts), np.int64) for r in parts.groupBy("slot").applyInPandas(add, "slot int, counts binary").collect()}
     if -1 not in found:
         return np.ones(WIDTH + 1)
@@ -153,7 +153,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest.view(np.int64), mask=none), pa.array(second.view(np.int64), mask=none), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.binary())], ["id", "d1", "d2", "keys", "samples"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, d1 long, d2 long, keys array<long>, samples binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.tidy(run), f"id {kind}, d1 long, d2 long, keys array<long>, samples binary")
 
 
 def similarities(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     kind = pairs.schema["a"].dataType.simpleString()
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similar boolean")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(common.tidy(run), f"a {kind}, b {kind}, similar boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def _pairs(members: DataFrame, second: bool) -> DataFrame:
 
     kind = members.schema["rep"].dataType.simpleString()
     ordered = members.select("band", "key", "part", "rep", "class", "samples").repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "rep")
-    return ordered.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return ordered.mapInArrow(common.tidy(run), f"a {kind}, b {kind}").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:

@@ -135,7 +135,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, n_grades: int, id_
                 found = [features.of(t) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1), b.column(2)], ["f", "g", "i"])
 
-    rows = texts.select("_q_text", "_q_grade", F.col("_q_id").cast("string")).mapInArrow(run, "f array<int>, g int, i string").toArrow().sort_by([("i", "ascending"), ("g", "ascending")])
+    rows = texts.select("_q_text", "_q_grade", F.col("_q_id").cast("string")).mapInArrow(common.tidy(run), "f array<int>, g int, i string").toArrow().sort_by([("i", "ascending"), ("g", "ascending")])
     lists = rows.column("f").combine_chunks()
     flat = lists.flatten().to_numpy(zero_copy_only=False)  # flat arrays: the sample's features are many
     row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -163,7 +163,7 @@ def score(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep: list
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(s), pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*names, *out])
 
     schema = T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in out)])
-    return df.select(*(F.col(f"`{n}`") for n in names), F.col(text_col).alias(alias)).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{n}`") for n in names), F.col(text_col).alias(alias)).mapInArrow(common.tidy(run), schema)
 
 
 def grade_of_labels() -> Column:
