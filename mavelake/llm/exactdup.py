@@ -22,7 +22,6 @@ each other; texts shorter than the span keep all bytes; bytes are cut even withi
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,21 +168,33 @@ def compared(cold: DataFrame) -> DataFrame:
 
 
 def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, a, b: ranges of bytes to remove, which may overlap."""
+    """id and parallel lists a, b: ranges of bytes to remove, which may overlap. All other tables are deleted on return."""
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     again = repeated_anchors(base)
+    common.release(spark)
     marked = segments(base, again)
+    common.discard(again)
+    common.release(spark)
+    # the second digest holds the anchor's hash too, so two numbers name a segment
     one = marked.select("id", F.explode(F.arrays_zip("h", "s1", "s2", "lo", "hi")).alias("s")).select("id", "s.*")
-    distinct = common.cut(one.groupBy("h", "s1", "s2").agg(F.min(F.struct("id", "lo", "hi")).alias("f"), F.count("*").alias("n")), "distinct-segments")
-    copies = one.join(distinct.where("n > 1").select("h", "s1", "s2", F.col("f.id").alias("fid"), F.col("f.lo").alias("flo")), ["h", "s1", "s2"])
-    copies = copies.where("id <> fid OR lo <> flo").select("id", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
+    distinct = common.cut(one.groupBy("s1", "s2").agg(F.first("h").alias("h"), F.min(F.struct("id", "lo", "hi")).alias("f"), F.count("*").alias("n")), "distinct-segments")
+    common.release(spark)
     parts = pieces(marked, distinct)
+    common.release(spark)
     hot = parts.where("bytes IS NULL").select("id", "lo", "w1", "w2")
     first = common.cut(hot.groupBy("w1", "w2").agg(F.min(F.struct("id", "lo")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", F.col("f.id").alias("fid"), F.col("f.lo").alias("flo")), "hot-windows")
     windows = hot.join(first, ["w1", "w2"]).where("id <> fid OR lo <> flo").select("id", F.col("lo").alias("a"), (F.col("lo") + SPAN).alias("b"))
-    out = copies.unionByName(compared(parts.where("bytes IS NOT NULL"))).unionByName(windows)
-    for x in (again,):
+    found = common.cut(compared(parts.where("bytes IS NOT NULL")).unionByName(windows), "repeats")
+    common.discard(parts)
+    common.release(spark)
+    copies = one.drop("h").join(distinct.where("n > 1").select("s1", "s2", F.col("f.id").alias("fid"), F.col("f.lo").alias("flo")), ["s1", "s2"])
+    copies = copies.where("id <> fid OR lo <> flo").select("id", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
+    out = common.cut(copies.unionByName(found).groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "ranges")
+    for x in (marked, distinct, first, found):
         common.discard(x)
+    del one, copies, windows, hot
+    common.release(spark)
     return out
 
 
@@ -204,7 +215,7 @@ def cut_out(raw: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: bytes, removed bytes, their maximal runs, and the SHA-256 of what is left."""
-    ranges = removed_ranges(docs, id_col, text_col).groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    ranges = removed_ranges(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     joined = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("_x_id"), F.col(text_col).alias("_x_text")).join(ranges.withColumnRenamed("id", "_x_id"), "_x_id", "left").select(id_col, "_x_text", "a", "b")
 
