@@ -11,9 +11,10 @@
    still share a bucket, their pairs of highest estimates.
 4. Connected components of the verified links are the classes; a class is named by its smallest id.
 
-Large groups are safe: equal texts meet in pre-aggregated minima. A bucket of more than GROUP members is dealt out in
-parts, each with about REPS of the same members of the bucket, by which the parts are connected; a part of m members names
-fewer than m pairs. Joins on hot buckets or ids are joins of plain exchanges, which adaptive execution splits.
+Large groups are safe: equal texts meet in pre-aggregated minima. For the trees a bucket of more than GROUP members is dealt
+out in parts, each with about REPS of the same members of the bucket, which connects most of what is similar cheaply; a part
+of m members names fewer than m pairs. The second pass compares all parts of a bucket that are of different classes, part by
+part, and only pairs above the cut leave a task. Joins on hot buckets or ids are joins of plain exchanges, which adaptive execution splits.
 
 The method is probabilistic: a pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS (0.998 at
 0.8); tests measure the classes against brute force.
@@ -232,54 +233,80 @@ def spanning_pairs(samples: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def bridging_pairs(samples: np.ndarray, classes_: np.ndarray, least: float, most: int) -> list[tuple[int, int]]:
-    """For every two classes, the pairs of highest estimates that are at least `least`."""
-    out = []
-    names, at = np.unique(classes_, return_inverse=True)
-    for a in range(len(names)):
-        mine = np.flatnonzero(at == a)
-        rest = np.flatnonzero(at > a)
-        if not len(rest):
-            break
-        e = np.stack([(samples[rest] == samples[i]).mean(1) for i in mine])
-        for c in np.unique(at[rest]):
-            cols = np.flatnonzero(at[rest] == c)
-            part = e[:, cols]
-            for k in np.argsort(-part, axis=None, kind="stable")[:most]:
-                i, j = divmod(int(k), len(cols))
-                if part[i, j] >= least:
-                    out.append((int(mine[i]), int(rest[cols[j]])))
-    return out
-
-
-def _pairs(members: DataFrame, second: bool) -> DataFrame:
-    """Pairs (a, b), a > b, that the parts of buckets name; members: band, key, part, rep, class, samples."""
+def cross_pairs(samples: np.ndarray, classes_: np.ndarray, side: np.ndarray, least: float, most: int | None) -> list[tuple[int, int, bool]]:
+    """Pairs of different classes whose estimates are at least `least`: those of highest estimates for every two classes, or all
+    where `most` is None, and whether others were left. Sides 0 and 1 are compared with each other, side 0 alone with itself."""
+    at = np.unique(classes_, return_inverse=True)[1]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    right = left if alone else right
+    equal = np.zeros((len(left), len(right)), np.int16)
+    for k in range(samples.shape[1]):
+        equal += samples[left, k][:, None] == samples[right, k][None, :]
+    near = (equal >= least * samples.shape[1]) & (at[left][:, None] != at[right][None, :])
+    i, j = np.nonzero(np.triu(near) if alone else near)
+    if not len(i):
+        return []
+    e, i, j = equal[i, j], left[i], right[j]
+    lo, hi = np.minimum(at[i], at[j]), np.maximum(at[i], at[j])
+    order = np.lexsort((-e, hi, lo))
+    i, j, lo, hi = i[order], j[order], lo[order], hi[order]
+    starts = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+    sizes = np.diff(np.append(starts, len(i)))
+    rank, size = np.arange(len(i)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    most = len(i) if most is None else most
+    return [(int(x), int(y), bool(z)) for x, y, z in zip(i[rank < most], j[rank < most], size[rank < most] > most, strict=True)]
+
+
+def _pairs(members: DataFrame, most: int | None = 0) -> DataFrame:
+    """Pairs (a, b), a > b, that the blocks of buckets name, and whether others were left; members: band, key, x, y, side, rep,
+    class, samples. A block names its spanning tree where `most` is 0, else the pairs of cross_pairs()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def named() -> set[tuple]:
-            x = np.frombuffer(b"".join(r[5] for r in held), np.uint32).reshape(len(held), -1)
-            found = bridging_pairs(x, np.array([r[4] for r in held]), DOUBTFUL, BEST) if second else spanning_pairs(x, HOPELESS)
-            ids = [r[3] for r in held]
-            return {(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in found if ids[i] != ids[j]}
+        def named() -> pa.RecordBatch:
+            x = np.frombuffer(b"".join(r[7] for r in held), np.uint32).reshape(len(held), -1)
+            if most == 0:
+                found = [(i, j, False) for i, j in spanning_pairs(x, HOPELESS)]
+            else:
+                found = cross_pairs(x, np.array([r[6] for r in held]), np.array([r[4] for r in held]), DOUBTFUL, most)
+            ids = [r[5] for r in held]
+            out = [(max(ids[i], ids[j]), min(ids[i], ids[j]), left) for i, j, left in found if ids[i] != ids[j]]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], type_), pa.array([p[1] for p in out], type_), pa.array([p[2] for p in out], pa.bool_())], ["a", "b", "more"])
 
         for b in batches:
-            out: set[tuple] = set()
+            type_ = b.schema.field(5).type
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    out |= named()
+                if held and row[:4] != held[0][:4]:
+                    if len(held) > 1:
+                        yield named()
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], b.schema.field(3).type) for i in (0, 1)], ["a", "b"])
-            schema = b.schema
-        if held:
-            out = named()
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], schema.field(3).type) for i in (0, 1)], ["a", "b"])
+        if len(held) > 1:
+            yield named()
 
     kind = members.schema["rep"].dataType.simpleString()
-    ordered = members.select("band", "key", "part", "rep", "class", "samples").repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "rep")
-    return ordered.mapInArrow(common.tidy(run), f"a {kind}, b {kind}").distinct()
+    ordered = members.select("band", "key", "x", "y", "side", "rep", "class", "samples").repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "side", "rep")
+    return ordered.mapInArrow(common.tidy(run), f"a {kind}, b {kind}, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def blocks(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several classes, dealt so that any two of different classes meet in a block.
+
+    A bucket of more than GROUP members has parts of about GROUP: those of its largest class meet those of the rest, and the
+    latter each other, so that a large class with few others beside it is hardly repeated."""
+    marked = common.cut(members.join(comp.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep")), "marked")
+    sizes = marked.groupBy("band", "key", "class").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max("n").alias("n_big"), F.max_by("class", "n").alias("big")).where("n > n_big")
+    sizes = common.cut(sizes.selectExpr("band", "key", "n", "big", f"cast(ceil(n_big / {GROUP}) AS int) AS p_big", f"cast(ceil((n - n_big) / {GROUP}) AS int) AS p_rest"), "open")
+    dealt = marked.join(sizes.hint("merge"), ["band", "key"])
+    dealt = dealt.withColumn("mine", F.expr("cast(pmod(xxhash64(rep, band), IF(class = big, p_big, p_rest)) AS int)"))
+    block = F.expr(f"""explode(CASE WHEN n <= {GROUP} THEN array(struct(-1 AS x, 0 AS y, 0 AS side))
+        WHEN class = big THEN transform(sequence(0, p_rest - 1), o -> struct(mine AS x, o AS y, 0 AS side))
+        ELSE concat(transform(sequence(0, p_big - 1), o -> struct(o AS x, mine AS y, 1 AS side)),
+          transform(sequence(0, p_rest - 1), o -> struct(-1 - least(mine, o) AS x, greatest(mine, o) AS y, IF(mine > o, 1, 0) AS side))) END)""")
+    return dealt.select("band", "key", block.alias("block"), "rep", "class", "samples").select("band", "key", "block.*", "rep", "class", "samples")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -296,29 +323,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     parts = F.ceil(F.col("n") / GROUP).cast("int")
     h = F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30))
     in_all = (parts > 1) & (F.pmod(h, F.greatest(F.lit(1), F.floor(F.col("n") / REPS)).cast("long")) == 0)
-    part = F.explode(F.when(in_all, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(h, parts.cast("long")).cast("int")))).alias("part")
-    members = common.cut(bucket.join(sizes.hint("merge"), ["band", "key"]).select("band", "key", "rep", part), "members")
+    part = F.explode(F.when(in_all, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(h, parts.cast("long")).cast("int")))).alias("x")
+    members = bucket.join(sizes.hint("merge"), ["band", "key"]).select("band", "key", "rep", in_all.alias("in_all"), part)
+    members = common.cut(members.selectExpr("band", "key", "rep", "x", "NOT in_all OR x = 0 AS once"), "members")
     common.discard(bucket)
     members = common.cut(members.join(first.select("rep", "samples").hint("merge"), "rep"), "sampled-members")
     needed = common.cut(members.select(F.col("rep").alias("id")).distinct(), "needed")
     # most texts have no candidate: a filter of fixed size keeps them out of the shuffle
     texts = common.maybe_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", common.bloom(needed, "id"), "_near")
     texts = common.cut(texts.where("_near").drop("_near").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    tree = common.cut(_pairs(members.withColumn("class", F.lit(0)), False), "pairs")
-    judged = common.cut(verify(tree, texts, idf, threshold), "judged")
+    tree = _pairs(members.select("*", F.lit(0).alias("y"), F.lit(0).alias("side"), F.lit(0).alias("class")))
+    judged = common.cut(verify(common.cut(tree, "pairs"), texts, idf, threshold), "judged")
     links = judged.where("similar").select("a", "b")
     comp = components(links)
-    # buckets whose members are of different classes
-    marked = members.join(comp.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    marked = common.cut(marked, "marked")
-    open_ = marked.groupBy("band", "key", "part").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("band", "key", "part")
-    more = _pairs(marked.join(common.cut(open_, "open"), ["band", "key", "part"]), True).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    more = common.cut(verify(common.cut(more, "pairs"), texts, idf, threshold), "judged")
-    common.discard(texts)
+    once = members.where("once").select("band", "key", "rep", "samples")
+    more = common.cut(_pairs(blocks(once, comp), BEST).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = common.cut(verify(more, texts, idf, threshold), "judged")
     added = more.where("similar").select("a", "b")
     links = links.union(added)
     if not added.isEmpty():
         comp = components(links)
+    common.discard(texts)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = own.select("d1", "d2", "rep").join(comp.toDF("rep", "class"), "rep", "left").join(degree, "rep", "left")
     named = common.cut(named.select("d1", "d2", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")

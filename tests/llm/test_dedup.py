@@ -85,6 +85,27 @@ def test_near_duplicate_groups(spark, monkeypatch):
     assert kept == [0, 100, 200, 201, 202, 203, 300, 302, 303, *range(400, 420)]
 
 
+def hub_group(copies, seed):
+    """A text and copies that are each similar to it, at about 0.82, but not to each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, copies + 1):
+        x, at = list(base), rng.randrange(4, 138)
+        x[at : at + 8] = [f"edit{k}x{i}" for i in range(8)]
+        rows.append((k, " ".join(x)))
+    return rows
+
+
+def test_hub_of_several_parts(spark, monkeypatch):
+    """Copies whose only partner is in another part of the bucket."""
+    monkeypatch.setattr(neardup, "GROUP", 16)
+    rows = hub_group(120, 4)
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) == 1 and got == want
+
+
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(1)
     a = np.sort(rng.choice(2**52, 400, replace=False)).astype(np.uint64)
