@@ -7,13 +7,14 @@
    similarity; BANDS bands of ROWS samples each are its bucket keys. Texts with equal words are collapsed to one first.
 3. Within a bucket, a maximum spanning tree over the similarities that the samples estimate names the pairs to verify:
    were the estimates exact, its similar edges alone would connect all that is similar. Verification is by the exact
-   weighted Jaccard similarity of the whole texts. As estimates err, a second pass verifies, for every two classes that
-   still share a bucket, their pairs of highest estimates.
+   weighted Jaccard similarity of the whole texts. As estimates err, further rounds verify, for every two classes that
+   still share a bucket, their pairs of highest estimates, until no pair of different classes in a bucket whose estimate is
+   at least HOPELESS is unverified.
 4. Connected components of the verified links are the classes; a class is named by its smallest id.
 
 Large groups are safe: equal texts meet in pre-aggregated minima. For the trees a bucket of more than GROUP members is dealt
 out in parts, each with about REPS of the same members of the bucket, which connects most of what is similar cheaply; a part
-of m members names fewer than m pairs. The second pass compares all parts of a bucket that are of different classes, part by
+of m members names fewer than m pairs. The later rounds compare all parts of a bucket that are of different classes, part by
 part, and only pairs above the cut leave a task. Joins on hot buckets or ids are joins of plain exchanges, which adaptive execution splits.
 
 The method is probabilistic: a pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS (0.998 at
@@ -43,8 +44,10 @@ BANDS, ROWS = 12, 4
 POOL_BITS = 15
 #: Members of a part of a bucket, and about how many members all parts have in common.
 GROUP, REPS = 256, 12
-#: Estimated similarities below these aren't verified: five and two and a half standard deviations below 0.8.
-HOPELESS, DOUBTFUL, BEST = 0.5, 0.65, 2
+#: Estimated similarities below this aren't verified: five standard deviations below 0.8.
+HOPELESS = 0.5
+#: Pairs that a block names for every two classes, round by round; the last round names all.
+MOST = (2, 32, None)
 #: Bytes of text that are hashed together: the arrays take about fifty times that.
 SLICE = 1 << 20
 #: Most shingles that are sampled together, so that the arrays stay in a core's cache.
@@ -270,7 +273,7 @@ def _pairs(members: DataFrame, most: int | None = 0) -> DataFrame:
             if most == 0:
                 found = [(i, j, False) for i, j in spanning_pairs(x, HOPELESS)]
             else:
-                found = cross_pairs(x, np.array([r[6] for r in held]), np.array([r[4] for r in held]), DOUBTFUL, most)
+                found = cross_pairs(x, np.array([r[6] for r in held]), np.array([r[4] for r in held]), HOPELESS, most)
             ids = [r[5] for r in held]
             out = [(max(ids[i], ids[j]), min(ids[i], ids[j]), left) for i, j, left in found if ids[i] != ids[j]]
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], type_), pa.array([p[1] for p in out], type_), pa.array([p[2] for p in out], pa.bool_())], ["a", "b", "more"])
@@ -337,12 +340,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     links = judged.where("similar").select("a", "b")
     comp = components(links)
     once = members.where("once").select("band", "key", "rep", "samples")
-    more = common.cut(_pairs(blocks(once, comp), BEST).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    more = common.cut(verify(more, texts, idf, threshold), "judged")
-    added = more.where("similar").select("a", "b")
-    links = links.union(added)
-    if not added.isEmpty():
-        comp = components(links)
+    for most in MOST:
+        named = common.cut(_pairs(blocks(once, comp), most), "pairs")
+        more = common.cut(verify(named.join(judged.select("a", "b"), ["a", "b"], "left_anti"), texts, idf, threshold), "judged")
+        added = more.where("similar").select("a", "b")
+        judged = judged.union(more)
+        if not added.isEmpty():
+            links = links.union(added)
+            comp = components(links)
+        if named.where("more").isEmpty():
+            break
     common.discard(texts)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = own.select("d1", "d2", "rep").join(comp.toDF("rep", "class"), "rep", "left").join(degree, "rep", "left")

@@ -106,6 +106,14 @@ def test_hub_of_several_parts(spark, monkeypatch):
     assert len(set(want.values())) == 1 and got == want
 
 
+def test_hub_among_false_pairs(spark):
+    """Copies whose one true pair is estimated lower than many false ones."""
+    rows = hub_group(250, 5)
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) == 1 and sum(got[i] != want[i] for i in want) <= 0.01 * len(want)
+
+
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(1)
     a = np.sort(rng.choice(2**52, 400, replace=False)).astype(np.uint64)
