@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import genetics as g
@@ -109,8 +109,10 @@ def variant_names(spark, sf):
 
 
 def filtered_reads(spark, sf):
-    r = reads(spark, sf).groupBy("read_idx").agg(F.min("seq1").alias("seq1"), F.min_by("qual1", "seq1").alias("qual1"))
-    return digest.filtered_reads(r, digest.annotate(r, spec())).select("read_idx", "label", "seq1")
+    """As several reads can share a key, each is joined by the key and its number among them; the result has the key."""
+    number = F.row_number().over(Window.partitionBy("k").orderBy("seq1", "qual1"))
+    r = reads(spark, sf).withColumnRenamed("read_idx", "k").select("k", F.shiftleft(F.col("k").cast("long"), 20).bitwiseOR(number.cast("long")).alias("read_idx"), "seq1", "qual1")
+    return digest.filtered_reads(r, digest.annotate(r, spec())).select(F.col("k").alias("read_idx"), "label", "seq1")
 
 
 def limit_reads(spark, sf):

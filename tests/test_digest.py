@@ -1,4 +1,5 @@
 import gzip
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from mavelake.operators import digest as D
 from mavelake.operators import experiment as X
 from mavelake.operators import qc, stats
 from mavelake.operators.link import link_multiple_variants
+from mavelake.plans import queries
 from mavelake.sources.fastq import read_fastq
 from mavelake.spec import DigestSpec
 from mavelake.streaming.digest_stream import filter_counts
@@ -201,3 +203,13 @@ def test_partition_invariance_and_stream(spark, tmp_path):
     q.stop()
     got = {r.failure: r.nbrReads for r in spark.sql("SELECT * FROM fc").collect()}
     assert sum(got.values()) == 200 and got[""] == a.nbrReads.sum()
+
+
+def test_filtered_reads_with_equal_keys(spark, sf_dir):
+    """Every read that a filter takes is returned, also where reads share a key."""
+    r = queries.reads(spark, sf_dir)
+    assert r.select("read_idx").distinct().count() < r.count()
+    lost = D.annotate(r.withColumn("raw", F.col("seq1")), queries.spec(), ("raw",)).where("failure <> ''")
+    want = Counter((x.read_idx, D.LABELS[x.failure], x.raw) for x in lost.select("read_idx", "failure", "raw").collect())
+    got = Counter((x.read_idx, x.label, x.seq1) for x in queries.filtered_reads(spark, sf_dir).collect())
+    assert got == want
