@@ -9,9 +9,9 @@ With m pages and shares p_i of the presentations below node E, the importance is
     composite(E) = (1 - g^l) node(E) + g^l (mean of the composites of its children), l presentations
     leaf(E)      = 1 - mean over contents a of log_m(pages with a)
 
-Branches of low composite importance are removed from each page. Elements that name their own role (nav, footer, aside,
-form, script ... and classes or ids such as `ad`, `sidebar`, `comments`) are noise by that; what stands in an `article` or
-`main` is taken to be content otherwise, and where a page has such an element, only its text is main text.
+Branches of low composite importance are removed from each page, within articles too. Elements that name their own role (nav, footer, aside,
+form, script ... and classes or ids such as `ad`, `sidebar`, `comments`) are noise by that; where a page
+has an `article` or `main`, only its text is main text; the tree doesn't keep what stands outside.
 
 Counts are pre-aggregated before their shuffles. Only nodes of at least MIN_PAGES pages are weighed, so a host's tree is
 bounded by its pages' mean number of nodes, not by their number. The few low branches of a host are written to the shared
@@ -133,16 +133,12 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
 
 
 def main_text(found: list[tuple[str, str, bool, bool]], low: set[str]) -> str:
-    """The blocks that are neither noise nor in a low branch; those of articles alone where there are any."""
+    """The blocks that are neither noise nor in a low branch; those of articles alone where there are any. An article that is
+    low as a whole, as that of equal pages, stays."""
     article = any(content and not noise for _, _, noise, content in found)
-    kept = []
-    for path, text, noise, content in found:
-        if noise or (article and not content):
-            continue
-        if not content and low and any(path == x or path.startswith(x + ">") for x in low):
-            continue
-        kept.append(text)
-    return "\n".join(kept)
+    open_ = [(path, text) for path, text, noise, content in found if not noise and (content or not article)]
+    kept = [text for path, text in open_ if not (low and any(path == x or path.startswith(x + ">") for x in low))]
+    return "\n".join(kept or ([text for _, text in open_] if article else []))
 
 
 def host_of(url):
@@ -150,12 +146,10 @@ def host_of(url):
 
 
 def tree_rows(page: str) -> Iterator[tuple[str, str, str]]:
-    """What a page adds to its site's tree, outside of articles: path, kind (s: presentation, c: content) and value."""
+    """What a page adds to its site's tree: path, kind (s: presentation, c: content) and value."""
     children: dict[str, set[str]] = {}
     texts: dict[str, set[str]] = {}
-    for path, text, _, content in blocks(page):
-        if content:
-            continue
+    for path, text, _, _ in blocks(page):
         texts.setdefault(path, set()).add(text)
         while path:
             above, _, name = path.rpartition(">")

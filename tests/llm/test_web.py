@@ -66,6 +66,15 @@ def test_style_tree(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_in_articles(spark):
+    """What recurs in the articles of all pages of a site is dropped; an article that recurs as a whole stays."""
+    page = lambda i: f'<html><body><article><p>story {i} {i * 7}</p><div class="tail"><p>Write to the author</p></div></article></body></html>'
+    rows = [(i, f"http://s.example/{i}", page(i)) for i in range(12)] + [(50 + i, f"http://same.example/{i}", page(50)) for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story {i} {i * 7}" for i in range(12))
+    assert all(got[50 + i] == "story 50 350\nWrite to the author" for i in range(6))
+
+
 def test_html_table(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     out = html.extract(pages).collect()
