@@ -1,8 +1,8 @@
-"""Byte-level BPE encoding and decoding with a pair occurrence index.
+"""Byte-level BPE encoding and decoding by a per-word rank scan.
 
 The distinct pre-tokens that a partition has not met yet are laid out in one symbol array with links to their
-neighbours. An index maps each mergeable pair to all its positions there. The active ranks are taken in ascending order;
-applying one rewrites all of its positions and updates the lists of the pairs next to them. Results are kept per
+neighbours. A pair occurrence index (lists of positions by pair) is replaced by an array of the rank at each position: every
+sweep scans it for each word's own lowest rank and merges there, so that one sweep serves all words. Results are kept per
 pre-token in a bounded cache, so frequent words are merged once for each Python worker.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to an empty text; texts are taken whole,
@@ -101,9 +101,9 @@ class ByteBpe:
         return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.key_rank[at], NONE)
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of pre-tokens, all merged together by the pair occurrence index.
+        """Ids of pre-tokens, all merged together by a per-word rank scan.
 
-        The index is kept as an array: the rank of the pair that starts at each position. Words don't touch each other, so
+        An array holds the rank of the pair that starts at each position. Words don't touch each other, so
         a sweep applies, in every word, all positions of its lowest active rank, then updates the entries of the merged
         positions and their left neighbours. Within a word, ranks are thus applied in ascending order; a merge can only
         bring up higher ranks, as the constructor makes sure.
