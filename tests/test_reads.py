@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -5,67 +7,133 @@ from hypothesis import strategies as st
 from mavelake.operators import reads as R
 from mavelake.spec import DigestSpec, expand_iupac
 
-SEQ, QUAL = "ACGTTAAAGCCTGG", "abcdefgABCDEFG"
-
-
-@pytest.mark.parametrize(
-    "seq,elements,lengths,primers,want",
-    [
-        (SEQ, "USCVCUSV", [2, 1, 3, 3, 1, 2, 1, 1], [""], ("ACCT", "AAGG", "gABG", [3, 1], "TTAC", "defC")),
-        (SEQ[:-1], "SUSCVUCUS", [0, 2, 1, 3, 3, 0, 1, 2, 1], [""], ("ACCT", "AAG", "gAB", [3], "TTAC", "defC")),
-        (SEQ[:-1], "USCVCUS", [2, 1, 3, -1, 1, 2, 1], [""], ("ACCT", "AAG", "gAB", [3], "TTAC", "defC")),
-        (SEQ, "USCVPS", [2, 1, 3, 3, 3, -1], ["CCT"], ("AC", "AAG", "gAB", [3], "TTA", "def")),
-        (SEQ, "V", [-1], [""], ("", SEQ, QUAL, [14], "", "")),
-        (SEQ, "PV", [-1, -1], ["ACG"], ("", SEQ[3:], QUAL[3:], [11], "", "")),
-    ],
-)
-def test_cut(seq, elements, lengths, primers, want):
-    p = R.Cutter(elements, lengths, primers).cut(seq, QUAL[: len(seq)])
-    assert (p.umi, p.var, p.var_qual, p.lengths, p.const, p.const_qual, p.failure) == (*want, "")
-
-
-def test_cut_failures():
-    assert R.Cutter("PV", [-1, -1], ["GGGG"]).cut(SEQ, QUAL).failure == "f2_nbrNoPrimer"
-    assert R.Cutter("UV", [2, 3], [""]).cut(SEQ, QUAL).failure == "f3_nbrReadWrongLength"
-    assert R.Cutter("UV", [20, -1], [""]).cut(SEQ, QUAL).failure == "f3_nbrReadWrongLength"
-    # the first primer in the list that occurs decides, even if a later one would fit
-    assert R.Cutter("UPV", [5, -1, 3], ["CGT", "AAAG"]).cut(SEQ, QUAL).failure == "f3_nbrReadWrongLength"
-
-
 def q(n, v):
     return chr(v + 33) * n
 
 
-def test_merge_goldens():
-    assert R.merge_pair("AAAANA", q(6, 40), "AACCCC", q(6, 42), [6], [6], 1, 6, 0, 0, 1 / 4, True) == ("AAAACCCC", q(2, 40) + q(6, 42), [8])
-    assert R.merge_pair("AAAANA", q(6, 42), "AACCCC", q(6, 40), [6], [6], 2, 2, 0, 0, 1 / 4, True)[0] == "AAAANACCCC"
-    assert R.merge_pair("AAAANA", q(6, 40), "AACCCC", q(6, 42), [6], [6], 2, 2, 0, 0, 0, True)[0] == "AAAAAACCCC"
-    f, r = "TTACACG", "ACACACA"
-    run = lambda *a: R.merge_pair(f, q(7, 10), r, q(7, 40), [7], [7], *a)
-    assert run(0, 0, 0, 0, 3 / 7, True)[0] == r
-    assert run(1, 7, 0, 0, 1 / 5, True)[0] == "TTACACACA"
-    assert run(1, 7, 9, 9, 1, False)[0] == "TTACACACA"
-    assert run(1, 7, 11, 11, 1, False)[0] == "TTACACACACA"
-    assert run(1, 7, 12, 12, 1, False)[0] == "TTACAACACACA"
-    for bad in ((8, 7, 9, 9), (4, 3, 9, 9), (1, 7, 15, 9)):
-        assert run(*bad, 1, False) is None
+def word(rng, n, letters="ACGT"):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_cut_puts_together_what_was_joined():
+    """Reads are made from known parts, so the parts are what cutting must give back."""
+    rng = random.Random(4)
+    for _ in range(300):
+        kinds = [rng.choice("UCVS") for _ in range(rng.randrange(1, 8))]
+        sizes = [rng.randrange(0, 5) for _ in kinds]
+        primer = rng.choice(["", "GGTGG"])
+        bases = [word(rng, n, "ACT") for n in sizes]  # without G, so the primer is where it was put
+        quals = [word(rng, n, "ABCDEFGH") for n in sizes]
+        lengths = list(sizes)
+        at = rng.randrange(len(kinds) + 1)
+        for lo, hi in ((0, at), (at, len(kinds))) if primer else ((0, len(kinds)),):
+            if hi > lo and rng.random() < 0.5:
+                lengths[rng.randrange(lo, hi)] = -1  # to be worked out
+        seq, qual = list(bases), list(quals)
+        elements = list(kinds)
+        if primer:
+            seq.insert(at, primer)
+            qual.insert(at, "I" * len(primer))
+            elements.insert(at, "P")
+            lengths.insert(at, -1)
+        p = R.Cutter("".join(elements), lengths, [primer]).cut("".join(seq), "".join(qual))
+        of = lambda k, xs: "".join(x for e, x in zip(kinds, xs, strict=True) if e == k)  # noqa: E731, B023
+        assert p.failure == ""
+        assert (p.umi, p.var, p.var_qual, p.const, p.const_qual) == (of("U", bases), of("V", bases), of("V", quals), of("C", bases), of("C", quals))
+        assert p.lengths == [n for e, n in zip(kinds, sizes, strict=True) if e == "V"]
 
 
-@pytest.mark.parametrize("f,r,want", [([13, 5], [4, 16], [13, 16]), ([5, 13], [20], [5, 24]), ([5, 13], [14, 6], [5, 18, 6]), ([5, 8, 5], [4, 13, 3], [5, 8, 13, 3]), ([3, 2, 8, 2, 3], [4, 2, 11, 3], [3, 2, 8, 2, 11, 3]), ([5, 13], [9, 5, 6], [5, 13, 5, 6]), ([12, 6], [4, 16], None), ([5, 13], [2, 18], None), ([12, 6], [3, 4, 2, 11], None)])
-def test_merge_segments(f, r, want):
-    got = R.merge_pair("AAAAAAAAACGTCCCAAC", q(18, 40), "CGTCCCAACCCGGGGGGGGG", q(20, 42), f, r, 1, 0, 1, 0, 0.1, False)
-    assert (got and got[2]) == want
+def test_cut_failures():
+    read = "CATTAGGTACCA"
+    cut = lambda *a: R.Cutter(*a).cut(read, "I" * len(read)).failure
+    assert cut("PV", [-1, -1], ["CCCC"]) == "f2_nbrNoPrimer"
+    assert cut("UV", [4, 7], [""]) == cut("UV", [13, -1], [""]) == "f3_nbrReadWrongLength"
+    # the first primer in the list that occurs decides, even if a later one would fit
+    assert cut("UPV", [5, -1, -1], ["TTA", "GGT"]) == "f3_nbrReadWrongLength" and cut("UPV", [5, -1, -1], ["GGT", "TTA"]) == ""
+
+
+def plain_merge(f, fq, r, rq, least, most, share, greedy):
+    """Merged bases and qualities: the longest valid overlap, or the one of most matches (the longest of equals)."""
+    valid = []
+    for n in range(most, max(1, least) - 1, -1):
+        pairs = list(zip(f[len(f) - n :], r[:n], strict=True))
+        same = sum(x == y or "N" in (x, y) for x, y in pairs)
+        if (n - same) / n <= share:
+            valid.append((same, n))
+    if not valid:
+        return None
+    n = valid[0][1] if greedy else max(valid)[1]
+    k = len(f) - n
+    pick = [(y, b) if b > a else (x, a) for x, a, y, b in zip(f[k:], fq[k:], r, rq, strict=False)]
+    return f[:k] + "".join(x for x, _ in pick) + r[n:], fq[:k] + "".join(c for _, c in pick) + rq[n:]
+
+
+def test_merge_like_plain():
+    rng = random.Random(11)
+    merged = 0
+    for _ in range(400):
+        nf, nr = rng.randrange(4, 12), rng.randrange(4, 12)
+        whole = word(rng, 24)
+        f, r = whole[:nf], whole[rng.randrange(0, nf) :][:nr]
+        f, r = ("".join(c if rng.random() > 0.1 else rng.choice("ACGTN") for c in x) for x in (f, r))
+        fq, rq = word(rng, len(f), "#5?I"), word(rng, len(r), "#5?I")
+        least, most = rng.randrange(1, 4), rng.randrange(4, min(len(f), len(r)) + 1)
+        share, greedy = rng.choice([0, 0.2, 0.4]), rng.random() < 0.5
+        got = R.merge_pair(f, fq, r, rq, [len(f)], [len(r)], least, most, 0, 0, share, greedy)
+        want = plain_merge(f, fq, r, rq, least, min(most, len(f) + len(r) - max(len(f), len(r))), share, greedy)
+        assert (got and got[:2]) == want and (got is None or got[2] == [len(got[0])])
+        merged += got is not None
+    assert 50 < merged < 380
+
+
+def test_merge_bounds():
+    f, r = "GATTACAGG", "ACAGGTTCC"
+    run = lambda *a: R.merge_pair(f, q(9, 30), r, q(9, 30), [9], [9], *a, 0, True)
+    assert run(1, 9, 0, 0)[0] == "GATTACAGGTTCC" == run(5, 5, 13, 13)[0]
+    assert run(10, 9, 0, 0) is run(6, 5, 0, 0) is run(1, 9, 14, 12) is run(1, 4, 0, 0) is None
+
+
+def test_merge_segments():
+    """Breaks between segments: those inside the overlap must be in both mates."""
+    rng = random.Random(2)
+    for _ in range(200):
+        breaks = sorted(rng.sample(range(1, 24), rng.randrange(0, 5)))
+        ends = [*breaks, 24]
+        whole, k, stop = word(rng, 24), rng.randrange(2, 10), rng.randrange(14, 23)
+        cut = lambda lo, hi: [b - a for a, b in zip([lo, *(x for x in ends if lo < x < hi)], [*(x for x in ends if lo < x < hi), hi], strict=True)]  # noqa: E731, B023
+        n = stop - k
+        args = (whole[:stop], q(stop, 30), whole[k:], q(24 - k, 30))
+        got = R.merge_pair(*args, cut(0, stop), cut(k, 24), n, n, 0, 0, 0, True)
+        assert got[0] == whole and got[2] == cut(0, 24)
+        inside = [x for x in range(k + 1, stop) if x not in breaks]
+        if inside:  # a break that only the first mate has
+            ends = sorted([*breaks, rng.choice(inside), 24])
+            more = cut(0, stop)
+            ends = [*breaks, 24]
+            assert R.merge_pair(*args, more, cut(k, 24), n, n, 0, 0, 0, True) is None
+
+
+def plain_groups(positions):
+    out = []
+    for p in positions:
+        if out and p - out[-1][-1] <= 2:
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
 
 
 def test_names():
-    assert R.base_hgvs([1, 2], "TAG", "ATG") == "1_2delinsAT"
-    assert R.base_hgvs([1, 4], "TAGT", "AAGA") == "[1T>A;4T>A]"
-    assert R.base_hgvs([1, 4, 6], "TAGTGTAGTCCGT", "AAGAGCAGTCCGT") == "[1T>A;4_6delinsAGC]"
-    protein = "TDTLQAETDQLEDEKSALQTEIANLLKEKEKL"
-    assert R.aa_hgvs([(1, "H")], protein) == "(Thr1His)"
-    assert R.aa_hgvs([(1, "L"), (2, "M"), (7, "M")], protein) == "[(Thr1Leu);(Asp2Met);(Glu7Met)]"
-    assert R.translate("AAN,AAA.A") == "XXX" and R.translate("atgUAA") == "M*" and R.translate("AC_AAA") == "_K"
-    assert expand_iupac("NNW") == sorted(a + b + c for a in "ACGT" for b in "ACGT" for c in "AT")
+    rng = random.Random(6)
+    for _ in range(100):
+        ref = word(rng, 30)
+        at = sorted(rng.sample(range(1, 31), rng.randrange(1, 6)))
+        var = "".join("ACGT"[("ACGT".index(c) + 1) % 4] if i + 1 in at else c for i, c in enumerate(ref))
+        ids = [f"{g[0]}{ref[g[0] - 1]}>{var[g[0] - 1]}" if len(g) == 1 else f"{g[0]}_{g[-1]}delins{var[g[0] - 1 : g[-1]]}" for g in plain_groups(at)]
+        assert R.base_hgvs(at, ref, var) == (ids[0] if len(ids) == 1 else "[" + ";".join(ids) + "]")
+    assert R.aa_hgvs([(2, "W")], "MKLV") == "(Lys2Trp)" and R.aa_hgvs([(1, "*"), (4, "G")], "MKLV") == "[(Met1Ter);(Val4Gly)]"
+    assert R.translate("ATNCCA") == "XP" and R.translate("gcuUGA") == "A*" and R.translate("CA_GGG_T") == "_G_"
+    assert expand_iupac("RTN") == sorted(a + "T" + c for a in "AG" for c in "ACGT")
 
 
 def test_compare():
