@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mavelake-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -50,19 +52,34 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so only after a collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+class Scratch:
+    """Tables that a computation writes on its way, to be deleted when it has its result."""
 
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the Python worker, which waits for its next task, gives freed memory back to the system."""
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(cut(df, label))
+        return self.tables[-1]
+
+    def clear(self, *but: DataFrame) -> None:
+        """Delete all tables but those that the result still reads."""
+        for x in self.tables:
+            if not any(x is y for y in but):
+                discard(x)
+        self.tables = [*but]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *forget: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the Python worker, which waits for its next task, drops its tables (by the functions of forget) and
+    gives freed memory back to the system."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
+            for f in forget:
+                f()
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
@@ -93,13 +110,13 @@ def _bit(id_col: str):
 
 def bloom(ids: DataFrame, id_col: str) -> DataFrame:
     """A table (slot, bits) of fixed size that tells for most other ids that they aren't among these."""
-    at = ids.select(_bit(id_col).alias("at")).select((F.col("at") / 64).cast("int").alias("_slot"), F.expr("shiftleft(1L, cast(at % 64 AS int))").alias("b"))
-    return cut(at.groupBy("_slot").agg(F.bit_or("b").alias("_bits")), "bloom")
+    at = ids.select(_bit(id_col).alias("_bf_at")).select((F.col("_bf_at") / 64).cast("int").alias("_bf_slot"), F.expr("shiftleft(1L, cast(_bf_at % 64 AS int))").alias("b"))
+    return cut(at.groupBy("_bf_slot").agg(F.bit_or("b").alias("_bf_bits")), "bloom")
 
 
 def maybe_in(df: DataFrame, id_col: str, filter_: DataFrame, out: str) -> DataFrame:
     """df with a flag that is true for all ids of the filter and, by chance, for a few others (null ids: false)."""
-    flagged = df.withColumn("_at", _bit(id_col)).withColumn("_slot", (F.col("_at") / 64).cast("int"))
-    flagged = flagged.join(F.broadcast(filter_), "_slot", "left")  # at most 2**18 rows
-    hit = F.expr("(_bits & shiftleft(1L, cast(_at % 64 AS int))) <> 0")
-    return flagged.withColumn(out, F.coalesce(hit, F.lit(False)) & F.col(id_col).isNotNull()).drop("_at", "_slot", "_bits")
+    flagged = df.withColumn("_bf_at", _bit(id_col)).withColumn("_bf_slot", (F.col("_bf_at") / 64).cast("int"))
+    flagged = flagged.join(F.broadcast(filter_), "_bf_slot", "left")  # at most 2**18 rows
+    hit = F.expr("(_bf_bits & shiftleft(1L, cast(_bf_at % 64 AS int))) <> 0")
+    return flagged.withColumn(out, F.coalesce(hit, F.lit(False)) & F.col(id_col).isNotNull()).drop("_bf_at", "_bf_slot", "_bf_bits")
