@@ -73,8 +73,10 @@ class Features:
         return sorted(out)
 
 
-def screened(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, size: int, least_z: float, least_rows: int) -> np.ndarray:
-    """Features whose share of low grades differs from the common share by least_z standard deviations; marks always."""
+def screened(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, size: int, least_rows: int) -> np.ndarray:
+    """Features whose share of low grades differs from the common share by sqrt(2 ln n) standard deviations for n rated
+    rows, the level that n draws of noise hardly reach; marks always."""
+    least_z = np.sqrt(2 * np.log(max(2, len(grades))))
     n = np.bincount(flat, minlength=size)
     keep = np.arange(size) < MARKS
     for k in range(n_grades - 1):
@@ -84,14 +86,14 @@ def screened(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: in
     return keep & (n >= least_rows)
 
 
-def fit(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, bits: int, steps: int = 250, rate: float = 0.05, l2: float = 1e-4, least_z: float = 5.0, least_rows: int = 3) -> OrdinalModel:
+def fit(flat: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, bits: int, steps: int = 250, rate: float = 0.05, l2: float = 1e-4, least_rows: int = 2) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty by Adam over all rows: feature flat[i] belongs to row[i]. Features
     that say nothing of the grade by themselves weigh nothing: most words are rare, and fitting them would only learn the
     sample by heart."""
     size, k = 1 << bits, n_grades - 1
     if not len(grades):
         return OrdinalModel(np.zeros(size), np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1)))
-    used = screened(flat, row, grades, n_grades, size, least_z, least_rows)
+    used = screened(flat, row, grades, n_grades, size, least_rows)
     row, flat = row[used[flat]], flat[used[flat]]
     names, flat = np.unique(flat, return_inverse=True)
     n = len(grades)
