@@ -1,9 +1,13 @@
-"""Byte-level BPE encoding and decoding by a per-word rank scan.
+"""Byte-level BPE encoding and decoding with a pair occurrence index.
 
-The distinct pre-tokens that a partition has not met yet are laid out in one symbol array with links to their
-neighbours. A pair occurrence index (lists of positions by pair) is replaced by an array of the rank at each position: every
-sweep scans it for each word's own lowest rank and merges there, so that one sweep serves all words. Results are kept per
-pre-token in a bounded cache, so frequent words are merged once for each Python worker.
+The distinct pre-tokens that a partition has not met yet are laid out in one symbol array with links to both neighbours. An
+index maps each mergeable pair to all its positions in there. Active ranks are taken in ascending order from a heap; all
+positions of the rank's pair are merged from left to right, and the lists of the pairs that arise beside them are updated.
+As a merge can only bring up higher ranks (the constructor makes sure), one ascending run serves all words. Ids are kept per
+chunk and per word in caches of bounded bytes; that of words has two generations, so those in use stay.
+
+Texts of more than PART characters are cut at lone spaces, where the pre-tokenizer always starts a new token, and encoded
+part by part: memory is bounded by SLICE and the longest run of text without such a space.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to an empty text; texts are taken whole,
 whatever their length; repeated rows give repeated results; other columns are kept by `encode` and `decode` and may have
@@ -12,7 +16,10 @@ any name but the output's (which replaces one of that name). Ids that the vocabu
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +43,34 @@ def printable_bytes() -> dict[str, int]:
 
 
 #: Bytes of text that are encoded together: the arrays take about fifteen times that.
-SLICE = 3 << 20
+SLICE = 1 << 20
+#: Characters of a text from which on it is cut into parts.
+PART = 1 << 19
+#: Bytes of the cache of chunks, and of each generation of the cache of words, estimated.
+CACHE_BYTES = 24 << 20
 #: White space that doesn't stand alone as one space between other characters: such texts aren't cut into chunks.
 WIDE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |^[ \n]|[ \n]$"
 #: The rank of a pair that doesn't merge.
 NONE = np.iinfo(np.int64).max
+LONE = regex.compile(r"(?<=\S) (?=\S)")
+
+
+def parts(text: str, most: int = PART) -> Iterator[str]:
+    """Parts of a text that can be encoded by themselves."""
+    at = 0
+    while len(text) - at > most:
+        m = LONE.search(text, at + most)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
 
 
 class ByteBpe:
     """Encoder and decoder for one tokenizer.json of the byte-level BPE kind."""
 
-    def __init__(self, spec: bytes, cache_words: int = 150_000):
+    def __init__(self, spec: bytes, cache_bytes: int = CACHE_BYTES):
         conf = json.loads(spec)
         model, pre = conf["model"], conf["pre_tokenizer"]
         if (
@@ -60,16 +84,15 @@ class ByteBpe:
             raise ValueError("only plain byte-level BPE files are supported")
         alphabet = printable_bytes()
         vocab = model["vocab"]
-        self.bytes_of: dict[int, bytes] = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items()}
+        bytes_of: dict[int, bytes] = {i: bytes(alphabet[c] for c in token) for token, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in conf["added_tokens"]}
-        self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
-        size = max(self.bytes_of) + 1
-        self.text_of = [str(i) for i in range(size)]
+        bytes_of |= {i: s.encode() for s, i in self.added.items()}
+        self.size = size = max(bytes_of) + 1
         of_byte = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
         self.of_byte = np.array(of_byte, np.int32)
         self.shift = size.bit_length()
-        rank: dict[int, int] = {}
-        made: list[int] = []
+        self.rank: dict[int, int] = {}
+        left_of, right_of, made = [], [], []
         born = set(of_byte)
         for r, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
@@ -77,20 +100,25 @@ class ByteBpe:
             if left not in born or right not in born:
                 raise ValueError("a merge uses a token that only a later merge makes")
             born.add(new)
-            rank[left << self.shift | right] = r
+            self.rank[left << self.shift | right] = r
+            left_of.append(left)
+            right_of.append(right)
             made.append(new)
-        self.keys, self.key_rank = (np.array(x, np.int64) for x in zip(*sorted(rank.items()), strict=True))
-        self.made = np.array(made, np.int32)
+        self.left_of, self.right_of, self.made = (array("i", x) for x in (left_of, right_of, made))
+        self.keys, self.key_rank = (np.array(x, np.int64) for x in zip(*sorted(self.rank.items()), strict=True))
         self.split = regex.compile(SPLIT).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        tokens = [self.bytes_of.get(i, b"") for i in range(size)]
-        self.token_bytes, self.token_text = pa.array(tokens, pa.binary()), pa.array(self.text_of, pa.string())
-        self.cache_words = cache_words
+        self.token_bytes, self.token_text = pa.array([bytes_of.get(i, b"") for i in range(size)], pa.binary()), pa.array(map(str, range(size)), pa.string())
+        self.cache_bytes = cache_bytes
+        self.words: dict[str, bytes] = {}  # word -> its ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
+        self.words_held = 0
         self.forget()
 
     def forget(self) -> None:
-        """Empty the cache: chunk -> its number; the ids of a chunk are ids[start : start + count]."""
+        """Empty the cache of chunks: chunk -> its number; the ids of a chunk are ids[start : start + count]."""
         self.cache: dict[str, int] = {}
+        self.held = 0
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -100,52 +128,85 @@ class ByteBpe:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.key_rank[at], NONE)
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of pre-tokens, all merged together by a per-word rank scan.
-
-        An array holds the rank of the pair that starts at each position. Words don't touch each other, so
-        a sweep applies, in every word, all positions of its lowest active rank, then updates the entries of the merged
-        positions and their left neighbours. Within a word, ranks are thus applied in ascending order; a merge can only
-        bring up higher ranks, as the constructor makes sure.
-        """
+    def merge(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens (32-bit numbers), all merged together by a pair occurrence index."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        symbol = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
+        first = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
+        n = len(first)
+        if not n:
+            return [b"" for _ in words]
         word = np.repeat(np.arange(len(raw)), sizes)
-        done: list[tuple[np.ndarray, np.ndarray]] = []
         last = np.append(word[1:] != word[:-1], True)
-        rank = self.ranks(symbol, np.where(last, -1, np.append(symbol[1:], -1)))
-        while len(symbol):
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            lowest = np.minimum.reduceat(rank, first)
-            count = np.diff(np.append(first, len(symbol)))
-            ended = lowest == NONE
-            if ended.any():
-                out = np.repeat(ended, count)
-                done.append((word[out], symbol[out]))
-                symbol, word, rank = symbol[~out], word[~out], rank[~out]
-                lowest, count = lowest[~ended], count[~ended]
-                if not len(symbol):
-                    break
-            at = np.flatnonzero(rank == np.repeat(lowest, count))
-            run = np.append(True, (np.diff(at) != 1) | (word[at[1:]] != word[at[:-1]]))  # overlapping occurrences merge from the left
-            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % 2 == 0]
-            symbol[at] = self.made[rank[at]]
-            stay = np.ones(len(symbol), bool)
-            stay[at + 1] = False
-            at = (np.cumsum(stay) - 1)[at]
-            symbol, word, rank = symbol[stay], word[stay], rank[stay]
-            changed = np.concatenate([at, at[at > 0] - 1])
-            right = np.minimum(changed + 1, len(symbol) - 1)
-            same = (changed + 1 < len(symbol)) & (word[right] == word[changed])
-            rank[changed] = self.ranks(symbol[changed], np.where(same, symbol[right], -1))
-        if not done:
-            return [[] for _ in words]
-        word, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(word, kind="stable")
-        flat = symbol[order].tolist()
-        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
-        return [flat[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+        follows = np.where(last, -1, np.arange(1, n + 1))
+        rank = self.ranks(first, np.where(last, -1, np.append(first[1:], -1)))
+        # the index: rank of a pair -> the positions of its first symbols
+        at = np.flatnonzero(rank != NONE)
+        at = at[np.argsort(rank[at], kind="stable")]
+        new = np.flatnonzero(np.append(True, np.diff(rank[at]) != 0)) if len(at) else at
+        heap = rank[at[new]].tolist()
+        places, edges = at.tolist(), [*new.tolist(), len(at)]
+        index = {r: places[a:z] for r, a, z in zip(heap, edges, edges[1:], strict=False)}
+        symbol, nxt = first.tolist(), follows.tolist()
+        prv = np.where(np.append(True, last[:-1]), -1, np.arange(-1, n - 1)).tolist()
+        rank_of, shift = self.rank.get, self.shift
+        while heap:
+            r = heapq.heappop(heap)
+            left, right, made = self.left_of[r], self.right_of[r], self.made[r]
+            before = made << shift
+            for p in sorted(index.pop(r)):  # overlapping occurrences merge from the left
+                q = nxt[p]
+                if symbol[p] != left or q < 0 or symbol[q] != right:
+                    continue  # a merge beside it took one of the two
+                symbol[p], symbol[q] = made, -1
+                nxt[p] = q = nxt[q]
+                if q >= 0:
+                    prv[q] = p
+                    x = rank_of(before | symbol[q])
+                    if x is not None:
+                        if x in index:
+                            index[x].append(p)
+                        else:
+                            index[x] = [p]
+                            heapq.heappush(heap, x)
+                o = prv[p]
+                if o >= 0:
+                    x = rank_of(symbol[o] << shift | made)
+                    if x is not None:
+                        if x in index:
+                            index[x].append(o)
+                        else:
+                            index[x] = [o]
+                            heapq.heappush(heap, x)
+        left = np.array(symbol, np.int32)
+        alive = left >= 0
+        ends = (4 * np.append(0, np.cumsum(alive))[np.append(0, np.cumsum(sizes))]).tolist()
+        flat = left[alive].tobytes()
+        return [flat[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+    def known(self, words: dict[str, None]) -> dict[str, bytes]:
+        """The ids of words, of which those in no cache are merged now."""
+        out: dict[str, bytes] = {}
+        new = []
+        for w in words:
+            ids = self.words.get(w)
+            if ids is None:
+                ids = self.older.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                self._keep(w, ids)
+            out[w] = ids
+        for w, ids in zip(new, self.merge(new), strict=True):
+            out[w] = ids
+            self._keep(w, ids)
+        return out
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        if self.words_held > self.cache_bytes:
+            self.words, self.older, self.words_held = {}, self.words, 0
+        self.words[word] = ids
+        self.words_held += len(word) + len(ids) + 180
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens; a string of a special token is a piece of its own."""
@@ -165,15 +226,10 @@ class ByteBpe:
         new = [c for c in dict.fromkeys(chunks) if c not in cache]
         if new:
             split = [[c] if c in self.added else self.split(c) for c in new]
-            words = list(dict.fromkeys(w for ws in split for w in ws if w not in self.added))
-            known = dict(zip(words, self.merge(words), strict=True)) | {s: [i] for s, i in self.added.items()}
-            flat: list[int] = []
-            counts = []
-            for ws in split:
-                n = len(flat)
-                for w in ws:
-                    flat += known[w]
-                counts.append(len(flat) - n)
+            known = self.known(dict.fromkeys(w for ws in split for w in ws if w not in self.added)) | {x: np.int32(i).tobytes() for x, i in self.added.items()}
+            flat = np.frombuffer(b"".join([known[w] for ws in split for w in ws]), np.int32)
+            size = {w: len(x) // 4 for w, x in known.items()}
+            counts = [sum([size[w] for w in ws]) for ws in split]
             first, end = len(cache), self.used + len(flat)
             if end > len(self.ids):
                 self.ids = np.append(self.ids, np.zeros(end, np.int32))
@@ -185,6 +241,8 @@ class ByteBpe:
             self.start[first : first + len(new)] = self.used + np.cumsum([0, *counts[:-1]])
             self.used = end
             cache.update(zip(new, range(first, first + len(new)), strict=True))
+            # a string with its dictionary entry and number, and its ids and bounds
+            self.held += sum(map(len, new)) + 180 * len(new) + 4 * len(flat)
         return np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +251,7 @@ class ByteBpe:
         Wherever a lone space stands between two other characters that aren't white space, the pre-tokenizer starts a new
         token at the space, so a text can be cut there and each distinct chunk be encoded once.
         """
-        if len(self.cache) > self.cache_words:
+        if self.held > self.cache_bytes:
             self.forget()
         as_py = texts.to_pylist()
         odd = pc.match_substring_regex(texts, WIDE)
@@ -226,10 +284,14 @@ class ByteBpe:
     def lists(self, values: pa.Array, per_text: np.ndarray) -> pa.ListArray:
         return pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text)), pa.int64()), values)
 
+    def raw(self, ids: np.ndarray, per_text: np.ndarray) -> list[bytes]:
+        """The bytes that the ids of each text stand for."""
+        known = self.token_bytes.take(pa.array(ids, pa.int64()))
+        return pc.binary_join(self.lists(known, per_text), b"").to_pylist()
+
     def decode(self, ids: np.ndarray, per_text: np.ndarray) -> list[str]:
         """The texts of ids; bytes that aren't UTF-8 become replacement characters."""
-        known = self.token_bytes.take(pa.array(ids, pa.int64()))
-        return [x.decode("utf-8", "replace") for x in pc.binary_join(self.lists(known, per_text), b"").to_pylist()]
+        return [x.decode("utf-8", "replace") for x in self.raw(ids, per_text)]
 
     def joined(self, ids: np.ndarray, per_text: np.ndarray) -> list[str]:
         """The decimal ids of each text, joined by commas."""
@@ -262,6 +324,24 @@ def _plus(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
+def _encoded(bpe: ByteBpe, texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Ids of texts in groups of bounded size: the rows of the group's parts (a long text has several, in order, and may go
+    on in the next group), the ids and how many each part has."""
+    group: list[str] = []
+    rows: list[int] = []
+    size = 0
+    for row in range(len(texts)):
+        for part in parts(texts[row].as_py() or ""):
+            group.append(part)
+            rows.append(row)
+            size += len(part)
+            if size >= SLICE:
+                yield rows, *bpe.encode(pa.array(group, pa.string()))
+                group, rows, size = [], [], 0
+    if group:
+        yield rows, *bpe.encode(pa.array(group, pa.string()))
+
+
 def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids", rows: int = 2048) -> DataFrame:
     """df with a column of token ids."""
     model = _shared_model(df, model_path)
@@ -270,8 +350,12 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out_col: str
         bpe = _engine(model.value)
         for whole in batches:
             for b in common.slices(whole, rows, SLICE):
-                ids, counts = bpe.encode(pc.fill_null(b.column(text_col), ""))
-                yield _with(b, out_col, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32())))
+                per_row, ids = np.zeros(b.num_rows, np.int64), []
+                for at, found, counts in _encoded(bpe, b.column(text_col)):
+                    np.add.at(per_row, at, counts)
+                    ids.append(found)
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                yield _with(b, out_col, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_row)), pa.int32()), pa.array(flat, pa.int32())))
 
     return df.mapInArrow(common.tidy(run), _plus(df, out_col, T.ArrayType(T.IntegerType())))
 
@@ -287,7 +371,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
                 lists = pc.fill_null(b.column(ids_col), [])
                 counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
-                if len(ids) and not (0 <= ids.min() and ids.max() < len(bpe.text_of)):
+                if len(ids) and not (0 <= ids.min() and ids.max() < bpe.size):
                     raise ValueError("an id that the vocabulary lacks")
                 yield _with(b, out_col, pa.array(bpe.decode(ids, counts), pa.string()))
 
@@ -303,9 +387,14 @@ def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         bpe = _engine(model.value)
         for whole in batches:
             for b in common.slices(whole, rows, SLICE):
-                ids, counts = bpe.encode(pc.fill_null(b.column(1), ""))
-                digests = [common.sha256_hex(x.encode()) for x in bpe.joined(ids, counts)]
-                texts = [common.sha256_hex(x.encode()) for x in bpe.decode(ids, counts)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(texts)], schema.names)
+                n = [0] * b.num_rows
+                of_ids, of_text = ([hashlib.sha256() for _ in n] for _ in range(2))
+                for at, ids, counts in _encoded(bpe, b.column(1)):
+                    # a part ends where a token ends, which is between characters, so its bytes are whole UTF-8
+                    for row, k, joined, raw in zip(at, counts.tolist(), bpe.joined(ids, counts), bpe.raw(ids, counts), strict=True):
+                        of_ids[row].update((("," if n[row] and k else "") + joined).encode())
+                        of_text[row].update(raw.decode("utf-8", "replace").encode())
+                        n[row] += k
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array([x.hexdigest() for x in d]) for d in (of_ids, of_text))], schema.names)
 
     return df.select(id_col, text_col).mapInArrow(common.tidy(run), schema)

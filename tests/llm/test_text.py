@@ -56,6 +56,25 @@ def test_bpe_like_library(spark, library):
         bpe.decode(spark.createDataFrame([([99_999_999],)], "ids array<int>"), MODEL).collect()
 
 
+def test_bpe_long_texts(spark, library, monkeypatch):
+    """Texts that are cut into parts, at places between tokens only."""
+    rng = random.Random(9)
+    word = lambda: rng.choice(["the", "naïve", "don't", "<|endoftext|>", "  x", "\n", "日本", "a1b2", " "])
+    texts = [" ".join(word() for _ in range(rng.randrange(400))) for _ in range(30)]
+    for t in texts:
+        cut = list(bpe.parts(t, 50))
+        assert "".join(cut) == t
+        assert [i for x in cut for i in library.encode(x, add_special_tokens=False).ids] == library.encode(t, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "PART", 60)
+    with open(MODEL, "rb") as f:
+        model = bpe.ByteBpe(f.read(), cache_bytes=10_000)
+    for at, ids, counts in bpe._encoded(model, pa.array(texts, pa.string())):
+        got = {r: [] for r in at}
+        for r, x in zip(at, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            got[r] += x.tolist()
+        assert all(got[r] == library.encode(texts[r], add_special_tokens=False).ids for r in got)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=5))
 def test_bpe_any_text(engine, library, texts):
@@ -110,11 +129,15 @@ def test_decontamination(spark, block):
     assert decontaminate.digests(d, i.limit(0)).where("contaminated").count() == 0 and decontaminate.digests(d.limit(0), i).count() == 0
 
 
-def test_decontamination_cuts(spark):
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_decontamination_cuts(spark, block):
     passage = " ".join(f"w{i}" for i in range(12))
     d = spark.createDataFrame([(1, f"Start {'x ' * 20}. {passage.upper()}! End."), (2, passage), (3, "clean text"), (4, None)], "doc_id long, text string")
-    i = spark.createDataFrame([(1, passage)], "item_id long, text string")
-    got = {r.doc_id: r.text for r in decontaminate.clean(d, i).collect()}
+    i = spark.createDataFrame([(1, passage), (2, "other " * 12)], "item_id long, text string")
+    d = d.selectExpr("77 AS n_words", "'own' AS hit_items", "*", "1 AS hit_spans")
+    out = decontaminate.clean(d, i, block_bytes=block)
+    assert out.schema.names == d.schema.names and all((r.n_words, r.hit_items, r.hit_spans) == (77, "own", 1) for r in out.collect())
+    got = {r.doc_id: r.text for r in out.collect()}
     assert got == {1: f"Start {'x ' * 20}. ! End.", 3: "clean text", 4: None}
 
 
