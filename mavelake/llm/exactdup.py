@@ -3,198 +3,224 @@
 Every byte that a 100-byte string covers which also starts earlier (in a smaller document id, or earlier in the same
 document) is removed; strings are judged on the input. Matches never cross documents.
 
-Candidates come from content-defined anchors (`anchors`): equal windows of 100 bytes have equal anchors, so
+Equal windows of 100 bytes have equal content-defined anchors (`anchors`), which tell where windows must meet:
 
-1. anchors that occur once are set aside (counts are pre-aggregated);
-2. of segments (the windows of one anchor) with equal bytes the first is kept for comparison, and all windows of the
-   others repeat it (pre-aggregated minima, so groups of copies cost one row per task);
-3. different segments with one anchor meet in bounded chunks, whose suffix arrays (two-stage sorting, then adjacent common
-   prefixes) show the windows that repeat;
-4. an anchor with more than HOT different segments would be a hot group: its windows meet by two independent hashes
-   of their bytes instead, again as pre-aggregated minima.
+1. the anchors of each document are listed once; those that occur once in the corpus are set aside (pre-aggregated counts);
+2. a task lays the marked windows of its documents out in chunks, whose suffix arrays (two-stage sorting, then adjacent
+   common prefixes) show the windows that repeat inside the chunk: those are removed, and only the first of each goes on, so
+   that a group of copies, however large, sends one segment a chunk;
+3. segments of different chunks meet at their anchor in further chunks of whole anchors, sorted in the same way;
+4. an anchor with more than MOST segments is split first: each window is dealt by the anchor and what stands beside it, on the
+   side that has more of the window, half of the rest at a time. Equal windows stay together, groups shrink, and the sorting is
+   the same. A group that shares all of its 100 bytes holds one window a chunk; its first is found by a pre-aggregated minimum.
 
-Joins of step 2 and 4 are joins of two plain exchanges, which adaptive execution splits at hot keys.
+Joins on hot keys are joins of two plain exchanges, which adaptive execution splits. Filters of fixed size keep documents
+without marks out of the shuffles of texts; where they are full, they only pass more.
 
 Defined cases: a null text counts as empty; documents with a null id take no part and keep all bytes; rows that repeat an
 id with equal texts count as one document; where texts of one id differ, equal strings of both at one start don't remove
-each other; texts shorter than the span keep all bytes; bytes are cut even within characters; other columns don't matter.
+each other; texts shorter than the span keep all bytes; bytes are cut even within characters; texts of any length are worked
+on in pieces; other columns don't matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors, common, suffixes
-from .anchors import SPAN
+from .anchors import GRAM, SPAN
 
-HOT = 1000
-CHUNK_BYTES = 2 << 20
-#: Bytes of text that are hashed together: the arrays take about fifty times that.
-SLICE = 2 << 20
+#: Segments of a group that are sorted together.
+MOST = 4096
+#: Bytes of segments that are sorted together: the arrays take about a hundred times that.
+CHUNK_BYTES = 1 << 20
 ROWS = 2048
+SEGMENT = "key long, id long, a int, b int, f int, bytes binary"
+KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+NAMES = ["key", "id", "a", "b", "f", "bytes"]
 
 
-def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+def _segments(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of SEGMENT. With a key: the windows from a to b (places of their first bytes), their bytes, and the place in there
+    of what they share, the key. Without: a range of bytes to remove."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
 
 
-def _flat(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False)
+def listed(base: DataFrame) -> DataFrame:
+    """id and the hashes of all anchors of each text, repeated ones too."""
 
-
-def repeated_anchors(base: DataFrame) -> DataFrame:
-    """Hashes of anchors that occur more than once."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.slices(whole, ROWS, SLICE):
-                _, _, _, h, _, _, _ = anchors.runs(b.column(1).to_pylist())
-                h, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+            for b in common.slices(whole, ROWS, anchors.PIECE):
+                for rows, _, parts in anchors.pieces(b.column(1).to_pylist()):
+                    part, h, *_ = anchors.runs(parts)
+                    edges = np.searchsorted(part, np.arange(len(parts) + 1))
+                    hs = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), hs], ["id", "hs"])
+
+    return common.cut(base.mapInArrow(common.tidy(run, anchors.forget), "id long, hs array<long>"), "anchors")
+
+
+def marked(base: DataFrame) -> DataFrame:
+    """id, text, hs: the texts with anchors that occur more than once, and these anchors."""
+    every = listed(base)
+    one = every.select("id", F.explode("hs").alias("h"))
+    again = common.cut(one.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-anchors")
+    found = common.maybe_in(one, "h", common.bloom(again, "h"), "_again").where("_again").select("id", "h")
+    found = common.cut(found.join(again.hint("merge"), "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("hs")), "marked")
+    for x in (every, again):
+        common.discard(x)
+    near = common.maybe_in(base, "id", common.bloom(found, "id"), "_marked").where("_marked").select("id", "text")
+    return near.join(found.hint("merge"), "id")
+
 
-    counts = base.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return common.cut(counts.where("n > 1").select("h"), "anchors")
+def local(docs: DataFrame) -> DataFrame:
+    """Ranges that repeat within a chunk of marked windows, and the segments of all other marked windows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes, list[tuple[int, int, int, int]]]] = []  # id, place, bytes, runs (h, anchor, first, last)
+        size = 0
 
-def segments(base: DataFrame, again: DataFrame) -> DataFrame:
-    """Documents with repeated anchors: id, text and, as parallel lists, the segments of these anchors."""
+        def flush() -> pa.RecordBatch:
+            ids, places = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+            part, at = suffixes.repeats([x[2] for x in held], ids, places, SPAN)
+            out: list[tuple] = []
+            edges = np.searchsorted(part, np.arange(len(held) + 1))
+            for i, (id_, place, raw, own) in enumerate(held):
+                gone = np.zeros(len(raw) - SPAN + 2, bool)
+                gone[at[edges[i] : edges[i + 1]]] = True
+                turn = np.flatnonzero(gone[1:] != gone[:-1]) + 1
+                turn = np.append(0, turn) if gone[0] else turn
+                if len(turn):  # touching ranges are one
+                    a, z = turn[::2], turn[1::2] - 1 + SPAN
+                    out += [(None, id_, place + s, place + e, None, None) for s, e in zip(*(x.tolist() for x in union(a, z)), strict=True)]
+                for h, anchor, first, last in own:
+                    state = gone[first : last + 1]
+                    if not state.any():
+                        out.append((h, id_, place + first, place + last, anchor - first, raw[first : last + SPAN]))
+                    elif not state.all():
+                        step = np.flatnonzero(np.diff(np.concatenate([[True], state, [True]]).astype(np.int8)))
+                        for s, e in zip((first + step[::2]).tolist(), (first + step[1::2] - 1).tolist(), strict=True):
+                            out.append((h, id_, place + s, place + e, anchor - s, raw[s : e + SPAN]))
+            return _segments(out)
 
-    def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.slices(whole, ROWS, SLICE):
-                _, _, text, h, _, _, _ = anchors.runs(b.column(1).to_pylist())
-                pair = np.unique(np.stack([text, h.view(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pair[0])), pa.array(pair[1])], ["id", "h"])
+            for b in common.slices(whole, ROWS, anchors.PIECE):
+                ids = b.column(0).to_pylist()
+                wanted = [np.array(x, np.int64) for x in b.column(2).to_pylist()]
+                for rows, places, parts in anchors.pieces(b.column(1).to_pylist()):
+                    part, h, anchor, first, last = anchors.runs(parts)
+                    keep = np.isin(h.view(np.int64), np.concatenate([wanted[r] for r in dict.fromkeys(rows)]))
+                    part, h, anchor, first, last = (x[keep].tolist() for x in (part, h.view(np.int64), anchor, first, last))
+                    i = 0
+                    while i < len(part):  # neighbouring runs make one segment
+                        j = i + 1
+                        while j < len(part) and part[j] == part[i] and first[j] <= last[j - 1] + 1:
+                            j += 1
+                        p, s = part[i], first[i]
+                        raw = parts[p][s : last[j - 1] + SPAN]
+                        held.append((ids[rows[p]], places[p] + s, raw, [(h[k], anchor[k] - s, first[k] - s, last[k] - s) for k in range(i, j)]))
+                        size += len(raw)
+                        i = j
+                        if size >= CHUNK_BYTES:
+                            yield flush()
+                            held, size = [], 0
+        if held:
+            yield flush()
 
-    found = base.mapInArrow(list_anchors, "id long, h long").join(again, "h").groupBy("id").agg(F.collect_list("h").alias("hs"))
+    return common.cut(docs.select("id", "text", "hs").mapInArrow(common.tidy(run, anchors.forget), SEGMENT), "segments")
 
-    def cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in common.slices(whole, ROWS, SLICE):
-                hashed, bounds, text, h, anchor, first, last = anchors.runs(b.column(1).to_pylist())
-                marked = b.column(2)
-                owner = np.repeat(np.arange(b.num_rows), marked.value_lengths().to_numpy(zero_copy_only=False))
-                # a hash that is repeated anywhere is marked in all documents that have it
-                keep = np.isin(h, _flat(marked).view(np.uint64)) & np.isin(text, owner)
-                text, h, anchor, first, last = (x[keep] for x in (text, h, anchor, first, last))
-                offset = (anchor - first).astype(np.uint64)
-                s1 = hashed.of(first, last + SPAN, 0) + offset
-                s2 = hashed.of(first, last + SPAN, 1) ^ h
-                edges = np.searchsorted(text, np.arange(b.num_rows + 1))
-                base_at = bounds[text]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), *(_lists(x, edges, t) for x, t in ((h.view(np.int64), pa.int64()), (s1.view(np.int64), pa.int64()), (s2.view(np.int64), pa.int64()), (first - base_at, pa.int32()), (last - base_at, pa.int32())))],
-                    ["id", "text", "h", "s1", "s2", "lo", "hi"],
-                )
-
-    joined = base.join(found, "id").select("id", "text", "hs")
-    return common.cut(joined.mapInArrow(cut_segments, "id long, text string, h array<long>, s1 array<long>, s2 array<long>, lo array<int>, hi array<int>"), "segments")
-
-
-def pieces(marked: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Segments whose anchor has other segments too, with their bytes; for hot anchors their windows' hashes instead."""
-    many = common.cut(distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "shared-anchors")
-    wanted = distinct.select("h", "f.*").join(many, "h").groupBy("id").agg(F.collect_list(F.struct("h", "m", "lo", "hi")).alias("ps"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "id", "lo", "bytes", "w1", "w2"]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        for whole in batches:
-            for b in common.slices(whole, ROWS, SLICE):
-                texts = b.column(1).to_pylist()
-                lists = b.column(2)
-                owner = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                flat = lists.flatten()
-                h, m, lo, hi = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-                cold = np.flatnonzero(m <= HOT)
-                if len(cold):
-                    cut = [raw[o][s : e + SPAN] for o, s, e in zip(owner[cold].tolist(), lo[cold].tolist(), hi[cold].tolist(), strict=True)]
-                    none = pa.nulls(len(cold), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(h[cold]), pa.array(ids[owner[cold]]), pa.array(lo[cold], pa.int32()), pa.array(cut, pa.binary()), none, none], names)
-                hot = np.flatnonzero(m > HOT)
-                if len(hot):
-                    buffer, bounds = anchors.joined(texts)
-                    hashed = anchors.Hashed(buffer)
-                    n = (hi - lo + 1)[hot]
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hot], n)
-                    own = np.repeat(owner[hot], n)
-                    own, at = np.unique(np.stack([own, at]), axis=1)
-                    start = bounds[own] + at
-                    cols = [None, ids[own], at, None, hashed.of(start, start + SPAN, 0).view(np.int64), hashed.of(start, start + SPAN, 1).view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    out = marked.select("id", "text").join(wanted, "id").select("id", "text", "ps")
-    return common.cut(out.mapInArrow(run, "h long, id long, lo int, bytes binary, w1 long, w2 long"), "pieces")
-
-
-def _ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows as ranges of bytes."""
-    by = np.lexsort((start, doc))
-    doc, start = doc[by], start[by]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + SPAN)) if len(doc) else np.zeros(0, bool)
-    last = np.append(new[1:], True) if len(doc) else new
-    return doc[new], start[new], start[last] + SPAN
-
-
-def compared(cold: DataFrame) -> DataFrame:
-    """Ranges of windows that repeat, from suffix arrays of chunks that hold all segments of their anchors."""
+def compared(segments: DataFrame) -> DataFrame:
+    """Ranges of windows that repeat, from suffix arrays of chunks that hold all segments of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple] = []
+        group: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            doc, start = suffixes.repeats([x[3] for x in held], np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.int64), SPAN)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(_ranges(doc, start), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "a", "b"])
+            ids, places = (np.array([x[i] for x in held], np.int64) for i in (1, 2))
+            part, at = suffixes.repeats([x[3] for x in held], ids, places, SPAN)
+            doc, start = ids[part], places[part] + at
+            by = np.lexsort((start, doc))
+            doc, start = doc[by], start[by]
+            new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + SPAN)) if len(doc) else np.zeros(0, bool)
+            last = np.append(new[1:], True) if len(doc) else new
+            return pa.RecordBatch.from_arrays([pa.array(doc[new], pa.int64()), pa.array(start[new], pa.int32()), pa.array(start[last] + SPAN, pa.int32())], ["id", "a", "b"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= CHUNK_BYTES and row[0] != held[-1][0]:
-                    yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+                if group and row[0] != group[0][0]:
+                    if len(group) > 1:  # else no other segment has its anchor
+                        held += group
+                        size += sum(len(x[3]) for x in group)
+                    group = []
+                    if size >= CHUNK_BYTES:
+                        yield flush()
+                        held, size = [], 0
+                group.append(row)
+        held += group if len(group) > 1 else []
         if held:
             yield flush()
 
-    return cold.select("h", "id", "lo", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, a int, b int")
+    return segments.select("key", "id", "a", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(common.tidy(run), "id long, a int, b int")
+
+
+def deeper(segments: DataFrame, shared: int) -> tuple[DataFrame, int]:
+    """The segments, whose windows share `shared` bytes, dealt by more of what their windows share, and how much that is."""
+    need = (SPAN - shared + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in common.slices(whole, 8192):
+                out = []
+                for key, id_, a, z, f, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    n = z - a + 1
+                    turn = min(n, max(0, f + shared + need - SPAN))  # the first window with so much on the right
+                    for s, e, at in ((0, turn, f - need), (turn, n, f)):
+                        if e > s:
+                            side = b"l" if at < f else b"r"
+                            mine = xxhash.xxh64_intdigest(side + raw[at : at + shared + need], key & 0xFFFFFFFF)
+                            out.append((mine - (1 << 64) if mine >> 63 else mine, id_, a + s, a + e - 1, at - s, raw[s : e - 1 + SPAN]))
+                yield _segments(out)
+
+    return segments.mapInArrow(run, SEGMENT), shared + need
 
 
 def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and parallel lists a, b: ranges of bytes to remove, which may overlap. All other tables are deleted on return."""
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    again = repeated_anchors(base)
-    common.release(spark)
-    marked = segments(base, again)
-    common.discard(again)
-    common.release(spark)
-    # the second digest holds the anchor's hash too, so two numbers name a segment
-    one = marked.select("id", F.explode(F.arrays_zip("h", "s1", "s2", "lo", "hi")).alias("s")).select("id", "s.*")
-    distinct = common.cut(one.groupBy("s1", "s2").agg(F.first("h").alias("h"), F.min(F.struct("id", "lo", "hi")).alias("f"), F.count("*").alias("n")), "distinct-segments")
-    common.release(spark)
-    parts = pieces(marked, distinct)
-    common.release(spark)
-    hot = parts.where("bytes IS NULL").select("id", "lo", "w1", "w2")
-    first = common.cut(hot.groupBy("w1", "w2").agg(F.min(F.struct("id", "lo")).alias("f"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", F.col("f.id").alias("fid"), F.col("f.lo").alias("flo")), "hot-windows")
-    windows = hot.join(first, ["w1", "w2"]).where("id <> fid OR lo <> flo").select("id", F.col("lo").alias("a"), (F.col("lo") + SPAN).alias("b"))
-    found = common.cut(compared(parts.where("bytes IS NOT NULL")).unionByName(windows), "repeats")
-    common.discard(parts)
-    common.release(spark)
-    copies = one.drop("h").join(distinct.where("n > 1").select("s1", "s2", F.col("f.id").alias("fid"), F.col("f.lo").alias("flo")), ["s1", "s2"])
-    copies = copies.where("id <> fid OR lo <> flo").select("id", F.col("lo").alias("a"), (F.col("hi") + SPAN).alias("b"))
-    out = common.cut(copies.unionByName(found).groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "ranges")
-    for x in (marked, distinct, first, found):
+    own = local(marked(base))
+    ranges = [own.where("key IS NULL").select("id", "a", "b")]
+    segments, shared, tables = own.where("key IS NOT NULL"), GRAM, [own]
+    while True:
+        many = common.cut(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"), "many")
+        if many.isEmpty():
+            ranges.append(compared(segments))
+            break
+        ranges.append(compared(segments.join(many.hint("merge"), "key", "left_anti")))
+        hot = segments.join(many.hint("merge"), "key", "left_semi").select(NAMES)
+        if shared == SPAN:  # one window a row, all bytes of which a group shares
+            hot = common.cut(hot, "equal-windows")
+            tables.append(hot)
+            first = hot.groupBy("key", "bytes").agg(F.min(F.struct("id", "a")).alias("first"))
+            ranges.append(hot.join(first.hint("merge"), ["key", "bytes"]).where("id <> first.id OR a <> first.a").select("id", "a", (F.col("b") + SPAN).alias("b")))
+            break
+        dealt, shared = deeper(hot, shared)
+        segments = common.cut(dealt, "deeper-segments")
+        tables.append(segments)
+    out = common.cut(reduce(DataFrame.unionByName, ranges).groupBy("id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "ranges")
+    for x in tables:
         common.discard(x)
-    del one, copies, windows, hot
-    common.release(spark)
     return out
 
 
@@ -217,12 +243,16 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Per row: bytes, removed bytes, their maximal runs, and the SHA-256 of what is left."""
     ranges = removed_ranges(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("_x_id"), F.col(text_col).alias("_x_text")).join(ranges.withColumnRenamed("id", "_x_id"), "_x_id", "left").select(id_col, "_x_text", "a", "b")
+    own = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("_x_id"), F.col(text_col).alias("_x_text"))
+    own = common.maybe_in(own, "_x_id", common.bloom(ranges, "id"), "_x_cut")
+    none = F.lit(None).cast("array<int>")
+    whole = own.where("NOT _x_cut").select(id_col, "_x_text", none.alias("a"), none.alias("b"))
+    joined = own.where("_x_cut").join(ranges.withColumnRenamed("id", "_x_id").hint("merge"), "_x_id", "left").select(id_col, "_x_text", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         for whole in batches:
-            for part in common.slices(whole, ROWS, SLICE):
+            for part in common.slices(whole, ROWS, anchors.PIECE):
                 rows = []
                 for t, a, b in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                     raw = (t or "").encode("utf-8", "surrogatepass")
@@ -230,4 +260,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     rows.append((len(raw), int((b - a).sum()), len(a), common.sha256_hex(cut_out(raw, a, b))))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names)
 
-    return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return whole.unionByName(joined).mapInArrow(common.tidy(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -128,23 +128,26 @@ def common_prefixes(order: np.ndarray, key: np.ndarray, codes: np.ndarray, left:
 
 
 def repeats(segments: list[bytes], doc: np.ndarray, place: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """doc and start of every span-byte string of the segments that also starts earlier: in a smaller doc, or at a
-    smaller start of the same. Segment i stands at place[i] of doc[i]."""
+    """Segment and start in there of every span-byte string of the segments that also starts earlier: in a smaller doc, or at
+    a smaller place of the same; in order. Segment i stands at place[i] of doc[i]."""
     codes, starts = encode(segments)
     key, left = keys(codes), left_in_segment(codes)
     order = suffix_array(codes, key, left)
     order = order[left[order] >= span]
     if len(order) < 2:
-        return doc[:0], place[:0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     group = np.cumsum(common_prefixes(order, key, codes, left, span) < span)
     many = np.bincount(group)[group] > 1
     order, group = order[many], group[many]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     segment = np.searchsorted(starts, order, "right") - 1
     d, p = doc[segment], place[segment] + order - starts[segment]
     by = np.lexsort((p, d, group))
-    d, p, group = d[by], p[by], group[by]
+    order, segment, d, p, group = (x[by] for x in (order, segment, d, p, group))
     again = np.append(False, group[1:] == group[:-1])
     first = np.flatnonzero(~again)
     head = first[np.cumsum(~again) - 1]
     again &= (d != d[head]) | (p != p[head])  # the same place may be in two segments
-    return d[again], p[again]
+    by = np.argsort(order[again])
+    return segment[again][by], (order - starts[segment])[again][by]
