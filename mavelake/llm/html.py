@@ -2,23 +2,29 @@
 
 The element trees of a host's pages are merged: nodes with equal paths are one node of the site's tree, which counts the
 pages that have it, their presentations (the kinds of children that the node has in a page) and their contents (texts of a
-leaf). A node whose presentation is the same everywhere and whose contents recur on many pages carries little information.
-With m pages and shares p_i of the presentations below node E, the importance is
+leaf), over all blocks, those of articles included. A node whose presentation is the same everywhere and whose contents recur
+on many pages carries little information. With m pages and shares p_i of the presentations below node E, the importance is
 
     node(E)      = -sum p_i log_m p_i,                                   1 where m = 1
     composite(E) = (1 - g^l) node(E) + g^l (mean of the composites of its children), l presentations
     leaf(E)      = 1 - mean over contents a of log_m(pages with a)
 
-Branches of low composite importance are removed from each page, within articles too. Elements that name their own role (nav, footer, aside,
-form, script ... and classes or ids such as `ad`, `sidebar`, `comments`) are noise by that; where a page
-has an `article` or `main`, only its text is main text; the tree doesn't keep what stands outside.
+Branches below LOW are removed from each page wherever they stand, in articles too; an article that is low as a whole stays,
+as pages that are copies of each other have nothing else. What stands outside of a page's `article` or `main`, and elements
+of which a part of a class or id names another role (`search-tips`), are kept where their branch reaches HIGH, and dropped
+otherwise. Elements that state their role outright (nav, footer, aside, form, script ..., or a class, id or role that is such
+a word as a whole, as `ad`) are no main text whatever their importance: menus and adverts can differ on every page, and then
+the tree can't tell them from text.
 
-Counts are pre-aggregated before their shuffles. Only nodes of at least MIN_PAGES pages are weighed, so a host's tree is
-bounded by its pages' mean number of nodes, not by their number. The few low branches of a host are written to the shared
-folder and joined back, by broadcast only when Spark finds them small.
+Pages are parsed once; blocks and nodes are written to the shared folder, and all else are DataFrame functions, but for the
+composites of one site's tree. Counts are pre-aggregated before their shuffles. Only nodes of at least MIN_PAGES pages are
+weighed, as shares of fewer say little; a host of fewer pages has no low and no high branch. So a host's tree is bounded by
+its pages' mean number of nodes, not by their number. The branches of a host are joined back, by broadcast only when Spark
+finds them small.
 
 Defined cases: a null or empty page has an empty text; a null url or one without a host belongs to host ''; pages are read
-whole; unclosed and stray tags are tolerated as browsers do; repeated pages give repeated rows; other columns are ignored.
+whole; unclosed and stray tags are tolerated as browsers do; repeated pages give repeated rows and count as pages of their
+site; ties in importance don't matter, as branches are compared with fixed levels; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,24 +50,31 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: Elements that an opening tag of the same kind closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements that are no main text by their kind, and words of class, id or role that say so.
+#: Elements that are no main text by their kind, and classes, ids or roles that say so.
 NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe button select input textarea svg canvas object menu dialog head".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side-bar rail widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended comment comments discussion disqus reply replies respond form search pagination pager toolbar skip copyright legal".split())
 CONTENT_TAGS = frozenset(["article", "main"])
-#: A header within content holds its headline and stays.
-GAMMA, LOW, MIN_PAGES = 0.9, 0.2, 4
-
-
-def is_noise(tag: str, attributes: str, in_content: bool) -> bool:
-    if tag in NOISE_TAGS or (tag == "header" and not in_content):
-        return True
-    if tag in CONTENT_TAGS or tag in ("html", "body") or not attributes:
-        return False
+GAMMA, LOW, HIGH, MIN_PAGES = 0.9, 0.2, 0.5, 4
+#: What elements say of a block: it is noise outright, perhaps noise, nothing, or text.
+OUTRIGHT, PERHAPS, NOTHING, TEXT = -2, -1, 0, 1
+
+
+def stated(tag: str, attributes: str, above: int) -> int:
+    """What an element says of its blocks, given what those above it say."""
+    if above == OUTRIGHT or tag in NOISE_TAGS or (tag == "header" and above != TEXT):  # a header within content holds its headline
+        return OUTRIGHT
+    if tag in CONTENT_TAGS:
+        return TEXT
+    if not attributes or tag in ("html", "body"):
+        return above
+    out = above
     for m in NAMED.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").lower().split():
-            if name in NOISE_WORDS or not NOISE_WORDS.isdisjoint(re.split(r"[-_]+", name)):
-                return True
-    return False
+            if name in NOISE_WORDS:
+                return OUTRIGHT
+            if not NOISE_WORDS.isdisjoint(re.split(r"[-_]+", name)):
+                out = PERHAPS
+    return out
 
 
 def label(tag: str, attributes: str) -> str:
@@ -70,10 +83,10 @@ def label(tag: str, attributes: str) -> str:
     return ".".join([tag, *names])
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """The blocks of a page in order: path, text, whether an element marks it as noise, whether it is in an article."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, content
+def blocks(page: str) -> list[tuple[str, str, int]]:
+    """The blocks of a page in order: path, text, and what its elements say of it."""
+    out: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, path, role
     text: list[str] = []
     at = 0
 
@@ -82,8 +95,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             joined = SPACE.sub(" ", entities.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                _, path, noise, content = stack[-1] if stack else ("", "", False, False)
-                out.append((path, joined, noise, content))
+                _, path, role = stack[-1] if stack else ("", "", NOTHING)
+                out.append((path, joined, role))
 
     size = len(page)
     while at < size:
@@ -119,48 +132,42 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
                     break
         elif stack and stack[-1][0] == "p":
             stack.pop()  # a block element ends a paragraph
-        _, path, noise, content = stack[-1] if stack else ("", "", False, False)
+        _, path, role = stack[-1] if stack else ("", "", NOTHING)
         if tag in RAW:
             e = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = e.end() if e else size
             continue
         if tag in VOID:
             continue
-        noise = noise or is_noise(tag, m[3], content)
-        stack.append((tag, f"{path}>{label(tag, m[3])}", noise, content or tag in CONTENT_TAGS))
+        stack.append((tag, f"{path}>{label(tag, m[3])}", stated(tag, m[3], role)))
     end_block()
     return out
 
 
-def main_text(found: list[tuple[str, str, bool, bool]], low: set[str]) -> str:
-    """The blocks that are neither noise nor in a low branch; those of articles alone where there are any. An article that is
-    low as a whole, as that of equal pages, stays."""
-    article = any(content and not noise for _, _, noise, content in found)
-    open_ = [(path, text) for path, text, noise, content in found if not noise and (content or not article)]
-    kept = [text for path, text in open_ if not (low and any(path == x or path.startswith(x + ">") for x in low))]
-    return "\n".join(kept or ([text for _, text in open_] if article else []))
-
-
-def host_of(url):
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-
-
-def tree_rows(page: str) -> Iterator[tuple[str, str, str]]:
-    """What a page adds to its site's tree: path, kind (s: presentation, c: content) and value."""
+def nodes(found: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
+    """The nodes of a page's tree and their presentations."""
     children: dict[str, set[str]] = {}
-    texts: dict[str, set[str]] = {}
-    for path, text, _, _ in blocks(page):
-        texts.setdefault(path, set()).add(text)
+    for path, _, _ in found:
+        children.setdefault(path, set())
         while path:
             above, _, name = path.rpartition(">")
             children.setdefault(above, set()).add(name)
             path = above
-    for path in {p for p in (*children, *texts) if p}:
-        yield path, "s", " ".join(sorted(children.get(path, ())))
-    for path, found in texts.items():
-        for text in found:
-            if path:
-                yield path, "c", text
+    return [(path, " ".join(sorted(names))) for path, names in children.items() if path]
+
+
+def kept(found: Column, low: Column, high: Column) -> Column:
+    """The texts of blocks that are main text, given the low and high branches of their site."""
+    within = lambda b, tops: F.exists(tops, lambda x: (b.path == x) | F.startswith(b.path, F.concat(x, F.lit(">"))))
+    has_article = F.exists(found, lambda b: b.role == TEXT)
+    open_ = F.filter(found, lambda b: (b.role == TEXT) | ((b.role != OUTRIGHT) & (((b.role == NOTHING) & ~has_article) | within(b, high))))
+    chosen = F.filter(open_, lambda b: ~within(b, low))
+    whole = F.filter(open_, lambda b: b.role == TEXT)
+    return F.transform(F.when((F.size(chosen) == 0) & has_article, whole).otherwise(chosen), lambda b: b.text)
+
+
+def host_of(url):
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def composite(rows: pd.DataFrame) -> dict[str, float]:
@@ -185,18 +192,36 @@ def composite(rows: pd.DataFrame) -> dict[str, float]:
     return out
 
 
-def low_branches(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """host, paths: the branches of low importance of each host that has any (pages: host, html)."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """host, id, url, the blocks and the nodes of each page (pages: host, id, url, html)."""
+    block = pa.struct([("path", pa.string()), ("text", pa.string()), ("role", pa.int32())])
+    node = pa.struct([("path", pa.string()), ("value", pa.string())])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.slices(whole, 256):
-                got = [(h, *r) for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in tree_rows(page or "")]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*got, strict=True)], ["host", "path", "kind", "value"])
-
-    seen = pages.select("host", "html").mapInArrow(rows, "host string, path string, kind string, value string")
-    counts = seen.groupBy("host", "path", "kind", F.xxhash64("value").alias("v")).agg(F.count("*").alias("n"))
+            for b in common.slices(whole, 512, 2 << 20):
+                found = [blocks(page or "") for page in b.column(3).to_pylist()]
+                made = []
+                for kind, rows in ((block, found), (node, [nodes(x) for x in found])):
+                    flat = [x for r in rows for x in r]
+                    columns = zip(*flat, strict=True) if flat else [()] * len(kind)
+                    items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+                    edges = [0]
+                    for r in rows:
+                        edges.append(edges[-1] + len(r))
+                    made.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), items))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], ["host", "id", "url", "blocks", "nodes"])
+
+    schema = T.StructType([*(pages.schema[n] for n in ("host", "id", "url")), *T.StructType.fromDDL("blocks array<struct<path:string,text:string,role:int>>, nodes array<struct<path:string,value:string>>").fields])
+    return common.cut(pages.select("host", "id", "url", "html").mapInArrow(common.tidy(run), schema), "parsed-pages")
+
+
+def branches(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """host, low, high: the topmost branches of low and of high importance of each host that has any (pages: as parsed)."""
+    one = lambda kind, x, value: F.struct(F.lit(kind).alias("kind"), x.path.alias("path"), F.xxhash64(value).alias("v"))
+    inside = F.filter("blocks", lambda b: b.path != "")
+    seen = F.concat(F.transform("nodes", lambda x: one("s", x, x.value)), F.array_distinct(F.transform(inside, lambda b: one("c", b, b.text))))
+    counts = pages.select("host", F.explode(seen).alias("x")).select("host", "x.*").groupBy("host", "path", "kind", "v").agg(F.count("*").alias("n"))
     is_s, is_c = F.col("kind") == "s", F.col("kind") == "c"
     tree = counts.groupBy("host", "path").agg(
         F.sum(F.when(is_s, F.col("n"))).alias("m"),
@@ -206,26 +231,24 @@ def low_branches(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW)
         F.sum(F.when(is_c, F.ln("n")).otherwise(0.0)).alias("c_log"),
     )
 
+    def tops(paths: list[str]) -> list[str]:
+        found = set(paths)
+        return sorted(p for p in found if not any(p[:i] in found for i, c in enumerate(p) if c == ">"))
+
     def judge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        importance = composite(pdf)
-        found = sorted(p for p, x in importance.items() if x < low and p.count(">") > 2)
-        tops = [p for p in found if not any(p.startswith(q + ">") for q in found)]
-        return pd.DataFrame({"host": [key[0]] if tops else [], "paths": [tops] if tops else []}, dtype=object)
+        importance = {p: x for p, x in composite(pdf).items() if p.rpartition(">")[2].partition(".")[0] not in ("html", "body")}
+        found = tops([p for p, x in importance.items() if x < low]), tops([p for p, x in importance.items() if x >= high])
+        return pd.DataFrame({"host": [key[0]], "low": [found[0]], "high": [found[1]]}, dtype=object)
 
-    return tree.where(F.col("m") >= min_pages).groupBy("host").applyInPandas(judge, "host string, paths array<string>")
+    return tree.where(F.col("m") >= min_pages).groupBy("host").applyInPandas(judge, "host string, low array<string>, high array<string>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and its number of code points for each page."""
-    base = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    low = common.cut(low_branches(base), "low-branches")
-    joined = base.join(low, "host", "left").select(id_col, url_col, "html", "paths")
-    schema = T.StructType([pages.schema[id_col], pages.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in common.slices(whole, 256):
-                texts = [main_text(blocks(page or ""), set(paths or ())) for page, paths in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema.names)
-
-    return joined.mapInArrow(run, schema)
+    base = parsed(pages.select(host_of(F.col(url_col)).alias("host"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")))
+    judged = common.cut(branches(base), "branches")
+    none = F.array().cast("array<string>")
+    joined = base.join(judged, "host", "left")
+    text = F.array_join(kept(F.col("blocks"), F.coalesce("low", none), F.coalesce("high", none)), "\n")
+    out = joined.select("id", "url", text.alias("text"))
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
