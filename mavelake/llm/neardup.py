@@ -1,24 +1,24 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of five-word shingles are counted over all documents in a hashed table of fixed size (`WIDTH`
-   counters, whatever the corpus); the mean load of a counter is taken off, so a shingle that is common stands out from
-   collisions. The weight of a shingle is its count in the text times an inverse document frequency damped to 1 .. 1.5.
+1. The document frequencies df of five-word shingles are counted over all N documents, exactly for all shingles in at least a
+   hundredth of them (`SHARE`), which are few, whatever the corpus. The weight of a shingle is its count in the text times
+   ln(1 + N / df); rarer shingles weigh alike, as in a hundredth. (So an edit, which makes new shingles, doesn't weigh more
+   than what a group of copies shares, unless the group is more than a hundredth of the corpus.)
 2. Each text gets samples (improved consistent weighted sampling) that agree with the probability of the weighted Jaccard
-   similarity; BANDS bands of ROWS samples each are its bucket keys. Texts with equal words are collapsed to one first.
-3. Within a bucket, a maximum spanning tree over the similarities that the samples estimate names the pairs to verify:
-   were the estimates exact, its similar edges alone would connect all that is similar. Verification is by the exact
-   weighted Jaccard similarity of the whole texts. As estimates err, further rounds verify, for every two classes that
-   still share a bucket, their pairs of highest estimates, until no pair of different classes in a bucket whose estimate is
-   at least HOPELESS is unverified.
-4. Connected components of the verified links are the classes; a class is named by its smallest id.
-
-Large groups are safe: equal texts meet in pre-aggregated minima. For the trees a bucket of more than GROUP members is dealt
-out in parts, each with about REPS of the same members of the bucket, which connects most of what is similar cheaply; a part
-of m members names fewer than m pairs. The later rounds compare all parts of a bucket that are of different classes, part by
-part, and only pairs above the cut leave a task. Joins on hot buckets or ids are joins of plain exchanges, which adaptive execution splits.
-
-The method is probabilistic: a pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS (0.998 at
-0.8); tests measure the classes against brute force.
+   similarity; BANDS bands of ROWS samples each are its bucket keys. Texts with equal words are collapsed to one first, and of
+   buckets with the same members one is kept.
+3. All pairs of a bucket are verified by their exact weighted Jaccard similarity over the whole texts, block by block: the
+   texts of a block are brought together once, and the weights that any two of them share are one matrix product. A block
+   returns only such similar pairs as connect its members, fewer than it has members.
+4. Connected components of these links are the classes; a class is named by its smallest id.
+
+Large groups are safe: equal texts meet in pre-aggregated minima. A bucket of more than GROUP members is dealt out in parts,
+each with about REPS of the same members of the bucket, which connects most of what is similar at linear cost; then parts that
+still hold different classes meet each other, part by part, so that no pair of different classes in a bucket is left
+unverified. Joins on hot buckets or ids are joins of plain exchanges, which adaptive execution splits.
+
+The method is probabilistic only in step 2: a pair of similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS
+(0.998 at 0.8); tests measure pairs and classes against brute force.
 
 Defined cases: null, empty and wordless texts are alone in their class; texts are taken whole; a text of fewer than five
 words is one shingle; repeated ids count as one document each row and share a class; null ids keep their own row with a
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,17 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import HASH_BITS, MAX_TEXTS, bags, mix
+from .shingles import HASH_BITS, MAX_TEXTS, bags, forget, mix
 
 WIDTH, SLOTS = 1 << 19, 256
 BANDS, ROWS = 12, 4
+#: Shingles in less than this share of the documents weigh alike; and how many are listed with their frequencies at most.
+SHARE, LISTED = 0.01, 1 << 19
 POOL_BITS = 15
 #: Members of a part of a bucket, and about how many members all parts have in common.
 GROUP, REPS = 256, 12
-#: Estimated similarities below this aren't verified: five standard deviations below 0.8.
-HOPELESS = 0.5
-#: Pairs that a block names for every two classes, round by round; the last round names all.
-MOST = (2, 32, None)
+#: Shared shingles of a block that are compared in one matrix product.
+COLUMNS = 4096
 #: Bytes of text that are hashed together: the arrays take about fifty times that.
 SLICE = 1 << 20
 #: Most shingles that are sampled together, so that the arrays stay in a core's cache.
@@ -58,8 +59,34 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(HASH_BITS - 19)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The table of estimated document frequencies, at least 1 each; its last entry is the number of documents."""
+@dataclass
+class Idf:
+    """Inverse document frequencies: ln(1 + N / df), where a df below `least` counts as `least`.
+
+    Only the frequent shingles are listed, with their exact frequencies; `heavy` tells which counters have any."""
+
+    n: float
+    least: float
+    heavy: np.ndarray
+    names: np.ndarray
+    df: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        df = np.full(len(h), self.least)
+        at = np.flatnonzero(self.heavy[_counter(h)])
+        if len(at) and len(self.names):
+            place = np.minimum(np.searchsorted(self.names, h[at]), len(self.names) - 1)
+            known = self.names[place] == h[at]
+            df[at[known]] = self.df[place[known]]
+        return np.log1p(self.n / df).astype(np.float32)
+
+
+def frequencies(docs: DataFrame, text_col: str = "text", share: float = SHARE) -> Idf:
+    """Exact document frequencies of all shingles in at least a share of the documents.
+
+    Hashed counters of fixed size bound the frequencies from above; a second pass counts the shingles of heavy counters
+    exactly. The mean number of shingles a document over the share bounds how many can be frequent; where documents are so
+    long that this is more than LISTED, the share is raised until it isn't."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = np.zeros(WIDTH, np.int64), 0
@@ -80,20 +107,29 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 total = y.copy() if total is None else total + y
         yield pd.DataFrame({"slot": [key[0]], "counts": [total.tobytes()]})
 
-    parts = docs.select(text_col).mapInArrow(common.tidy(count), "slot int, counts binary")
-    found = {r.slot: np.frombuffer(bytes(r.counts), np.int64) for r in parts.groupBy("slot").applyInPandas(add, "slot int, counts binary").collect()}
+    parts = docs.select(text_col).mapInArrow(common.tidy(count, forget), "slot int, counts binary")
+    found = {r.slot: np.frombuffer(bytes(r.counts), np.int64) for r in parts.groupBy("slot").applyInPandas(add, "slot int, counts binary").collect()}  # of fixed size
+    none = np.zeros(0, np.uint64)
     if -1 not in found:
-        return np.ones(WIDTH + 1)
-    table = np.concatenate([found[i] for i in range(SLOTS)]).astype(float)
-    noise = (table.sum() - table) / (WIDTH - 1)
-    return np.append(np.maximum(1.0, table - noise), found[-1][0])
-
+        return Idf(1.0, 1.0, np.zeros(WIDTH, bool), none, none.astype(float))
+    table, n = np.concatenate([found[i] for i in range(SLOTS)]), float(found[-1][0])
+    least = max(2.0, share * n, table.sum() / LISTED)
+    heavy = table >= least
+    if not heavy.any():
+        return Idf(n, least, heavy, none, none.astype(float))
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = shared.value
+        for whole in batches:
+            for b in common.slices(whole, MAX_TEXTS, SLICE):
+                _, h, _, _ = bags(b.column(0).to_pylist())
+                h, k = np.unique(h[heavy[_counter(h)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(k)], ["h", "n"])
 
-def idf_table(df: np.ndarray) -> np.ndarray:
-    """1 for shingles of every document to 1.5 for those of one: rare shingles count more, but edits, which make the rarest
-    ones, don't outweigh what a large group of copies shares."""
-    n = max(2.0, df[-1])
-    return (1 + 0.5 * np.log(n / np.minimum(df[:-1], n)) / np.log(n)).astype(np.float32)
+    counts = docs.select(text_col).mapInArrow(common.tidy(exact, forget), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    listed = counts.where(F.col("n") >= least).orderBy("h").toArrow()  # at most LISTED rows
+    return Idf(n, least, heavy, listed.column("h").to_numpy().astype(np.uint64), listed.column("n").to_numpy().astype(float))
 
 
 class Sampler:
@@ -125,8 +161,8 @@ class Sampler:
         return out
 
 
-def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, two digests of its words (null without words), its bucket keys and its samples."""
+def signatures(docs: DataFrame, idf: Idf, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, two digests of its words (null without words) and its bucket keys."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,223 +173,194 @@ def signatures(docs: DataFrame, idf: np.ndarray, id_col: str, text_col: str) ->
                 text, h, count, digest = bags(b.column(1).to_pylist())
                 keys: list = [None] * b.num_rows
                 second = np.zeros(b.num_rows, np.uint64)
-                samples: list = [None] * b.num_rows
                 if len(text):
                     starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
                     second[text[starts]] = np.add.reduceat(mix(h + count.astype(np.uint64)), starts)
-                    weight = idf[_counter(h)] * count
+                    weight = idf.of(h) * count
                     edges = [0, *np.flatnonzero(np.diff(starts // RUN)) + 1, len(starts)]
                     for lo, hi in zip(edges, edges[1:], strict=False):
                         a, z = starts[lo], starts[hi] if hi < len(starts) else len(h)
                         s = sampler.of(h[a:z], weight[a:z], starts[lo:hi] - a)
-                        raw = s.astype(np.uint32)
                         s = s.reshape(hi - lo, BANDS, ROWS)
                         key = np.broadcast_to(salt, (hi - lo, BANDS)).copy()
                         for row in range(ROWS):
                             key = mix(key * np.uint64(31) + s[:, :, row])
-                        for i, k, r in zip(text[starts[lo:hi]].tolist(), key.view(np.int64).tolist(), raw, strict=True):
-                            keys[i], samples[i] = k, r.tobytes()
+                        for i, k in zip(text[starts[lo:hi]].tolist(), key.view(np.int64).tolist(), strict=True):
+                            keys[i] = k
                 none = digest == 0
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest.view(np.int64), mask=none), pa.array(second.view(np.int64), mask=none), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.binary())], ["id", "d1", "d2", "keys", "samples"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest.view(np.int64), mask=none), pa.array(second.view(np.int64), mask=none), pa.array(keys, pa.list_(pa.int64()))], ["id", "d1", "d2", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.tidy(run), f"id {kind}, d1 long, d2 long, keys array<long>, samples binary")
-
-
-def similarities(left: list[str], right: list[str], idf: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of the texts of each pair."""
-    n = len(left)
-    sides = []
-    for texts in (left, right):
-        text, h, count, _ = bags(texts)
-        sides.append(((text.astype(np.uint64) << np.uint64(HASH_BITS)) | h, text, idf[_counter(h)].astype(float) * count))
-    (ka, ta, wa), (kb, tb, wb) = sides
-    total = np.bincount(ta, wa, n) + np.bincount(tb, wb, n)
-    at = np.minimum(np.searchsorted(kb, ka), max(0, len(kb) - 1))
-    both = kb[at] == ka if len(kb) else np.zeros(len(ka), bool)
-    least = np.bincount(ta[both], np.minimum(wa[both], wb[at[both]]), n)
-    return least / np.maximum(total - least, 1e-12)
-
-
-def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Pairs (a, b) with `similar`, judged on the whole texts."""
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(common.tidy(run, forget), f"id {kind}, d1 long, d2 long, keys array<long>")
+
+
+def similarities(texts: list[str], idf: Idf) -> np.ndarray:
+    """The weighted Jaccard similarity of any two texts."""
+    n = len(texts)
+    owner, name, weight = [], [], []
+    at, size = 0, 0
+    for i in range(n + 1):  # bags of about SLICE bytes of text at once
+        if i == n or (i > at and (size + len(texts[i]) > SLICE or i - at >= MAX_TEXTS)):
+            text, h, count, _ = bags(texts[at:i])
+            w = idf.of(h).astype(float)
+            turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # a repeated shingle is as many shingles
+            owner.append(np.repeat(text + at, count))
+            name.append(mix(np.repeat(h, count) + (turn.astype(np.uint64) << np.uint64(HASH_BITS))))
+            weight.append(np.repeat(w, count))
+            at, size = i, 0
+        size += len(texts[i]) if i < n else 0
+    owner, name, weight = (np.concatenate(x) for x in (owner, name, weight))
+    total = np.bincount(owner, weight, n)
+    by = np.argsort(name, kind="stable")
+    owner, name, weight = owner[by], name[by], weight[by]
+    new = np.append(True, name[1:] != name[:-1])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1  # what is in one text alone is in no intersection
+    owner, weight, column = owner[shared], weight[shared], column[shared]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])[: len(column)]) - 1
+    both = np.zeros((n, n))
+    for lo in range(0, (column[-1] + 1) if len(column) else 0, COLUMNS):
+        a, z = np.searchsorted(column, (lo, lo + COLUMNS))
+        m = np.zeros((n, COLUMNS))
+        m[owner[a:z], column[a:z] - lo] = np.sqrt(weight[a:z])
+        both += m @ m.T
+    return both / np.maximum(total[:, None] + total[None, :] - both, 1e-12)
+
+
+def connecting(similar: np.ndarray, classes_: list) -> list[tuple[int, int]]:
+    """Similar pairs that join members of different classes, as few as connect all that can be connected."""
+    names = {c: i for i, c in enumerate(dict.fromkeys(classes_))}
+    at = np.array([names[c] for c in classes_])
+    i, j = np.nonzero(np.triu(similar, 1) & (at[:, None] != at[None, :]))
+    if not len(i):
+        return []
+    pair = np.minimum(at[i], at[j]) * len(names) + np.maximum(at[i], at[j])
+    one = np.unique(pair, return_index=True)[1]
+    parent = list(range(len(names)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = shared.value
-        for whole in batches:
-            for b in common.slices(whole, 1024, SLICE):
-                s = similarities(b.column(2).to_pylist(), b.column(3).to_pylist(), idf)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s >= threshold)], ["a", "b", "similar"])
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(common.tidy(run), f"a {kind}, b {kind}, similar boolean")
+    out = []
+    for x, y in zip(i[one].tolist(), j[one].tolist(), strict=True):
+        a, b = find(at[x]), find(at[y])
+        if a != b:
+            parent[a] = b
+            out.append((x, y))
+    return out
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: common.Scratch | None = None) -> DataFrame:
     """(id, class) for every id of the links (a, b): class is the smallest id of its connected component.
 
     Alternates large and small stars: each round links the neighbours of every node to the smallest of them, so that
     components shrink to stars in a number of rounds logarithmic in their size.
     """
-    edges = common.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    t = scratch or common.Scratch()
+    edges = t.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     if edges.isEmpty():
         return edges.toDF("id", "class")
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = common.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = t.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = common.cut(large, "large")
-        low = common.cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = t.cut(large, "large")
+        low = t.cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = common.cut(small, "stars")
+        small = t.cut(small, "stars")
         changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
         for x in (edges, least, large, low):
             common.discard(x)
+            t.tables.remove(x)
         edges = small
         if not changed:
             roots = edges.select(F.col("v").alias("u"), "v").distinct()
             return edges.union(roots).toDF("id", "class")
 
 
-def spanning_pairs(samples: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Edges of a maximum spanning tree over the share of equal samples, but for those below `least`."""
-    n = len(samples)
-    best, link = (samples == samples[0]).mean(1), np.zeros(n, np.int64)
-    open_ = np.ones(n, bool)
-    open_[0] = False
-    out = []
-    for _ in range(n - 1):
-        i = int(np.argmax(np.where(open_, best, -1)))
-        open_[i] = False
-        if best[i] >= least:
-            out.append((int(link[i]), i))
-        e = (samples == samples[i]).mean(1)
-        closer = e > best
-        best[closer], link[closer] = e[closer], i
-    return out
-
-
-def cross_pairs(samples: np.ndarray, classes_: np.ndarray, side: np.ndarray, least: float, most: int | None) -> list[tuple[int, int, bool]]:
-    """Pairs of different classes whose estimates are at least `least`: those of highest estimates for every two classes, or all
-    where `most` is None, and whether others were left. Sides 0 and 1 are compared with each other, side 0 alone with itself."""
-    at = np.unique(classes_, return_inverse=True)[1]
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    alone = not len(right)
-    right = left if alone else right
-    equal = np.zeros((len(left), len(right)), np.int16)
-    for k in range(samples.shape[1]):
-        equal += samples[left, k][:, None] == samples[right, k][None, :]
-    near = (equal >= least * samples.shape[1]) & (at[left][:, None] != at[right][None, :])
-    i, j = np.nonzero(np.triu(near) if alone else near)
-    if not len(i):
-        return []
-    e, i, j = equal[i, j], left[i], right[j]
-    lo, hi = np.minimum(at[i], at[j]), np.maximum(at[i], at[j])
-    order = np.lexsort((-e, hi, lo))
-    i, j, lo, hi = i[order], j[order], lo[order], hi[order]
-    starts = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
-    sizes = np.diff(np.append(starts, len(i)))
-    rank, size = np.arange(len(i)) - np.repeat(starts, sizes), np.repeat(sizes, sizes)
-    most = len(i) if most is None else most
-    return [(int(x), int(y), bool(z)) for x, y, z in zip(i[rank < most], j[rank < most], size[rank < most] > most, strict=True)]
-
-
-def _pairs(members: DataFrame, most: int | None = 0) -> DataFrame:
-    """Pairs (a, b), a > b, that the blocks of buckets name, and whether others were left; members: band, key, x, y, side, rep,
-    class, samples. A block names its spanning tree where `most` is 0, else the pairs of cross_pairs()."""
+def linked(members: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """Similar pairs (a, b) of different classes that connect the members of each block (members: band, key, x, y, rep, class)."""
+    shared = members.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def named() -> pa.RecordBatch:
-            x = np.frombuffer(b"".join(r[7] for r in held), np.uint32).reshape(len(held), -1)
-            if most == 0:
-                found = [(i, j, False) for i, j in spanning_pairs(x, HOPELESS)]
-            else:
-                found = cross_pairs(x, np.array([r[6] for r in held]), np.array([r[4] for r in held]), HOPELESS, most)
-            ids = [r[5] for r in held]
-            out = [(max(ids[i], ids[j]), min(ids[i], ids[j]), left) for i, j, left in found if ids[i] != ids[j]]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], type_), pa.array([p[1] for p in out], type_), pa.array([p[2] for p in out], pa.bool_())], ["a", "b", "more"])
-
-        for b in batches:
-            type_ = b.schema.field(5).type
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and row[:4] != held[0][:4]:
-                    if len(held) > 1:
-                        yield named()
-                    held = []
-                held.append(row)
+        def found() -> pa.RecordBatch:
+            ids = [r[4] for r in held]
+            similar = similarities([r[6] or "" for r in held], shared.value) >= threshold
+            out = [(max(ids[i], ids[j]), min(ids[i], ids[j])) for i, j in connecting(similar, [r[5] for r in held])]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], type_) for k in (0, 1)], ["a", "b"])
+
+        for whole in batches:
+            type_ = whole.schema.field(4).type
+            for b in common.slices(whole, 1024, SLICE):
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if held and row[:4] != held[0][:4]:
+                        if len(held) > 1:
+                            yield found()
+                        held = []
+                    held.append(row)
         if len(held) > 1:
-            yield named()
+            yield found()
 
     kind = members.schema["rep"].dataType.simpleString()
-    ordered = members.select("band", "key", "x", "y", "side", "rep", "class", "samples").repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "side", "rep")
-    return ordered.mapInArrow(common.tidy(run), f"a {kind}, b {kind}, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    with_text = members.join(texts.withColumnRenamed("id", "rep").hint("merge"), "rep").select("band", "key", "x", "y", "rep", "class", "text")
+    ordered = with_text.repartition("band", "key", "x", "y").sortWithinPartitions("band", "key", "x", "y", "rep")
+    return ordered.mapInArrow(common.tidy(run, forget), f"a {kind}, b {kind}").where("a <> b").distinct()
 
 
-def blocks(members: DataFrame, comp: DataFrame) -> DataFrame:
+def blocks(members: DataFrame, comp: DataFrame, t: common.Scratch) -> DataFrame:
     """Members of the buckets that hold several classes, dealt so that any two of different classes meet in a block.
 
-    A bucket of more than GROUP members has parts of about GROUP: those of its largest class meet those of the rest, and the
-    latter each other, so that a large class with few others beside it is hardly repeated."""
-    marked = common.cut(members.join(comp.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep")), "marked")
+    The parts of a bucket's largest class meet those of the rest, and the latter each other, so that a large class with few
+    others beside it is hardly repeated."""
+    marked = t.cut(members.join(comp.toDF("rep", "class"), "rep", "left").withColumn("class", F.coalesce("class", "rep")), "marked")
     sizes = marked.groupBy("band", "key", "class").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max("n").alias("n_big"), F.max_by("class", "n").alias("big")).where("n > n_big")
-    sizes = common.cut(sizes.selectExpr("band", "key", "n", "big", f"cast(ceil(n_big / {GROUP}) AS int) AS p_big", f"cast(ceil((n - n_big) / {GROUP}) AS int) AS p_rest"), "open")
+    sizes = t.cut(sizes.selectExpr("band", "key", "big", f"cast(ceil(n_big / {GROUP}) AS int) AS p_big", f"cast(ceil((n - n_big) / {GROUP}) AS int) AS p_rest"), "open")
     dealt = marked.join(sizes.hint("merge"), ["band", "key"])
     dealt = dealt.withColumn("mine", F.expr("cast(pmod(xxhash64(rep, band), IF(class = big, p_big, p_rest)) AS int)"))
-    block = F.expr(f"""explode(CASE WHEN n <= {GROUP} THEN array(struct(-1 AS x, 0 AS y, 0 AS side))
-        WHEN class = big THEN transform(sequence(0, p_rest - 1), o -> struct(mine AS x, o AS y, 0 AS side))
-        ELSE concat(transform(sequence(0, p_big - 1), o -> struct(o AS x, mine AS y, 1 AS side)),
-          transform(sequence(0, p_rest - 1), o -> struct(-1 - least(mine, o) AS x, greatest(mine, o) AS y, IF(mine > o, 1, 0) AS side))) END)""")
-    return dealt.select("band", "key", block.alias("block"), "rep", "class", "samples").select("band", "key", "block.*", "rep", "class", "samples")
+    block = F.expr("""explode(CASE WHEN class = big THEN transform(sequence(0, p_rest - 1), o -> struct(mine AS x, o AS y))
+        ELSE concat(transform(sequence(0, p_big - 1), o -> struct(o AS x, mine AS y)),
+          transform(sequence(0, p_rest - 1), o -> struct(-1 - least(mine, o) AS x, greatest(mine, o) AS y))) END)""")
+    return dealt.select("band", "key", block.alias("block"), "rep", "class").select("band", "key", "block.*", "rep", "class")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per row of docs: its id, its class, and the number of verified links of its text (0 for most)."""
-    idf = idf_table(document_frequencies(docs, text_col))
-    sig = common.cut(signatures(docs, idf, id_col, text_col), "signatures")
+    """One row per row of docs: its id, its class, and how many links connect its text to others of the class."""
+    t = common.Scratch()
+    idf = frequencies(docs, text_col)
+    sig = t.cut(signatures(docs, idf, id_col, text_col), "signatures")
     worded = sig.where(F.col("d1").isNotNull() & F.col("id").isNotNull())
-    own = common.cut(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "distinct")
+    own = t.cut(worded.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "distinct")  # equal words, equal keys
+    bucket = t.cut(own.select("rep", F.posexplode("keys").alias("band", "key")), "buckets")
     # the hints keep one plan at every size: these tables grow with the corpus
-    first = own.select("d1", "d2", F.col("rep").alias("id")).join(sig.hint("merge"), ["d1", "d2", "id"]).dropDuplicates(["id"])
-    first = common.cut(first.select(F.col("id").alias("rep"), "keys", "samples"), "first")
-    bucket = common.cut(first.select("rep", F.posexplode("keys").alias("band", "key")), "buckets")
-    sizes = common.cut(bucket.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    sizes = bucket.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("s1"), F.sum(F.xxhash64("rep", F.lit(1)) % (1 << 40)).alias("s2")).where("n > 1")
+    sizes = t.cut(sizes.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.*", "n"), "bucket-sizes")  # one of those with equal members
     parts = F.ceil(F.col("n") / GROUP).cast("int")
     h = F.pmod(F.xxhash64("rep", "band"), F.lit(1 << 30))
     in_all = (parts > 1) & (F.pmod(h, F.greatest(F.lit(1), F.floor(F.col("n") / REPS)).cast("long")) == 0)
     part = F.explode(F.when(in_all, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(h, parts.cast("long")).cast("int")))).alias("x")
-    members = bucket.join(sizes.hint("merge"), ["band", "key"]).select("band", "key", "rep", in_all.alias("in_all"), part)
-    members = common.cut(members.selectExpr("band", "key", "rep", "x", "NOT in_all OR x = 0 AS once"), "members")
-    common.discard(bucket)
-    members = common.cut(members.join(first.select("rep", "samples").hint("merge"), "rep"), "sampled-members")
-    needed = common.cut(members.select(F.col("rep").alias("id")).distinct(), "needed")
+    members = bucket.join(sizes.hint("merge"), ["band", "key"]).select("band", "key", "rep", (parts > 1).alias("split"), in_all.alias("in_all"), part)
+    members = t.cut(members.selectExpr("band", "key", "rep", "x", "split", "NOT in_all OR x = 0 AS once"), "members")
+    needed = t.cut(members.select(F.col("rep").alias("id")).distinct(), "needed")
     # most texts have no candidate: a filter of fixed size keeps them out of the shuffle
     texts = common.maybe_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", common.bloom(needed, "id"), "_near")
-    texts = common.cut(texts.where("_near").drop("_near").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    tree = _pairs(members.select("*", F.lit(0).alias("y"), F.lit(0).alias("side"), F.lit(0).alias("class")))
-    judged = common.cut(verify(common.cut(tree, "pairs"), texts, idf, threshold), "judged")
-    links = judged.where("similar").select("a", "b")
-    comp = components(links)
-    once = members.where("once").select("band", "key", "rep", "samples")
-    for most in MOST:
-        named = common.cut(_pairs(blocks(once, comp), most), "pairs")
-        more = common.cut(verify(named.join(judged.select("a", "b"), ["a", "b"], "left_anti"), texts, idf, threshold), "judged")
-        added = more.where("similar").select("a", "b")
-        judged = judged.union(more)
-        if not added.isEmpty():
-            links = links.union(added)
-            comp = components(links)
-        if named.where("more").isEmpty():
-            break
-    common.discard(texts)
+    texts = t.cut(texts.where("_near").drop("_near").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    links = t.cut(linked(members.select("*", F.lit(0).alias("y"), F.col("rep").alias("class")), texts, idf, threshold), "links")
+    comp = components(links, t)
+    split = members.where("split AND once").select("band", "key", "rep")  # else all pairs are verified by now
+    if not split.isEmpty():
+        more = t.cut(linked(blocks(split, comp, t), texts, idf, threshold), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            comp = components(links, t)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named = own.select("d1", "d2", "rep").join(comp.toDF("rep", "class"), "rep", "left").join(degree, "rep", "left")
-    named = common.cut(named.select("d1", "d2", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    named = t.cut(named.select("d1", "d2", F.coalesce("class", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    t.clear(sig, named)
     out = sig.select("id", "d1", "d2").join(named, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

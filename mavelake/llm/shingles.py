@@ -10,6 +10,9 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else
 HASH_BITS = 52
 MAX_TEXTS = 1 << (64 - HASH_BITS)
 
+#: Bytes of text that are hashed together: the arrays take about fifty times that.
+PIECE = 1 << 20
+
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -29,31 +32,47 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = 1 << n.bit_length()
         for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, np.uint64)
+            p = np.full(n, base, np.uint64)
             p[0] = 1
             _POWERS[i] = np.multiply.accumulate(p)
     return _POWERS
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def forget() -> None:
+    """Drop the tables that grow with the longest piece."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def word_hashes(texts: list[str | None], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, text after text, and the number of words of each text.
 
     The hash of a word is a difference of prefix sums of byte codes times powers of an odd base, shifted back to the
-    word's start by the inverse power (exact modulo 2**64), then mixed.
+    word's start by the inverse power (exact modulo 2**64), then mixed. It doesn't depend on the word's place, so a long
+    buffer is worked on piece by piece, cut between words.
     """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-    buffer = np.frombuffer((b" " + b" ".join(raw) + b" ").translate(FOLD), np.uint8)
-    inside = buffer != 32
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    start, end = edge[::2], edge[1::2]
-    power, inverse = _powers(len(buffer))
-    total = np.cumsum(_BYTE[buffer] * power[: len(buffer)])
-    h = mix((total[end - 1] - total[start - 1]) * inverse[start])
+    folded = (b" " + b" ".join(raw) + b" ").translate(FOLD)
+    del raw
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(folded) - 1:  # a piece begins and ends with a space, which it shares with its neighbours
+        end = len(folded) - 1
+        if end - at > piece:
+            end = folded.rfind(b" ", at + 1, at + piece + 1)
+            end = end if end >= 0 else folded.index(b" ", at + piece)
+        buffer = np.frombuffer(folded, np.uint8, end + 1 - at, at)
+        inside = buffer != 32
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, stop = edge[::2], edge[1::2]
+        power, inverse = _powers(len(buffer))
+        total = np.cumsum(_BYTE[buffer] * power[: len(buffer)])
+        hashes.append(mix((total[stop - 1] - total[start - 1]) * inverse[start]))
+        starts.append(start + at)
+        at = end
     bounds = np.concatenate([[0], np.cumsum(lengths + 1)]) + 1
-    return h, np.diff(np.searchsorted(start, bounds))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), bounds))
 
 
 def bags(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
