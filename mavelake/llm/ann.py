@@ -3,7 +3,9 @@
 Unit vectors are turned by fast pseudo-rotations (three rounds of random signs and a Hadamard transform) and assigned to
 the nearest signed axis: that is a vector's cell in each of TABLES tables. A query probes the PROBES best cells of every
 table. Vectors and probes meet in their cells, where distances are exact (double precision, original vectors) and each
-query keeps its best; the best of all cells are merged.
+query keeps its best; the best of all cells are merged. On vectors without structure (nearest neighbours at 0.85 of the mean
+distance) a recall of 0.9 takes about half of all rows as candidates (TABLES * PROBES of the 2 * dimension cells of a table,
+0.7 of a full scan); on clustered ones fewer probes would do.
 
 Cells larger than `split_rows` vectors or queries are dealt out in parts (there are tables x 2 x padded dimension cells,
 so their counts fit on the driver), so a very common vector doesn't gather in one task, and only each part's best
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TABLES, PROBES, ROUNDS = 4, 36, 3
+TABLES, PROBES, ROUNDS = 3, 30, 3
 
 
 def signs(dim: int, seed: int = 11) -> np.ndarray:
@@ -73,16 +75,19 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     """Exact best k of x for each query: query, id and Euclidean distance. A query's own id is no candidate."""
     out_q, out_id, out_d = [], [], []
     norms = (x * x).sum(1)
+    rounding = 8 * (x.shape[1] + 4) * np.finfo(float).eps
     for lo in range(0, len(q), 256):
         block = q[lo : lo + 256]
-        rough = (block * block).sum(1)[:, None] + norms - 2 * block @ x.T
+        size = (block * block).sum(1)
+        rough = size[:, None] + norms - 2 * block @ x.T
         for i, row in enumerate(rough):
             own = ids == query_ids[lo + i]
             row[own] = np.inf
             n = len(row) - int(own.sum())
             if n > k:
-                limit = np.partition(row, k - 1)[k - 1]
-                near = np.flatnonzero(row <= limit + 1e-7 * (1 + abs(limit)))
+                slack = rounding * (size[i] + norms)  # how far a rough square can be from the true one
+                limit = np.partition(row + slack, k - 1)[k - 1]
+                near = np.flatnonzero(row - slack <= limit)
             else:
                 near = np.flatnonzero(~own)
             d = np.sqrt(((x[near] - block[i]) ** 2).sum(1))
@@ -94,7 +99,7 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray
     return cat(out_q, np.int64), cat(out_id, np.int64), cat(out_d, float)
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES, split_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES, split_rows: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score for the rows that meet the condition is_query, against all other rows."""
     v = F.col(vector_col)
     usable = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
