@@ -1,6 +1,9 @@
 """WARC, HTML, chat and nearest neighbours."""
 
 import io
+import math
+from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -48,11 +51,16 @@ PAGE = """<html><head><title>t</title><style>p{}</style></head><body class="nav-
 <section id="comments"><p>great post</p></section><footer>&copy; site</footer></body>"""
 
 
-def test_html_blocks():
-    assert html.main_text(html.blocks(PAGE), set()) == "Head & line\nOne two three four\nfive © é€\na\nb\nquote"
-    assert html.main_text(html.blocks("<div><p>just <i>text</i></p></div>"), set()) == "just text"
-    assert html.main_text(html.blocks("<p>cut <a hre"), set()) == "cut"
-    assert html.blocks("") == [] and html.blocks("<!-- x -->") == [] and html.main_text(html.blocks("a < b"), set()) == "a < b"
+def texts_of(spark, pages, host="one"):
+    """Texts of pages, each the only one of its site."""
+    df = spark.createDataFrame([(i, f"http://{host}{i}.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html.extract(df).orderBy("page_id").collect()]
+
+
+def test_html_blocks(spark):
+    pages = [PAGE, "<div><p>just <i>text</i></p></div>", "<p>cut <a hre", "a < b", "<!-- x -->", "<article><p>a</p><div class='search-tips'>b</div></article>"]
+    assert texts_of(spark, pages) == ["Head & line\nOne two three four\nfive © é€\na\nb\nquote", "just text", "cut", "a < b", "", "a"]
+    assert html.blocks("") == []
 
 
 def test_style_tree(spark):
@@ -75,10 +83,108 @@ def test_style_tree_in_articles(spark):
     assert all(got[50 + i] == "story 50 350\nWrite to the author" for i in range(6))
 
 
+class Plain(HTMLParser):
+    """Blocks of the pages of `pages`, by the standard library's parser: (path, text, kind)."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.stack, self.text = [], [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        joined = " ".join("".join(self.text).split())
+        self.text = []
+        if joined and not {"script", "style", "title"} & set(self.stack):
+            kind = "noise" if {"nav", "footer", "div.ad", "head"} & set(self.stack) else "text" if "article" in self.stack else ""
+            self.out.append(("".join(">" + x for x in self.stack), joined, kind))
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("a", "b"):
+            return
+        if tag == "br":
+            self.text.append(" ")
+            return
+        self.end()
+        if self.stack and self.stack[-1] == "p":
+            self.stack.pop()
+        if tag != "meta":
+            self.stack.append(".".join([tag, *sorted(dict(attrs).get("class", "").split())]))
+
+    def handle_endtag(self, tag):
+        if tag in ("a", "b"):
+            return
+        self.end()
+        while any(x.split(".")[0] == tag for x in self.stack):
+            if self.stack.pop().split(".")[0] == tag:
+                break
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+
+def brute_importance(pages):
+    """Composite importance of every node of one site, by the definition, from scratch."""
+    styles, contents = defaultdict(list), defaultdict(lambda: defaultdict(set))
+    for i, found in enumerate(pages):
+        paths = {p[: j or None] for p, *_ in found for j in [0, *(k for k, c in enumerate(p) if c == ">" and k)]}
+        for p in paths:
+            styles[p].append(frozenset(q.rpartition(">")[2] for q in paths if q.rpartition(">")[0] == p))
+        for p, t, _ in found:
+            contents[p][t].add(i)
+
+    def of(p):
+        m, kinds = len(styles[p]), Counter(styles[p])
+        if m == 1:
+            return 1.0
+        node = -sum(k / m * math.log(k / m, m) for k in kinds.values())
+        below = [of(q) for q in styles if q.rpartition(">")[0] == p and len(styles[q]) >= html.MIN_PAGES]
+        if contents[p]:
+            below.append(1 - sum(math.log(len(x), m) for x in contents[p].values()) / len(contents[p]))
+        g = html.GAMMA ** len(kinds)
+        return (1 - g) * node + g * (sum(below) / len(below) if below else node)
+
+    return {p: of(p) for p in styles if len(styles[p]) >= html.MIN_PAGES and not p.endswith((">html", ">body"))}
+
+
+def brute_texts(rows):
+    """Texts of pages (id, url, html) by a plain tree for each site."""
+    sites, out = defaultdict(list), {}
+    for i, url, page in rows:
+        sites[url.split("/")[2].lower()].append((i, Plain(page or "").out))
+    for found in sites.values():
+        importance = brute_importance([b for _, b in found])
+        under = lambda p, ok: any((p == q or p.startswith(q + ">")) and ok(x) for q, x in importance.items())  # noqa: E731, B023
+        for i, b in found:
+            article = any(k == "text" for *_, k in b)
+            open_ = [(p, t, k) for p, t, k in b if k == "text" or (k == "" and (not article or under(p, lambda x: x >= html.HIGH)))]
+            chosen = [t for p, t, _ in open_ if not under(p, lambda x: x < html.LOW)]
+            out[i] = "\n".join(chosen or [t for _, t, k in open_ if k == "text"])
+    return out
+
+
 def test_html_table(spark, sf_dir):
+    """The whole table, and pages of the same make with recurring and outlying parts, against the plain tree."""
     pages = table(spark, sf_dir, "pages")
-    out = html.extract(pages).collect()
-    assert len(out) == pages.count() and all(r.n_chars == len(r.text) for r in out)
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
+    extra = []
+    for n, (i, _, page) in enumerate(rows[:24]):
+        more = page.replace("</article>", f"<section><p>Sent by the desk</p><p>Read on</p></section></article><section><p>{'All rights kept' if n % 2 else 'No rights kept'}</p></section><div class='more'><p>A note of page {n}</p></div>")
+        extra.append((10**6 + i, f"http://made{n % 3}.example/{i}", more))
+    df = spark.createDataFrame(rows + extra, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(df).collect()}
+    want = brute_texts(rows + extra)
+    assert {i: t for i, (t, _) in got.items()} == want and all(n == len(t) for t, n in got.values())
+    mine = [got[i][0] for i, *_ in extra]
+    assert not any("Sent by the desk" in t or "rights kept" in t for t in mine) and all("A note of page" in t for t in mine)
+
+
+def test_html_ties_and_repeats(spark):
+    """Equal pages of a site keep their articles and give equal rows."""
+    page = "<html><body><article><p>one</p><p>one</p></article></body></html>"
+    df = spark.createDataFrame([(1, "http://a.example/", page)] * 5, "page_id long, url string, html string")
+    assert [r.text for r in html.extract(df).collect()] == ["one\none"] * 5
 
 
 def test_chat(spark, duck, sf_dir):
@@ -100,10 +206,11 @@ def brute_nearest(ids, x, q, k):
     return [(i, v) for v, i in sorted((v, i) for v, i in zip(d.tolist(), ids, strict=True) if i != q[0])][:k]
 
 
-def test_ann_recall(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").toPandas()
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_ann_recall(spark, sf):
+    rows = table(spark, sf, "embeddings").toPandas()
     ids, x = rows.vec_id.tolist(), np.array(rows.embedding.tolist(), float)
-    got = ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 10 == 0).toPandas()
+    got = ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 10 == 0).toPandas()
     hits = n = 0
     for q, part in got.groupby("query_id"):
         want = brute_nearest(ids, x, (q, x[ids.index(q)]), 10)
@@ -116,6 +223,17 @@ def test_ann_recall(spark, sf_dir):
     assert hits / n >= 0.9
 
 
+def test_ann_far_from_origin(spark):
+    """Exact within the candidates even where distances are small beside the norms."""
+    rng = np.random.default_rng(3)
+    x = 1e6 + rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 20 == 0, probes=16).toPandas()
+    for q in range(0, 400, 20):
+        part = got[got.query_id == q].sort_values("rank")
+        assert list(zip(part.vec_id, part.score, strict=True)) == brute_nearest(list(range(400)), x, (q, x[q]), 10)
+
+
 def test_ann_edges(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=5).tolist()) for i in range(1, 8)] + [(100, [1.0, 0, 0, 0, 0]), (200, None), (300, []), (400, [0.0] * 5), (500, [1.0, None, 0, 0, 0]), (600, [float("nan"), 1, 1, 1, 1.0]), (700, [float("inf"), 1, 1, 1, 1.0]), (800, [1.0, 2.0]), (None, [1.0] * 5)]
