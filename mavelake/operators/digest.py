@@ -13,34 +13,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.genetics import hamming
+from ..plans import scratch
 from ..sources.fastq import read_fastq, write_filtered
 from ..spec import DigestSpec
-from .reads import FILTERS, LABELS, Digester
+from .cascade import CONST, COUNTS, TEXT, BatchDigester, cut, flat, spread
+from .reads import FILTERS, LABELS, QUALITY_OFFSET, Digester
 
 log = logging.getLogger(__name__)
 
-TEXT = ["failure", "name", "sequence", "umi", "lengths", "base", "codon", "base_hgvs", "aa", "aa_hgvs", "sequence_aa"]
-COUNTS = ["n_bases", "n_codons", "n_aas"]
-CONST = ["const_f", "const_f_qual", "const_f_ref", "const_r", "const_r_qual", "const_r_ref"]
-OUTCOME = "read_idx long, " + ", ".join(f"{c} string" for c in TEXT) + ", " + ", ".join(f"{c} int" for c in COUNTS) + ", types array<string>, " + ", ".join(f"{c} string" for c in CONST)
+SQL_KIND = {c: "string" for c in (*TEXT, *CONST)} | {c: "int" for c in COUNTS} | {"types": "array<string>"}
 
 
-def annotate(reads: DataFrame, spec: DigestSpec, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The outcome of the cascade for each read (read_idx, seq1, qual1 and, for pairs, seq2, qual2), with columns to keep."""
+def annotate(reads: DataFrame, spec: DigestSpec, keep: tuple[str, ...] = (), columns: tuple[str, ...] = (*TEXT, *COUNTS, "types", *CONST)) -> DataFrame:
+    """The outcome of the cascade for each read (read_idx, seq1, qual1 and, for pairs, seq2, qual2), with columns to keep.
+    Of the outcome, only the named columns leave the Python workers."""
     mates = ["seq1", "qual1", "seq2", "qual2"] if spec.paired else ["seq1", "qual1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digester = Digester(spec)
-        names = [*TEXT, *COUNTS, "types", *CONST]
+        digester = BatchDigester(spec)
         for b in batches:
-            found = [digester.read(*row) for row in zip(*(c.to_pylist() for c in b.columns[1 : 1 + len(mates)]), strict=True)]
-            columns = []
-            for n in names:
-                kind = pa.int32() if n in COUNTS else pa.list_(pa.string()) if n == "types" else pa.string()
-                columns.append(pa.array([getattr(r, n) for r in found], kind))
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns, *b.columns[1 + len(mates) :]], ["read_idx", *names, *keep])
-
-    schema = OUTCOME + "".join(f", `{c}` {reads.schema[c].dataType.simpleString()}" for c in keep)
+            found = digester.read(*b.columns[1 : 1 + len(mates)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(found[c] for c in columns), *b.columns[1 + len(mates) :]], ["read_idx", *columns, *keep])
+
+    schema = "read_idx long" + "".join(f", {c} {SQL_KIND[c]}" for c in columns) + "".join(f", `{c}` {reads.schema[c].dataType.simpleString()}" for c in keep)
     return reads.select(F.col("read_idx").cast("long"), *mates, *keep).mapInArrow(run, schema)
 
 
@@ -49,10 +44,10 @@ def decompose(reads: DataFrame, spec: DigestSpec) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Digester(spec).cutters[0]
+        names = pa.array(["", *FILTERS], pa.string())
         for b in batches:
-            found = [cutter.cut(*row) for row in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)]
-            columns = [[p.umi for p in found], [p.var for p in found], [p.const for p in found], [",".join(map(str, p.lengths)) for p in found], [p.failure for p in found]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in columns)], ["read_idx", "umi", "var", "const", "lengths", "failure"])
+            p = cut(cutter, b.column(1), b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), p.umi, p.var, p.const, p.lengths, names.take(pa.array(p.failure))], ["read_idx", "umi", "var", "const", "lengths", "failure"])
 
     return reads.select(F.col("read_idx").cast("long"), "seq1", "qual1").mapInArrow(run, "read_idx long, umi string, var string, const string, lengths string, failure string")
 
@@ -102,15 +97,21 @@ def collapse_umis(umis: Column, tolerance: Column | int) -> Column:
 def summary_table(outcome: DataFrame, umi_max_dist: float = 0) -> DataFrame:
     """A row per variant, in order of its name."""
     kept = outcome.where("failure = ''")
-    one = kept.where("umi <> ''").select(F.col("name").alias("mutantName"), "umi").distinct()
-    table = kept.groupBy(F.col("name").alias("mutantName")).agg(
+    texts = ("name", "umi", "sequence", "lengths", "base", "codon", "base_hgvs", "aa", "aa_hgvs", "sequence_aa", *COUNTS)
+    # reads of one sequence and UMI are alike but for their number: they are counted in one pass over the reads and written,
+    # and what follows reads that
+    alike = kept.select("read_idx", *texts, F.array_join("types", ",").alias("types")).groupBy(*texts, "types").agg(F.count("*").alias("n"), F.min("read_idx").alias("first"))
+    alike = scratch.cut(alike)
+    one = alike.where("umi <> ''").select(F.col("name").alias("mutantName"), "umi").distinct()
+    own = [c for c in (*texts, "types") if c != "umi"]
+    table = alike.groupBy(*own).agg(F.sum("n").alias("n"), F.min("first").alias("first")).groupBy(F.col("name").alias("mutantName")).agg(
         _set("sequence").alias("sequence"),
-        F.count("*").alias("nbrReads"),
-        F.count("*").alias("maxNbrReads"),
+        F.sum("n").alias("nbrReads"),
+        F.sum("n").alias("maxNbrReads"),
         *(F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ",").alias(n) for c, n in zip(COUNTS, ("nbrMutBases", "nbrMutCodons", "nbrMutAAs"), strict=True)),
-        F.min_by("lengths", "read_idx").alias("varLengths"),
+        F.min_by("lengths", "first").alias("varLengths"),
         *(_set(c).alias(n) for c, n in (("base", "mutantNameBase"), ("codon", "mutantNameCodon"), ("base_hgvs", "mutantNameBaseHGVS"), ("aa", "mutantNameAA"), ("aa_hgvs", "mutantNameAAHGVS"))),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))), ",").alias("mutationTypes"),
+        F.array_join(F.array_sort(F.filter(F.array_distinct(F.flatten(F.collect_set(F.split("types", ",")))), lambda x: x != "")), ",").alias("mutationTypes"),
         _set("sequence_aa").alias("sequenceAA"),
     )
     if umi_max_dist <= 0:  # distinct pairs are counted: a variant's UMIs never gather in one row
@@ -133,16 +134,16 @@ def error_statistics(outcome: DataFrame) -> DataFrame:
         counts = np.zeros((4, 100), np.int64)
         for b in batches:
             for side in (0, 1):
-                for seq, qual, ref in zip(*(c.to_pylist() for c in b.columns[3 * side : 3 * side + 3]), strict=True):
-                    n = min(len(seq), len(ref))
-                    if not n:
-                        continue
-                    q = np.frombuffer(qual[:n].encode(), np.uint8).astype(np.int64) - 33
-                    if q.max() > 99 or q.min() < 0:
-                        raise ValueError("a Phred quality is not within 0 .. 99")
-                    same = np.frombuffer(seq[:n].encode(), np.uint8) == np.frombuffer(ref[:n].encode(), np.uint8)
-                    counts[2 * side] += np.bincount(q[same], minlength=100)
-                    counts[2 * side + 1] += np.bincount(q[~same], minlength=100)
+                (seq, s_at), (qual, q_at), (ref, r_at) = (flat(b.column(3 * side + i)) for i in range(3))
+                n = np.minimum(np.diff(s_at), np.diff(r_at))
+                if not n.any():
+                    continue
+                q = qual[spread(q_at[:-1], n)].astype(np.int64) - QUALITY_OFFSET
+                if q.max() > 99 or q.min() < 0:
+                    raise ValueError("a Phred quality is not within 0 .. 99")
+                same = seq[spread(s_at[:-1], n)] == ref[spread(r_at[:-1], n)]
+                counts[2 * side] += np.bincount(q[same], minlength=100)
+                counts[2 * side + 1] += np.bincount(q[~same], minlength=100)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(100), pa.int32()), *(pa.array(c) for c in counts)], ["q", "a", "b", "c", "d"])
 

@@ -56,8 +56,8 @@ def strings(spark: SparkSession, sf_dir: str, name: str, key: str, n: int) -> Da
     return table(spark, sf_dir, name).selectExpr(f"{key} AS id", f"substr({DNA.format(key)}, 1, {n}) AS s")
 
 
-def outcome(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return digest.annotate(reads(spark, sf_dir), spec(), keep)
+def outcome(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return digest.annotate(reads(spark, sf_dir), spec(), **({"columns": columns} if columns else {}))
 
 
 def distances(spark, sf):
@@ -87,7 +87,7 @@ def decompose_primer(spark, sf):
 
 
 def filter_summary(spark, sf):
-    return digest.filter_summary(outcome(spark, sf))
+    return digest.filter_summary(outcome(spark, sf, "failure"))
 
 
 def digest_summary(spark, sf):
@@ -95,7 +95,7 @@ def digest_summary(spark, sf):
 
 
 def error_statistics(spark, sf):
-    return digest.error_statistics(outcome(spark, sf))
+    return digest.error_statistics(outcome(spark, sf, "failure", *digest.CONST))
 
 
 def variant_names(spark, sf):
@@ -191,7 +191,7 @@ def knee(spark, sf):
 
 def _sample_filters(spark, sf) -> DataFrame:
     r = reads(spark, sf).withColumn("sample", F.concat_ws("_", "rf", "ls"))
-    out = digest.annotate(r, spec(), ("sample",))
+    out = digest.annotate(r, spec(), ("sample",), ("failure",))
     return out.groupBy(F.col("sample").alias("Name")).agg(F.count("*").alias("nbrTotal"), *(F.count_if(F.col("failure") == f).alias(f) for f in FILTERS), F.count_if(F.col("failure") == "").alias("nbrRetained"))
 
 

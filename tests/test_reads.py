@@ -1,10 +1,12 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mavelake.operators import reads as R
+from mavelake.operators.cascade import CONST, COUNTS, TEXT, BatchDigester
 from mavelake.spec import DigestSpec, expand_iupac
 
 def q(n, v):
@@ -175,3 +177,45 @@ def test_trans_names():
     spec = DigestSpec.of(elementsForward="V", elementLengthsForward=[3], elementsReverse="V", elementLengthsReverse=[3], fastqReverse="r", fastqForward="f", wildTypeForward={"f": "AAA"}, wildTypeReverse={"r": "CCC"}, avePhredMinForward=0, avePhredMinReverse=0)
     r = R.Digester(spec).read("AAG", "III", "CCC", "III")
     assert (r.name, r.sequence, r.lengths, r.base_hgvs, r.n_bases) == ("f.1.AAG_r.0.WT", "AAG_CCC", "3_3", "f:c.3A>G_r:c", 1)
+
+
+SPECS = [
+    dict(elementsForward="UCV", elementLengthsForward=[2, 3, 6], wildTypeForward={"a": "ACGACG", "b": "ACGTTG"}, constantForward=["TTT", "TTA"], adapterForward="GGGGG", mutatedPhredMinForward=25, constantMaxDistForward=1, umiNMax=0),
+    dict(elementsForward="UVCV", elementLengthsForward=[1, 3, 3, -1], wildTypeForward="ATTGACG", nbrMutatedCodonsMaxForward=-1, nbrMutatedBasesMaxForward=2, forbiddenMutatedCodonsForward="NNW"),
+    dict(elementsForward="CPV", elementLengthsForward=[-1, -1, 6], primerForward=["TTT", "TTA"]),
+    dict(elementsForward="UCV", elementLengthsForward=[2, 3, 6], elementsReverse="VU", elementLengthsReverse=[9, 2], wildTypeForward="ACGACG", wildTypeReverse={"r": "AATTTACGA"}, constantForward="TTT", adapterReverse="CCCC", mutatedPhredMinReverse=20),
+    dict(elementsForward="SV", elementLengthsForward=[1, -1], elementsReverse="V", elementLengthsReverse=[-1], mergeForwardReverse=True, revComplReverse=True, minOverlap=3, maxFracMismatchOverlap=0.3, wildTypeForward="ATTTACGACGTTTACG", nbrMutatedCodonsMaxForward=3, avePhredMinForward=10),
+    dict(elementsForward="V", elementLengthsForward=[-1], elementsReverse="V", elementLengthsReverse=[-1], revComplForward=True, collapseToWTForward=True, wildTypeForward="CGTCGTAAATT", nbrMutatedCodonsMaxForward=4),
+]
+
+
+@pytest.mark.parametrize("args", SPECS, ids=range(len(SPECS)))
+def test_batches_like_single_reads(args):
+    """The cascade over a batch gives what the cascade gives read by read; every filter of the case takes reads."""
+    rng = random.Random(str(args))
+    paired = "elementsReverse" in args
+    spec = DigestSpec.of(**args, fastqForward="f", **({"fastqReverse": "r"} if paired else {}))
+    one, many = R.Digester(spec), BatchDigester(spec)
+
+    def read():
+        s = list("AATTTACGACG" if rng.random() < 0.8 else word(rng, rng.randrange(8, 14)))
+        for i in range(len(s)):
+            if rng.random() < 0.04:
+                s[i] = rng.choice("ACGTN")
+        s = "".join(s)
+        if rng.random() < 0.05:
+            s = s[:4] + rng.choice(["GGGGG", "CCCC"])
+        return s, "".join(chr(33 + min(40, max(2, int(rng.gauss(rng.choice([15, 30]), 8))))) for _ in s)
+
+    rows = [(*read(), *(read() if paired else ())) for _ in range(1500)]
+    if args.get("mergeForwardReverse"):
+        rows = [(a, b, R.reverse_complement(a[rng.randrange(2, 6) :] + "TTTACG"), "I" * 30) for a, b, *_ in rows]
+    got = many.read(*(pa.array(c, pa.string()) for c in zip(*rows, strict=True)))
+    want = [one.read(*r) for r in rows]
+    assert got["failure"].to_pylist() == [w.failure for w in want]
+    for c in (*TEXT, *COUNTS, *CONST):
+        assert got[c].to_pylist() == [getattr(w, c) for w in want], c
+    assert [x or [] for x in got["types"].to_pylist()] == [list(w.types) for w in want]
+    assert len({w.failure for w in want}) >= 3 and sum(not w.failure for w in want) > 20
+    empty = many.read(*(pa.array([], pa.string()) for _ in rows[0]))
+    assert all(len(x) == 0 for x in empty.values())
