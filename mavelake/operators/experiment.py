@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans import scratch
 from ..checks import assert_scalar
 from .digest import DigestResult
 from .similarity import group_similar_sequences
@@ -90,20 +91,20 @@ def summarize_experiment(x: dict[str, DigestResult], coldata: pd.DataFrame, coun
     if not isinstance(x, dict) or not x:
         raise TypeError("'x' must be a named list")
     if not isinstance(coldata, pd.DataFrame) or "Name" not in coldata.columns:
-        raise ValueError("'coldata' must be a data.frame with at least one column, named 'Name'.")
+        raise ValueError("'coldata' needs a column 'Name'")
     assert_scalar(countType, "countType", "character", valid_values=["umis", "reads"])
     if countType == "umis" and not all("U" in r.parameters.get("elementsForward", "") + r.parameters.get("elementsReverse", "") for r in x.values()):
-        raise ValueError("'countType' is set to 'umis', but no UMI sequences were provided when quantifying. Set 'countType' to 'reads' instead.")
+        raise ValueError("UMIs can't be counted: a sample was digested without any; use countType='reads'")
     delimiters = {r.parameters["mutNameDelimiter"] for r in x.values()}
     if len(delimiters) > 1:
-        raise ValueError("All samples must have the same 'mutNameDelimiter'")
+        raise ValueError("the samples were digested with different values of 'mutNameDelimiter'")
     cols = coldata.assign(Name=coldata["Name"].astype(str))
     names = [n for n in x if n in set(cols["Name"])]
     if not names:
-        raise ValueError("names in 'x' do not match 'coldata$Name'")
+        raise ValueError("no sample of 'x' is named in the column 'Name' of 'coldata'")
     if len(names) < len(x):
         unused = [n for n in x if n not in names]
-        warnings.warn(f"skipping {len(unused)} elements in 'x' ({', '.join(unused)}) because they did not match any 'coldata$Name'.", stacklevel=2)
+        warnings.warn(f"samples that 'coldata' doesn't name are left out: {', '.join(unused)}", stacklevel=2)
     tables = reduce(DataFrame.unionByName, [x[n].summaryTable.withColumn("sample", F.lit(n)) for n in names])
     rows = tables.groupBy("mutantName").agg(*(merged_set(c).alias(c) for c in MERGED))
     for c in NUMBERS:
@@ -118,16 +119,21 @@ def summarize_experiment(x: dict[str, DigestResult], coldata: pd.DataFrame, coun
 
 def experiment_from_outcome(outcome: DataFrame, sample_col: str, col_data: pd.DataFrame, countType: str = "umis") -> Experiment:
     """An experiment of many samples in one pass: `outcome` holds the annotated reads of all, with their sample."""
-    kept = outcome.where("failure = ''").select(F.col("name").alias("mutantName"), F.col(sample_col).cast("string").alias("sample"), "umi", "sequence", "n_bases", "n_codons", "n_aas", "base", "base_hgvs", "codon", "aa", "aa_hgvs", "sequence_aa", "types", "lengths")
-    counted = kept.where("umi <> ''").select("mutantName", "sample", "umi").distinct() if countType == "umis" else kept
-    assays = counted.groupBy("mutantName", "sample").agg(F.count("*").cast("double").alias("value")).select("mutantName", "sample", F.lit("counts").alias("assay"), "value")
+    own = ["sequence", "n_bases", "n_codons", "n_aas", "base", "base_hgvs", "codon", "aa", "aa_hgvs", "sequence_aa", "lengths"]
+    umi = ["umi"] if countType == "umis" else []
+    kept = outcome.where("failure = ''").select(F.col("name").alias("mutantName"), F.col(sample_col).cast("string").alias("sample"), *umi, *own, F.array_join("types", ",").alias("types"))
+    # alike reads are counted in one pass over the reads; all else reads the counts
+    kept = scratch.cut(kept.groupBy(*kept.columns).agg(F.count("*").alias("n")))
+    one = kept.where("umi <> ''").select("mutantName", "sample", "umi").distinct().withColumn("n", F.lit(1)) if umi else kept
+    assays = one.groupBy("mutantName", "sample").agg(F.sum("n").cast("double").alias("value")).select("mutantName", "sample", F.lit("counts").alias("assay"), "value")
+    kept = kept.select("mutantName", *own, "types").distinct()
     text = lambda c: F.array_join(F.array_sort(F.filter(F.collect_set(c), lambda x: x != "")), ",")
     number = lambda c: F.array_join(F.array_sort(F.collect_set(c)).cast("array<string>"), ",")
     rows = kept.groupBy("mutantName").agg(
         text("sequence").alias("sequence"),
         *(x for c, n in (("n_bases", "NbrMutBases"), ("n_codons", "NbrMutCodons"), ("n_aas", "NbrMutAAs")) for x in (number(c).alias("n" + n[1:]), F.min(c).alias("min" + n), F.max(c).alias("max" + n))),
         *(text(c).alias(n) for c, n in (("base", "mutantNameBase"), ("base_hgvs", "mutantNameBaseHGVS"), ("codon", "mutantNameCodon"), ("aa", "mutantNameAA"), ("aa_hgvs", "mutantNameAAHGVS"), ("sequence_aa", "sequenceAA"))),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))), ",").alias("mutationTypes"),
+        F.array_join(F.array_sort(F.filter(F.array_distinct(F.flatten(F.collect_set(F.split("types", ",")))), lambda x: x != "")), ",").alias("mutationTypes"),
         text("lengths").alias("varLengths"),
     )
     return Experiment(assays, rows, col_data, {"countType": countType})
@@ -161,7 +167,7 @@ def collapse_mutants_by_similarity(se: Experiment, assayName: str, scoreMethod:
         assert_scalar(v, n, "numeric", rng_incl=(0, float("inf")))
     shape = se.row_data.agg(F.countDistinct(F.length(sequenceCol)).alias("k"), F.count_if(~F.col(sequenceCol).rlike("^[ACGT_]*$")).alias("bad")).collect()[0]
     if shape.k > 1:
-        raise ValueError("All sequences in the sequence column must have the same length")
+        raise ValueError("the sequences to be grouped differ in length")
     if shape.bad:
         raise ValueError("The sequence column may only hold the letters A, C, G, T and _")
     total = F.sum("value") / F.lit(len(se.samples) if scoreMethod == "rowMean" else 1)

@@ -68,17 +68,17 @@ def link_multiple_variants(spark: SparkSession, combinedDigestParams: dict, **se
         spec = DigestSpec.of(True, **{k: v for k, v in p.items() if k not in COLLAPSE})
         f, r = spec.elementsForward.count("V"), spec.elementsReverse.count("V")
         if not f and not r:
-            raise ValueError("Each separate run must contain at least one variable segment.")
+            raise ValueError("a separate run without a variable segment")
         if f and r and not spec.mergeForwardReverse:
-            raise ValueError("A separate run can not have variable sequences in both the forward and reverse reads unless 'mergeForwardReverse' is TRUE.")
+            raise ValueError("a separate run whose mates both have variable segments must merge them")
         if f > 1 or r > 1:
-            raise ValueError("A separate run can have at most one variable segment in each of the forward and reverse reads, respectively.")
+            raise ValueError("a separate run with several variable segments in one mate")
         if 0 < sum(k in p for k in COLLAPSE) < 3:
             raise ValueError("collapseMaxDist, collapseMinScore and collapseMinRatio must be given together")
         specs[n] = spec
     combined = DigestSpec.of(True, **combinedDigestParams)
     if combined.has_component("U"):
-        warnings.warn("Aggregating UMI counts may not be accurate - will use read counts instead", stacklevel=2)
+        warnings.warn("UMIs can't be added up across regions: reads are counted", stacklevel=2)
     scans: dict[tuple, DataFrame] = {}
 
     def reads(spec: DigestSpec) -> DataFrame:

@@ -325,15 +325,15 @@ def calculate_relative_fc(se: Experiment, design: np.ndarray, coef: int | list[i
     assert_scalar(selAssay, "selAssay", "character", valid_values=se.assay_names())
     design = np.asarray(design, float)
     if len(design) != len(se.samples):
-        raise ValueError(f"The number of rows in 'design' ({len(design)}) is not equal to the number of columns in 'se' ({len(se.samples)}).")
+        raise ValueError(f"'design' has {len(design)} rows for {len(se.samples)} samples")
     assert_scalar(pseudocount, "pseudocount", "numeric", rng_incl=(0, float("inf")))
     assert_scalar(method, "method", "character", valid_values=["edgeR", "limma"])
     if normMethod in ("csaw", "TMM") and WTrows is not None:
-        raise ValueError(f"normMethod = '{normMethod}' can only be used when WTrows is NULL.")
+        raise ValueError(f"normMethod '{normMethod}' takes no WTrows")
     if normMethod in ("sum", "geomean") and WTrows is None:
-        raise ValueError(f"normMethod = '{normMethod}' can only be used when WTrows is not NULL.")
+        raise ValueError(f"normMethod '{normMethod}' needs WTrows")
     if normMethod == "csaw" and method == "limma":
-        raise ValueError("normMethod = 'csaw' can only be used with method = 'edgeR'.")
+        raise ValueError("normMethod 'csaw' needs method 'edgeR'")
     assert_scalar(normMethod, "normMethod", "character", valid_values=["csaw", "TMM", "geomean", "sum"])
     if coef is None and contrast is None:
         raise ValueError("'coef' and 'contrast' can not both be NULL.")

@@ -6,6 +6,7 @@ gives them to Spark and to the SQL side.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import genetics as g
 from ..operators import digest, experiment, link, qc, similarity, stats
-from ..operators.reads import FILTERS
+from ..operators.reads import FILTERS, LABELS
+from ..sources.fastq import read_fastq
 from ..spec import DigestSpec
+from . import scratch
 
 #: A reference of 32 codons, a constant part and an adapter of our own.
 WILD = "ATGGCTAAGGATTTCCGTCAGGAACTGTACCATGGCAACATCTGGGTTAGCCCGACCTGCAAAGAGCGTTTGGCAGATCACTACAATGTCTCAGGC"
@@ -37,6 +40,26 @@ FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_returnflag AS rf, l_linestat
   substr({DNA.format("concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)")}, 1, 10) AS umi FROM {{lineitem}}) a) b) c) d) e
 """
 SPEC = dict(elementsForward="SUCV", elementLengthsForward=[1, 10, 18, 96], adapterForward=ADAPTER, wildTypeForward=WILD, constantForward=CONST, forbiddenMutatedCodonsForward="NNW")
+#: Two references and three constants of our own for reads that meet every filter.
+SHORT, SHORT_CONST = ["ACGACGTTGCAA", "ACGACGTTGCTT"], ["GATTCC", "GATACC", "CCTGAA"]
+_KEY = "l_orderkey * 10 + l_linenumber AS k"
+_UMI = DNA.format("concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)")
+_BASE = "substr('ACGT', cast(l_suppkey % 4 + 1 AS int), 1) AS b"
+SHORT_READS = f"""
+SELECT k, CASE WHEN k % 43 = 0 THEN substr(s, 1, 20) WHEN k % 41 = 0 THEN 'GGTTGGCC' || substr(s, 9) ELSE s END AS seq1, repeat(chr(cast(33 + CASE WHEN k % 29 = 0 THEN 10 ELSE 22 + k % 10 END AS int)), cast(CASE WHEN k % 43 = 0 THEN 20 ELSE 22 END AS int)) AS qual1
+FROM (SELECT k, CASE WHEN k % 19 = 0 THEN 'N' || substr(u, 2) ELSE u END || CASE WHEN k % 11 = 0 THEN 'GATGCC' WHEN k % 13 = 0 THEN 'TTGTCC' WHEN k % 2 = 0 THEN 'GATACC' ELSE 'GATTCC' END
+  || CASE WHEN k % 37 = 0 THEN 'NCGACGTTGCAA' WHEN k % 17 = 0 THEN 'ACGACGTTGCAT' WHEN k % 7 = 0 THEN 'TTTTTTTTTTTT' ELSE substr(r, 1, cast(p AS int)) || b || substr(r, cast(p + 2 AS int)) END AS s
+FROM (SELECT {_KEY}, l_partkey % 12 AS p, {_BASE}, substr({_UMI}, 1, 4) AS u, CASE WHEN l_suppkey % 3 = 0 THEN '{SHORT[1]}' ELSE '{SHORT[0]}' END AS r FROM {{lineitem}}) x) y
+"""
+PAIRS = f"""
+SELECT k, substr(u, 1, 6) || substr('{WILD[:48]}', 1, cast(p AS int)) || b || substr('{WILD[:48]}', cast(p + 2 AS int)) AS seq1, repeat('I', 54) AS qual1,
+  substr(u, 7, 4) || substr('{WILD[48:]}', 1, cast(q AS int)) || b || substr('{WILD[48:]}', cast(q + 2 AS int)) AS seq2, repeat('I', 52) AS qual2
+FROM (SELECT {_KEY}, l_partkey % 48 AS p, l_orderkey % 48 AS q, {_BASE}, {_UMI} AS u FROM {{lineitem}}) x
+"""
+MATES = f"""
+SELECT k, substr(m, 1, 60) AS seq1, repeat('I', 60) AS qual1, reverse(translate(CASE WHEN k % 7 = 0 THEN translate(substr(m, 37), 'ACGT', 'CATG') ELSE substr(m, 37) END, 'ACGT', 'TGCA')) AS seq2, repeat('I', 60) AS qual2
+FROM (SELECT k, substr('{WILD}', 1, cast(p AS int)) || b || substr('{WILD}', cast(p + 2 AS int)) AS m FROM (SELECT {_KEY}, l_partkey % 96 AS p, {_BASE} FROM {{lineitem}}) x) y
+"""
 
 
 @lru_cache(None)
@@ -115,15 +138,57 @@ def filtered_reads(spark, sf):
     return digest.filtered_reads(r, digest.annotate(r, spec())).select(F.col("k").alias("read_idx"), "label", "seq1")
 
 
+def _fastq(rows: DataFrame, *mates: str) -> list[list[str]]:
+    """Write reads (columns seq1, qual1, seq2, qual2) as gzip FASTQ files to the shared folder; the files of each mate in order."""
+    out = []
+    for m in mates:
+        path = scratch.path(rows.sparkSession)
+        text = F.concat(F.lit("@r\n"), F.col(f"seq{m}"), F.lit("\n+\n"), F.col(f"qual{m}"))
+        rows.select(text.alias("value")).write.option("compression", "gzip").text(path)
+        out.append(scratch.files(rows.sparkSession, path, ".gz"))
+    return out
+
+
 def limit_reads(spark, sf):
-    """The first 1000 reads in order: a sampling feature of the digest."""
-    o = table(spark, sf, "orders").selectExpr("o_orderkey AS read_idx", f"{DNA.format('o_orderkey')} AS seq1")
-    return o.orderBy("read_idx").limit(1000)
+    """The first 1000 reads of FASTQ files in their order: maxNReads of the digest."""
+    o = table(spark, sf, "orders").selectExpr("o_orderkey AS k", f"{DNA.format('o_orderkey')} AS seq1", "repeat('I', 32) AS qual1")
+    return read_fastq(spark, _fastq(o.orderBy("k"), "1")[0], max_n_reads=1000).select("read_idx", "seq1")
+
+
+def fastq_filter_summary(spark, sf):
+    """From FASTQ files to counters."""
+    return digest.digest_fastqs(spark, fastqForward=_fastq(reads(spark, sf), "1")[0], **SPEC).filterSummary
 
 
 def umi_collapse(spark, sf):
-    u = table(spark, sf, "lineitem").selectExpr("l_returnflag AS grp", "l_partkey % 500 AS part", f"substr({DNA.format('l_partkey % 500 + l_linenumber')}, 1, 4) AS umi")
-    return u.groupBy("grp", "part").agg(digest.collapse_umis(F.collect_set("umi"), 1).alias("kept")).select("grp", F.col("part").cast("long").alias("part"), F.size("kept").cast("long").alias("n"), F.array_join("kept", ",").alias("kept"))
+    """The kept UMIs of each variant of the digest, where those within three mismatches count once."""
+    u = outcome(spark, sf, "failure", "name", "umi").where("failure = ''").select(F.col("name").alias("mutantName"), "umi").distinct()
+    kept = u.groupBy("mutantName").agg(digest.collapse_umis(F.collect_list("umi"), 3).alias("kept"))
+    return kept.select("mutantName", F.size("kept").cast("long").alias("n"), F.array_join("kept", ",").alias("kept"))
+
+
+def _outcomes(rows: DataFrame, s: DigestSpec) -> DataFrame:
+    """Reads and distinct UMIs by the filter that takes them and the variant's name."""
+    out = digest.annotate(rows, s, columns=("failure", "name", "umi", "lengths"))
+    return out.groupBy("failure", "name", "lengths").agg(F.count("*").alias("n"), F.count_distinct("umi").alias("n_umis"))
+
+
+def filter_outcomes(spark, sf):
+    """Short reads of which every filter of single reads takes some: two references, three constants, bases counted."""
+    s = DigestSpec.of(elementsForward="UCV", elementLengthsForward=[4, 6, 12], adapterForward="GGTTGGCC", wildTypeForward=dict(zip("ab", SHORT, strict=True)), constantForward=SHORT_CONST, nbrMutatedCodonsMaxForward=-1, nbrMutatedBasesMaxForward=2, forbiddenMutatedCodonsForward="NNW", mutatedPhredMinForward=25, constantMaxDistForward=1)
+    return _outcomes(spark.sql(SHORT_READS, lineitem=table(spark, sf, "lineitem")).withColumnRenamed("k", "read_idx"), s)
+
+
+def paired_outcomes(spark, sf):
+    """Pairs that stay apart: a reference and an UMI in each mate."""
+    s = DigestSpec.of(elementsForward="UV", elementLengthsForward=[6, 48], elementsReverse="UV", elementLengthsReverse=[4, 48], wildTypeForward={"f": WILD[:48]}, wildTypeReverse={"r": WILD[48:]}, fastqForward="f", fastqReverse="r")
+    return _outcomes(spark.sql(PAIRS, lineitem=table(spark, sf, "lineitem")).withColumnRenamed("k", "read_idx"), s)
+
+
+def merged_outcomes(spark, sf):
+    """Pairs merged by an overlap of 24 bases, which some of them lack."""
+    s = DigestSpec.of(elementsForward="V", elementLengthsForward=[60], elementsReverse="V", elementLengthsReverse=[60], mergeForwardReverse=True, revComplReverse=True, minOverlap=24, maxOverlap=24, maxFracMismatchOverlap=0, wildTypeForward={"f": WILD}, fastqForward="f", fastqReverse="r")
+    return _outcomes(spark.sql(MATES, lineitem=table(spark, sf, "lineitem")).withColumnRenamed("k", "read_idx"), s)
 
 
 def similarity_groups(spark, sf):
@@ -181,8 +246,19 @@ def relabel(spark, sf):
     return experiment.relabel_names(names, conv)
 
 
+def summarize_samples(spark, sf):
+    """Each sample digested by itself, then combined; one sample has no annotation and is left out."""
+    r = reads(spark, sf).withColumn("sample", F.concat_ws("_", "rf", "ls"))
+    one = {n: digest.digest_reads(r.where(F.col("sample") == n), spec()) for n in ("A_F", "N_O", "R_F")}
+    cols = pd.DataFrame({"Name": ["R_F", "A_F"], "Condition": ["r", "a"]})
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        se = experiment.summarize_experiment(one, cols, "umis")
+    return se.assays.select("mutantName", "sample", F.col("value").cast("long").alias("value"))
+
+
 def totals(spark, sf):
-    return _experiment(spark, sf).assay().groupBy("sample").agg(F.sum("value").cast("long").alias("total"))
+    return qc.plot_totals(_experiment(spark, sf)).select("sample", F.col("total").cast("long").alias("total"))
 
 
 def knee(spark, sf):
@@ -230,11 +306,11 @@ def fitness_score(spark, sf):
 
 def wt_offsets(spark, sf):
     wide, samples = _wide(spark, sf)
-    wt = wide.where("mutantName LIKE 'f.1.%' OR mutantName = 'f.0.WT'")
-    long = wt.unpivot("mutantName", samples, "sample", "v")
-    positive = wt.where(F.least(*samples) > 0).unpivot("mutantName", samples, "sample", "v")
-    by_sum = long.groupBy("sample").agg(F.round(F.log(F.sum("v")), 6).alias("log_sum"))
-    return by_sum.join(positive.groupBy("sample").agg(F.round(F.avg(F.log("v")), 6).alias("log_geomean")), "sample")
+    wide = scratch.cut(wide)
+    names = [r.mutantName for r in wide.where("mutantName LIKE 'f.1.%' OR mutantName = 'f.0.WT'").select("mutantName").collect()]  # of one codon
+    by = {n: stats.offsets(wide, samples, n, names) for n in ("sum", "geomean")}
+    rows = [(s, round(float(a), 6), round(float(b), 6)) for s, a, b in zip(samples, by["sum"], by["geomean"], strict=True)]
+    return spark.createDataFrame(rows, "sample string, log_sum double, log_geomean double")
 
 
 def bh_adjust(spark, sf):
@@ -250,7 +326,7 @@ def volcano_points(spark, sf):
 def link_variants(spark, sf):
     """Two regions of 48 bases each; a region is corrected by its codon name where it has at most one mutated codon."""
     naive = digest.summary_table(outcome(spark, sf)).select(F.col("sequence"), "nbrReads", F.lit("48,48").alias("varLengths"))
-    naive = naive.select(F.explode(F.split("sequence", ",")).alias("sequence"), "nbrReads", "varLengths")
+    naive = scratch.cut(naive.select(F.explode(F.split("sequence", ",")).alias("sequence"), "nbrReads", "varLengths"))
     tables = {}
     for i, n in enumerate(("V1", "V2")):
         ref = WILD[48 * i : 48 * i + 48]
@@ -271,7 +347,7 @@ def ql_test(spark, sf):
     return stats.calculate_relative_fc(se, design, coef=2, method="edgeR")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, umi_collapse, similarity_groups, nearest_string_dist, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, nearest_string_dist, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
 
 # ---- SQL ----
 R = READS.replace("{lineitem}", "lineitem")
@@ -327,7 +403,34 @@ ORACLE_SQL: dict[str, str] = {
     "decompose_infer": f"SELECT substr(seq1, 2, 10) AS umi, substr(seq1, 30) AS var, cast(length(seq1) - 29 AS varchar) AS lengths, count(*) AS n FROM ({R}) r GROUP BY ALL",
     "decompose_primer": f"""WITH r AS (SELECT seq1, instr(seq1, '{CONST}') AS a, instr(seq1, 'AAAAAA') AS b FROM ({R}) x), f AS (SELECT seq1, CASE WHEN a > 0 THEN a ELSE b END AS s, CASE WHEN a > 0 THEN 18 ELSE 6 END AS m FROM r)
       SELECT CASE WHEN s = 12 THEN substr(seq1, 2, 10) ELSE '' END AS umi, CASE WHEN s = 12 THEN substr(seq1, s + m) ELSE '' END AS var, CASE WHEN s = 12 THEN cast(length(seq1) - s - m + 1 AS varchar) ELSE '' END AS lengths, CASE WHEN s = 0 THEN 'f2_nbrNoPrimer' WHEN s <> 12 THEN 'f3_nbrReadWrongLength' ELSE '' END AS failure, count(*) AS n FROM f GROUP BY ALL""",
-    "limit_reads": f"SELECT o_orderkey AS read_idx, {DNA.format('o_orderkey')} AS seq1 FROM orders ORDER BY o_orderkey LIMIT 1000",
+    "limit_reads": f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS read_idx, {DNA.format('o_orderkey')} AS seq1 FROM orders ORDER BY o_orderkey LIMIT 1000",
+    "filtered_reads": ANN + " SELECT k AS read_idx, CASE failure " + " ".join(f"WHEN '{f}' THEN '{x}'" for f, x in LABELS.items()) + " END AS label, seq1 FROM ann WHERE failure <> ''",
+    "fastq_filter_summary": ANN + " SELECT count(*) AS nbrTotal, " + ", ".join(f"count(*) FILTER (failure = '{f}') AS {f}" for f in FILTERS) + ", count(*) FILTER (failure = '') AS nbrRetained FROM ann",
+    "filter_outcomes": f"""WITH r AS ({SHORT_READS.replace("{lineitem}", "lineitem")}),
+      c AS (SELECT *, ascii(substr(qual1, 1, 1)) - 33 AS q, substr(seq1, 1, 4) AS umi, substr(seq1, 5, 6) AS const, substr(seq1, 11) AS var FROM r),
+      d AS (SELECT *, CASE WHEN length(var) = 12 THEN hamming(var, '{SHORT[0]}') ELSE 99 END AS d1, CASE WHEN length(var) = 12 THEN hamming(var, '{SHORT[1]}') ELSE 99 END AS d2, list_sort([hamming(const, x) FOR x IN ['{"', '".join(SHORT_CONST)}']]) AS dc FROM c),
+      e AS (SELECT *, CASE WHEN d1 < d2 THEN 'a' ELSE 'b' END AS nm, CASE WHEN d1 < d2 THEN '{SHORT[0]}' ELSE '{SHORT[1]}' END AS w FROM d),
+      g AS (SELECT *, list_filter(range(12), lambda i: substr(var, cast(i + 1 AS int), 1) <> substr(w, cast(i + 1 AS int), 1)) AS m FROM e),
+      f AS (SELECT *, CASE WHEN contains(seq1, 'GGTTGGCC') THEN 'f1_nbrAdapter' WHEN length(seq1) <> 22 THEN 'f3_nbrReadWrongLength' WHEN q < 20 THEN 'f5_nbrAvgVarQualTooLow' WHEN contains(var, 'N') THEN 'f6_nbrTooManyNinVar' WHEN contains(umi, 'N') THEN 'f7_nbrTooManyNinUMI'
+        WHEN least(d1, d2) > 2 THEN 'f10b_nbrTooManyMutBases' WHEN d1 = d2 THEN 'f8_nbrTooManyBestWTHits' WHEN len(m) > 0 AND q < 25 THEN 'f9_nbrMutQualTooLow'
+        WHEN len(list_filter(m, lambda i: substr(var, cast(3 * (i // 3) + 3 AS int), 1) IN ('A', 'T'))) > 0 THEN 'f11_nbrForbiddenCodons' WHEN dc[1] > 1 THEN 'f12_nbrTooManyMutConstant' WHEN dc[1] = dc[2] THEN 'f13_nbrTooManyBestConstantHits' ELSE '' END AS failure FROM g)
+      SELECT failure, CASE WHEN failure <> '' THEN '' WHEN len(m) = 0 THEN nm || '.0.WT' ELSE array_to_string(list_transform(m, lambda i: nm || '.' || (i + 1) || '.' || substr(var, cast(i + 1 AS int), 1)), '_') END AS name,
+        CASE WHEN failure = '' THEN '12' ELSE '' END AS lengths, count(*) AS n, count(DISTINCT CASE WHEN failure = '' THEN umi ELSE '' END) AS n_umis FROM f GROUP BY 1, 2, 3""",
+    "paired_outcomes": f"""WITH r AS ({PAIRS.replace("{lineitem}", "lineitem")}), c AS (SELECT substr(seq1, 1, 6) || substr(seq2, 1, 4) AS umi, substr(seq1, 7) AS v, substr(seq2, 5) AS w FROM r),
+      d AS (SELECT *, list_filter(range(16), lambda i: substr(v, cast(3 * i + 1 AS int), 3) <> substr('{WILD[:48]}', cast(3 * i + 1 AS int), 3)) AS m, list_filter(range(16), lambda i: substr(w, cast(3 * i + 1 AS int), 3) <> substr('{WILD[48:]}', cast(3 * i + 1 AS int), 3)) AS o FROM c)
+      SELECT '' AS failure, CASE WHEN len(m) = 0 THEN 'f.0.WT' ELSE 'f.' || (m[1] + 1) || '.' || substr(v, cast(3 * m[1] + 1 AS int), 3) END || '_' || CASE WHEN len(o) = 0 THEN 'r.0.WT' ELSE 'r.' || (o[1] + 1) || '.' || substr(w, cast(3 * o[1] + 1 AS int), 3) END AS name,
+        '48_48' AS lengths, count(*) AS n, count(DISTINCT umi) AS n_umis FROM d GROUP BY 2""",
+    "merged_outcomes": f"""WITH r AS ({MATES.replace("{lineitem}", "lineitem")}), c AS (SELECT seq1 AS f, reverse(translate(seq2, 'ACGT', 'TGCA')) AS s FROM r),
+      d AS (SELECT substr(f, 37) = substr(s, 1, 24) AS ok, f || substr(s, 25) AS v FROM c), e AS (SELECT *, list_filter(range(32), lambda i: substr(v, cast(3 * i + 1 AS int), 3) <> substr('{WILD}', cast(3 * i + 1 AS int), 3)) AS m FROM d)
+      SELECT CASE WHEN ok THEN '' ELSE 'f4_nbrNoValidOverlap' END AS failure, CASE WHEN NOT ok THEN '' WHEN len(m) = 0 THEN 'f.0.WT' ELSE 'f.' || (m[1] + 1) || '.' || substr(v, cast(3 * m[1] + 1 AS int), 3) END AS name, CASE WHEN ok THEN '96' ELSE '' END AS lengths, count(*) AS n, cast(1 AS bigint) AS n_umis FROM e GROUP BY 1, 2, 3""",
+    "umi_collapse": "WITH RECURSIVE " + _KEPT.strip().removeprefix("WITH") + """, us AS (SELECT codon AS mutantName, list_sort(list_distinct(list(umi))) AS us FROM kept GROUP BY 1),
+      st AS (SELECT mutantName, us, 1 AS i, [us[1]] AS kept FROM us UNION ALL SELECT mutantName, us, i + 1, CASE WHEN len(list_filter(kept, lambda x: hamming(x, us[i + 1]) <= 3)) > 0 THEN kept ELSE list_append(kept, us[i + 1]) END FROM st WHERE i < len(us))
+      SELECT mutantName, len(kept) AS n, array_to_string(kept, ',') AS kept FROM st WHERE i = len(us)""",
+    "similarity_groups": f"""WITH RECURSIVE p AS (SELECT {_dna('p_partkey', 8)} AS s, count(*) AS score FROM part GROUP BY 1), o AS (SELECT s, score, row_number() OVER (ORDER BY score DESC, s) AS i FROM p),
+      st AS (SELECT i, s, s AS rep, [{{'s': s, 'v': score}}] AS reps FROM o WHERE i = 1
+        UNION ALL SELECT o.i, o.s, coalesce(list_filter(reps, lambda x: hamming(x.s, o.s) <= 1 AND x.v >= o.score)[1].s, o.s), CASE WHEN len(list_filter(reps, lambda x: hamming(x.s, o.s) <= 1 AND x.v >= o.score)) > 0 THEN reps ELSE list_append(reps, {{'s': o.s, 'v': o.score}}) END FROM st JOIN o ON o.i = st.i + 1)
+      SELECT s AS sequence, rep AS representative FROM st""",
+    "summarize_samples": _KEPT + " SELECT codon AS mutantName, sample, count(DISTINCT umi) AS value FROM kept WHERE sample IN ('A_F', 'R_F') GROUP BY 1, 2",
     "nearest_string_dist": f"WITH s AS (SELECT s_suppkey AS id, {_dna('s_suppkey', 12)} AS s FROM supplier) SELECT a.id, cast(min(hamming(a.s, b.s)) AS int) AS dist FROM s a JOIN s b ON a.id <> b.id GROUP BY a.id",
     "similarity_search": f"WITH p AS (SELECT DISTINCT {_dna('p_partkey', 12)} AS m FROM part), q AS (SELECT DISTINCT {_dna('s_suppkey', 12)} AS q FROM supplier) SELECT q AS query, m AS match, cast(hamming(q, m) AS int) AS dist FROM q, p WHERE hamming(q, m) <= 3",
     "nearest_reference": f"""WITH n AS (SELECT n_nationkey AS i, {_dna('n_nationkey', 12)} AS r FROM nation), p AS (SELECT p_partkey AS id, {_dna('p_partkey', 12)} AS s FROM part),
@@ -346,7 +449,9 @@ ORACLE_SQL: dict[str, str] = {
     "fitness_score": _COUNTS + """, nrm AS (SELECT mutantName, split_part(sample, '_', 1) AS c, split_part(sample, '_', 2) AS replicate, value * (0.5 + CASE split_part(sample, '_', 1) WHEN 'A' THEN 0 WHEN 'N' THEN 0.25 ELSE 0.5 END + CASE split_part(sample, '_', 2) WHEN 'F' THEN 0 ELSE 0.1 END) / sum(value) OVER (PARTITION BY sample) AS x FROM dense),
       lg AS (SELECT a.mutantName, a.replicate, log2(nullif(a.x / nullif(b.x, 0), 0)) AS n FROM nrm a JOIN nrm b ON a.mutantName = b.mutantName AND a.replicate = b.replicate AND a.c = 'A' AND b.c = 'R')
       SELECT lg.mutantName, lg.replicate, round(lg.n / w.n, 6) AS fitness FROM lg JOIN lg w ON w.mutantName = 'f.0.WT' AND w.replicate = lg.replicate""",
-    "wt_offsets": _COUNTS + ", w AS (SELECT * FROM dense WHERE mutantName LIKE 'f.1.%' OR mutantName = 'f.0.WT'), ok AS (SELECT mutantName FROM w GROUP BY 1 HAVING min(value) > 0) SELECT sample, round(ln(sum(value)), 6) AS log_sum, round(avg(ln(nullif(value, 0))) FILTER (mutantName IN (SELECT mutantName FROM ok)), 6) AS log_geomean FROM w GROUP BY sample",
+    "wt_offsets": _COUNTS + """, w AS (SELECT * FROM dense WHERE mutantName LIKE 'f.1.%' OR mutantName = 'f.0.WT'), ok AS (SELECT mutantName FROM w GROUP BY 1 HAVING min(value) > 0),
+      l AS (SELECT avg(ln(t)) AS m FROM (SELECT sum(value) AS t FROM dense GROUP BY sample)), o AS (SELECT sample, ln(sum(value)) AS a, avg(ln(nullif(value, 0))) FILTER (mutantName IN (SELECT mutantName FROM ok)) AS b FROM w GROUP BY sample)
+      SELECT sample, round(a - avg(a) OVER () + m, 6) AS log_sum, round(b - avg(b) OVER () + m, 6) AS log_geomean FROM o, l""",
     "bh_adjust": "WITH p AS (SELECT p_partkey AS id, ((p_partkey * 7919) % 10007 + 1) / 20000.0::double AS p FROM part), r AS (SELECT id, p, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS k, count(*) OVER () AS n FROM p) SELECT id, round(least(1.0, min(p * n / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 9) AS padj FROM r",
     "volcano_points": "WITH r AS (SELECT cast(p_partkey AS varchar) AS mutantName, ((p_partkey * 31) % 200 - 100) / 25.0::double AS x, ((p_partkey * 7919) % 10007 + 1) / 20000.0::double AS p, ((p_partkey * 7919) % 10007 + 1) / 10008.0::double AS fdr FROM part), k AS (SELECT *, row_number() OVER (ORDER BY p, mutantName) AS i FROM r) SELECT mutantName, round(x, 6) AS x, round(-log10(p), 6) AS y, fdr < 0.05 AS significant, i <= 10 AS labelled FROM k",
     "filter_waterfall": ANN + ", f AS (SELECT rf || '_' || ls AS sample, failure, count(*) AS n FROM ann GROUP BY 1, 2), t AS (SELECT sample, sum(n)::bigint AS total FROM f GROUP BY 1), steps(step, i) AS (VALUES " + ", ".join(f"('{s}', {i})" for i, s in enumerate(_STEPS)) + """),

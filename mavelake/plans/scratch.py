@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df under spark.checkpoint.dir (or a folder of our own where it is unset) and read it again."""
-    spark = df.sparkSession
+def path(spark: SparkSession) -> str:
+    """A new path under spark.checkpoint.dir (or a folder of our own where it is unset in local mode)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mavelake-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+
+
+def files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """The files of a folder with that suffix, in order of their names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted(n for n in (re.sub("^file:/(?!/)", "file:///", x.getPath().toString()) for x in found) if n.endswith(suffix))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to a new path in the shared folder and read it again."""
+    where = path(df.sparkSession)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

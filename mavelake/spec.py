@@ -110,7 +110,7 @@ class DigestSpec:
         for name in ("mergeForwardReverse", "greedyOverlap", "revComplForward", "revComplReverse", "useTreeWTmatch", "collapseToWTForward", "collapseToWTReverse", "verbose"):
             assert_scalar(getattr(self, name), name, "logical")
         if self.mergeForwardReverse and check_files and not self.fastqReverse:
-            raise ValueError("Both forward and reverse FASTQ files must be given in order to merge forward and reverse reads")
+            raise ValueError("merging mates takes files of both mates")
         inf = float("inf")
         for name in ("minOverlap", "maxOverlap", "minMergedLength", "maxMergedLength", "avePhredMinForward", "avePhredMinReverse", "variableNMaxForward", "variableNMaxReverse", "umiNMax", "mutatedPhredMinForward", "mutatedPhredMinReverse", "umiCollapseMaxDist"):
             assert_scalar(getattr(self, name), name, "numeric", rng_incl=(0, inf))
@@ -123,28 +123,28 @@ class DigestSpec:
         for side in SIDES:
             self._check_side(side)
         if self.mergeForwardReverse and self.wildTypeReverse:
-            warnings.warn("Ignoring 'wildTypeReverse' when forward and reverse reads are merged", stacklevel=3)
+            warnings.warn("mates are merged: 'wildTypeReverse' has no effect", stacklevel=3)
             self.wildTypeReverse = {}
         if self.mergeForwardReverse and any(x for x in self.forbiddenMutatedCodonsReverse):
-            warnings.warn("Ignoring 'forbiddenMutatedCodonsReverse' when forward and reverse reads are merged", stacklevel=3)
+            warnings.warn("mates are merged: 'forbiddenMutatedCodonsReverse' has no effect", stacklevel=3)
         assert_scalar(self.mutNameDelimiter, "mutNameDelimiter", "character")
         names = [*self.wildTypeForward, *self.wildTypeReverse]
         if len(self.mutNameDelimiter) != 1 or self.mutNameDelimiter == "_":
-            raise ValueError("'mutNameDelimiter' must be a single character, and can not be '_'")
+            raise ValueError("'mutNameDelimiter' takes one character other than '_'")
         if any(self.mutNameDelimiter in n for n in names):
-            raise ValueError("'mutNameDelimiter' can not be part of the names of 'wildTypeForward' or 'wildTypeReverse'")
+            raise ValueError("a name of 'wildTypeForward' or 'wildTypeReverse' holds 'mutNameDelimiter'")
         for side in SIDES:
             out = getattr(self, f"filteredReadsFastq{side}")
             assert_scalar(out, f"filteredReadsFastq{side}", "character")
             if out and not out.endswith(".gz"):
                 raise ValueError(f"'filteredReadsFastq{side}' must end with .gz")
         if check_files and (self.filteredReadsFastqForward or self.filteredReadsFastqReverse) and bool(self.filteredReadsFastqReverse) != bool(self.fastqReverse):
-            raise ValueError("The pairing of the output FASTQ files must be compatible with that of the input files")
+            raise ValueError("name an output of filtered reads for each mate that is read, and no other")
 
     def _bases(self, name: str, values: list[str]) -> list[str]:
         for v in values:
             if not isinstance(v, str) or not re.fullmatch("[ACGTacgt]*", v):
-                raise ValueError(f"'{name}' must be a character string, only containing valid nucleotide letters (ACGT)")
+                raise ValueError(f"'{name}' takes the letters A, C, G and T only")
         return [v.upper() for v in values]
 
     def _check_side(self, side: str) -> None:
@@ -155,7 +155,7 @@ class DigestSpec:
         put("elementLengths", lengths)
         assert_scalar(elements, f"elements{side}", "character")
         if not re.fullmatch("[CUSVP]*", elements):
-            raise ValueError(f"'elements{side}' can only contain letters 'CUSVP'")
+            raise ValueError(f"'elements{side}' takes the letters C, U, S, V and P only")
         if len(elements) != len(lengths):
             raise ValueError(f"'elements{side}' and 'elementLengths{side}' must have the same length")
         assert_vector(lengths, f"elementLengths{side}", "numeric", rng_incl=(0, float("inf")), valid_values=[-1])
@@ -165,7 +165,7 @@ class DigestSpec:
         at = 0
         for part in parts:
             if sum(x == -1 for x in lengths[at : at + len(part)]) > 1:
-                raise ValueError(f"Max one element length can be -1 on each side of the primer in 'elementLengths{side}'")
+                raise ValueError(f"more than one -1 on one side of the primer in 'elementLengths{side}'")
             at += len(part) + 1
         put("primer", [p for p in self._bases(f"primer{side}", _as_list(get("primer")))])
         if len(parts) == 2 and not get("primer"):
@@ -177,20 +177,20 @@ class DigestSpec:
             raise ValueError(f"'wildType{side}' must be a string or map names to sequences")
         seqs = self._bases(f"wildType{side}", list(refs.values()))
         if len(set(seqs)) < len(seqs):
-            raise ValueError(f"Duplicated wild type sequences in 'wildType{side}'")
+            raise ValueError(f"a sequence is twice in 'wildType{side}'")
         put("wildType", dict(zip(refs, seqs, strict=True)))
         if seqs and (get("nbrMutatedCodonsMax") == -1) == (get("nbrMutatedBasesMax") == -1):
-            raise ValueError(f"Exactly one of 'nbrMutatedCodonsMax{side}' and 'nbrMutatedBasesMax{side}' must be -1")
+            raise ValueError(f"one of 'nbrMutatedCodonsMax{side}' and 'nbrMutatedBasesMax{side}' is to be -1, the other a limit")
         constants = [c for c in self._bases(f"constant{side}", _as_list(get("constant"))) if c]
         if len({len(c) for c in constants}) > 1:
-            raise ValueError(f"All constant sequences in 'constant{side}' must have the same length")
+            raise ValueError(f"the sequences of 'constant{side}' differ in length")
         own = [n for e, n in zip(elements, lengths, strict=True) if e == "C"]
         if constants and own and -1 not in own and sum(own) != len(constants[0]):
-            raise ValueError(f"The sum of the constant sequence lengths in 'elementLengths{side}' does not correspond to the length of 'constant{side}'")
+            raise ValueError(f"'constant{side}' is as long as {len(constants[0])} bases, the C elements of 'elementLengths{side}' as {sum(own)}")
         put("constant", constants)
         codons = [c.upper() for c in _as_list(get("forbiddenMutatedCodons"))]
         if not all(re.fullmatch("[ACGTMRWSYKVHDBN]{3}|", c) for c in codons):
-            raise ValueError(f"All elements of 'forbiddenMutatedCodons{side}' must be character strings with three characters (valid IUPAC letters)")
+            raise ValueError(f"'forbiddenMutatedCodons{side}' takes codons of three IUPAC letters")
         put("forbiddenMutatedCodons", codons)
 
     @property
