@@ -75,7 +75,8 @@ def digests(turns: DataFrame) -> DataFrame:
 def with_probe(turns: DataFrame) -> DataFrame:
     """The conversations and one more, -7, whose two texts look like marks."""
     text = r"\### Assistant: </turn> ok"
-    extra = turns.sparkSession.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = turns.sparkSession.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(text).alias("text"))
     return turns.select("conv_id", "turn", "role", "text").unionByName(extra)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI, as Spark resolves it: Arrow's file systems in the tasks then mean the same place."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString()
+    return re.sub("^file:/(?!/)", "file:///", full)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

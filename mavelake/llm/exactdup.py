@@ -90,24 +90,42 @@ def local(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            ids, places = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
-            part, at = suffixes.repeats([x[2] for x in held], ids, places, SPAN)
+            """What repeats in the chunk can only be where an anchor does: those runs are sorted, the others go on as they are."""
+            names, n = np.unique(np.array([r[0] for x in held for r in x[3]], np.int64), return_counts=True)
+            twice = set(names[n > 1].tolist())
             out: list[tuple] = []
-            edges = np.searchsorted(part, np.arange(len(held) + 1))
-            for i, (id_, place, raw, own) in enumerate(held):
+            near: list[tuple[int, int, bytes, list[tuple[int, int, int, int]]]] = []
+            for id_, place, raw, own in held:
+                i = 0
+                while i < len(own):
+                    h, anchor, first, last = own[i]
+                    i += 1
+                    if h not in twice:
+                        out.append((h, id_, place + first, place + last, anchor - first, raw[first : last + SPAN]))
+                        continue
+                    j = i
+                    while j < len(own) and own[j][0] in twice:
+                        j += 1
+                    near.append((id_, place + first, raw[first : own[j - 1][3] + SPAN], [(h, anchor - first, a - first, z - first) for h, anchor, a, z in own[i - 1 : j]]))
+                    i = j
+            part, at = suffixes.repeats([x[2] for x in near], *(np.array([x[i] for x in near], np.int64) for i in (0, 1)), SPAN) if near else (np.zeros(0, np.int64), None)
+            edges = np.searchsorted(part, np.arange(len(near) + 1))
+            for i, (id_, place, raw, own) in enumerate(near):
+                if edges[i] == edges[i + 1]:
+                    out += [(h, id_, place + a, place + z, anchor - a, raw[a : z + SPAN]) for h, anchor, a, z in own]
+                    continue
                 gone = np.zeros(len(raw) - SPAN + 2, bool)
                 gone[at[edges[i] : edges[i + 1]]] = True
-                turn = np.flatnonzero(gone[1:] != gone[:-1]) + 1
-                turn = np.append(0, turn) if gone[0] else turn
-                if len(turn):  # touching ranges are one
-                    a, z = turn[::2], turn[1::2] - 1 + SPAN
-                    out += [(None, id_, place + s, place + e, None, None) for s, e in zip(*(x.tolist() for x in union(a, z)), strict=True)]
+                step = np.flatnonzero(np.diff(np.append(False, gone).astype(np.int8)))
+                for s, e in zip(*(x.tolist() for x in union(step[::2], step[1::2] - 1 + SPAN)), strict=True):  # touching ranges are one
+                    out.append((None, id_, place + s, place + e, None, None))
+                upto = np.append(0, np.cumsum(gone)).tolist()
                 for h, anchor, first, last in own:
-                    state = gone[first : last + 1]
-                    if not state.any():
+                    lost = upto[last + 1] - upto[first]
+                    if not lost:
                         out.append((h, id_, place + first, place + last, anchor - first, raw[first : last + SPAN]))
-                    elif not state.all():
-                        step = np.flatnonzero(np.diff(np.concatenate([[True], state, [True]]).astype(np.int8)))
+                    elif lost <= last - first:
+                        step = np.flatnonzero(np.diff(np.concatenate([[True], gone[first : last + 1], [True]]).astype(np.int8)))
                         for s, e in zip((first + step[::2]).tolist(), (first + step[1::2] - 1).tolist(), strict=True):
                             out.append((h, id_, place + s, place + e, anchor - s, raw[s : e + SPAN]))
             return _segments(out)
@@ -143,32 +161,60 @@ def compared(segments: DataFrame) -> DataFrame:
     """Ranges of windows that repeat, from suffix arrays of chunks that hold all segments of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # id, place, bytes
         group: list[tuple] = []
         size = 0
+        names = ["id", "a", "b"]
+
+        def ranges(doc, start, end) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names)
 
         def flush() -> pa.RecordBatch:
-            ids, places = (np.array([x[i] for x in held], np.int64) for i in (1, 2))
-            part, at = suffixes.repeats([x[3] for x in held], ids, places, SPAN)
+            ids, places = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+            part, at = suffixes.repeats([x[2] for x in held], ids, places, SPAN)
             doc, start = ids[part], places[part] + at
             by = np.lexsort((start, doc))
             doc, start = doc[by], start[by]
             new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + SPAN)) if len(doc) else np.zeros(0, bool)
             last = np.append(new[1:], True) if len(doc) else new
-            return pa.RecordBatch.from_arrays([pa.array(doc[new], pa.int64()), pa.array(start[new], pa.int32()), pa.array(start[last] + SPAN, pa.int32())], ["id", "a", "b"])
+            return ranges(doc[new], start[new], start[last] + SPAN)
+
+        def ended() -> pa.RecordBatch | None:
+            """Of equal segments the first is compared with the others; the later ones repeat it as a whole."""
+            nonlocal size
+            first: dict[bytes, tuple[int, int]] = {}
+            again = []
+            for _, id_, a, raw in group:
+                known = first.get(raw)
+                if known is None or (id_, a) < known:
+                    first[raw], known = (id_, a), known
+                elif (id_, a) == known:
+                    continue
+                else:
+                    known = (id_, a)
+                if known is not None:
+                    again.append((known[0], known[1], known[1] + len(raw)))
+            if len(first) > 1:
+                held.extend((*at, raw) for raw, at in first.items())
+                size += sum(map(len, first))
+            return ranges(*zip(*again, strict=True)) if again else None
 
         for b in batches:
+            made = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and row[0] != group[0][0]:
-                    if len(group) > 1:  # else no other segment has its anchor
-                        held += group
-                        size += sum(len(x[3]) for x in group)
+                    made.append(ended() if len(group) > 1 else None)  # else no other segment has its anchor
                     group = []
                     if size >= CHUNK_BYTES:
                         yield flush()
                         held, size = [], 0
                 group.append(row)
-        held += group if len(group) > 1 else []
+            made = [x for x in made if x is not None]
+            if made:
+                yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+        last = ended() if len(group) > 1 else None
+        if last is not None:
+            yield last
         if held:
             yield flush()
 

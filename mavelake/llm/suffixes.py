@@ -42,15 +42,15 @@ def left_in_segment(codes: np.ndarray) -> np.ndarray:
     return ends[np.searchsorted(ends, np.arange(len(codes)))] - np.arange(len(codes))
 
 
-def _sort_small(small: np.ndarray, key: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Places of the small suffixes in suffix order, refined STEP codes at a time where they tie."""
+def _sort_small(small: np.ndarray, key: np.ndarray, left: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Places of the small suffixes in suffix order, refined STEP codes at a time where they tie, up to `most` codes."""
     order = small[np.argsort(key[small], kind="stable")]
     value = key[order]
     group = np.cumsum(np.append(0, value[1:] != value[:-1]))
     depth = STEP
     size = np.bincount(group)
     active = np.flatnonzero((size[group] > 1) & (left[order] >= depth))
-    while len(active):
+    while len(active) and (most is None or depth < most):
         at = order[active]
         g, v = group[active], key[np.minimum(at + depth, len(key) - 1)]
         by = np.lexsort((v, g))
@@ -65,7 +65,9 @@ def _sort_small(small: np.ndarray, key: np.ndarray, left: np.ndarray) -> np.ndar
     return order
 
 
-def suffix_array(codes: np.ndarray, key: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
+def suffix_array(codes: np.ndarray, key: np.ndarray | None = None, left: np.ndarray | None = None, most: int | None = None) -> np.ndarray:
+    """Places of all suffixes in order; with `most`, in order of their first `most` codes at least. (What is induced is at
+    least as well ordered as what it is induced from.)"""
     n = len(codes)
     if not n:
         return np.zeros(0, np.int64)
@@ -74,7 +76,7 @@ def suffix_array(codes: np.ndarray, key: np.ndarray | None = None, left: np.ndar
     differs = np.append(np.flatnonzero(codes[1:] != codes[:-1]), n - 1)
     after = differs[np.searchsorted(differs, np.arange(n))] + 1
     small = (codes == 0) | (np.append(codes, 0)[after] > codes)
-    ordered = _sort_small(np.flatnonzero(small), key, left)
+    ordered = _sort_small(np.flatnonzero(small), key, left, most)
     edges = np.searchsorted(codes[ordered], np.arange(258))
     large: list[list[np.ndarray]] = [[] for _ in range(257)]
     out = []
@@ -132,7 +134,7 @@ def repeats(segments: list[bytes], doc: np.ndarray, place: np.ndarray, span: int
     a smaller place of the same; in order. Segment i stands at place[i] of doc[i]."""
     codes, starts = encode(segments)
     key, left = keys(codes), left_in_segment(codes)
-    order = suffix_array(codes, key, left)
+    order = suffix_array(codes, key, left, span)
     order = order[left[order] >= span]
     if len(order) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)

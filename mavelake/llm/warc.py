@@ -39,7 +39,8 @@ PREFIX = "urn:mavelake:page:"
 
 
 def open_store(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    """The store and the path of a folder that is named by a URI."""
+    return pafs.FileSystem.from_uri(folder)
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
@@ -138,6 +139,7 @@ INDEX = "record_id long, bundle string, frame int, frame_offset long, frame_byte
 def write(records: DataFrame, folder: str, bundle_bytes: int = 256 << 20) -> DataFrame:
     """Write the rows of roles() as bundles of about bundle_bytes of records; returns the index of all records."""
     names = [x.split()[0] for x in INDEX.split(", ")]
+    folder = common.qualified(records.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_store(folder)
@@ -201,6 +203,8 @@ def _batch(rows: list[tuple], payloads: bool) -> pa.RecordBatch:
 def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """All records of the bundles that the index names, frame after frame; payloads (null for revisits) on demand."""
 
+    folder = common.qualified(index.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_store(folder)
         unpacker = zstandard.ZstdDecompressor()
@@ -218,6 +222,8 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
 def fetch(index: DataFrame, folder: str, ids: DataFrame) -> DataFrame:
     """The records of some ids (a column `record_id`), each by a seek to its frame and its offset in there."""
 
+    folder = common.qualified(index.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_store(folder)
         unpacker = zstandard.ZstdDecompressor()
@@ -234,7 +240,7 @@ def fetch(index: DataFrame, folder: str, ids: DataFrame) -> DataFrame:
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
     """Write all pages; returns the index and the folder."""
-    folder = folder or common.scratch_path(spark, "warc")
+    folder = common.qualified(spark, folder or common.scratch_path(spark, "warc"))
     return write(roles(pages), folder), folder
 
 

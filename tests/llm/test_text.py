@@ -1,6 +1,7 @@
 """BPE, decontamination, line dedup, quality: against the tokenizers library, brute force, SQL and held-out labels."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -165,6 +166,37 @@ def test_quality_held_out(spark):
     assert means[2] > max(means[0], means[1])
 
 
+def plain_loss(theta, w, x, grades, l2):
+    """Mean negative log-likelihood of a cumulative-link model, from its definition; theta: weights, first threshold, log steps."""
+    t = np.cumsum(np.concatenate([theta[w : w + 1], np.exp(theta[w + 1 :])]))
+    total = 0.0
+    for row, g in zip(x, grades, strict=True):
+        above = [1.0, *(1 / (1 + math.exp(-(row @ theta[:w] - k))) for k in t), 0.0]
+        total -= math.log(above[g] - above[g + 1])
+    return total / len(grades) + l2 / 2 * float(theta[:w] @ theta[:w])
+
+
+def test_quality_fit_is_a_minimum():
+    """The fit against the plain likelihood: no small step makes it better, and a plain descent from zero ends at its loss."""
+    rng = np.random.default_rng(12)
+    n, w = 240, 6
+    x = (rng.random((n, w)) < 0.4).astype(float)
+    grades = np.digitize(x @ np.array([2.0, -1.5, 1.0, 0, 0.5, -1]) + rng.logistic(size=n), [-0.5, 1.0])
+    row, flat = np.nonzero(x)
+    model = quality.fit(flat, row, grades, 3, 11, steps=3000, rate=0.02, l2=0.01)
+    assert (np.diff(model.thresholds) > 0).all() and not model.weights[w:].any()
+    theta = np.concatenate([model.weights[:w], model.thresholds[:1], np.log(np.diff(model.thresholds))])
+    loss = lambda v: plain_loss(v, w, x, grades, 0.01)
+    slope = lambda v: np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in 1e-5 * np.eye(len(v))])
+    assert np.abs(slope(theta)).max() < 2e-3
+    plain = np.concatenate([np.zeros(w), [-1.0, 0.0]])
+    for _ in range(400):
+        plain -= 1.5 * slope(plain)
+    assert abs(loss(plain) - loss(theta)) < 1e-3
+    p = model.tails(x @ model.weights[:w])
+    assert (np.diff(p, axis=1) <= 0).all()
+
+
 def test_quality_edges(spark):
     d = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "x " * 30000, 0.5), (None, "y", 0.5), (2, "", 0.5)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -19,11 +19,12 @@ def test_warc_sql(spark, duck, sf_dir):
     same(warc.digests(spark, table(spark, sf_dir, "pages")).toPandas(), duck.sql(warc.ORACLE_SQL).df())
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     big, long = "xé" * 2000, "y" * 400_000
     rows = [(1, "http://a/ü b", big), (2, "u", big), (3, None, big), (4, "u", None), (5, "u", "short"), (6, "u", "short"), (None, "u", big), (2, "u", big), (8, "u\r\nX: y", long)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
-    index, folder = warc.archive(spark, pages)
+    index, folder = warc.archive(spark, pages, str(tmp_path / "archive"))
+    assert folder.startswith("file:///")
     got = warc.read(index, folder, payloads=True).collect()
     assert sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to or -1) for r in got) == sorted((i or -1, len((t or "").encode()), "revisit" if t == big and i != 3 else "response", 3 if t == big and i != 3 else -1) for i, _, t in rows)
     assert {bytes(r.payload).decode() for r in got if r.record_type == "response"} == {big, "", "short", long}
@@ -197,8 +198,8 @@ def test_chat(spark, duck, sf_dir):
     mine = ex.where("conv_id = 1").orderBy("example").collect()
     assert [r.example for r in mine] == [2, 3, 4] and mine[0].formatted[mine[0].loss_start :][: mine[0].loss_chars] == "b\\\\" and mine[2].loss_chars == 0
     assert chat.digests(df.limit(0)).count() == 0
-    plan = ex._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    plan = chat.digests(chat.with_probe(table(spark, sf_dir, "conversations")))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "LogicalRDD" not in plan and "ExistingRDD" not in plan
 
 
 def brute_nearest(ids, x, q, k):
