@@ -179,11 +179,12 @@ def compared(segments: DataFrame) -> DataFrame:
             last = np.append(new[1:], True) if len(doc) else new
             return ranges(doc[new], start[new], start[last] + SPAN)
 
-        def ended() -> pa.RecordBatch | None:
+        again: list[tuple[int, int, int]] = []
+
+        def ended() -> None:
             """Of equal segments the first is compared with the others; the later ones repeat it as a whole."""
             nonlocal size
             first: dict[bytes, tuple[int, int]] = {}
-            again = []
             for _, id_, a, raw in group:
                 known = first.get(raw)
                 if known is None or (id_, a) < known:
@@ -197,24 +198,24 @@ def compared(segments: DataFrame) -> DataFrame:
             if len(first) > 1:
                 held.extend((*at, raw) for raw, at in first.items())
                 size += sum(map(len, first))
-            return ranges(*zip(*again, strict=True)) if again else None
 
         for b in batches:
-            made = []
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and row[0] != group[0][0]:
-                    made.append(ended() if len(group) > 1 else None)  # else no other segment has its anchor
+                    if len(group) > 1:  # else no other segment has its anchor
+                        ended()
                     group = []
                     if size >= CHUNK_BYTES:
                         yield flush()
                         held, size = [], 0
                 group.append(row)
-            made = [x for x in made if x is not None]
-            if made:
-                yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
-        last = ended() if len(group) > 1 else None
-        if last is not None:
-            yield last
+            if again:
+                yield ranges(*zip(*again, strict=True))
+                again = []
+        if len(group) > 1:
+            ended()
+        if again:
+            yield ranges(*zip(*again, strict=True))
         if held:
             yield flush()
 

@@ -53,8 +53,15 @@ def _sort_small(small: np.ndarray, key: np.ndarray, left: np.ndarray, most: int
     while len(active) and (most is None or depth < most):
         at = order[active]
         g, v = group[active], key[np.minimum(at + depth, len(key) - 1)]
-        by = np.lexsort((v, g))
-        order[active], g, v = at[by], g[by], v[by]
+        start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        count = np.diff(np.append(start, len(g)))
+        first = start[count == 2]  # most groups are pairs
+        first = first[v[first] > v[first + 1]]
+        by = np.arange(len(g))
+        by[first], by[first + 1] = first + 1, first
+        more = np.flatnonzero(np.repeat(count > 2, count))
+        by[more] = more[np.lexsort((v[more], g[more]))]
+        order[active], v = at[by], v[by]
         # ties of a group are neighbours again; those of other groups stay apart
         new = np.append(True, (g[1:] != g[:-1]) | (v[1:] != v[:-1]))
         run = np.cumsum(new) - 1
