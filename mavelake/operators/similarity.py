@@ -2,7 +2,9 @@
 
 A Hamming radius d over strings of one length is an equi-join: cut each string into d + 1 blocks, and two strings within d
 agree in at least one of them. Candidates that share a block are then verified, so results are exact and only strings that
-share a block ever meet. Each string sits in d + 1 blocks, whatever its number of neighbours.
+share a block ever meet. Each string sits in d + 1 blocks, whatever its number of neighbours. Edit distances and shifts have
+the same join with blocks that may have moved. Nearest distances by these two compare all pairs of distinct strings, as their
+radius has no small bound.
 """
 
 from __future__ import annotations
@@ -45,15 +47,27 @@ def hamming_pairs(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
     return found.withColumn("dist", hamming(F.col("a"), F.col("b"))).where(F.col("dist") <= d)
 
 
+def edit_pairs(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
+    """Candidates (a, b) that hold all strings a of left and b of right within edit distance d.
+
+    Of the d + 1 blocks of a, one is in b unchanged, at most d places away from where it is in a, and the lengths differ by at
+    most d: so b is listed by what it has at all those places, for all those lengths."""
+    one = left.select(F.col("s").alias("a"), F.explode(blocks(F.col("s"), d)).alias("k")).select("a", "k.*")
+    block = f"""transform(sequence(greatest(0, length(b) - {d}), length(b) + {d}), n -> transform(sequence(0, {d}), i -> transform(sequence(-{d}, {d}), o ->
+        struct(n, i, cast(floor(n * i / {d + 1}) AS int) + o AS at, cast(floor(n * (i + 1) / {d + 1}) AS int) - cast(floor(n * i / {d + 1}) AS int) AS size))))"""
+    places = right.select(F.col("s").alias("b")).select("b", F.explode(F.expr(f"filter(flatten(flatten({block})), x -> x.at >= 0 AND x.at + x.size <= length(b))")).alias("x"))
+    two = places.selectExpr("b", "x.n", "x.i", "substring(b, x.at + 1, x.size) AS block").distinct()
+    return one.join(two, ["n", "i", "block"]).select("a", "b").distinct()
+
+
 def similarity_search(strings: DataFrame, queries: DataFrame, tol: int, name: str = "hamming", col: str = "s") -> DataFrame:
     """(query, match, dist) for all distinct strings within tol of each query."""
     metric(name)
     s, q = (x.select(F.col(col).alias("s")).distinct() for x in (strings, queries))
     if name == "hamming":
         return hamming_pairs(q, s, tol).toDF("query", "match", "dist")
-    # other metrics: lengths bound the distance from below
-    near = F.abs(F.length("query") - F.length("match")) <= tol
-    both = q.toDF("query").join(s.toDF("match"), near)
+    # a shift by k costs 2 k, as much as k insertions and k deletions: no distance is below the edit distance
+    both = edit_pairs(q, s, tol).toDF("query", "match")
     return both.withColumn("dist", METRICS[name](F.col("query"), F.col("match"))).where(F.col("dist") <= tol)
 
 

@@ -27,6 +27,21 @@ def files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     return sorted(n for n in (re.sub("^file:/(?!/)", "file:///", x.getPath().toString()) for x in found) if n.endswith(suffix))
 
 
+def concatenate(spark: SparkSession, folder: str, suffix: str, target: str) -> None:
+    """Put the files of a folder together as one, in order of their names, and delete the folder."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    goal = hadoop.fs.Path(target)
+    out = goal.getFileSystem(conf).create(goal, True)
+    for name in files(spark, folder, suffix):
+        part = hadoop.fs.Path(name)
+        source = part.getFileSystem(conf).open(part)
+        hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+        source.close()
+    out.close()
+    where = hadoop.fs.Path(folder)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to a new path in the shared folder and read it again."""
     where = path(df.sparkSession)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans import scratch
+
 READS = "file_idx int, read_idx long, seq1 string, qual1 string, seq2 string, qual2 string"
 BATCH = 20_000
 
@@ -115,7 +117,11 @@ def fastq_lines(filtered: DataFrame, mate: int) -> DataFrame:
 
 
 def write_filtered(filtered: DataFrame, forward: str, reverse: str | None = None) -> None:
-    """Gzip FASTQ of the filtered reads: a folder of part files named as the output."""
+    """Gzip FASTQ of the filtered reads, one file for each mate: tasks write gzip members, which are then put one after the other
+    (a stream of bytes of bounded buffer; a single file has a single writer)."""
+    spark = filtered.sparkSession
     for mate, path in ((1, forward), (2, reverse)):
         if path:
-            fastq_lines(filtered, mate).write.mode("overwrite").option("compression", "gzip").text(path)
+            parts = scratch.path(spark)
+            fastq_lines(filtered, mate).write.option("compression", "gzip").text(parts)
+            scratch.concatenate(spark, parts, ".gz", path)

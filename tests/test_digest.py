@@ -50,8 +50,9 @@ def test_digest_invariants(spark, tmp_path):
     assert list(table.mutantName) == sorted(table.mutantName)
     e = one.errorStatistics.toPandas()
     assert len(e) == 100 and e.nbrMatchForward.sum() + e.nbrMismatchForward.sum() == 4 * f.nbrRetained
-    lost = spark.read.text(str(tmp_path / "lost.fastq.gz")).count()
-    assert lost == 4 * (f.nbrTotal - f.nbrRetained)
+    with gzip.open(tmp_path / "lost.fastq.gz", "rt") as lines:  # one file, as any tool reads it
+        lost = lines.read().split("\n")[:-1]
+    assert len(lost) == 4 * (f.nbrTotal - f.nbrRetained) and all(x.startswith("@S") for x in lost[::4]) and {(a, b) for a, b in zip(lost[1::4], lost[3::4], strict=True)} <= set(reads)
     # the same reads in two files, and twice
     a, b = write(tmp_path / "b.fastq.gz", reads[:77]), write(tmp_path / "c.fastq.gz", reads[77:])
     two = D.digest_fastqs(spark, fastqForward=[a, b], **ARGS)

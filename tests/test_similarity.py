@@ -89,7 +89,13 @@ def test_search(spark):
     df = spark.createDataFrame([(s,) for s in seqs], "s string")
     got = {(r.query, r.match) for r in S.similarity_search(df, df, 2).collect()}
     assert got == {(a, b) for a in seqs for b in seqs if sum(x != y for x, y in zip(a, b, strict=True)) <= 2}
-    assert S.similarity_search(df, df.limit(3), 1, "levenshtein").count() >= 1
+    some = [*seqs[:25], "", "A", "CA", "ACACACACACAC", *(x[:k] + x[k + 1 :] for k, x in enumerate(seqs[:9]))]
+    of = spark.createDataFrame([(x,) for x in some], "s string")
+    for tol in (0, 1, 2):
+        got = {(r.query, r.match) for r in S.similarity_search(df, of, tol, "levenshtein").collect()}
+        assert got == {(a, b) for a in some for b in seqs if plain_levenshtein(a, b) <= tol}
+    got = {(r.query, r.match) for r in S.similarity_search(df, df, 3, "hamming_shift").collect()}
+    assert got == {(a, b) for a in seqs for b in seqs if plain_shift(a, b, -1) <= 3}
 
 
 def test_merge_values(spark):
