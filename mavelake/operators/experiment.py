@@ -9,11 +9,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import scratch
 from ..checks import assert_scalar
+from ..plans import ordered, scratch
 from .digest import DigestResult
 from .similarity import group_similar_sequences
 
@@ -204,6 +204,5 @@ def relabel_mut_positions(se: Experiment, conversionTable: DataFrame, mutNameDel
 
 def knee_ranks(assay: DataFrame) -> DataFrame:
     """Rank of each value within its sample, highest first; ties in order of the variant's name."""
-    w = Window.partitionBy("sample").orderBy(F.desc("value"), "mutantName")
-    return assay.withColumn("idx", F.row_number().over(w))
+    return ordered.running(assay, ["sample"], [F.desc("value"), F.col("mutantName")], F.lit(1), "idx")
 

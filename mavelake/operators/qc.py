@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import assert_scalar, assert_vector
+from ..plans import ordered
 from .experiment import Experiment, knee_ranks
 from .reads import FILTERS
 
@@ -150,8 +151,7 @@ def correlations(wide: DataFrame, samples: list[str], method: str = "pearson") -
     if method == "spearman":
         for s in samples:
             counts = wide.groupBy(F.col(s).alias("_v")).agg(F.count("*").alias("_n"))
-            upto = F.sum("_n").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-            ranks = counts.select("_v", (upto - (F.col("_n") - 1) / 2).alias("_r"))
+            ranks = ordered.running(counts, [], [F.col("_v")], F.col("_n"), "_upto").select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("_r"))
             wide = wide.join(ranks, wide[s] == ranks["_v"]).drop("_v", s).withColumnRenamed("_r", s)
     pairs = [(a, b) for i, a in enumerate(samples) for b in samples[i + 1 :]]
     row = wide.agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs))).select(F.explode(F.array(*(F.struct(F.lit(a).alias("sample1"), F.lit(b).alias("sample2"), F.col(f"c{i}").alias("cor")) for i, (a, b) in enumerate(pairs)))).alias("r"))

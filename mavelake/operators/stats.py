@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..checks import assert_scalar, assert_vector
 from ..functions import special
+from ..plans import ordered
 from ..plans.scratch import cut
 from .experiment import Experiment
 
@@ -70,14 +71,13 @@ def calculate_fitness_score(se: Experiment, pairingCol: str, ODCols: list[str],
 def adjust_bh(df: DataFrame, p_col: str, out: str) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values.
 
-    The running minimum needs an order over all rows, so only distinct p-values with their counts pass one window.
+    Only distinct p-values with their counts are put in order, range by range.
     """
     counts = df.where(F.col(p_col).isNotNull()).groupBy(F.col(p_col).alias("_p")).agg(F.count("*").alias("n"))
-    up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("rank", F.sum("n").over(up))
+    ranked = ordered.running(counts, [], [F.col("_p")], F.col("n"), "rank")
     total = F.lit(df.where(F.col(p_col).isNotNull()).count())
-    down = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = ranked.select("_p", F.least(F.lit(1.0), F.min(F.col("_p") * total / F.col("rank")).over(down)).alias(out))
+    adjusted = ordered.running(ranked, [], [F.desc("_p")], F.col("_p") * total / F.col("rank"), "least", F.min)
+    adjusted = adjusted.select("_p", F.least(F.lit(1.0), F.col("least")).alias(out))
     return df.join(adjusted, df[p_col] == adjusted["_p"], "left").drop("_p")
 
 
