@@ -5,6 +5,7 @@ from mavelake.functions import genetics as g
 from mavelake.functions import special
 from mavelake.operators import experiment as X
 from mavelake.operators import similarity as S
+from mavelake.plans import ordered
 from pyspark.sql import functions as F
 
 def words(rng, n, length, letters="ACGT"):
@@ -136,3 +137,17 @@ def test_special_functions():
     assert np.isclose(special.t_quantile(0.975, np.array(10.0)), 2.228138852)
     x = np.linspace(0, 1, 50)
     assert np.allclose(special.lowess(x, 2 * x + 1), 2 * x + 1)
+
+
+def test_running_over_ranges(spark):
+    """Running sums and minima, by group and over all, as one pass over sorted rows has them."""
+    rng = np.random.default_rng(21)
+    rows = [(str(rng.integers(3)), int(x), int(rng.integers(-5, 9))) for x in rng.permutation(200)]
+    df = spark.createDataFrame(rows, "g string, x int, v int").repartition(5)
+    for group in ([], ["g"]):
+        up = ordered.running(df, group, [F.col("x")], F.col("v"), "r")
+        down = ordered.running(df, group, [F.desc("x")], F.col("v"), "r", F.min)
+        for got, back, of in ((up, False, sum), (down, True, min)):
+            for r in got.collect():
+                seen = [v for g, x, v in rows if (not group or g == r.g) and (x >= r.x if back else x <= r.x)]
+                assert r.r == of(seen)
