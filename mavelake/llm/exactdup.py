@@ -308,3 +308,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names)
 
     return whole.unionByName(joined).mapInArrow(common.tidy(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT doc_id, unnest(range(0, greatest(length(hx) // 2 - 99, 0))) AS p, unnest(list_transform(range(0, greatest(length(hx) // 2 - 99, 0)), lambda p: md5(substr(hx, CAST(2 * p + 1 AS INT), 200)))) AS g FROM d),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1 AS again FROM w),
+b AS (SELECT doc_id, unnest(range(0, length(hx) // 2)) AS p, unnest(list_transform(range(0, length(hx) // 2), lambda p: substr(hx, CAST(2 * p + 1 AS INT), 2))) AS h FROM d),
+m AS (SELECT b.doc_id, b.p, h, coalesce(max(CASE WHEN again THEN b.p END) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS UNBOUNDED PRECEDING) >= b.p - 99, false) AS gone FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.p = b.p),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM m),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(h, '' ORDER BY p) FILTER (NOT gone) AS k FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""

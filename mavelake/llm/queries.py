@@ -77,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.ORACLE_SQL,
+    "op4_exact_substrings": exactdup.ORACLE_SQL,
+    "op6_decontamination": decontaminate.ORACLE_SQL,
     "op7_line_dedup": linededup.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
 }

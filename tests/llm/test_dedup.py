@@ -14,6 +14,8 @@ from mavelake.llm import anchors, exactdup, neardup, suffixes
 from mavelake.llm.common import table
 from mavelake.llm.shingles import bags, word_hashes
 
+from ..helpers import same
+
 
 def brute_pairs(docs, threshold=0.8):
     """All pairs of documents whose weighted Jaccard similarity reaches the threshold, from the words themselves."""
@@ -221,6 +223,10 @@ def test_exact_substrings(spark, sf_dir, most, chunk, monkeypatch):
     assert exactdup.digests(df.limit(0)).count() == 0
 
 
+def test_exact_substrings_sql(spark, duck, sf_dir):
+    same(exactdup.digests(table(spark, sf_dir, "documents")).toPandas(), duck.sql(exactdup.ORACLE_SQL).df())
+
+
 def test_exact_substrings_repeated_rows(spark):
     """Rows that repeat an id with its text count as one document."""
     rng = random.Random(1)

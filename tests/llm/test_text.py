@@ -130,6 +130,10 @@ def test_decontamination(spark, block):
     assert decontaminate.digests(d, i.limit(0)).where("contaminated").count() == 0 and decontaminate.digests(d.limit(0), i).count() == 0
 
 
+def test_decontamination_sql(spark, duck, sf_dir):
+    same(decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).toPandas(), duck.sql(decontaminate.ORACLE_SQL).df())
+
+
 @pytest.mark.parametrize("block", [1 << 20, 60])
 def test_decontamination_cuts(spark, block):
     passage = " ".join(f"w{i}" for i in range(12))
