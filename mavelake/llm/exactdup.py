@@ -251,11 +251,12 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segments, shared, tables = own.where("key IS NOT NULL"), GRAM, [own]
     while True:
         many = common.cut(segments.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"), "many")
+        # few keys (at most a row for each MOST segments), which Spark broadcasts where it finds them small: the segments stay put
         if many.isEmpty():
             ranges.append(compared(segments))
             break
-        ranges.append(compared(segments.join(many.hint("merge"), "key", "left_anti")))
-        hot = segments.join(many.hint("merge"), "key", "left_semi").select(NAMES)
+        ranges.append(compared(segments.join(many, "key", "left_anti")))
+        hot = segments.join(many, "key", "left_semi").select(NAMES)
         if shared == SPAN:  # one window a row, all bytes of which a group shares
             hot = common.cut(hot, "equal-windows")
             tables.append(hot)
