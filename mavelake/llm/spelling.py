@@ -100,7 +100,7 @@ def _halves(rows: DataFrame) -> DataFrame:
     """Each row's two buckets that fix half of the middle (all but `a` characters in front and `b` behind)."""
     h = F.expr("(m - a - b) div 2").cast("int")
     both = F.array(F.struct((F.col("a") + h).alias("a"), F.col("b").alias("b")), F.struct(F.col("a").alias("a"), (F.col("m") - F.col("a") - h).alias("b")))
-    rows = rows.select("word", "n", "m", F.explode(both).alias("x")).select("word", "n", "m", "x.a", "x.b")
+    rows = rows.select("word", "n", "m", F.explode(F.array_distinct(both)).alias("x")).select("word", "n", "m", "x.a", "x.b")
     # a hash may put two buckets together, which only adds words that are then told apart
     return rows.withColumn("key", F.expr("xxhash64(m, a, b, substring(word, 1, a), substring(word, length(word) - b + 1, b))"))
 
@@ -109,7 +109,7 @@ def buckets(words: DataFrame, scratch: common.Scratch, most: int = BUCKET) -> Da
     """(key, m, a, b, word, n): every word with the buckets that it is indexed in, none of more than `most` words unless one
     character is left of its middle. m is the length of the shorter word of the bucket's pairs."""
     n = F.length("word")
-    rows = words.select("word", "n", F.explode(F.array(n, n - 1)).alias("m")).where("m > 0").select("word", "n", "m", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    rows = words.select("word", "n", F.explode(F.array(n, n - 1)).alias("m")).where("m >= 0").select("word", "n", "m", F.lit(0).alias("a"), F.lit(0).alias("b"))
     rows = scratch.cut(_halves(rows), "buckets")
     kept = []
     while True:
