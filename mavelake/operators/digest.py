@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.genetics import hamming
 from ..plans import scratch
 from ..sources.fastq import read_fastq, write_filtered
 from ..spec import DigestSpec
 from .cascade import CONST, COUNTS, TEXT, BatchDigester, cut, flat, spread
 from .reads import FILTERS, LABELS, QUALITY_OFFSET, Digester
+from .similarity import collapse_umis
 
 log = logging.getLogger(__name__)
 
@@ -89,11 +89,6 @@ def _set(c: str | Column) -> Column:
     return F.array_join(F.array_sort(F.collect_set(c)), ",")
 
 
-def collapse_umis(umis: Column, tolerance: Column | int) -> Column:
-    """In order, an UMI is kept unless one that is kept already is within the tolerance."""
-    return F.aggregate(F.array_sort(umis), F.array().cast("array<string>"), lambda kept, u: F.when(F.exists(kept, lambda k: hamming(k, u) <= tolerance), kept).otherwise(F.concat(kept, F.array(u))))
-
-
 def summary_table(outcome: DataFrame, umi_max_dist: float = 0) -> DataFrame:
     """A row per variant, in order of its name."""
     kept = outcome.where("failure = ''")
@@ -121,7 +116,7 @@ def summary_table(outcome: DataFrame, umi_max_dist: float = 0) -> DataFrame:
         if umi_max_dist < 1:  # a share of the length of the first UMI of the first variant
             first = one.agg(F.min(F.struct("mutantName", "umi")).alias("f")).collect()[0].f
             tolerance = int(umi_max_dist * len(first.umi)) if first else 0
-        umis = one.groupBy("mutantName").agg(F.size(collapse_umis(F.collect_list("umi"), tolerance)).cast("long").alias("nbrUmis"))
+        umis = collapse_umis(one, tolerance, ["mutantName"]).groupBy("mutantName").agg(F.count("*").alias("nbrUmis"))
     table = table.join(umis, "mutantName", "left").withColumn("nbrUmis", F.coalesce("nbrUmis", F.lit(0)).cast("long"))
     order = ["mutantName", "sequence", "nbrReads", "maxNbrReads", "nbrUmis", "nbrMutBases", "nbrMutCodons", "nbrMutAAs", "varLengths", "mutantNameBase", "mutantNameCodon", "mutantNameBaseHGVS", "mutantNameAA", "mutantNameAAHGVS", "mutationTypes", "sequenceAA"]
     return table.select(order).orderBy("mutantName")

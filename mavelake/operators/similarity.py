@@ -1,10 +1,10 @@
 """Similarity joins over strings: search, nearest distance, and greedy grouping.
 
-A Hamming radius d over strings of one length is an equi-join: cut each string into d + 1 blocks, and two strings within d
-agree in at least one of them. Candidates that share a block are then verified, so results are exact and only strings that
-share a block ever meet. Each string sits in d + 1 blocks, whatever its number of neighbours. Edit distances and shifts have
-the same join with blocks that may have moved. Nearest distances by these two compare all pairs of distinct strings, as their
-radius has no small bound.
+A Hamming radius over strings of one length is an equi-join (see `neighbours`). Edit distances and shifts have one with d + 1
+blocks that may have moved. Candidates are verified, so results are exact. Nearest distances by these two compare all pairs of
+distinct strings, as their radius has no small bound.
+
+Greedy choices in an order (groups of similar sequences, UMIs that count once) run as rounds over the table of near pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genetics import hamming, hamming_shift
 from ..plans.scratch import cut
+from .neighbours import hamming_pairs
 
 INT_MAX = 2147483647
 METRICS = {"hamming": hamming, "hamming_shift": hamming_shift, "levenshtein": F.levenshtein}
@@ -39,14 +40,6 @@ def blocks(s: Column, d: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(d)), one)
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
-    """(a, b, dist) for strings a of left (column s) and b of right within Hamming distance d; equal ones included."""
-    one = left.select(F.col("s").alias("a"), F.explode(blocks(F.col("s"), d)).alias("k"))
-    two = right.select(F.col("s").alias("b"), F.explode(blocks(F.col("s"), d)).alias("k"))
-    found = one.join(two, "k").select("a", "b").distinct()
-    return found.withColumn("dist", hamming(F.col("a"), F.col("b"))).where(F.col("dist") <= d)
-
-
 def edit_pairs(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
     """Candidates (a, b) that hold all strings a of left and b of right within edit distance d.
 
@@ -103,14 +96,44 @@ def nearest_string_dist(strings: DataFrame, name: str = "hamming", id_col: str =
     return base.join(found, "s", "left").select("id", F.coalesce("dist", F.lit(INT_MAX)).cast("int").alias("dist"))
 
 
-def group_similar_sequences(sequences: DataFrame, max_dist: float = 0, min_score: float = 0, min_ratio: float = 0, seq_col: str = "sequence", score_col: str = "score") -> DataFrame:
+def settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(s, rep): the outcome of going through all nodes s in an order, where a node that isn't taken yet takes all later ones
+    that an edge (q, prio, s) from it leads to; prio is q's place in the order. Nodes that aren't taken have themselves as rep.
+
+    In parallel: of the earlier nodes that may take it, a node looks at the first that isn't known to be taken itself. If there
+    is none it isn't taken; if that one is known not to be taken, it is taken by it; else it waits for the next round."""
+    state = nodes.select("s", F.lit(None).cast(nodes.schema["s"].dataType).alias("rep"))
+    while True:
+        q_state = state.select(F.col("s").alias("q"), F.col("rep").alias("q_rep"))
+        open_in = edges.join(q_state, "q").where(F.col("q_rep").isNull() | (F.col("q_rep") == F.col("q")))
+        first = open_in.groupBy("s").agg(F.min(F.struct("prio", "q", "q_rep")).alias("f"))
+        decided = F.when(F.col("f").isNull(), F.col("s")).when(F.col("f.q_rep").isNotNull(), F.col("f.q"))
+        state = cut(state.join(first, "s", "left").select("s", F.coalesce("rep", decided).alias("rep")))
+        if state.where("rep IS NULL").isEmpty():
+            return state
+
+
+def collapse_umis(umis: DataFrame, tolerance: int, by: list[str]) -> DataFrame:
+    """(by, umi): the distinct UMIs of each group that are kept when, in their order, one is kept unless one of its group that
+    is kept already is within the tolerance. No group is gathered: near pairs are an edge table, settled in rounds."""
+    rows = umis.select(*by, "umi").distinct()
+    if tolerance <= 0:
+        return rows
+    # those no longer than the tolerance are all within it: the first of each length is kept
+    short = rows.where(F.length("umi") <= tolerance).groupBy(*by, F.length("umi").alias("n")).agg(F.min("umi").alias("umi")).select(*by, "umi")
+    long = cut(rows.where(F.length("umi") > tolerance).withColumnRenamed("umi", "s"))
+    near = hamming_pairs(long, long, tolerance, by=by).where("a < b")
+    edges = cut(near.select(F.struct(*by, F.col("a").alias("umi")).alias("q"), F.col("a").alias("prio"), F.struct(*by, F.col("b").alias("umi")).alias("s")))
+    kept = settle(long.select(F.struct(*by, F.col("s").alias("umi")).alias("s")), edges).where("s = rep")
+    return kept.select("s.*").union(short)
+
+
+def group_similar_sequences(sequences: DataFrame, max_dist: float = 0, min_score: float = 0, min_ratio: float = 0, seq_col: str = "sequence", score_col: str = "score", parent: str | None = None) -> DataFrame:
     """(sequence, representative): greedy groups around sequences of high score.
 
     In order of score (descending) and sequence, a sequence that isn't taken yet takes all that are left within the distance
-    and whose score times min_ratio isn't above its own; below min_score, all stand alone. In parallel: of the earlier
-    neighbours that may take it, a sequence looks at the first that isn't known to be taken itself. If there is none it is a
-    representative; if that one is known to be a representative, it is taken by it; else it waits for the next round.
-    The first of repeated sequences (highest score) counts.
+    and whose score times min_ratio isn't above its own; below min_score, all stand alone. The first of repeated sequences
+    (highest score) counts. `parent` is the sequence that the others were made from, if known.
     """
     s = sequences.select(F.col(seq_col).alias("s"), F.col(score_col).cast("double").alias("score")).groupBy("s").agg(F.max("score").alias("score"))
     lengths = s.select(F.length("s").alias("n")).distinct().limit(2).collect()
@@ -119,20 +142,17 @@ def group_similar_sequences(sequences: DataFrame, max_dist: float = 0, min_score
     n = (lengths[0].n if lengths else 0) - (1 if s.where(F.contains("s", F.lit("_"))).limit(1).count() else 0)
     tol = int(max_dist if max_dist >= 1 else max_dist * n)
     nodes = cut(s)
-    near = hamming_pairs(nodes.select("s"), nodes.select("s"), min(tol, lengths[0].n if lengths else 0)).where("a <> b").select("a", "b")
+    if lengths and tol >= lengths[0].n:
+        # all are within the distance of all: the first takes whatever its score allows, which is at least what any other may take
+        top = nodes.orderBy(F.desc("score"), "s").limit(1).toDF("top", "top_score")
+        taken = (F.col("top_score") >= min_score) & (F.col("top_score") >= min_ratio * F.col("score"))
+        return nodes.crossJoin(F.broadcast(top)).select(F.col("s").alias("sequence"), F.when(taken, F.col("top")).otherwise(F.col("s")).alias("representative"))
+    near = hamming_pairs(nodes.select("s"), nodes.select("s"), tol, parent).where("a <> b").select("a", "b")
     q, t = nodes.toDF("a", "qs"), nodes.toDF("b", "ts")
     before = (F.col("qs") > F.col("ts")) | ((F.col("qs") == F.col("ts")) & (F.col("a") < F.col("b")))
     allowed = F.col("qs") >= min_ratio * F.col("ts")
     if min_score > 0:
         allowed = allowed & (F.col("qs") >= min_score)
-    edges = cut(near.join(q, "a").join(t, "b").where(before & allowed).select(F.col("a").alias("q"), F.struct((-F.col("qs")).alias("p"), F.col("a").alias("s")).alias("prio"), F.col("b").alias("s")))
-    # rep: null while unknown, itself for a representative, else the one that took it
-    state = nodes.select("s", F.lit(None).cast("string").alias("rep"))
-    while True:
-        q_state = state.select(F.col("s").alias("q"), F.col("rep").alias("q_rep"))
-        open_in = edges.join(q_state, "q").where(F.col("q_rep").isNull() | (F.col("q_rep") == F.col("q")))
-        first = open_in.groupBy("s").agg(F.min(F.struct("prio", "q", "q_rep")).alias("f"))
-        decided = F.when(F.col("f").isNull(), F.col("s")).when(F.col("f.q_rep").isNotNull(), F.col("f.q"))
-        state = cut(state.join(first, "s", "left").select("s", F.coalesce("rep", decided).alias("rep")))
-        if state.where("rep IS NULL").isEmpty():
-            return state.toDF("sequence", "representative")
+    prio = F.struct((-F.col("qs")).alias("p"), F.col("a").alias("s"))
+    edges = cut(near.join(q, "a").join(t, "b").where(before & allowed).select(F.col("a").alias("q"), prio.alias("prio"), F.col("b").alias("s")))
+    return settle(nodes.select("s"), edges).toDF("sequence", "representative")

@@ -163,8 +163,8 @@ def fastq_filter_summary(spark, sf):
 def umi_collapse(spark, sf):
     """The kept UMIs of each variant of the digest, where those within three mismatches count once."""
     u = outcome(spark, sf, "failure", "name", "umi").where("failure = ''").select(F.col("name").alias("mutantName"), "umi").distinct()
-    kept = u.groupBy("mutantName").agg(digest.collapse_umis(F.collect_list("umi"), 3).alias("kept"))
-    return kept.select("mutantName", F.size("kept").cast("long").alias("n"), F.array_join("kept", ",").alias("kept"))
+    kept = similarity.collapse_umis(u, 3, ["mutantName"])
+    return kept.groupBy("mutantName").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("umi")), ",").alias("kept"))
 
 
 def _outcomes(rows: DataFrame, s: DigestSpec) -> DataFrame:
@@ -196,6 +196,24 @@ def similarity_groups(spark, sf):
     return similarity.group_similar_sequences(p, 1, 0, 1)
 
 
+def _variant_scores(spark, sf) -> DataFrame:
+    """The distinct variable parts of the retained reads, all made from one sequence, with their numbers of reads."""
+    o = outcome(spark, sf, "failure", "sequence").where("failure = ''")
+    return o.groupBy("sequence").agg(F.count("*").cast("double").alias("score"))
+
+
+def similarity_groups_variants(spark, sf):
+    """Groups of the digest's own sequences within two bases, of at least 1.5 times the reads of those they take."""
+    return similarity.group_similar_sequences(_variant_scores(spark, sf), 2, 3, 1.5)
+
+
+def variant_neighbours(spark, sf):
+    """How many sequences of the digest are one and two bases away from each."""
+    v = scratch.cut(_variant_scores(spark, sf).select(F.col("sequence").alias("s")))
+    near = similarity.hamming_pairs(v, v, 2, WILD).where("a <> b").groupBy(F.col("a").alias("sequence"))
+    return near.agg(F.count_if(F.col("dist") == 1).alias("n_1"), F.count_if(F.col("dist") == 2).alias("n_2"))
+
+
 def nearest_string_dist(spark, sf):
     return similarity.nearest_string_dist(strings(spark, sf, "supplier", "s_suppkey", 12))
 
@@ -347,7 +365,7 @@ def ql_test(spark, sf):
     return stats.calculate_relative_fc(se, design, coef=2, method="edgeR")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, nearest_string_dist, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
 
 # ---- SQL ----
 R = READS.replace("{lineitem}", "lineitem")
@@ -430,6 +448,13 @@ ORACLE_SQL: dict[str, str] = {
       st AS (SELECT i, s, s AS rep, [{{'s': s, 'v': score}}] AS reps FROM o WHERE i = 1
         UNION ALL SELECT o.i, o.s, coalesce(list_filter(reps, lambda x: hamming(x.s, o.s) <= 1 AND x.v >= o.score)[1].s, o.s), CASE WHEN len(list_filter(reps, lambda x: hamming(x.s, o.s) <= 1 AND x.v >= o.score)) > 0 THEN reps ELSE list_append(reps, {{'s': o.s, 'v': o.score}}) END FROM st JOIN o ON o.i = st.i + 1)
       SELECT s AS sequence, rep AS representative FROM st""",
+    "similarity_groups_variants": "WITH RECURSIVE " + _KEPT.strip().removeprefix("WITH") + """, p AS (SELECT var AS s, count(*) AS score FROM kept GROUP BY 1), o AS (SELECT s, score, row_number() OVER (ORDER BY score DESC, s) AS i FROM p),
+      st AS (SELECT i, s, s AS rep, [{'s': s, 'v': score}] AS reps FROM o WHERE i = 1
+        UNION ALL SELECT o.i, o.s, coalesce(list_filter(reps, lambda x: x.v >= 3 AND x.v >= 1.5 * o.score AND hamming(x.s, o.s) <= 2)[1].s, o.s),
+          CASE WHEN len(list_filter(reps, lambda x: x.v >= 3 AND x.v >= 1.5 * o.score AND hamming(x.s, o.s) <= 2)) > 0 THEN reps ELSE list_append(reps, {'s': o.s, 'v': o.score}) END FROM st JOIN o ON o.i = st.i + 1)
+      SELECT s AS sequence, rep AS representative FROM st""",
+    "variant_neighbours": _KEPT + """, p AS (SELECT DISTINCT var AS s FROM kept) SELECT a.s AS sequence, count(*) FILTER (hamming(a.s, b.s) = 1) AS n_1, count(*) FILTER (hamming(a.s, b.s) = 2) AS n_2
+      FROM p a JOIN p b ON a.s <> b.s WHERE hamming(a.s, b.s) <= 2 GROUP BY 1""",
     "summarize_samples": _KEPT + " SELECT codon AS mutantName, sample, count(DISTINCT umi) AS value FROM kept WHERE sample IN ('A_F', 'R_F') GROUP BY 1, 2",
     "nearest_string_dist": f"WITH s AS (SELECT s_suppkey AS id, {_dna('s_suppkey', 12)} AS s FROM supplier) SELECT a.id, cast(min(hamming(a.s, b.s)) AS int) AS dist FROM s a JOIN s b ON a.id <> b.id GROUP BY a.id",
     "similarity_search": f"WITH p AS (SELECT DISTINCT {_dna('p_partkey', 12)} AS m FROM part), q AS (SELECT DISTINCT {_dna('s_suppkey', 12)} AS q FROM supplier) SELECT q AS query, m AS match, cast(hamming(q, m) AS int) AS dist FROM q, p WHERE hamming(q, m) <= 3",
