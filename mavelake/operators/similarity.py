@@ -9,8 +9,10 @@ Greedy choices in an order (groups of similar sequences, UMIs that count once) r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,21 +98,42 @@ def nearest_string_dist(strings: DataFrame, name: str = "hamming", id_col: str =
     return base.join(found, "s", "left").select("id", F.coalesce("dist", F.lit(INT_MAX)).cast("int").alias("dist"))
 
 
+#: Open edges that one task settles at the end: a fixed number of pairs of ids, whatever the input.
+TAIL = 1 << 18
+
+
 def settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(s, rep): the outcome of going through all nodes s in an order, where a node that isn't taken yet takes all later ones
     that an edge (q, prio, s) from it leads to; prio is q's place in the order. Nodes that aren't taken have themselves as rep.
 
-    In parallel: of the earlier nodes that may take it, a node looks at the first that isn't known to be taken itself. If there
-    is none it isn't taken; if that one is known not to be taken, it is taken by it; else it waits for the next round."""
-    state = nodes.select("s", F.lit(None).cast(nodes.schema["s"].dataType).alias("rep"))
-    while True:
-        q_state = state.select(F.col("s").alias("q"), F.col("rep").alias("q_rep"))
-        open_in = edges.join(q_state, "q").where(F.col("q_rep").isNull() | (F.col("q_rep") == F.col("q")))
-        first = open_in.groupBy("s").agg(F.min(F.struct("prio", "q", "q_rep")).alias("f"))
-        decided = F.when(F.col("f").isNull(), F.col("s")).when(F.col("f.q_rep").isNotNull(), F.col("f.q"))
-        state = cut(state.join(first, "s", "left").select("s", F.coalesce("rep", decided).alias("rep")))
-        if state.where("rep IS NULL").isEmpty():
-            return state
+    In rounds: a node that no open edge leads to isn't taken, and all that it leads to are; both then leave with their edges, so
+    only what is still open goes into the next round. The last TAIL edges are gone through in order. A taken node's rep is the
+    first of those that lead to it and stay."""
+    open_nodes, open_edges = nodes.select("s"), edges
+    rounds = []
+    while open_edges.count() > TAIL:
+        free = cut(open_nodes.join(open_edges.select("s"), "s", "left_anti"))
+        rounds.append(free)
+        gone = cut(free.union(open_edges.join(free.toDF("q"), "q").select("s").distinct()))
+        open_nodes = cut(open_nodes.join(gone, "s", "left_anti"))
+        open_edges = cut(open_edges.join(gone, "s", "left_anti").join(gone.toDF("q"), "q", "left_anti"))
+
+    def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: set = set()
+        for frame in frames:
+            new = []
+            for q, s in zip(frame["q"], frame["s"], strict=True):
+                if q not in taken and s not in taken:  # all that lead to q come before it
+                    taken.add(s)
+                    new.append(s)
+            yield pd.DataFrame({"s": new})
+
+    kind = nodes.schema["s"].dataType.simpleString()
+    taken = cut(open_edges.repartition(1).sortWithinPartitions("prio").select("q", "s").mapInPandas(in_order, f"s {kind}"))
+    rounds.append(open_nodes.join(taken, "s", "left_anti"))
+    stay = cut(reduce(DataFrame.union, rounds).toDF("q"))
+    first = edges.join(stay, "q").groupBy("s").agg(F.min(F.struct("prio", "q")).alias("f"))
+    return nodes.select("s").join(first, "s", "left").select("s", F.coalesce("f.q", "s").alias("rep"))
 
 
 def collapse_umis(umis: DataFrame, tolerance: int, by: list[str]) -> DataFrame:
@@ -121,11 +144,12 @@ def collapse_umis(umis: DataFrame, tolerance: int, by: list[str]) -> DataFrame:
         return rows
     # those no longer than the tolerance are all within it: the first of each length is kept
     short = rows.where(F.length("umi") <= tolerance).groupBy(*by, F.length("umi").alias("n")).agg(F.min("umi").alias("umi")).select(*by, "umi")
-    long = cut(rows.where(F.length("umi") > tolerance).withColumnRenamed("umi", "s"))
-    near = hamming_pairs(long, long, tolerance, by=by).where("a < b")
-    edges = cut(near.select(F.struct(*by, F.col("a").alias("umi")).alias("q"), F.col("a").alias("prio"), F.struct(*by, F.col("b").alias("umi")).alias("s")))
-    kept = settle(long.select(F.struct(*by, F.col("s").alias("umi")).alias("s")), edges).where("s = rep")
-    return kept.select("s.*").union(short)
+    long = cut(rows.where(F.length("umi") > tolerance).select(*by, "umi", F.monotonically_increasing_id().alias("id")))
+    near = hamming_pairs(long.withColumnRenamed("umi", "s"), long.withColumnRenamed("umi", "s"), tolerance, by=by).where("a < b")
+    ids = [long.select(*by, F.col("umi").alias(x), F.col("id").alias(y)) for x, y in (("a", "q"), ("b", "s"))]
+    edges = cut(near.join(ids[0], [*by, "a"]).join(ids[1], [*by, "b"]).select("q", F.col("a").alias("prio"), "s"))
+    kept = settle(long.select(F.col("id").alias("s")), edges).where("s = rep")
+    return long.join(kept.select(F.col("s").alias("id")), "id", "left_semi").select(*by, "umi").union(short)
 
 
 def group_similar_sequences(sequences: DataFrame, max_dist: float = 0, min_score: float = 0, min_ratio: float = 0, seq_col: str = "sequence", score_col: str = "score", parent: str | None = None) -> DataFrame:
