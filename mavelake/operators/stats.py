@@ -2,8 +2,8 @@
 each variant's own fit runs where its row is.
 
 The linear-model path follows the published mean-variance weighting and empirical Bayes moderation. The count path is a
-negative-binomial quasi-likelihood F test with one common dispersion (found by adjusted profile likelihood over all
-variants) and moderated quasi-dispersions; no dispersion trend is fitted, which is a stated difference.
+negative-binomial quasi-likelihood F test at dispersions that follow a trend over abundance (see `dispersion`), with
+quasi-dispersions that are moderated towards a trend of their own.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..checks import assert_scalar, assert_vector
 from ..functions import special
 from ..plans import ordered
 from ..plans.scratch import cut
+from . import dispersion
 from .experiment import Experiment
 
 TREND_BINS = 400
@@ -232,40 +233,11 @@ def _prior_variance(fits: DataFrame, d0: float, s0: float, dof: float, total: fl
     return float(np.clip(np.mean(ratio) if ratio else 0.0, 0.01, 16.0))
 
 
-def _nb_fit(y: np.ndarray, offset: np.ndarray, design: np.ndarray, phi: float, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and means of negative-binomial log-linear fits, all rows at once, by damped Fisher scoring."""
-    off = np.broadcast_to(offset, y.shape)
-    start = np.log(np.maximum(y, 0.1)) - off
-    beta = start @ np.linalg.pinv(design).T
-    eye = 1e-10 * np.eye(design.shape[1])
-    for _ in range(steps):
-        mu = np.exp(np.clip(beta @ design.T + off, -30, 30))
-        w = mu / (1 + phi * mu)
-        a = np.einsum("ij,jk,jl->ikl", w, design, design) + eye
-        g = ((y - mu) / (1 + phi * mu)) @ design
-        step = np.clip(np.linalg.solve(a, g[..., None])[..., 0], -3, 3)
-        beta = beta + step
-        if np.abs(step).max(initial=0) < 1e-8:
-            break
-    beta = np.clip(beta, -30, 30)
-    return beta, np.exp(np.clip(beta @ design.T + off, -30, 30))
-
-
-def _deviance(y: np.ndarray, mu: np.ndarray, phi: float) -> np.ndarray:
-    mu = np.maximum(mu, 1e-10)
-    with np.errstate(all="ignore"):
-        a = np.where(y > 0, y * np.log(y / mu), 0.0)
-    if phi < 1e-8:
-        return 2 * (a - (y - mu)).sum(1)
-    return 2 * (a - (y + 1 / phi) * np.log((1 + phi * y) / (1 + phi * mu))).sum(1)
-
-
 def ql_test(counts: DataFrame, samples: list[str], design: np.ndarray, contrast: np.ndarray, log_lib: np.ndarray, pseudocount: float, trend: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """Quasi-likelihood F test of the contrasts (columns), with one dispersion common to all variants."""
+    """Quasi-likelihood F test of the contrasts (columns), at trended dispersions."""
     n, p = design.shape
     dof, tests = n - p, contrast.shape[1]
     lib = np.exp(log_lib)
-    grid = np.exp(np.linspace(np.log(1e-3), np.log(4), 25))
 
     def off(y: np.ndarray) -> np.ndarray:
         if trend is None:
@@ -273,21 +245,7 @@ def ql_test(counts: DataFrame, samples: list[str], design: np.ndarray, contrast:
         a = np.log(y + 0.5 * lib / lib.mean()).mean(1)
         return log_lib.mean() + np.column_stack([np.interp(a, trend[0], trend[1][:, j]) for j in range(n)])
 
-    def profile(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf[samples].to_numpy(float)
-        y = y[y.sum(1) >= 5]
-        out = []
-        for i, phi in enumerate(grid):
-            if not len(y):
-                continue
-            _, mu = _nb_fit(y, off(y), design, phi)
-            like = (special.gammaln(y + 1 / phi) - special.gammaln(1 / phi) - special.gammaln(y + 1) + y * np.log(phi * mu / (1 + phi * mu)) - np.log1p(phi * mu) / phi).sum(1)
-            _, det = np.linalg.slogdet(np.einsum("ij,jk,jl->ikl", mu / (1 + phi * mu), design, design) + 1e-10 * np.eye(p))
-            out.append((i, float((like - det / 2).sum())))
-        return pd.DataFrame(out, columns=["i", "apl"])
-
-    rows = _map(counts, profile, "i int, apl double").groupBy("i").agg(F.sum("apl").alias("apl")).collect()
-    phi = float(grid[max(rows, key=lambda r: r.apl).i]) if rows else 0.01
+    over, _, own = dispersion.estimate(counts, samples, design, log_lib, off)
     # the null design: the part of the column space that leaves the contrasts at zero
     q = np.linalg.qr(contrast, mode="complete")[0]
     turned = design @ q
@@ -296,27 +254,31 @@ def ql_test(counts: DataFrame, samples: list[str], design: np.ndarray, contrast:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf[samples].to_numpy(float)
         o = off(y)
-        beta, mu = _nb_fit(y, o, design, phi)
+        x = dispersion.abundance(y, lib)
+        phi = over.at(x)[:, None]
+        beta, mu = dispersion.nb_fit(y, o, design, phi)
         if null.shape[1]:
-            _, mu0 = _nb_fit(y, o, null, phi)
+            _, mu0 = dispersion.nb_fit(y, o, null, phi)
         else:
             mu0 = np.broadcast_to(np.exp(o), y.shape)
         add = pseudocount * lib / lib.mean()
-        shrunk, _ = _nb_fit(y + add, np.log(np.exp(np.broadcast_to(o, y.shape)) + 2 * add), design, phi)
-        dev = _deviance(y, mu, phi)
-        return pd.DataFrame({"mutantName": pdf["mutantName"], "logFC": beta @ contrast[:, 0] / np.log(2), "shrunk": shrunk @ contrast[:, 0] / np.log(2), "logCPM": np.log2((y + 2 * add) / (lib + 2 * add) * 1e6).mean(1), "s2": dev / max(dof, 1), "lr": np.maximum(_deviance(y, mu0, phi) - dev, 0)})
+        shrunk, _ = dispersion.nb_fit(y + add, np.log(np.exp(np.broadcast_to(o, y.shape)) + 2 * add), design, phi)
+        dev = dispersion.deviance(y, mu, phi)
+        return pd.DataFrame({"mutantName": pdf["mutantName"], "logFC": beta @ contrast[:, 0] / np.log(2), "shrunk": shrunk @ contrast[:, 0] / np.log(2), "logCPM": np.log2((y + 2 * add) / (lib + 2 * add) * 1e6).mean(1), "x": x, "s2": dev / max(dof, 1), "lr": np.maximum(dispersion.deviance(y, mu0, phi) - dev, 0)})
 
-    fits = cut(_map(counts, fit, "mutantName string, logFC double, shrunk double, logCPM double, s2 double, lr double"))
-    d0, s0 = squeeze(fits, dof)
+    fits = cut(_map(counts, fit, "mutantName string, logFC double, shrunk double, logCPM double, x double, s2 double, lr double"))
+    prior = dispersion.squeeze_over(fits, dof)
+    d0 = prior.df
     total = min(dof + d0, dof * fits.count())
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        post = np.full(len(pdf), s0) if np.isinf(d0) else (d0 * s0 + dof * pdf["s2"]) / (d0 + dof)
+        s0 = prior.variance(pdf["x"].to_numpy())
+        post = s0 if np.isinf(d0) else (d0 * s0 + dof * pdf["s2"]) / (d0 + dof)
         f = pdf["lr"] / tests / np.maximum(post, 1e-12)
         return pd.DataFrame({"mutantName": pdf["mutantName"], "logFC": pdf["logFC"], "logCPM": pdf["logCPM"], "F": f, "PValue": special.f_upper(f, tests, total), "logFC_shrunk": pdf["shrunk"], "df_total": float(total), "df_prior": float(d0), "df_test": float(tests)})
 
-    out = _map(fits, test, "mutantName string, logFC double, logCPM double, F double, PValue double, logFC_shrunk double, df_total double, df_prior double, df_test double")
-    return adjust_bh(cut(out), "PValue", "FDR")
+    schema = "mutantName string, logFC double, logCPM double, F double, PValue double, logFC_shrunk double, df_total double, df_prior double, df_test double"
+    return adjust_bh(cut(_map(fits, test, schema).join(own, "mutantName")), "PValue", "FDR")
 
 
 def calculate_relative_fc(se: Experiment, design: np.ndarray, coef: int | list[int] | None = None, contrast: np.ndarray | None = None, WTrows: list[str] | None = None, selAssay: str = "counts", pseudocount: float = 1, method: str = "edgeR", normMethod: str | None = None) -> DataFrame:
