@@ -7,7 +7,7 @@ documents each pair of ids is linked, takes the highest count of each id on eith
 Texts are cut into chunks where neither tokenizer can join what stands on the two sides: at lone spaces and, in long runs
 without any, where the first has a pre-token boundary and the second has no piece with these two characters in a row. So a
 chunk's tokens, groups and links don't depend on its neighbours, equal chunks are tokenized once per task, and texts of any
-length are worked on in pieces. Only a run in which no such place exists (one letter repeated) is tokenized as a whole.
+length are worked on in pieces. Only a run in which no such place exists (one letter or space repeated) is tokenized as a whole.
 
 Counting: the most frequent pairs, at most HOT_PAIRS of them, are broadcast (a bound on rows, whatever the corpus); all other
 pairs are joined by a shuffle in which no key is frequent, as the frequent ones were taken out. Per-id maxima have a row per
@@ -27,6 +27,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,15 +43,24 @@ from .bpe import SPLIT, printable_bytes
 #: Characters of text in one piece of work, and of a chunk from which on places inside of words are looked for.
 PIECE, LONG = 1 << 20, 1 << 15
 #: Estimated bytes of the chunks that a task remembers.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 128 << 20
 #: Pairs of ids whose counts are broadcast.
 HOT_PAIRS = 1 << 19
 #: Characters that may be white space or invisible to some library: spaces next to them aren't places to cut.
 EDGE = r"\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\u2581\ufeff"
 LONE = re.compile(f"(?<=[^{EDGE}]) (?=[^{EDGE}])")
+SPACE = re.compile(f"[{EDGE}]")
 MARK = "\u2581"
 
 
+def _flat(strings: pa.Array) -> bytes:
+    """The bytes of a new array of strings, one after the other."""
+    if not len(strings):
+        return b""
+    end = np.frombuffer(strings.buffers()[1], np.int32)[len(strings)]
+    return strings.buffers()[2].to_pybytes()[:end]
+
+
 class Aligner:
     """Both tokenizers, what they have made of the chunks met so far, and the groups and links of these."""
 
@@ -108,7 +118,8 @@ class Aligner:
         if len(word) > LONG:
             for m in self.split.finditer(word):
                 end = m.end()
-                if LONG <= end - at and end < len(word) and word[end - 1 : end + 1].replace(" ", MARK) not in self.together:
+                # white space isn't cut from what follows, as it may be split otherwise at the end of a text
+                if LONG <= end - at and end < len(word) and not SPACE.match(word, end - 1) and word[end - 1 : end + 1].replace(" ", MARK) not in self.together:
                     yield [word[at:end]]
                     at = end
         yield [word[at:]]
@@ -121,11 +132,12 @@ class Aligner:
         ids_b = self.b.encode([s[1:] if ok else "\n" + s for s, ok in zip(new, spaced, strict=True)], out_type=int, num_threads=1)
         ids_b = [i if ok else i[2:] for i, ok in zip(ids_b, spaced, strict=True)]
         raw = [s.encode() for s in new]
-        bad = self.differing(raw, ids_a, ids_b)
-        if bad.any():
-            ids_a, ids_b = ([[] if x else i for i, x in zip(ids, bad, strict=True)] for ids in (ids_a, ids_b))
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(new)) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((x for i in ids for x in i), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        bad = self.differing(raw, (self.bytes_a, self.length_a, a, n_a), (self.bytes_b, self.length_b, b, n_b))
+        if bad.any():
+            a, b = (x[~np.repeat(bad, n)] for x, n in ((a, n_a), (b, n_b)))
+            n_a, n_b = (np.where(bad, 0, n) for n in (n_a, n_b))
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         merged, common_ends = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
         link_a, link_b = np.searchsorted(ends_a, merged), np.searchsorted(ends_b, merged)
@@ -140,15 +152,20 @@ class Aligner:
         self.number.update(zip(new, range(start, start + len(new)), strict=True))
         self.held += sum(map(len, raw)) + 8 * len(merged) + 12 * (len(a) + len(b)) + 300 * len(new)
 
-    def differing(self, raw: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> np.ndarray:
-        """For each chunk whether its tokens' bytes aren't the chunk's."""
-        whole = b"".join(raw)
-        if all(b"".join(table.take(pa.array([x for i in ids for x in i], pa.int32())).to_pylist()) == whole for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
-            sizes = [np.fromiter((sum(map(length.__getitem__, i)) for i in ids), np.int64, len(ids)) for length, ids in ((self.length_a, ids_a), (self.length_b, ids_b))]
-            if all((n == [len(r) for r in raw]).all() for n in sizes):
-                return np.zeros(len(raw), bool)
-        joined = [[b"".join(table[x].as_py() for x in i) for i in ids] for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
-        return np.array([x != r or y != r for x, y, r in zip(*joined, raw, strict=True)], bool)
+    def differing(self, raw: list[bytes], *sides: tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """For each chunk whether its tokens' bytes aren't the chunk's; a side: bytes and lengths of ids, ids, and their number."""
+        sizes, whole = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
+        bad = np.zeros(len(raw), bool)
+        for bytes_of, length, ids, n in sides:
+            ends = np.append(0, np.cumsum(length[ids]))
+            cuts = np.append(0, np.cumsum(n))
+            wrong = np.diff(ends[cuts]) != sizes
+            joined = _flat(bytes_of.take(pa.array(ids)))
+            if joined != whole:  # chunk by chunk, only where there is something wrong
+                at = ends[cuts].tolist()
+                wrong |= np.array([joined[x:y] != r for x, y, r in zip(at[:-1], at[1:], raw, strict=True)], bool)
+            bad |= wrong
+        return bad
 
     def spelled(self, a, b, ends_a, ends_b, common_ends, tokens) -> list[bytes]:
         """The groups of each chunk in writing: `a1,a2|b1;a3|b2,b3;`."""
@@ -158,14 +175,14 @@ class Aligner:
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
         text = self.written.take(pa.array(what[order], pa.int32()))
         at = np.frombuffer(text.buffers()[1], np.int32)[: len(text) + 1] if len(text) else np.zeros(1, np.int32)
-        buffer = text.buffers()[2].to_pybytes() if len(text) else b""
+        buffer = _flat(text)
         cuts = at[np.append(0, np.cumsum(tokens))].tolist()
         return [buffer[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
         """Of chunks that are known: summed counts, links with repeats, how many each stands for, and groups."""
         number = self.number
-        at = np.fromiter((number[w] for w in words), np.int64, len(words))
+        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         distinct, times = np.unique(at, return_counts=True)
         table = np.frombuffer(self.counts, np.int64).reshape(-1, 6)[distinct]
         n = table[:, 3]
@@ -173,7 +190,7 @@ class Aligner:
         links = np.frombuffer(self.links, np.int64)[places] if len(self.links) else np.zeros(0, np.int64)
         sums = times @ table[:, [0, 1, 2, 3, 5]]
         groups = self.groups
-        return sums, links, np.repeat(times, n), b"".join([groups[i] for i in at.tolist()])
+        return sums, links, np.repeat(times, n), b"".join(map(groups.__getitem__, at.tolist()))
 
 
 class _Document:
