@@ -21,6 +21,7 @@ from ..plans import ordered
 from ..plans.scratch import cut
 from . import dispersion
 from .experiment import Experiment
+from .selection import order_statistics, quantiles
 
 TREND_BINS = 400
 
@@ -96,27 +97,41 @@ def offsets(counts: DataFrame, samples: list[str], norm: str, wt_rows: list[str]
     return tmm(counts, samples)
 
 
+def tmm_factors(counts: DataFrame, samples: list[str], trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
+    """(sample, library, log_factor): each sample's library size and weighted mean of its log ratios to a reference sample, the
+    one of most typical upper quartile. The shares trim_m of extreme ratios and trim_a of extreme abundances are left out; their
+    cut points are exact order statistics."""
+    spark = counts.sparkSession
+    some = cut(counts.where(F.greatest(*samples) > 0 if len(samples) > 1 else F.col(samples[0]) > 0).select(*(F.col(s).cast("double").alias(s) for s in samples)))
+    lib_row = some.agg(*(F.sum(s).alias(s) for s in samples)).collect()[0]
+    lib = {s: lib_row[s] or 0.0 for s in samples}
+    each = some.select(F.explode(F.array(*(F.struct(F.lit(s).alias("c"), F.col(s).alias("v")) for s in samples))).alias("x")).select("x.*")
+    upper = quantiles(each, 0.75)
+    share = np.array([upper.get(s, 0.0) / max(lib[s], 1) for s in samples])
+    ref = samples[int(np.argmin(np.abs(share - share.mean())))]
+    others = [F.struct(F.lit(s).alias("sample"), F.col(s).alias("x"), F.lit(lib[s]).alias("n")) for s in samples if s != ref]
+    empty = spark.createDataFrame([(s, float(lib[s])) for s in samples], "sample string, library double")  # a row per sample
+    if not others:
+        return empty.withColumn("log_factor", F.lit(0.0))
+    pairs = some.select(F.col(ref).alias("y"), F.explode(F.array(*others)).alias("p")).select("y", "p.*").where("x > 0 AND y > 0")
+    x, y, big = F.col("x") / F.col("n"), F.col("y") / lib[ref], F.lit(lib[ref])
+    var = (F.col("n") - F.col("x")) / F.col("n") / F.col("x") + (big - F.col("y")) / big / F.col("y")
+    rows = cut(pairs.select("sample", F.log2(x / y).alias("m"), ((F.log2(x) + F.log2(y)) / 2).alias("a"), var.alias("v")))
+    sizes = {r["sample"]: r.n for r in rows.groupBy("sample").agg(F.count("*").alias("n")).collect()}
+    both = rows.select(F.explode(F.array(*(F.struct(F.concat_ws(":", F.lit(k), "sample").alias("c"), F.col(k).alias("v")) for k in "ma"))).alias("x")).select("x.*")
+    ends = {f"{k}:{s}": [int(n * t), n - 1 - int(n * t)] for s, n in sizes.items() for k, t in (("m", trim_m), ("a", trim_a))}
+    found = order_statistics(both, ends)
+    cuts = [(s, *(found[f"{k}:{s}", ends[f"{k}:{s}"][i]] for k in "ma" for i in (0, 1))) for s in sizes]
+    limits = spark.createDataFrame(cuts, "sample string, m_low double, m_high double, a_low double, a_high double")
+    kept = rows.join(F.broadcast(limits), "sample").where("m BETWEEN m_low AND m_high AND a BETWEEN a_low AND a_high")
+    means = kept.groupBy("sample").agg((F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v")) * float(np.log(2))).alias("f"))
+    return empty.join(means, "sample", "left").select("sample", "library", F.coalesce("f", F.lit(0.0)).alias("log_factor"))
+
+
 def tmm(counts: DataFrame, samples: list[str], trim_m: float = 0.3, trim_a: float = 0.05) -> np.ndarray:
-    """Log effective library sizes by trimmed means of M values against the sample of most typical upper quartile."""
-    lib_row = counts.agg(*(F.sum(s).alias(s) for s in samples)).collect()[0]
-    lib = np.array([lib_row[s] or 0 for s in samples], float)
-    some = counts.where(F.greatest(*samples) > 0 if len(samples) > 1 else F.col(samples[0]) > 0)
-    q_row = some.agg(*(F.percentile(s, 0.75).alias(s) for s in samples)).collect()[0]
-    q = np.array([q_row[s] for s in samples], float) / lib
-    ref = int(np.argmin(np.abs(q - q.mean())))
-    log_f = np.zeros(len(samples))
-    r = samples[ref]
-    for i, s in enumerate(samples):
-        if i == ref:
-            continue
-        x, y = F.col(s) / lib[i], F.col(r) / lib[ref]
-        ma = some.where((F.col(s) > 0) & (F.col(r) > 0)).select(F.log2(x / y).alias("m"), ((F.log2(x) + F.log2(y)) / 2).alias("a"), ((lib[i] - F.col(s)) / lib[i] / F.col(s) + (lib[ref] - F.col(r)) / lib[ref] / F.col(r)).alias("v"))
-        cuts = ma.agg(F.percentile("m", [trim_m, 1 - trim_m]).alias("m"), F.percentile("a", [trim_a, 1 - trim_a]).alias("a")).collect()[0]
-        if cuts.m is None:
-            continue
-        kept = ma.where(F.col("m").between(*cuts.m) & F.col("a").between(*cuts.a))
-        mean = kept.agg((F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("f")).collect()[0].f
-        log_f[i] = (mean or 0) * np.log(2)
+    """Log effective library sizes by trimmed means of M values; the factors' product is one."""
+    rows = {r["sample"]: r for r in tmm_factors(counts, samples, trim_m, trim_a).collect()}
+    lib, log_f = (np.array([rows[s][c] for s in samples], float) for c in ("library", "log_factor"))
     return np.log(lib) + log_f - log_f.mean()
 
 

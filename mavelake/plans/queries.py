@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import genetics as g
-from ..operators import digest, experiment, link, qc, similarity, stats
+from ..operators import digest, dispersion, experiment, link, qc, similarity, stats
 from ..operators.reads import FILTERS, LABELS
 from ..sources.fastq import read_fastq
 from ..spec import DigestSpec
@@ -331,6 +331,21 @@ def wt_offsets(spark, sf):
     return spark.createDataFrame(rows, "sample string, log_sum double, log_geomean double")
 
 
+def tmm(spark, sf):
+    """Log effective library sizes by trimmed means of log ratios."""
+    wide, samples = _wide(spark, sf)
+    f = stats.tmm_factors(scratch.cut(wide), samples)
+    return f.select("sample", F.round(F.log("library") + F.col("log_factor") - F.avg("log_factor").over(Window.partitionBy()), 6).alias("log_library"))  # a row per sample
+
+
+def dispersions(spark, sf):
+    """Each variant's trended and own dispersion over six samples."""
+    se = _experiment(spark, sf)
+    design = np.array([[1, 0, 0], [1, 0, 0], [1, 1, 0], [1, 1, 0], [1, 0, 1], [1, 0, 1]], float)
+    counts = scratch.cut(se.dense())
+    return dispersion.estimate(counts, se.samples, design, stats.tmm(counts, se.samples))[2]
+
+
 def bh_adjust(spark, sf):
     p = table(spark, sf, "part").selectExpr("p_partkey AS id", "((p_partkey * 7919) % 10007 + 1) / 20000.0D AS p")
     return stats.adjust_bh(p, "p", "padj").select("id", F.round("padj", 9).alias("padj"))
@@ -365,7 +380,7 @@ def ql_test(spark, sf):
     return stats.calculate_relative_fc(se, design, coef=2, method="edgeR")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
 
 # ---- SQL ----
 R = READS.replace("{lineitem}", "lineitem")
@@ -477,6 +492,14 @@ ORACLE_SQL: dict[str, str] = {
     "wt_offsets": _COUNTS + """, w AS (SELECT * FROM dense WHERE mutantName LIKE 'f.1.%' OR mutantName = 'f.0.WT'), ok AS (SELECT mutantName FROM w GROUP BY 1 HAVING min(value) > 0),
       l AS (SELECT avg(ln(t)) AS m FROM (SELECT sum(value) AS t FROM dense GROUP BY sample)), o AS (SELECT sample, ln(sum(value)) AS a, avg(ln(nullif(value, 0))) FILTER (mutantName IN (SELECT mutantName FROM ok)) AS b FROM w GROUP BY sample)
       SELECT sample, round(a - avg(a) OVER () + m, 6) AS log_sum, round(b - avg(b) OVER () + m, 6) AS log_geomean FROM o, l""",
+    "tmm": _COUNTS + """, lib AS (SELECT sample, sum(value)::double AS n, quantile_cont(value, 0.75) / sum(value) AS q FROM dense GROUP BY 1),
+      ref AS (SELECT sample AS rs, n AS rn FROM (SELECT *, row_number() OVER (ORDER BY abs(q - (SELECT avg(q) FROM lib)), sample) AS i FROM lib) WHERE i = 1),
+      p AS (SELECT a.sample, log2((a.value / l.n) / (b.value / rn)) AS m, (log2(a.value / l.n) + log2(b.value / rn)) / 2 AS a, (l.n - a.value) / l.n / a.value + (rn - b.value) / rn / b.value AS v
+        FROM dense a JOIN lib l USING (sample) CROSS JOIN ref JOIN dense b ON b.mutantName = a.mutantName AND b.sample = rs WHERE a.sample <> rs AND a.value > 0 AND b.value > 0),
+      c AS (SELECT sample, list_sort(list(m)) AS ms, list_sort(list(a)) AS xs, count(*) AS k FROM p GROUP BY 1),
+      l AS (SELECT sample, ms[cast(floor(k * 0.3) AS int) + 1] AS m1, ms[cast(k - floor(k * 0.3) AS int)] AS m2, xs[cast(floor(k * 0.05) AS int) + 1] AS a1, xs[cast(k - floor(k * 0.05) AS int)] AS a2 FROM c),
+      f AS (SELECT sample, sum(m / v) / sum(1 / v) * ln(2) AS f FROM p JOIN l USING (sample) WHERE m BETWEEN m1 AND m2 AND a BETWEEN a1 AND a2 GROUP BY 1),
+      g AS (SELECT sample, n, coalesce(f, 0) AS f FROM lib LEFT JOIN f USING (sample)) SELECT sample, round(ln(n) + f - avg(f) OVER (), 6) AS log_library FROM g""",
     "bh_adjust": "WITH p AS (SELECT p_partkey AS id, ((p_partkey * 7919) % 10007 + 1) / 20000.0::double AS p FROM part), r AS (SELECT id, p, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS k, count(*) OVER () AS n FROM p) SELECT id, round(least(1.0, min(p * n / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 9) AS padj FROM r",
     "volcano_points": "WITH r AS (SELECT cast(p_partkey AS varchar) AS mutantName, ((p_partkey * 31) % 200 - 100) / 25.0::double AS x, ((p_partkey * 7919) % 10007 + 1) / 20000.0::double AS p, ((p_partkey * 7919) % 10007 + 1) / 10008.0::double AS fdr FROM part), k AS (SELECT *, row_number() OVER (ORDER BY p, mutantName) AS i FROM r) SELECT mutantName, round(x, 6) AS x, round(-log10(p), 6) AS y, fdr < 0.05 AS significant, i <= 10 AS labelled FROM k",
     "filter_waterfall": ANN + ", f AS (SELECT rf || '_' || ls AS sample, failure, count(*) AS n FROM ann GROUP BY 1, 2), t AS (SELECT sample, sum(n)::bigint AS total FROM f GROUP BY 1), steps(step, i) AS (VALUES " + ", ".join(f"('{s}', {i})" for i, s in enumerate(_STEPS)) + """),
