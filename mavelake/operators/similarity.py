@@ -1,8 +1,7 @@
 """Similarity joins over strings: search, nearest distance, and greedy grouping.
 
 A Hamming radius over strings of one length is an equi-join (see `neighbours`). Edit distances and shifts have one with d + 1
-blocks that may have moved. Candidates are verified, so results are exact. Nearest distances by these two compare all pairs of
-distinct strings, as their radius has no small bound.
+blocks that may have moved. Candidates are verified, so results are exact.
 
 Greedy choices in an order (groups of similar sequences, UMIs that count once) run as rounds over the table of near pairs.
 """
@@ -52,7 +51,13 @@ def edit_pairs(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
         struct(n, i, cast(floor(n * i / {d + 1}) AS int) + o AS at, cast(floor(n * (i + 1) / {d + 1}) AS int) - cast(floor(n * i / {d + 1}) AS int) AS size))))"""
     places = right.select(F.col("s").alias("b")).select("b", F.explode(F.expr(f"filter(flatten(flatten({block})), x -> x.at >= 0 AND x.at + x.size <= length(b))")).alias("x"))
     two = places.selectExpr("b", "x.n", "x.i", "substring(b, x.at + 1, x.size) AS block").distinct()
-    return one.join(two, ["n", "i", "block"]).select("a", "b").distinct()
+    found = one.join(two, ["n", "i", "block"]).select("a", "b").distinct()
+    return found.where(F.size(F.array_except(grams("a"), grams("b"))) <= 2 * d)
+
+
+def grams(s: str) -> Column:
+    """The distinct pairs of adjacent letters of a string; an edit takes two of them away at most."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
 
 
 def similarity_search(strings: DataFrame, queries: DataFrame, tol: int, name: str = "hamming", col: str = "s") -> DataFrame:
@@ -69,32 +74,34 @@ def similarity_search(strings: DataFrame, queries: DataFrame, tol: int, name: st
 def nearest_string_dist(strings: DataFrame, name: str = "hamming", id_col: str = "id", col: str = "s") -> DataFrame:
     """(id, dist): the least distance of each string to any other element; INT_MAX where there is no other.
 
-    For the Hamming metric the radius doubles, and only strings without a neighbour so far go on.
+    The radius doubles, and only strings without a neighbour so far go on. Edit distances and shifts (which are never below the
+    edit distance) look for them by blocks that may have moved, so here too only strings that share something meet, until the
+    radius reaches the length.
     """
     metric(name)
     base = strings.select(F.col(id_col).alias("id"), F.col(col).alias("s"))
     counts = base.groupBy("s").agg(F.count("*").alias("n"))
-    if name != "hamming":
-        other = counts.select(F.col("s").alias("t"))
-        pairs = counts.where("n = 1").join(other, F.col("s") != F.col("t")).groupBy("s").agg(F.min(METRICS[name](F.col("s"), F.col("t"))).alias("dist"))
-        found = counts.where("n > 1").select("s", F.lit(0).alias("dist")).union(pairs)
-    else:
-        all_ = cut(counts.select("s"))
-        lengths = all_.agg(F.max(F.length("s")).alias("m"), F.countDistinct(F.length("s")).alias("k")).collect()[0]
-        if lengths.k and lengths.k > 1:
-            raise ValueError("the Hamming distance needs strings of one length")
-        longest = lengths.m or 0
-        parts = [counts.where("n > 1").select("s", F.lit(0).alias("dist"))]
-        open_ = cut(counts.where("n = 1").select("s"))
-        d = 1
-        while not open_.isEmpty():
-            near = cut(hamming_pairs(open_, all_, min(d, longest)).where("a <> b").groupBy("a").agg(F.min("dist").alias("dist")).toDF("s", "dist"))
-            parts.append(near)
-            if d >= longest:
-                break
-            open_ = cut(open_.join(near, "s", "left_anti"))
-            d *= 2
-        found = reduce(DataFrame.union, parts)
+    all_ = cut(counts.select("s"))
+    lengths = all_.agg(F.max(F.length("s")).alias("m"), F.countDistinct(F.length("s")).alias("k")).collect()[0]
+    if lengths.k and lengths.k > 1 and name == "hamming":
+        raise ValueError("the Hamming distance needs strings of one length")
+    longest = lengths.m or 0  # no distance is above that
+    parts = [counts.where("n > 1").select("s", F.lit(0).alias("dist"))]
+    open_ = cut(counts.where("n = 1").select("s"))
+    d = 1
+    while not open_.isEmpty():
+        within = min(d, longest)
+        if name == "hamming":
+            near = hamming_pairs(open_, all_, within)
+        else:
+            near = edit_pairs(open_, all_, within).where("a <> b").withColumn("dist", METRICS[name](F.col("a"), F.col("b"))).where(F.col("dist") <= within)
+        near = cut(near.where("a <> b").groupBy("a").agg(F.min("dist").alias("dist")).toDF("s", "dist"))
+        parts.append(near)
+        if d >= longest:
+            break
+        open_ = cut(open_.join(near, "s", "left_anti"))
+        d *= 2
+    found = reduce(DataFrame.union, parts)
     return base.join(found, "s", "left").select("id", F.coalesce("dist", F.lit(INT_MAX)).cast("int").alias("dist"))
 
 

@@ -218,6 +218,13 @@ def nearest_string_dist(spark, sf):
     return similarity.nearest_string_dist(strings(spark, sf, "supplier", "s_suppkey", 12))
 
 
+def nearest_by_edits(spark, sf):
+    """The nearest other string by edit distance and by mismatches with shifts."""
+    s = strings(spark, sf, "supplier", "s_suppkey", 12)
+    one, two = (similarity.nearest_string_dist(s, m).withColumnRenamed("dist", m) for m in ("levenshtein", "hamming_shift"))
+    return one.join(two, "id")
+
+
 def similarity_search(spark, sf):
     return similarity.similarity_search(strings(spark, sf, "part", "p_partkey", 12), strings(spark, sf, "supplier", "s_suppkey", 12), 3)
 
@@ -380,7 +387,7 @@ def ql_test(spark, sf):
     return stats.calculate_relative_fc(se, design, coef=2, method="edgeR")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
 
 # ---- SQL ----
 R = READS.replace("{lineitem}", "lineitem")
@@ -472,6 +479,9 @@ ORACLE_SQL: dict[str, str] = {
       FROM p a JOIN p b ON a.s <> b.s WHERE hamming(a.s, b.s) <= 2 GROUP BY 1""",
     "summarize_samples": _KEPT + " SELECT codon AS mutantName, sample, count(DISTINCT umi) AS value FROM kept WHERE sample IN ('A_F', 'R_F') GROUP BY 1, 2",
     "nearest_string_dist": f"WITH s AS (SELECT s_suppkey AS id, {_dna('s_suppkey', 12)} AS s FROM supplier) SELECT a.id, cast(min(hamming(a.s, b.s)) AS int) AS dist FROM s a JOIN s b ON a.id <> b.id GROUP BY a.id",
+    "nearest_by_edits": f"""WITH s AS (SELECT s_suppkey AS id, {_dna('s_suppkey', 12)} AS s FROM supplier),
+      d AS (SELECT a.id, levenshtein(a.s, b.s) AS e, list_min(list_transform(range(-11, 12), lambda k: 2 * abs(k) + hamming(substr(a.s, cast(greatest(k, 0) + 1 AS int), cast(12 - abs(k) AS int)), substr(b.s, cast(greatest(-k, 0) + 1 AS int), cast(12 - abs(k) AS int))))) AS h
+        FROM s a JOIN s b ON a.id <> b.id) SELECT id, cast(min(e) AS int) AS levenshtein, cast(least(12, min(h)) AS int) AS hamming_shift FROM d GROUP BY id""",
     "similarity_search": f"WITH p AS (SELECT DISTINCT {_dna('p_partkey', 12)} AS m FROM part), q AS (SELECT DISTINCT {_dna('s_suppkey', 12)} AS q FROM supplier) SELECT q AS query, m AS match, cast(hamming(q, m) AS int) AS dist FROM q, p WHERE hamming(q, m) <= 3",
     "nearest_reference": f"""WITH n AS (SELECT n_nationkey AS i, {_dna('n_nationkey', 12)} AS r FROM nation), p AS (SELECT p_partkey AS id, {_dna('p_partkey', 12)} AS s FROM part),
       d AS (SELECT id, i, hamming(s, r) AS d FROM p, n), m AS (SELECT id, min(d) AS b FROM d GROUP BY id)
