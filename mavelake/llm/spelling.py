@@ -61,39 +61,55 @@ def index_pairs(words: list[str], q: int = Q) -> Iterator[tuple[int, int, int]]:
     lengths = [len(w) for w in words]
     postings: dict[str, list[tuple[int, int]]] = {}  # gram -> (word, place), ascending
     places: list[dict[str, list[int]]] = []
+    final = len(words) - 1
     for j, w in enumerate(words):
-        grams = [w[p : p + q] for p in range(len(w) - q + 1)]
-        bound = len(w) + 1 - 2 * q
-        first = bisect_left(lengths, len(w) - 1)
-        if bound > 0:
-            # the shortest lists, each from the first word that is long enough
-            lists = sorted(((postings.get(g, ()), p) for p, g in enumerate(grams)), key=lambda x: len(x[0]))[: q + 1]
-            candidates: Iterator[int] = iter(heapq.merge(*(near_places(found, first, p) for found, p in lists if found)))
-        else:
+        n = len(w)
+        grams = [w[p : p + q] for p in range(n - q + 1)]
+        first = bisect_left(lengths, n - 1)
+        candidates: Iterator[int] = iter(())
+        if first < j and n + 1 > 2 * q:
+            lists = [(found, p) for p, g in enumerate(grams) if (found := postings.get(g))]
+            # grams that no word before has are missing in each of them: with more than q, none reaches the bound
+            spare = q + 1 - (len(grams) - len(lists))
+            if spare > 0:
+                if len(lists) > spare:  # the shortest lists, each from the first word that is long enough
+                    lists.sort(key=_size)
+                candidates = heapq.merge(*(near_places(found, first, p) for found, p in lists[:spare]))
+        elif first < j:
             candidates = iter(range(first, j))
         last = -1
         for i in candidates:
             if i == last:
                 continue
             last = i
-            theirs = places[i]
-            if bound > 0:
-                missing = q
-                for p, g in enumerate(grams):
-                    if not any(-1 <= at - p <= 1 for at in theirs.get(g, ())):
-                        missing -= 1
-                        if missing < 0:
-                            break
-                if missing < 0:
-                    continue
+            if n + 1 > 2 * q and not _reaches(places[i], grams, q):
+                continue
             place = edit_place(words[i], w)
             if place is not None:
                 yield i, j, place
-        own: dict[str, list[int]] = {}
-        for p, g in enumerate(grams):
-            own.setdefault(g, []).append(p)
-            postings.setdefault(g, []).append((j, p))
-        places.append(own)
+        if j < final:
+            own: dict[str, list[int]] = {}
+            for p, g in enumerate(grams):
+                own.setdefault(g, []).append(p)
+                postings.setdefault(g, []).append((j, p))
+            places.append(own)
+
+
+def _size(x: tuple[list, int]) -> int:
+    return len(x[0])
+
+
+def _reaches(theirs: dict[str, list[int]], grams: list[str], spare: int) -> bool:
+    """Whether all but so many of the grams are at most one place away in the other word."""
+    for p, g in enumerate(grams):
+        for at in theirs.get(g, ()):
+            if -1 <= at - p <= 1:
+                break
+        else:
+            if not spare:
+                return False
+            spare -= 1
+    return True
 
 
 def _halves(rows: DataFrame) -> DataFrame:
