@@ -42,6 +42,7 @@ FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_returnflag AS rf, l_linestat
 SPEC = dict(elementsForward="SUCV", elementLengthsForward=[1, 10, 18, 96], adapterForward=ADAPTER, wildTypeForward=WILD, constantForward=CONST, forbiddenMutatedCodonsForward="NNW")
 #: Two references and three constants of our own for reads that meet every filter.
 SHORT, SHORT_CONST = ["ACGACGTTGCAA", "ACGACGTTGCTT"], ["GATTCC", "GATACC", "CCTGAA"]
+MATES_OF_ORDERS = [f"{DNA.format('o_orderkey')} AS seq1", f"substr({DNA.format('o_custkey')}, 1, cast(1 + o_orderkey % 31 AS int)) AS seq2"]
 _KEY = "l_orderkey * 10 + l_linenumber AS k"
 _UMI = DNA.format("concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)")
 _BASE = "substr('ACGT', cast(l_suppkey % 4 + 1 AS int), 1) AS b"
@@ -138,14 +139,14 @@ def filtered_reads(spark, sf):
     return digest.filtered_reads(r, digest.annotate(r, spec())).select(F.col("k").alias("read_idx"), "label", "seq1")
 
 
-def _fastq(rows: DataFrame, *mates: str) -> list[list[str]]:
-    """Write reads (columns seq1, qual1, seq2, qual2) as gzip FASTQ files to the shared folder; the files of each mate in order."""
+def _fastq(rows: DataFrame, *mates: str, compression: str = "gzip") -> list[list[str]]:
+    """Write reads (columns seq1, qual1, seq2, qual2) as FASTQ files to the shared folder; the files of each mate in order."""
     out = []
     for m in mates:
         path = scratch.path(rows.sparkSession)
         text = F.concat(F.lit("@r\n"), F.col(f"seq{m}"), F.lit("\n+\n"), F.col(f"qual{m}"))
-        rows.select(text.alias("value")).write.option("compression", "gzip").text(path)
-        out.append(scratch.files(rows.sparkSession, path, ".gz"))
+        rows.select(text.alias("value")).write.option("compression", compression).text(path)
+        out.append(scratch.files(rows.sparkSession, path, ".gz" if compression == "gzip" else ".txt"))
     return out
 
 
@@ -155,6 +156,15 @@ def limit_reads(spark, sf):
     return read_fastq(spark, _fastq(o.orderBy("k"), "1")[0], max_n_reads=1000).select("read_idx", "seq1")
 
 
+def fastq_mates(spark, sf):
+    """Pairs from plain FASTQ files of which several tasks read each: ranges of 64 KB, that aren't at the same record in both."""
+    o = table(spark, sf, "orders").selectExpr("o_orderkey AS k", *MATES_OF_ORDERS).selectExpr("k", "seq1", "repeat('@', length(seq1)) AS qual1", "seq2", "repeat('+', length(seq2)) AS qual2")
+    ordered = o.orderBy("k").persist()  # both mates have the same files
+    files = _fastq(ordered, "1", "2", compression="none")
+    ordered.unpersist()
+    return read_fastq(spark, *files, split_bytes=1 << 16).select("read_idx", "seq1", "seq2", F.length("qual1").alias("n_qual1"), F.length("qual2").alias("n_qual2"))
+
+
 def fastq_filter_summary(spark, sf):
     """From FASTQ files to counters."""
     return digest.digest_fastqs(spark, fastqForward=_fastq(reads(spark, sf), "1")[0], **SPEC).filterSummary
@@ -387,7 +397,7 @@ def ql_test(spark, sf):
     return stats.calculate_relative_fc(se, design, coef=2, method="edgeR")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_mates, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
 
 # ---- SQL ----
 R = READS.replace("{lineitem}", "lineitem")
@@ -444,6 +454,7 @@ ORACLE_SQL: dict[str, str] = {
     "decompose_primer": f"""WITH r AS (SELECT seq1, instr(seq1, '{CONST}') AS a, instr(seq1, 'AAAAAA') AS b FROM ({R}) x), f AS (SELECT seq1, CASE WHEN a > 0 THEN a ELSE b END AS s, CASE WHEN a > 0 THEN 18 ELSE 6 END AS m FROM r)
       SELECT CASE WHEN s = 12 THEN substr(seq1, 2, 10) ELSE '' END AS umi, CASE WHEN s = 12 THEN substr(seq1, s + m) ELSE '' END AS var, CASE WHEN s = 12 THEN cast(length(seq1) - s - m + 1 AS varchar) ELSE '' END AS lengths, CASE WHEN s = 0 THEN 'f2_nbrNoPrimer' WHEN s <> 12 THEN 'f3_nbrReadWrongLength' ELSE '' END AS failure, count(*) AS n FROM f GROUP BY ALL""",
     "limit_reads": f"SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS read_idx, {DNA.format('o_orderkey')} AS seq1 FROM orders ORDER BY o_orderkey LIMIT 1000",
+    "fastq_mates": f"SELECT read_idx, seq1, seq2, length(seq1) AS n_qual1, length(seq2) AS n_qual2 FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS read_idx, {", ".join(MATES_OF_ORDERS)} FROM orders)",
     "filtered_reads": ANN + " SELECT k AS read_idx, CASE failure " + " ".join(f"WHEN '{f}' THEN '{x}'" for f, x in LABELS.items()) + " END AS label, seq1 FROM ann WHERE failure <> ''",
     "fastq_filter_summary": ANN + " SELECT count(*) AS nbrTotal, " + ", ".join(f"count(*) FILTER (failure = '{f}') AS {f}" for f in FILTERS) + ", count(*) FILTER (failure = '') AS nbrRetained FROM ann",
     "filter_outcomes": f"""WITH r AS ({SHORT_READS.replace("{lineitem}", "lineitem")}),

@@ -1,9 +1,9 @@
 """FASTQ files as a Spark data source, and filtered reads as FASTQ output.
 
-A gzip file can't be split, so each file (pair) is one input partition; its mates are read in lock step there, without a
-join, and stop at the shorter one. A record cut off by the end of a file is dropped; a missing final line break is
-accepted. Read ids and the `+` line aren't kept. With `maxNReads`, a single file (pair) stops early; over several, the
-first reads in file order are picked by a running number.
+Mates are read in lock step, without a join, and stop at the shorter one. A record cut off by the end of a file is dropped; a
+missing final line break is accepted. Read ids and the `+` line aren't kept. Plain files and block gzip of more than
+`split_bytes` are read by many tasks (`splits`). Other gzip files can't be split, so each file (pair) is one input partition;
+with `maxNReads`, a single one stops early; over several, the first reads in file order are picked by a running number.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..plans import scratch
+from . import splits
 
 READS = "file_idx int, read_idx long, seq1 string, qual1 string, seq2 string, qual2 string"
 BATCH = 20_000
@@ -30,23 +31,28 @@ def _open(path: str):
 
         system, name = pafs.FileSystem.from_uri(path)
         raw = system.open_input_stream(name, compression=None)
-        return io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, encoding="ascii", newline="")
+        return io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, encoding="ascii", newline="\n")
     if path.endswith(".gz"):
-        return gzip.open(path, "rt", encoding="ascii", newline="")
-    return open(path, encoding="ascii", newline="")
+        return gzip.open(path, "rt", encoding="ascii", newline="\n")
+    return open(path, encoding="ascii", newline="\n")
 
 
 def records(path: str, max_read_length: int) -> Iterator[tuple[str, str]]:
     """Sequence and quality of each complete record."""
     with _open(path) as lines:
-        while True:
-            four = list(itertools.islice(lines, 4))
-            if len(four) < 4:
-                return
-            seq, qual = four[1].rstrip("\r\n"), four[3].rstrip("\r\n")
-            if max(len(seq), len(qual)) > max_read_length:
-                raise ValueError(f"encountered a read exceeding the maximal allowed length of {max_read_length} in {path}")
-            yield seq, qual
+        yield from records_of(lines, path, max_read_length)
+
+
+def records_of(lines: Iterator[str], path: str, max_read_length: int) -> Iterator[tuple[str, str]]:
+    """Sequence and quality of each complete record of lines that begin with one."""
+    while True:
+        four = list(itertools.islice(lines, 4))
+        if len(four) < 4:
+            return
+        seq, qual = four[1].rstrip("\r\n"), four[3].rstrip("\r\n")
+        if max(len(seq), len(qual)) > max_read_length:
+            raise ValueError(f"a read of {path} is longer than maxReadLength, {max_read_length}")
+        yield seq, qual
 
 
 class FilePair(InputPartition):
@@ -89,9 +95,13 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
-def read_fastq(spark: SparkSession, forward: list[str] | str, reverse: list[str] | str | None = None, max_n_reads: int = -1, max_read_length: int = 1024) -> DataFrame:
-    """The reads of one sample; several files (pairs) count as one after the other."""
+def read_fastq(spark: SparkSession, forward: list[str] | str, reverse: list[str] | str | None = None, max_n_reads: int = -1, max_read_length: int = 1024, split_bytes: int = splits.SPLIT_BYTES) -> DataFrame:
+    """The reads of one sample; several files (pairs) count as one after the other. Where a file is split, its line breaks are
+    counted at once, by a job of its own."""
     names = [[x] if isinstance(x, str) else list(x or []) for x in (forward, reverse)]
+    ranges = splits.Ranges.of(*names, split_bytes)
+    if len(ranges.file) > len(ranges.paths):
+        return splits.read_ranges(spark, ranges, len(names[0]), max_n_reads, lambda lines, path: records_of(lines, path, max_read_length), READS, BATCH)
     spark.dataSource.register(FastqSource)
     reader = spark.read.format("fastq").option("forward", "\n".join(names[0])).option("maxReadLength", str(max_read_length))
     if names[1]:

@@ -73,7 +73,7 @@ def test_fastq_source(spark, tmp_path):
     m = tmp_path / "y.fastq"
     m.write_text("@a\nTT\n+\nII")
     assert [(r.seq1, r.seq2) for r in read_fastq(spark, str(p), str(m)).collect()] == [("ACGT", "TT")]
-    with pytest.raises(Exception, match="maximal allowed length"):
+    with pytest.raises(Exception, match="longer than maxReadLength"):
         read_fastq(spark, str(p), max_read_length=3).collect()
 
 
