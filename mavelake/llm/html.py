@@ -23,7 +23,8 @@ its pages' mean number of nodes, not by their number. The branches of a host are
 finds them small.
 
 Defined cases: a null or empty page has an empty text; a null url or one without a host belongs to host ''; pages are read
-whole; unclosed and stray tags are tolerated as browsers do; repeated pages give repeated rows and count as pages of their
+whole, in time that grows as they do; unclosed and stray tags are tolerated as browsers do, a tag that the page's end cuts off is
+dropped, and of an element within more than DEPTH others only the node is its ancestor's, while its text stays; repeated pages give repeated rows and count as pages of their
 site; ties in importance don't matter, as branches are compared with fixed levels; other columns are ignored.
 """
 
@@ -32,6 +33,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,7 +45,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag up to its end, which isn't within a quoted value; a quote that isn't closed is no quote. And up to the first `>`.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
+TAG_START = re.compile(r"</?[a-zA-Z]")
+SHORT_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -55,6 +61,8 @@ NOISE_TAGS = frozenset("nav footer aside form script style noscript template ifr
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side-bar rail widget nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended comment comments discussion disqus reply replies respond form search pagination pager toolbar skip copyright legal".split())
 CONTENT_TAGS = frozenset(["article", "main"])
 GAMMA, LOW, HIGH, MIN_PAGES = 0.9, 0.2, 0.5, 4
+#: Elements below this depth are part of their ancestor's node, and names of nodes longer than NAME are shortened by a hash.
+DEPTH, NAME = 64, 64
 #: What elements say of a block: it is noise outright, perhaps noise, nothing, or text.
 OUTRIGHT, PERHAPS, NOTHING, TEXT = -2, -1, 0, 1
 
@@ -63,13 +71,13 @@ def stated(tag: str, attributes: str, above: int) -> int:
     """What an element says of its blocks, given what those above it say."""
     if above == OUTRIGHT or tag in NOISE_TAGS or (tag == "header" and above != TEXT):  # a header within content holds its headline
         return OUTRIGHT
-    if tag in CONTENT_TAGS:
-        return TEXT
+    out = TEXT if tag in CONTENT_TAGS and above != PERHAPS else above  # an article among comments is one
     if not attributes or tag in ("html", "body"):
-        return above
-    out = above
+        return out
     for m in NAMED.finditer(attributes):
         for name in (m[2] or m[3] or m[4] or "").lower().split():
+            if name == "header" and above == TEXT:
+                continue
             if name in NOISE_WORDS:
                 return OUTRIGHT
             if not NOISE_WORDS.isdisjoint(re.split(r"[-_]+", name)):
@@ -80,7 +88,8 @@ def stated(tag: str, attributes: str, above: int) -> int:
 def label(tag: str, attributes: str) -> str:
     """How a node is named in paths: its tag and classes."""
     names = sorted({x for m in NAMED.finditer(attributes) if m[1].lower() == "class" for x in (m[2] or m[3] or m[4] or "").split()}) if attributes else []
-    return ".".join([tag, *names])
+    name = ".".join([tag, *names]).replace(">", "")
+    return name if len(name) <= NAME else f"{tag[:NAME]}.{zlib.crc32(name.encode(errors='replace')):08x}"
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
@@ -88,7 +97,13 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     out: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str, int]] = []  # tag, path, role
     text: list[str] = []
-    at = 0
+    open_ = Counter[str]()  # elements on the stack
+    at, pattern = 0, TAG
+
+    def close(depth: int) -> None:
+        for tag, _, _ in stack[depth:]:
+            open_[tag] -= 1
+        del stack[depth:]
 
     def end_block() -> None:
         if text:
@@ -100,17 +115,29 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
 
     size = len(page)
     while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = rest.rfind("<")  # a tag that the page's end cuts off
-            text.append(rest[:cut] if cut >= 0 and re.match(r"<[/!a-zA-Z]", rest[cut:] + "a") else rest)
+        start = page.find("<", at)
+        if start < 0:
+            text.append(page[at:])
             break
-        if m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        text.append(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
             continue
+        if page.startswith(("<!", "<?"), start):
+            at = page.find(">", start) + 1 or size
+            continue
+        m = pattern.match(page, start)
+        if m is None and TAG_START.match(page, start):
+            pattern = SHORT_TAG  # quotes leave this tag without an end: it and those after it end at their first `>`
+            m = pattern.match(page, start)
+            if m is None:  # the page's end cuts the tag off
+                break
+        if m is None:
+            text.append("<")
+            at = start + 1
+            continue
+        at = m.end()
         tag, closing = m[2].lower(), m[1]
         if tag in INLINE:
             if tag in ("br", "wbr", "img"):
@@ -118,20 +145,18 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             continue
         end_block()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in CLOSES:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] not in ("p", "td", "th") or tag == "li":
                     break
         elif stack and stack[-1][0] == "p":
-            stack.pop()  # a block element ends a paragraph
+            close(len(stack) - 1)  # a block element ends a paragraph
         _, path, role = stack[-1] if stack else ("", "", NOTHING)
         if tag in RAW:
             e = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -139,7 +164,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             continue
         if tag in VOID:
             continue
-        stack.append((tag, f"{path}>{label(tag, m[3])}", stated(tag, m[3], role)))
+        stack.append((tag, f"{path}>{label(tag, m[3])}" if len(stack) < DEPTH else path, stated(tag, m[3], role)))
+        open_[tag] += 1
     end_block()
     return out
 
@@ -148,9 +174,11 @@ def nodes(found: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
     """The nodes of a page's tree and their presentations."""
     children: dict[str, set[str]] = {}
     for path, _, _ in found:
+        known = path in children
         children.setdefault(path, set())
-        while path:
+        while path and not known:
             above, _, name = path.rpartition(">")
+            known = above in children
             children.setdefault(above, set()).add(name)
             path = above
     return [(path, " ".join(sorted(names))) for path, names in children.items() if path]
