@@ -50,9 +50,22 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return y
 
 
+def scaled(x: np.ndarray, axis: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """x by a power of two, for all of it or each row, so that squares neither overflow nor vanish, and its exponent."""
+    power = np.frexp(np.abs(x).max(axis, keepdims=True, initial=0.0))[1]
+    return np.ldexp(x, -power), power
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x from y; halves, as a difference may be larger than any double."""
+    d, power = scaled(np.ldexp(x, -1) - np.ldexp(y, -1), 1)
+    return np.ldexp(np.sqrt((d**2).sum(1)), power[:, 0] + 1)
+
+
 def cells(x: np.ndarray, probes: int) -> np.ndarray:
     """The best cells of each row in each table, best first: rows x tables x probes."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = scaled(x, 1)[0]
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
     out = []
     for t in range(TABLES):
         y = rotate(unit, t)
@@ -74,23 +87,26 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact best k of x for each query: query, id and Euclidean distance. A query's own id is no candidate."""
     out_q, out_id, out_d = [], [], []
-    norms = (x * x).sum(1)
-    rounding = 8 * (x.shape[1] + 4) * np.finfo(float).eps
+    power = max(int(scaled(part)[1].max(initial=-1100)) for part in (x, q))
+    fair = np.ldexp(x, -power)
+    norms = (fair * fair).sum(1)
+    rounding, vanished = 8 * (x.shape[1] + 4) * np.finfo(float).eps, 8 * (x.shape[1] + 4) * np.finfo(float).tiny
     for lo in range(0, len(q), 256):
         block = q[lo : lo + 256]
-        size = (block * block).sum(1)
-        rough = size[:, None] + norms - 2 * block @ x.T
+        fair_block = np.ldexp(block, -power)
+        size = (fair_block * fair_block).sum(1)
+        rough = size[:, None] + norms - 2 * fair_block @ fair.T
         for i, row in enumerate(rough):
             own = ids == query_ids[lo + i]
             row[own] = np.inf
             n = len(row) - int(own.sum())
             if n > k:
-                slack = rounding * (size[i] + norms)  # how far a rough square can be from the true one
+                slack = rounding * (size[i] + norms) + vanished  # how far a rough square can be from the true one
                 limit = np.partition(row + slack, k - 1)[k - 1]
                 near = np.flatnonzero(row - slack <= limit)
             else:
                 near = np.flatnonzero(~own)
-            d = np.sqrt(((x[near] - block[i]) ** 2).sum(1))
+            d = distances(x[near], block[i])
             best = np.lexsort((ids[near], d))[: k + 1]  # one more, for repeated ids
             out_q.append(np.full(len(best), query_ids[lo + i]))
             out_id.append(ids[near][best])
