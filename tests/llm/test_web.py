@@ -2,6 +2,7 @@
 
 import io
 import math
+import time
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -64,6 +65,31 @@ def test_html_blocks(spark):
     assert html.blocks("") == []
 
 
+def test_html_comments_and_headlines():
+    page = '<article><div class="header"><h1>Title</h1></div><p>text</p></article><section class="comments-area"><article class="comment"><p>reader</p></article></section><div class="user-comments"><article><p>one more</p></article></div>'
+    assert [(text, role == html.TEXT) for _, text, role in html.blocks(page)] == [("Title", True), ("text", True), ("reader", False), ("one more", False)]
+
+
+def test_html_unclosed_quotes():
+    """A quote that isn't closed is no quote; where quotes leave a tag without an end, it ends at its first `>`."""
+    texts = lambda page: [text for _, text, _ in html.blocks(page)]
+    assert texts('<p title="x>hello</p><p>b') == ["hello", "b"]
+    assert texts("<p title=it's>hello</p>") == ["hello"]
+    assert texts('<p title="a>b">hello <b x=\'>\'>bold</b></p>') == ["hello bold"]
+    assert texts('<p a="> <p b=">c') == ["c"]
+    assert texts("a <b and c") == ["a"] and texts("1 < 2 </ 3 <") == ["1 < 2 </ 3 <"] and texts("a<!-- b") == ["a"] and texts("a<!b") == ["a"]
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 166_000, '<a "' * 250_000, '<a b="> "' * 110_000, "<!" * 500_000, "<div>" * 100_000 + "</x>" * 100_000, "</p><p>y" * 120_000])
+def test_html_long_pages(page):
+    """A megabyte of unclosed elements, tags and quotes takes time in proportion."""
+    began = time.process_time()
+    found = html.blocks(page)
+    tree = html.nodes(found)
+    assert time.process_time() - began < 6
+    assert len(found) == max(page.count(">x"), page.count(">y"), '> "' in page) and len(tree) <= html.DEPTH
+
+
 def test_style_tree(spark):
     """What recurs on all pages of a site is dropped; what differs stays."""
     page = lambda i: f'<html><body><div class="top"><div class="x"><p>All rights at Example</p><p>Write to us</p></div></div><div class="body"><div class="y"><p>story {i} {i * 7}</p><p>more of {i}</p></div></div></body></html>'
@@ -254,3 +280,15 @@ def test_ann_edges(spark):
 def test_rotation_keeps_lengths(dim):
     x = np.random.default_rng(dim).normal(size=(10, dim))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 0), axis=1), np.linalg.norm(x, axis=1))
+
+
+@pytest.mark.parametrize("size", [1e160, 1e-200, 1e307])
+def test_nearest_of_any_size(spark, size):
+    """Squares of these components overflow or vanish, but the distances are doubles."""
+    x = np.random.default_rng(8).normal(size=(200, 16)) / 8
+    found = []
+    for by in (1.0, size):
+        df = spark.createDataFrame([(i, [float(c) for c in v * by]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        found.append(ann.search(df, F.col("vec_id") % 100 == 0, k=10).orderBy("query_id", "rank").toPandas())
+    assert len(found[0]) == 20 and (found[0].vec_id == found[1].vec_id).all()
+    assert np.allclose(found[0].score * size, found[1].score, rtol=1e-12, atol=0)
