@@ -64,16 +64,18 @@ def merge_pairs(reads: DataFrame, **options) -> DataFrame:
     return reads.select(F.col("read_idx").cast("long"), "seq1", "qual1", "seq2", "qual2").mapInArrow(run, "read_idx long, merged string, quality string, valid boolean")
 
 
-def nearest_reference(strings: DataFrame, refs: list[str], bound: int) -> DataFrame:
-    """id, idx: the reference with most matches within the bound; -1 none, -2 a tie (columns id, s). The references are few."""
-    from .reads import nearest
+def nearest_reference(strings: DataFrame, refs: list[str], bound: int, index: bool = False) -> DataFrame:
+    """id, idx: the reference with most matches within the bound; -1 none, -2 a tie (columns id, s). The references go to every
+    task; an index of their blocks helps where there are thousands."""
+    from .reads import ReferenceIndex, nearest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        find = ReferenceIndex(refs, bound).nearest if index else lambda t: nearest(t, refs, bound)
         for b in batches:
             texts = b.column(1).to_pylist()
             for t in set(texts) - known.keys():
-                known[t] = nearest(t, refs, bound)
+                known[t] = find(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([known[t] for t in texts], pa.int32())], ["id", "idx"])
 
     return strings.select(F.col("id").cast("long"), "s").mapInArrow(run, "id long, idx int")

@@ -166,6 +166,39 @@ def nearest(seq: str, refs: list[str], bound: int) -> int:
     return -2 if ties > 1 else best
 
 
+class ReferenceIndex:
+    """Many references of which a sequence has few neighbours: within the bound of mismatches, and so in one of bound + 1 blocks,
+    it must agree with a reference of its length. Only those are compared. References of other lengths, or without any match,
+    are no neighbours here; equal references count once, as the last of them."""
+
+    def __init__(self, refs: list[str], bound: int):
+        self.bound, self.exact = bound, {r: i for i, r in enumerate(refs)}
+        self.blocks: dict[tuple[int, int, str], list[int]] = {}
+        self.bytes = {i: np.frombuffer(r.encode(), np.uint8) for r, i in self.exact.items()}
+        for r, i in self.exact.items():
+            for at, piece in self.pieces(r):
+                self.blocks.setdefault((len(r), at, piece), []).append(i)
+
+    def pieces(self, seq: str) -> list[tuple[int, str]]:
+        """Where each block of a sequence begins, and the block."""
+        n = min(self.bound + 1, len(seq))
+        cuts = [len(seq) * i // n for i in range(n + 1)] if n else []
+        return [(a, seq[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def nearest(self, seq: str) -> int:
+        """As nearest: -1 none, -2 a tie."""
+        if seq in self.exact and seq and self.bound >= 0:
+            return self.exact[seq]
+        near = sorted({i for at, piece in self.pieces(seq) for i in self.blocks.get((len(seq), at, piece), ())})
+        if not near:
+            return -1
+        d = (np.stack([self.bytes[i] for i in near]) != np.frombuffer(seq.encode(), np.uint8)).sum(1)
+        least = d.min()
+        if least > self.bound:
+            return -1
+        return -2 if (d == least).sum() > 1 else near[int(d.argmin())]
+
+
 def base_hgvs(positions: list[int], ref: str, var: str) -> str:
     """HGVS of base changes at 1-based positions: those at most two apart are one deletion-insertion."""
     groups: list[list[int]] = []
@@ -206,10 +239,11 @@ class Variant:
 class Comparer:
     """Names sequences by their nearest reference."""
 
-    def __init__(self, refs: dict[str, str], codons_max: int, bases_max: int, forbidden: list[str], delimiter: str, collapse: bool, cache: int = 200_000):
+    def __init__(self, refs: dict[str, str], codons_max: int, bases_max: int, forbidden: list[str], delimiter: str, collapse: bool, cache: int = 200_000, index: bool = False):
         self.names, self.seqs = list(refs), list(refs.values())
         self.codons_max, self.bases_max, self.delimiter, self.collapse = codons_max, bases_max, delimiter, collapse
         self.bound = 3 * codons_max if codons_max != -1 else bases_max
+        self.nearest = ReferenceIndex(self.seqs, self.bound).nearest if index else lambda var: nearest(var, self.seqs, self.bound)
         self.too_many = "f10a_nbrTooManyMutCodons" if codons_max != -1 else "f10b_nbrTooManyMutBases"
         self.forbidden = frozenset(expand_iupac(forbidden))
         self.of = lru_cache(cache)(self._of)
@@ -217,7 +251,7 @@ class Comparer:
     def _of(self, var: str) -> Variant:
         if not self.seqs:
             return Variant(name=var, base=var, codon=var, aa=translate(var)) if var else Variant()
-        at = nearest(var, self.seqs, self.bound)
+        at = self.nearest(var)
         if at < 0:
             return Variant(failure=self.too_many if at == -1 else "f8_nbrTooManyBestWTHits")
         ref, name, d = self.seqs[at], self.names[at], self.delimiter
@@ -309,7 +343,7 @@ class Digester:
         self.spec = s = spec
         side = lambda k: [getattr(s, f"{k}{x}") for x in ("Forward", "Reverse")]
         self.cutters = [Cutter(*x) for x in zip(side("elements"), side("elementLengths"), side("primer"), strict=True)]
-        self.comparers = [Comparer(refs, c, b, forbidden, s.mutNameDelimiter, collapse) for refs, c, b, forbidden, collapse in zip(side("wildType"), side("nbrMutatedCodonsMax"), side("nbrMutatedBasesMax"), side("forbiddenMutatedCodons"), side("collapseToWT"), strict=True)]
+        self.comparers = [Comparer(refs, c, b, forbidden, s.mutNameDelimiter, collapse, index=s.useTreeWTmatch) for refs, c, b, forbidden, collapse in zip(side("wildType"), side("nbrMutatedCodonsMax"), side("nbrMutatedBasesMax"), side("forbiddenMutatedCodons"), side("collapseToWT"), strict=True)]
         self.constants = [ConstantMatcher(*x) for x in zip(side("constant"), side("constantMaxDist"), strict=True)]
         self.translate = lru_cache(200_000)(translate)
 

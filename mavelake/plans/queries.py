@@ -42,6 +42,11 @@ FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_returnflag AS rf, l_linestat
 SPEC = dict(elementsForward="SUCV", elementLengthsForward=[1, 10, 18, 96], adapterForward=ADAPTER, wildTypeForward=WILD, constantForward=CONST, forbiddenMutatedCodonsForward="NNW")
 #: Two references and three constants of our own for reads that meet every filter.
 SHORT, SHORT_CONST = ["ACGACGTTGCAA", "ACGACGTTGCTT"], ["GATTCC", "GATACC", "CCTGAA"]
+_ACGT, _POSITIONS = "(VALUES ('A'), ('C'), ('G'), ('T'))", "(VALUES " + ", ".join(f"({i})" for i in range(24)) + ")"
+_PUT = "substr({0}, 1, cast({1} AS int)) || {2} || substr({0}, cast({1} AS int) + 2)"
+REFERENCES = f"SELECT DISTINCT {_PUT.format('r', 'i', 'b')} AS r FROM (SELECT substr({DNA.format('n_nationkey')}, 1, 24) AS r FROM {{nation}}) n CROSS JOIN {_ACGT} x(b) CROSS JOIN {_POSITIONS} y(i)"
+CHANGED = f"""SELECT k AS id, {_PUT.format('s', 'k % 7', "'C'")} AS s FROM (SELECT k, {_PUT.format('s', 'k % 24', "'A'")} AS s FROM (
+  SELECT c_custkey AS k, {_PUT.format(f"substr({DNA.format('c_nationkey')}, 1, 24)", 'c_custkey % 23', "'G'")} AS s FROM {{customer}}) a) b"""
 MATES_OF_ORDERS = [f"{DNA.format('o_orderkey')} AS seq1", f"substr({DNA.format('o_custkey')}, 1, cast(1 + o_orderkey % 31 AS int)) AS seq2"]
 _KEY = "l_orderkey * 10 + l_linenumber AS k"
 _UMI = DNA.format("concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)")
@@ -244,6 +249,12 @@ def nearest_reference(spark, sf):
     return digest.nearest_reference(strings(spark, sf, "part", "p_partkey", 12), refs, 8)
 
 
+def indexed_reference(spark, sf):
+    """Sequences of customers, up to three bases from their nation's, against all variants of one base of the 25 nations' sequences."""
+    refs = [r.r for r in spark.sql(REFERENCES, nation=table(spark, sf, "nation")).orderBy("r").collect()]  # at most 25 * 73
+    return digest.nearest_reference(spark.sql(CHANGED, customer=table(spark, sf, "customer")), refs, 1, index=True)
+
+
 def merge_pairs(spark, sf):
     """Mates cut from one molecule of 32 bases with an overlap of 12."""
     m = table(spark, sf, "part").selectExpr("p_partkey AS read_idx", f"{DNA.format('p_partkey')} AS m").selectExpr("read_idx", "substr(m, 1, 22) AS seq1", "repeat('I', 22) AS qual1", "substr(m, 11) AS seq2", "repeat('I', 22) AS qual2")
@@ -397,7 +408,7 @@ def ql_test(spark, sf):
     return stats.calculate_relative_fc(se, design, coef=2, method="edgeR")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_mates, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, nearest_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_mates, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, nearest_reference, indexed_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
 
 # ---- SQL ----
 R = READS.replace("{lineitem}", "lineitem")
@@ -497,6 +508,9 @@ ORACLE_SQL: dict[str, str] = {
     "nearest_reference": f"""WITH n AS (SELECT n_nationkey AS i, {_dna('n_nationkey', 12)} AS r FROM nation), p AS (SELECT p_partkey AS id, {_dna('p_partkey', 12)} AS s FROM part),
       d AS (SELECT id, i, hamming(s, r) AS d FROM p, n), m AS (SELECT id, min(d) AS b FROM d GROUP BY id)
       SELECT id, cast(CASE WHEN any_value(b) > 8 THEN -1 WHEN count(*) > 1 THEN -2 ELSE min(i) END AS int) AS idx FROM d JOIN m USING (id) WHERE d = b GROUP BY id""",
+    "indexed_reference": f"""WITH n AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS i FROM ({REFERENCES.replace("{nation}", "nation")})), p AS ({CHANGED.replace("{customer}", "customer")}),
+      d AS (SELECT id, i, hamming(s, r) AS d FROM p, n), m AS (SELECT id, min(d) AS b FROM d GROUP BY id)
+      SELECT id, cast(CASE WHEN any_value(b) > 1 THEN -1 WHEN count(*) > 1 THEN -2 ELSE min(i) END AS int) AS idx FROM d JOIN m USING (id) WHERE d = b GROUP BY id""",
     "merge_pairs": f"SELECT p_partkey AS read_idx, {DNA.format('p_partkey')} AS merged, true AS valid FROM part",
     "summarize_experiment": _KEPT + " SELECT codon AS mutantName, sample, count(DISTINCT umi) AS value FROM kept GROUP BY 1, 2",
     "variant_annotations": _KEPT + " SELECT codon AS mutantName, string_agg(DISTINCT var, ',' ORDER BY var) AS sequence, array_to_string(list_sort(list_distinct(list(nb))), ',') AS nbrMutBases, min(nb) AS minNbrMutBases, max(na) AS maxNbrMutAAs, string_agg(DISTINCT aa, ',' ORDER BY aa) AS mutantNameAA, max(types) AS mutationTypes FROM kept GROUP BY codon",

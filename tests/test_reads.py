@@ -138,6 +138,25 @@ def test_names():
     assert expand_iupac("RTN") == sorted(a + "T" + c for a in "AG" for c in "ACGT")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ACGT", max_size=7), max_size=30), st.text("ACGTN", max_size=7), st.integers(0, 9))
+def test_reference_index(refs, seq, bound):
+    """Against a look at all references of the sequence's length that match it anywhere."""
+    last = {r: i for i, r in enumerate(refs)}
+    near = sorted((sum(map(str.__ne__, seq, r)), i) for r, i in last.items() if len(r) == len(seq))
+    near = [(d, i) for d, i in near if d <= bound and d < len(seq)]
+    want = -1 if not near else -2 if len(near) > 1 and near[0][0] == near[1][0] else near[0][1]
+    assert R.ReferenceIndex(refs, bound).nearest(seq) == want
+
+
+def test_reference_index_in_the_digest():
+    refs = {f"r{i}": r for i, r in enumerate(("ACGACGACG", "TTTACGACG", "ACGACGTTT", "ACGACG"))}
+    plain, index = (R.Comparer(refs, 1, -1, [], ".", False, index=x) for x in (False, True))
+    for var in ("ACGACGACG", "ACGACGACT", "TTTACGTCG", "GGGGGGGGG", "ACGACGACA", "ACTTTTTTT"):
+        assert plain.of(var) == index.of(var)
+    assert index.of("ACGAC").failure == "f10a_nbrTooManyMutCodons"
+
+
 def test_compare():
     ref = "ACGACGACG"
     c = R.Comparer({"f": ref}, 1, -1, ["NNW"], ".", False)
