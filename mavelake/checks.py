@@ -21,7 +21,7 @@ def assert_vector(x: Any, name: str, kind: str | None = None, rng_incl=None, rng
     if x is None:
         if allow_null:
             return
-        raise ValueError(f"'{name}' must not be NULL")
+        raise ValueError(f"'{name}' is needed")
     values = list(x) if isinstance(x, (list, tuple, set)) else [x]
     if kind is not None and kind != "list" and not all(_is(v, kind) for v in values):
         raise TypeError(f"'{name}' must be of class '{kind}'")
@@ -33,19 +33,19 @@ def assert_vector(x: Any, name: str, kind: str | None = None, rng_incl=None, rng
         if rng is not None:
             for v in free:
                 if isinstance(v, float) and math.isnan(v) or not inside(v, *rng):
-                    raise ValueError(f"'{name}' must be within [{rng[0]},{rng[1]}] ({words})" + (f", or one of: {valid}" if valid else ""))
+                    raise ValueError(f"'{name}' takes values from {rng[0]} to {rng[1]} ({words})" + (f" or any of {valid}" if valid else ""))
     if valid is not None and rng_incl is None and rng_excl is None and free:
-        raise ValueError(f"All values in '{name}' must be one of: {', '.join(map(str, valid))}")
+        raise ValueError(f"'{name}' takes only {', '.join(map(str, valid))}")
     if length is not None and len(values) != length:
         raise ValueError(f"'{name}' must have length {length}")
     if rng_len is not None and not rng_len[0] <= len(values) <= rng_len[1]:
-        raise ValueError(f"length of '{name}' must be within [{rng_len[0]},{rng_len[1]}]")
+        raise ValueError(f"'{name}' takes {rng_len[0]} to {rng_len[1]} values")
 
 
 def assert_scalar(x: Any, name: str, kind: str | None = None, allow_null: bool = False, **rules: Any) -> None:
     """As assert_vector, for one value."""
     if x is None and not allow_null:
-        raise ValueError(f"'{name}' must not be NULL")
+        raise ValueError(f"'{name}' is needed")
     if x is not None and isinstance(x, (list, tuple, set)):
         if len(x) != 1:
             raise ValueError(f"'{name}' must have length 1")
@@ -56,4 +56,4 @@ def assert_scalar(x: Any, name: str, kind: str | None = None, allow_null: bool =
 def assert_packages_available(names: Iterable[str]) -> None:
     missing = [n for n in names if importlib.util.find_spec(n) is None]
     if missing:
-        raise ImportError(f"The package(s) {', '.join(missing)} must be installed for this")
+        raise ImportError(f"this needs the packages {', '.join(missing)}")

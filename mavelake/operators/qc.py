@@ -247,9 +247,9 @@ def generate_qc_report(se: Experiment, outFile: str, reportTitle: str = "QC repo
     assert_scalar(reportTitle, "reportTitle", "character")
     assert_scalar(forceOverwrite, "forceOverwrite", "logical")
     if not outFile.endswith(".html"):
-        raise ValueError("'outFile' must have the file extension '.html'")
+        raise ValueError("'outFile' must end with .html")
     if os.path.exists(outFile) and not forceOverwrite:
-        raise FileExistsError(f"{outFile} already exists and 'forceOverwrite' is FALSE, stopping.")
+        raise FileExistsError(f"{outFile} is there already, and 'forceOverwrite' is off")
     os.makedirs(os.path.dirname(os.path.abspath(outFile)), exist_ok=True)
 
     def overview() -> str:

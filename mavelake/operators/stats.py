@@ -8,6 +8,7 @@ quasi-dispersions that are moderated towards a trend of their own.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -299,7 +300,11 @@ def ql_test(counts: DataFrame, samples: list[str], design: np.ndarray, contrast:
 def calculate_relative_fc(se: Experiment, design: np.ndarray, coef: int | list[int] | None = None, contrast: np.ndarray | None = None, WTrows: list[str] | None = None, selAssay: str = "counts", pseudocount: float = 1, method: str = "edgeR", normMethod: str | None = None) -> DataFrame:
     """One row per variant. Columns with a dot in their public names have an underscore here (P_Value, df_total ...)."""
     normMethod = normMethod or ("TMM" if WTrows is None else "sum")
-    assert_scalar(selAssay, "selAssay", "character", valid_values=se.assay_names())
+    names = se.assay_names()
+    if names == [""] and selAssay:
+        warnings.warn("the only assay has no name: it is taken for 'selAssay'", stacklevel=2)
+        selAssay = ""
+    assert_scalar(selAssay, "selAssay", "character", valid_values=names)
     design = np.asarray(design, float)
     if len(design) != len(se.samples):
         raise ValueError(f"'design' has {len(design)} rows for {len(se.samples)} samples")
@@ -313,9 +318,9 @@ def calculate_relative_fc(se: Experiment, design: np.ndarray, coef: int | list[i
         raise ValueError("normMethod 'csaw' needs method 'edgeR'")
     assert_scalar(normMethod, "normMethod", "character", valid_values=["csaw", "TMM", "geomean", "sum"])
     if coef is None and contrast is None:
-        raise ValueError("'coef' and 'contrast' can not both be NULL.")
+        raise ValueError("a test takes 'coef' or 'contrast'")
     if contrast is not None and np.ndim(contrast) != 1:
-        raise ValueError("'contrast' must be a vector.")
+        raise ValueError("'contrast' takes one number for each column of 'design'")
     if WTrows is not None:
         known = {r.mutantName for r in se.row_data.where(F.col("mutantName").isin(list(WTrows))).select("mutantName").collect()}
         assert_vector(list(WTrows), "WTrows", "character", valid_values=known)

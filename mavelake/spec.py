@@ -106,7 +106,7 @@ class DigestSpec:
                 if "://" not in path and not os.path.exists(path):
                     raise FileNotFoundError(f"'{path}' does not exist")
         if self.fastqReverse and len(self.fastqForward) != len(self.fastqReverse):
-            raise ValueError("'fastqForward' and 'fastqReverse' must have the same length")
+            raise ValueError("each file of 'fastqForward' needs one of 'fastqReverse'")
         for name in ("mergeForwardReverse", "greedyOverlap", "revComplForward", "revComplReverse", "useTreeWTmatch", "collapseToWTForward", "collapseToWTReverse", "verbose"):
             assert_scalar(getattr(self, name), name, "logical")
         if self.mergeForwardReverse and check_files and not self.fastqReverse:
@@ -157,11 +157,11 @@ class DigestSpec:
         if not re.fullmatch("[CUSVP]*", elements):
             raise ValueError(f"'elements{side}' takes the letters C, U, S, V and P only")
         if len(elements) != len(lengths):
-            raise ValueError(f"'elements{side}' and 'elementLengths{side}' must have the same length")
+            raise ValueError(f"'elementLengths{side}' takes one number for each letter of 'elements{side}'")
         assert_vector(lengths, f"elementLengths{side}", "numeric", rng_incl=(0, float("inf")), valid_values=[-1])
         parts = elements.split("P")
         if len(parts) > 2:
-            raise ValueError(f"'elements{side}' can contain at most one 'P'")
+            raise ValueError(f"'elements{side}' takes one 'P' at most")
         at = 0
         for part in parts:
             if sum(x == -1 for x in lengths[at : at + len(part)]) > 1:

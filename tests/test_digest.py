@@ -120,6 +120,18 @@ def test_experiment(spark, se, tmp_path):
         X.collapse_mutants(se, "no such column")
 
 
+def test_unnamed_assay(se):
+    """The only assay is taken if it has no name, with a warning; one of another name isn't."""
+    design = np.array([[1, 0], [1, 0], [1, 1], [1, 1]])
+    counts = se.assays.where("assay = 'counts'")
+    plain = X.Experiment(counts.withColumn("assay", F.lit("")), se.row_data, se.col_data)
+    with pytest.warns(UserWarning, match="no name"):
+        got = stats.calculate_relative_fc(plain, design, coef=1, method="limma").toPandas()
+    assert got.equals(stats.calculate_relative_fc(se, design, coef=1, method="limma").toPandas())
+    with pytest.raises(ValueError):
+        stats.calculate_relative_fc(X.Experiment(counts.withColumn("assay", F.lit("x")), se.row_data, se.col_data), design, coef=1)
+
+
 def test_fitness(se):
     f = stats.calculate_fitness_score(se, "Replicate", ["OD"], ["Condition", "out", "in"], ["f.0.WT"]).toPandas().set_index("mutantName")
     wide = se.dense().toPandas().set_index("mutantName")
