@@ -152,7 +152,7 @@ def consensus(strings: DataFrame, by: list[str]) -> dict[int, str]:
     return {r.n: r.s for r in rows}
 
 
-def _keyed(df: DataFrame, keys: Keys, left: bool, kinds: set[int], by: list[str]) -> DataFrame:
+def keyed(df: DataFrame, keys: Keys, left: bool, kinds: set[int], by: list[str]) -> DataFrame:
     """(by, s, far, kind, key) for a column s."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,8 +192,8 @@ def candidates(left: DataFrame, right: DataFrame, d: int, parent: str | None = N
 
         kinds = {r.kind for r in both.select("s").mapInPandas(seen, "kind int").distinct().collect()}  # 4 at most
     keys = Keys(d, parents)
-    x = _keyed(left, keys, True, kinds, by).withColumnRenamed("s", "a")
-    y = _keyed(right, keys, False, kinds, by).withColumnRenamed("s", "b")
+    x = keyed(left, keys, True, kinds, by).withColumnRenamed("s", "a")
+    y = keyed(right, keys, False, kinds, by).withColumnRenamed("s", "b")
     on = [*by, "kind", "key"]
     # a pair meets by the keys of a far string's own kind, or, if both are near, by their changes
     parts = [x.where("far = 0 AND kind = 0").join(y.where("far = 0 AND kind = 0").drop("far"), on)]

@@ -47,14 +47,19 @@ def edit_pairs(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
     Of the d + 1 blocks of a, one is in b unchanged, at most d places away from where it is in a, and the lengths differ by at
     most d: so b is listed by what it has at all those places, for all those lengths."""
     one = left.select(F.col("s").alias("a"), F.explode(blocks(F.col("s"), d)).alias("k")).select("a", "k.*")
-    block = f"""transform(sequence(greatest(0, length(b) - {d}), length(b) + {d}), n -> transform(sequence(0, {d}), i -> transform(sequence(-{d}, {d}), o ->
-        struct(n, i, cast(floor(n * i / {d + 1}) AS int) + o AS at, cast(floor(n * (i + 1) / {d + 1}) AS int) - cast(floor(n * i / {d + 1}) AS int) AS size))))"""
-    places = right.select(F.col("s").alias("b")).select("b", F.explode(F.expr(f"filter(flatten(flatten({block})), x -> x.at >= 0 AND x.at + x.size <= length(b))")).alias("x"))
-    two = places.selectExpr("b", "x.n", "x.i", "substring(b, x.at + 1, x.size) AS block").distinct()
+    two = edit_places(right, d).withColumnRenamed("s", "b")
     found = one.join(two, ["n", "i", "block"]).select("a", "b").distinct()
     return found.where(F.size(F.array_except(grams("a"), grams("b"))) <= 2 * d)
 
 
+def edit_places(strings: DataFrame, d: int) -> DataFrame:
+    """(s, n, i, block): what each string has at all places where block i of a string of length n near it may be."""
+    block = f"""transform(sequence(greatest(0, length(s) - {d}), length(s) + {d}), n -> transform(sequence(0, {d}), i -> transform(sequence(-{d}, {d}), o ->
+        struct(n, i, cast(floor(n * i / {d + 1}) AS int) + o AS at, cast(floor(n * (i + 1) / {d + 1}) AS int) - cast(floor(n * i / {d + 1}) AS int) AS size))))"""
+    places = strings.select("s", F.explode(F.expr(f"filter(flatten(flatten({block})), x -> x.at >= 0 AND x.at + x.size <= length(s))")).alias("x"))
+    return places.selectExpr("s", "x.n", "x.i", "substring(s, x.at + 1, x.size) AS block").distinct()
+
+
 def grams(s: str) -> Column:
     """The distinct pairs of adjacent letters of a string; an edit takes two of them away at most."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genetics as g
 from ..operators import digest, dispersion, experiment, link, qc, similarity, stats
+from ..operators.metric_index import MetricIndex
 from ..operators.reads import FILTERS, LABELS
 from ..sources.fastq import read_fastq
 from ..spec import DigestSpec
@@ -244,6 +245,19 @@ def similarity_search(spark, sf):
     return similarity.similarity_search(strings(spark, sf, "part", "p_partkey", 12), strings(spark, sf, "supplier", "s_suppkey", 12), 3)
 
 
+def index_updates(spark, sf):
+    """An index of all parts' sequences, from which customers' are removed and to which suppliers' are added; searched for the
+    sequences that were removed, by mismatches and by edits."""
+    names = [("part", "p_partkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey")]
+    parts, customers, suppliers = (strings(spark, sf, t, k, 10) for t, k in names)
+    found = []
+    for metric in ("hamming", "levenshtein"):
+        index = MetricIndex.build(spark, parts, metric, 2).remove(customers).insert(suppliers)
+        near = index.search(customers, 2).join(index.all().withColumnRenamed("s", "match"), "match")
+        found.append(near.select(F.lit(metric).alias("metric"), "query", "match", F.col("dist").cast("long").alias("dist"), F.col("at").alias("place")))
+    return found[0].union(found[1])
+
+
 def nearest_reference(spark, sf):
     refs = [r.s for r in strings(spark, sf, "nation", "n_nationkey", 12).orderBy("id").collect()]  # 25 rows
     return digest.nearest_reference(strings(spark, sf, "part", "p_partkey", 12), refs, 8)
@@ -408,7 +422,7 @@ def ql_test(spark, sf):
     return stats.calculate_relative_fc(se, design, coef=2, method="edgeR")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_mates, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, nearest_reference, indexed_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_mates, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, index_updates, nearest_reference, indexed_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
 
 # ---- SQL ----
 R = READS.replace("{lineitem}", "lineitem")
@@ -505,6 +519,14 @@ ORACLE_SQL: dict[str, str] = {
       d AS (SELECT a.id, levenshtein(a.s, b.s) AS e, list_min(list_transform(range(-11, 12), lambda k: 2 * abs(k) + hamming(substr(a.s, cast(greatest(k, 0) + 1 AS int), cast(12 - abs(k) AS int)), substr(b.s, cast(greatest(-k, 0) + 1 AS int), cast(12 - abs(k) AS int))))) AS h
         FROM s a JOIN s b ON a.id <> b.id) SELECT id, cast(min(e) AS int) AS levenshtein, cast(least(12, min(h)) AS int) AS hamming_shift FROM d GROUP BY id""",
     "similarity_search": f"WITH p AS (SELECT DISTINCT {_dna('p_partkey', 12)} AS m FROM part), q AS (SELECT DISTINCT {_dna('s_suppkey', 12)} AS q FROM supplier) SELECT q AS query, m AS match, cast(hamming(q, m) AS int) AS dist FROM q, p WHERE hamming(q, m) <= 3",
+    "index_updates": f"""WITH p AS (SELECT DISTINCT {_dna('p_partkey', 10)} AS s FROM part), c AS (SELECT DISTINCT {_dna('c_custkey', 10)} AS s FROM customer), u AS (SELECT DISTINCT {_dna('s_suppkey', 10)} AS s FROM supplier),
+      o AS (SELECT s, row_number() OVER (ORDER BY s) AS place FROM p), left_ AS (SELECT * FROM o WHERE s NOT IN (SELECT s FROM c)),
+      tomb AS (SELECT s, place FROM o WHERE s IN (SELECT s FROM c)), merged AS (SELECT (SELECT count(*) FROM tomb) >= (SELECT count(*) FROM left_) // 2 AS yes),
+      back AS (SELECT tomb.* FROM tomb, merged WHERE NOT yes AND s IN (SELECT s FROM u)),
+      have AS (SELECT * FROM left_ UNION ALL SELECT * FROM back),
+      new AS (SELECT s, (SELECT count(*) FROM p) + row_number() OVER (ORDER BY s) AS place FROM u WHERE s NOT IN (SELECT s FROM have)), i AS (SELECT * FROM have UNION ALL SELECT * FROM new)
+      SELECT 'hamming' AS metric, c.s AS query, i.s AS match, hamming(c.s, i.s) AS dist, place FROM c, i WHERE hamming(c.s, i.s) <= 2
+      UNION ALL SELECT 'levenshtein', c.s, i.s, levenshtein(c.s, i.s), place FROM c, i WHERE levenshtein(c.s, i.s) <= 2""",
     "nearest_reference": f"""WITH n AS (SELECT n_nationkey AS i, {_dna('n_nationkey', 12)} AS r FROM nation), p AS (SELECT p_partkey AS id, {_dna('p_partkey', 12)} AS s FROM part),
       d AS (SELECT id, i, hamming(s, r) AS d FROM p, n), m AS (SELECT id, min(d) AS b FROM d GROUP BY id)
       SELECT id, cast(CASE WHEN any_value(b) > 8 THEN -1 WHEN count(*) > 1 THEN -2 ELSE min(i) END AS int) AS idx FROM d JOIN m USING (id) WHERE d = b GROUP BY id""",
