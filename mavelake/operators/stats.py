@@ -23,6 +23,7 @@ from ..plans.scratch import cut
 from . import dispersion
 from .experiment import Experiment
 from .selection import order_statistics, quantiles
+from .trend import local_trend
 
 TREND_BINS = 400
 
@@ -137,18 +138,15 @@ def tmm(counts: DataFrame, samples: list[str], trim_m: float = 0.3, trim_a: floa
 
 
 def csaw_offsets(counts: DataFrame, samples: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Abundance-dependent offsets: for quantile bins of mean log abundance, each sample's smoothed log deviation."""
+    """Abundance-dependent offsets: each sample's log deviation from the mean log abundance as a local regression on it. The
+    abundances of the anchors, in order, and the offsets there, whose mean over the samples is nothing."""
     lib = np.exp(tmm(counts, samples))
     logs = [F.log(F.col(s) + 0.5 * lib[i] / lib.mean()) for i, s in enumerate(samples)]
     mean = sum(logs[1:], logs[0]) / len(samples)
-    row = counts.select(mean.alias("a"), *(x.alias(s) for x, s in zip(logs, samples, strict=True)))
-    edges = row.approxQuantile("a", np.linspace(0, 1, 101).tolist(), 0.001)
-    edges = np.unique(edges)
-    bin_ = sum((F.col("a") > float(e)).cast("int") for e in edges[1:-1]) if len(edges) > 2 else F.lit(0)
-    rows = row.groupBy(bin_.alias("b")).agg(F.avg("a").alias("a"), *(F.avg(F.col(s) - F.col("a")).alias(s) for s in samples)).orderBy("b").collect()
-    x = np.array([r.a for r in rows])
-    y = np.column_stack([special.lowess(x, np.array([r[s] for r in rows]), 0.4) if len(x) > 3 else np.array([r[s] for r in rows]) for s in samples])
-    return x, y
+    names = [f"y{i}" for i in range(len(samples))]
+    rows = counts.select(mean.alias("x"), *((v - mean).alias(c) for v, c in zip(logs, names, strict=True)))
+    found = local_trend(rows, names)
+    return found.x, found.y - found.y.mean(1, keepdims=True)
 
 
 def _map(df: DataFrame, fn, schema: str) -> DataFrame:

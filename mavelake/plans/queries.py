@@ -19,6 +19,7 @@ from ..functions import genetics as g
 from ..operators import digest, dispersion, experiment, link, qc, similarity, stats
 from ..operators.metric_index import MetricIndex
 from ..operators.reads import FILTERS, LABELS
+from ..operators.trend import local_trend
 from ..sources.fastq import read_fastq
 from ..spec import DigestSpec
 from . import scratch
@@ -380,6 +381,17 @@ def tmm(spark, sf):
     return f.select("sample", F.round(F.log("library") + F.col("log_factor") - F.avg("log_factor").over(Window.partitionBy()), 6).alias("log_library"))  # a row per sample
 
 
+def abundance_trends(spark, sf):
+    """Each sample's log deviation from a variant's mean, as a robust local regression on that mean."""
+    wide, samples = _wide(spark, sf)
+    logs = [F.log(F.col(s) + 0.5) for s in samples]
+    mean = F.round(sum(logs[1:], logs[0]) / len(samples), 9)  # equal means are equal, in whatever order they are added up
+    rows = wide.select(mean.alias("x"), *((v - mean).alias(s) for v, s in zip(logs, samples, strict=True)))
+    t = local_trend(rows, samples)
+    found = [(s, round(float(x), 6), round(float(y[i]), 6)) for x, y in zip(t.x, t.y, strict=True) for i, s in enumerate(samples)]  # of 200 anchors
+    return spark.createDataFrame(found, "sample string, abundance double, deviation double")
+
+
 def dispersions(spark, sf):
     """Each variant's trended and own dispersion over six samples."""
     se = _experiment(spark, sf)
@@ -422,7 +434,7 @@ def ql_test(spark, sf):
     return stats.calculate_relative_fc(se, design, coef=2, method="edgeR")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_mates, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, index_updates, nearest_reference, indexed_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_mates, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, index_updates, nearest_reference, indexed_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, abundance_trends, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
 
 # ---- SQL ----
 R = READS.replace("{lineitem}", "lineitem")
@@ -455,6 +467,26 @@ def _dna(key: str, n: int) -> str:
     return f"substr({DNA.format(key)}, 1, {n})"
 
 
+def _trend_sql(rounds: int = 3) -> str:
+    """Local lines at the ends of a hundred ranges, refitted without outliers."""
+    sql = _COUNTS + """, lg AS (SELECT mutantName, sample, ln(value + 0.5) AS v, round(avg(ln(value + 0.5)) OVER (PARTITION BY mutantName), 9) AS x FROM dense),
+      dv AS (SELECT mutantName, sample, x, v - x AS y FROM lg), pt AS (SELECT mutantName, any_value(x) AS x FROM dv GROUP BY 1),
+      lim AS (SELECT min(x) AS lo, max(x) AS hi, cast(greatest(floor(count(*) * 0.3 + 1e-7), 2) AS int) AS k FROM pt),
+      ends AS (SELECT min(x) AS a, max(x) AS b FROM pt, lim GROUP BY least(floor((x - lo) / (hi - lo) * 100), 99)), an AS (SELECT a FROM ends UNION SELECT b FROM ends),
+      rch AS (SELECT a, list_sort(list(abs(x - a)))[any_value(k)] AS h FROM an, pt, lim GROUP BY a),
+      w AS (SELECT mutantName, a, power(greatest(1 - power(abs(x - a) / h, 3), 0), 3) AS w FROM rch, pt WHERE abs(x - a) < h),
+      nb AS (SELECT mutantName, any_value(x) AS x, max(a) FILTER (a <= x) AS p, min(a) FILTER (a >= x) AS q FROM pt, an GROUP BY 1),
+      rb0 AS (SELECT mutantName, sample, 1.0::double AS b FROM dv)"""
+    for i in range(rounds + 1):
+        sql += f""", s{i} AS (SELECT sample, a, sum(w * b) AS n, sum(w * b * (x - a)) / sum(w * b) AS mx, sum(w * b * (x - a) * (x - a)) / sum(w * b) AS xx, sum(w * b * y) / sum(w * b) AS my, sum(w * b * (x - a) * y) / sum(w * b) AS xy
+        FROM w JOIN dv USING (mutantName) JOIN rb{i} USING (mutantName, sample) GROUP BY 1, 2),
+      f{i} AS (SELECT sample, a, my - mx * CASE WHEN xx - mx * mx <= power(1e-3 * (hi - lo), 2) THEN 0 ELSE (xy - mx * my) / (xx - mx * mx) END AS v FROM s{i}, lim),
+      e{i} AS (SELECT dv.mutantName, dv.sample, abs(y - CASE WHEN p = q THEN g.v ELSE g.v + (nb.x - p) / (q - p) * (h.v - g.v) END) AS e FROM dv JOIN nb USING (mutantName) JOIN f{i} g ON g.sample = dv.sample AND g.a = p JOIN f{i} h ON h.sample = dv.sample AND h.a = q),
+      m{i} AS (SELECT sample, 6 * quantile_cont(e, 0.5) AS c, avg(e) AS u FROM e{i} GROUP BY 1),
+      rb{i + 1} AS (SELECT mutantName, sample, CASE WHEN c > 1e-7 * u THEN power(greatest(1 - power(e / c, 2), 0), 2) ELSE 1 END AS b FROM e{i} JOIN m{i} USING (sample))"""
+    return sql + f" SELECT sample, round(a, 6) AS abundance, round(v, 6) AS deviation FROM f{rounds}"
+
+
 _STEPS = ["nbrTotal", *FILTERS, "nbrRetained"]
 ORACLE_SQL: dict[str, str] = {
     "digest_summary": _KEPT + """ SELECT codon AS mutantName, string_agg(DISTINCT var, ',' ORDER BY var) AS sequence, count(*) AS nbrReads, count(*) AS maxNbrReads, count(DISTINCT umi) AS nbrUmis,
@@ -557,6 +589,7 @@ ORACLE_SQL: dict[str, str] = {
       l AS (SELECT sample, ms[cast(floor(k * 0.3) AS int) + 1] AS m1, ms[cast(k - floor(k * 0.3) AS int)] AS m2, xs[cast(floor(k * 0.05) AS int) + 1] AS a1, xs[cast(k - floor(k * 0.05) AS int)] AS a2 FROM c),
       f AS (SELECT sample, sum(m / v) / sum(1 / v) * ln(2) AS f FROM p JOIN l USING (sample) WHERE m BETWEEN m1 AND m2 AND a BETWEEN a1 AND a2 GROUP BY 1),
       g AS (SELECT sample, n, coalesce(f, 0) AS f FROM lib LEFT JOIN f USING (sample)) SELECT sample, round(ln(n) + f - avg(f) OVER (), 6) AS log_library FROM g""",
+    "abundance_trends": _trend_sql(),
     "bh_adjust": "WITH p AS (SELECT p_partkey AS id, ((p_partkey * 7919) % 10007 + 1) / 20000.0::double AS p FROM part), r AS (SELECT id, p, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS k, count(*) OVER () AS n FROM p) SELECT id, round(least(1.0, min(p * n / k) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 9) AS padj FROM r",
     "volcano_points": "WITH r AS (SELECT cast(p_partkey AS varchar) AS mutantName, ((p_partkey * 31) % 200 - 100) / 25.0::double AS x, ((p_partkey * 7919) % 10007 + 1) / 20000.0::double AS p, ((p_partkey * 7919) % 10007 + 1) / 10008.0::double AS fdr FROM part), k AS (SELECT *, row_number() OVER (ORDER BY p, mutantName) AS i FROM r) SELECT mutantName, round(x, 6) AS x, round(-log10(p), 6) AS y, fdr < 0.05 AS significant, i <= 10 AS labelled FROM k",
     "filter_waterfall": ANN + ", f AS (SELECT rf || '_' || ls AS sample, failure, count(*) AS n FROM ann GROUP BY 1, 2), t AS (SELECT sample, sum(n)::bigint AS total FROM f GROUP BY 1), steps(step, i) AS (VALUES " + ", ".join(f"('{s}', {i})" for i, s in enumerate(_STEPS)) + """),
