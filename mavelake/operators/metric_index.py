@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..plans import ordered
 from ..plans.scratch import cut
 from . import similarity
-from .neighbours import BLOCKS, NEAR, PARTS, PLACES, Keys, consensus, keyed
+from .neighbours import BLOCKS, NEAR, PARTS, PLACES, Keys, consensus, _keyed
 
 KINDS = {NEAR, PARTS, PLACES, BLOCKS}
 
@@ -155,14 +155,14 @@ class MetricIndex:
 
     def _item_keys(self, strings: DataFrame, parents: dict[int, str]) -> DataFrame:
         if self.metric == "hamming":
-            return keyed(strings, Keys(self.radius, parents), False, KINDS, [])
+            return _keyed(strings, Keys(self.radius, parents), False, KINDS, [])
         return similarity.edit_places(strings, self.radius).select("s", F.xxhash64("n", "i", "block").alias("key"))
 
     def _query_keys(self, asked: DataFrame) -> DataFrame:
         if self.metric == "hamming":
             known = dict(self.parents)
             some = asked.where(F.length("s").isin(list(known)))  # no other length is near
-            keys = keyed(some, Keys(self.radius, known), True, KINDS, [])
+            keys = _keyed(some, Keys(self.radius, known), True, KINDS, [])
         else:
             keys = asked.select("s", F.explode(similarity.blocks(F.col("s"), self.radius)).alias("k")).select("s", F.xxhash64("k.n", "k.i", "k.block").alias("key"))
         return keys.withColumnRenamed("s", "query")

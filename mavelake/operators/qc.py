@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from ..checks import assert_scalar, assert_vector
 from ..plans import ordered
+from .density import density, pair_counts, pair_density
 from .experiment import Experiment, knee_ranks
 from .reads import FILTERS
 
 STEPS = ["nbrTotal", *FILTERS, "nbrRetained"]
+#: Pixels a side of scatter plots that show numbers of points.
+PIXELS = 512
 
 
 def filtering_frame(summary: DataFrame, only_active: bool = True) -> DataFrame:
@@ -118,34 +121,13 @@ def plot_distributions(se: Experiment, selAssay: str = "counts", groupBy: str |
         if plotType == "histogram":
             out = histogram_frame(logs, 50 if facet else 30, lo, hi)
         else:
-            out = density_frame(histogram_frame(logs, 512, lo, hi), lo, hi)
+            out = density(logs)
     if groupBy and groupBy != "Name":
         cols = se.assays.sparkSession.createDataFrame(se.col_data[["Name", groupBy]].astype(str)).toDF("sample", "group")
         out = out.join(F.broadcast(cols), "sample", "left")
     return out
 
 
-def density_frame(binned: DataFrame, lo: float, hi: float) -> DataFrame:
-    """Gaussian kernel density of each sample from its 512 bins, with the usual rule for the width."""
-    width = (hi - lo) / 512 or 1.0
-    pdf = binned.toPandas()
-    grid = lo + (np.arange(512) + 0.5) * width
-    out = []
-    for sample, part in pdf.groupby("sample"):
-        n = np.zeros(512)
-        n[part["bin"].to_numpy()] = part["n"].to_numpy()
-        total = n.sum()
-        mean = (n * grid).sum() / total
-        sd = np.sqrt((n * (grid - mean) ** 2).sum() / max(total - 1, 1))
-        cum = np.cumsum(n) / total
-        iqr = grid[min(511, np.searchsorted(cum, 0.75))] - grid[min(511, np.searchsorted(cum, 0.25))]
-        h = 0.9 * (min(sd, iqr / 1.34) or sd or 1.0) * total ** -0.2
-        d = np.exp(-0.5 * ((grid[:, None] - grid[None, :]) / h) ** 2) @ n / (total * h * np.sqrt(2 * np.pi))
-        out.append(pd.DataFrame({"sample": sample, "x": grid, "density": d}))
-    spark = binned.sparkSession
-    return spark.createDataFrame(pd.concat(out)) if out else spark.createDataFrame([], "sample string, x double, density double")
-
-
 def correlations(wide: DataFrame, samples: list[str], method: str = "pearson") -> DataFrame:
     """(sample1, sample2, cor) for all pairs; Spearman is Pearson of average ranks. One pass over the rows for all pairs."""
     if method == "spearman":
@@ -159,10 +141,16 @@ def correlations(wide: DataFrame, samples: list[str], method: str = "pearson") -
 
 
 def plot_pairs(se: Experiment, selAssay: str = "counts", doLog: bool = True, pseudocount: float = 1, corMethod: str = "pearson", histBreaks: int = 40, pointsType: str = "points", corSizeMult: float = 5, corSizeAdd: float = 2, pointSize: float = 0.1, pointAlpha: float = 0.3, colorByCorrelation: bool = True, corrColorRange: list[float] | None = None, addIdentityLine: bool = False) -> dict:
-    """correlations, histograms and the values of all pairs (a DataFrame), with the colour range of the correlations."""
+    """Correlations, histograms, what the scatter plots show, and the colour range of the correlations.
+
+    The points are the values themselves (a DataFrame); "smoothscatter" adds a two-dimensional density whose fourth root is the
+    fill, and "scattermore" and "scattermost" add the numbers of points by pixel, so no plot needs all rows."""
     assert_scalar(selAssay, "selAssay", "character", valid_values=se.assay_names())
     assert_scalar(corMethod, "corMethod", "character", valid_values=["pearson", "spearman"])
-    assert_scalar(pointsType, "pointsType", "character", valid_values=["smoothscatter", "scattermore", "points"])
+    assert_scalar(pointsType, "pointsType", "character", valid_values=["smoothscatter", "points", "scattermore", "scattermost"])
+    for n, v in (("corSizeMult", corSizeMult), ("pointSize", pointSize), ("pointAlpha", pointAlpha)):
+        assert_scalar(v, n, "numeric", rng_excl=(0, float("inf")))
+    assert_scalar(corSizeAdd, "corSizeAdd", "numeric", rng_incl=(0, float("inf")))
     assert_scalar(pseudocount, "pseudocount", "numeric", rng_incl=(0, float("inf")))
     assert_scalar(histBreaks, "histBreaks", "numeric", rng_excl=(0, float("inf")))
     for n, v in (("doLog", doLog), ("colorByCorrelation", colorByCorrelation), ("addIdentityLine", addIdentityLine)):
@@ -182,7 +170,12 @@ def plot_pairs(se: Experiment, selAssay: str = "counts", doLog: bool = True, pse
     long = wide.unpivot("mutantName", samples, "sample", "x")
     row = long.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()[0]
     hist = histogram_frame(long, int(histBreaks), row.lo or 0.0, row.hi if row.hi is not None else 1.0)
-    return {"correlations": cor, "histograms": hist, "values": wide, "colorRange": corrColorRange}
+    out = {"correlations": cor, "histograms": hist, "values": wide, "colorRange": corrColorRange, "identityLine": addIdentityLine and pointsType != "smoothscatter"}
+    if len(samples) > 1 and pointsType == "smoothscatter":
+        out["density"] = pair_density(wide, samples).withColumn("fill", F.pow("density", F.lit(0.25)))
+    elif len(samples) > 1 and pointsType != "points":
+        out["pixels"] = pair_counts(wide, samples, PIXELS).select("sample1", "sample2", "i", "j", "n")
+    return out
 
 
 #: Column names that results of different tests use, most specific first (fixed values).

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genetics as g
 from ..operators import digest, dispersion, experiment, link, qc, similarity, stats
+from ..operators.density import pair_density as _pair_density
 from ..operators.metric_index import MetricIndex
 from ..operators.reads import FILTERS, LABELS
 from ..operators.trend import local_trend
@@ -352,6 +353,13 @@ def pairs_spearman(spark, sf):
     return qc.correlations(wide, samples, "spearman").select("sample1", "sample2", F.round("cor", 6).alias("cor"))
 
 
+def pair_density(spark, sf):
+    """The two-dimensional density of each pair of samples' log counts on 25 by 25 points."""
+    wide, samples = _wide(spark, sf)
+    logs = wide.select("mutantName", *(F.log10(F.col(s) + 1).alias(s) for s in samples))
+    return _pair_density(logs, samples, 25).select("sample1", "sample2", *(F.round(c, 6).alias(c) for c in ("x", "y", "density")))
+
+
 def count_histogram(spark, sf):
     wide, samples = _wide(spark, sf)
     long = wide.unpivot("mutantName", samples, "sample", "v").select("sample", F.log10(F.col("v") + 1).alias("x"))
@@ -434,7 +442,7 @@ def ql_test(spark, sf):
     return stats.calculate_relative_fc(se, design, coef=2, method="edgeR")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_mates, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, index_updates, nearest_reference, indexed_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, count_histogram, fitness_score, wt_offsets, tmm, abundance_trends, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (digest_summary, filter_summary, error_statistics, variant_names, distances, sequence_functions, decompose_sucv, decompose_infer, decompose_primer, filtered_reads, limit_reads, fastq_mates, fastq_filter_summary, filter_outcomes, paired_outcomes, merged_outcomes, umi_collapse, similarity_groups, similarity_groups_variants, variant_neighbours, nearest_string_dist, nearest_by_edits, similarity_search, index_updates, nearest_reference, indexed_reference, merge_pairs, merge_values, summarize_experiment, summarize_samples, variant_annotations, collapse_aa, relabel, totals, knee, filter_waterfall, pairs_correlation, pairs_spearman, pair_density, count_histogram, fitness_score, wt_offsets, tmm, abundance_trends, dispersions, bh_adjust, volcano_points, link_variants, voom_limma, ql_test)}
 
 # ---- SQL ----
 R = READS.replace("{lineitem}", "lineitem")
@@ -575,6 +583,15 @@ ORACLE_SQL: dict[str, str] = {
     "count_histogram": _COUNTS + " SELECT sample, cast(least(9, floor(log10(value + 1) / 0.5)) AS bigint) AS bin, count(*) AS n FROM dense GROUP BY 1, 2",
     "pairs_correlation": _COUNTS + " SELECT a.sample AS sample1, b.sample AS sample2, round(corr(log10(a.value + 1), log10(b.value + 1)), 6) AS cor FROM dense a JOIN dense b ON a.mutantName = b.mutantName AND a.sample < b.sample GROUP BY 1, 2",
     "pairs_spearman": _COUNTS + ", rk AS (SELECT mutantName, sample, rank() OVER (PARTITION BY sample ORDER BY value) + (count(*) OVER (PARTITION BY sample, value) - 1) / 2.0 AS v FROM dense) SELECT a.sample AS sample1, b.sample AS sample2, round(corr(a.v, b.v), 6) AS cor FROM rk a JOIN rk b ON a.mutantName = b.mutantName AND a.sample < b.sample GROUP BY 1, 2",
+    "pair_density": _COUNTS + """, lv AS (SELECT mutantName, sample, log10(value + 1) AS v FROM dense),
+      q AS (SELECT sample, min(v) AS lo, max(v) AS hi, stddev_samp(v) AS sd, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iq, count(*) AS k FROM lv GROUP BY 1),
+      ax AS (SELECT sample, lo, hi, 1.06 * coalesce(nullif(least(sd, iq), 0), nullif(sd, 0), 1) * power(k, -0.2) AS h FROM q),
+      bn AS (SELECT mutantName, sample, CASE WHEN hi > lo THEN cast(floor((v - lo) / (hi - lo) * 24 + 0.5) AS int) ELSE 0 END AS i FROM lv JOIN ax USING (sample)),
+      ce AS (SELECT a.sample AS s1, b.sample AS s2, a.i, b.i AS j, count(*) AS n FROM bn a JOIN bn b ON a.mutantName = b.mutantName AND a.sample < b.sample GROUP BY ALL), tt AS (SELECT s1, s2, sum(n) AS n FROM ce GROUP BY ALL),
+      gr AS (SELECT sample, unnest(range(25)) AS g, h, CASE WHEN hi > lo THEN (hi - lo) / 24 ELSE 1 / 24.0::double END AS d, lo FROM ax),
+      sx AS (SELECT s1, s2, g, any_value(lo + g * d) AS x, j, sum(n * exp(-0.5 * power((g - i) * d / h, 2)) / (h * sqrt(2 * pi()))) AS n FROM ce JOIN gr ON sample = s1 GROUP BY s1, s2, g, j)
+      SELECT s1 AS sample1, s2 AS sample2, round(any_value(x), 6) AS x, round(any_value(lo + gr.g * d), 6) AS y, round(sum(sx.n * exp(-0.5 * power((gr.g - j) * d / h, 2)) / (h * sqrt(2 * pi()))) / any_value(tt.n), 6) AS density
+      FROM sx JOIN gr ON sample = s2 JOIN tt USING (s1, s2) GROUP BY s1, s2, sx.g, gr.g""",
     "fitness_score": _COUNTS + """, nrm AS (SELECT mutantName, split_part(sample, '_', 1) AS c, split_part(sample, '_', 2) AS replicate, value * (0.5 + CASE split_part(sample, '_', 1) WHEN 'A' THEN 0 WHEN 'N' THEN 0.25 ELSE 0.5 END + CASE split_part(sample, '_', 2) WHEN 'F' THEN 0 ELSE 0.1 END) / sum(value) OVER (PARTITION BY sample) AS x FROM dense),
       lg AS (SELECT a.mutantName, a.replicate, log2(nullif(a.x / nullif(b.x, 0), 0)) AS n FROM nrm a JOIN nrm b ON a.mutantName = b.mutantName AND a.replicate = b.replicate AND a.c = 'A' AND b.c = 'R')
       SELECT lg.mutantName, lg.replicate, round(lg.n / w.n, 6) AS fitness FROM lg JOIN lg w ON w.mutantName = 'f.0.WT' AND w.replicate = lg.replicate""",
