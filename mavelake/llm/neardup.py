@@ -256,28 +256,25 @@ def components(links: DataFrame, scratch: common.Scratch | None = None) -> DataF
     """(id, class) for every id of the links (a, b): class is the smallest id of its connected component.
 
     Alternates large and small stars: each round links the neighbours of every node to the smallest of them, so that
-    components shrink to stars in a number of rounds logarithmic in their size.
+    components shrink to stars in a number of rounds logarithmic in their size. Links are stars, and so done, when no node
+    with a smaller neighbour has another one; the least neighbours, which a round begins with, tell that too.
     """
     t = scratch or common.Scratch()
-    edges = t.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    if edges.isEmpty():
-        return edges.toDF("id", "class")
+    edges = t.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "links")
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = t.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = t.cut(large, "large")
+        least = both.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        least = t.cut(least.selectExpr("u", "least(low, u) AS m", "low < u AND low < high AS open"), "least")
+        if not least.agg(F.max("open")).first()[0]:
+            return edges.union(edges.select(F.col("v").alias("u"), "v")).distinct().toDF("id", "class")
+        large = t.cut(both.join(least.drop("open"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         low = t.cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = t.cut(small, "stars")
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
         for x in (edges, least, large, low):
             common.discard(x)
             t.tables.remove(x)
         edges = small
-        if not changed:
-            roots = edges.select(F.col("v").alias("u"), "v").distinct()
-            return edges.union(roots).toDF("id", "class")
 
 
 def linked(members: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
@@ -345,7 +342,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     part = F.explode(F.when(in_all, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(h, parts.cast("long")).cast("int")))).alias("x")
     members = bucket.join(sizes.hint("merge"), ["band", "key"]).select("band", "key", "rep", (parts > 1).alias("split"), in_all.alias("in_all"), part)
     members = t.cut(members.selectExpr("band", "key", "rep", "x", "split", "NOT in_all OR x = 0 AS once"), "members")
-    needed = t.cut(members.select(F.col("rep").alias("id")).distinct(), "needed")
+    needed = members.select(F.col("rep").alias("id")).distinct()
     # most texts have no candidate: a filter of fixed size keeps them out of the shuffle
     texts = common.maybe_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", common.bloom(needed, "id"), "_near")
     texts = t.cut(texts.where("_near").drop("_near").join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")

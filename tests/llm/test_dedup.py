@@ -188,6 +188,21 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if any(x in p and p[0] != p[1] for p in links)}
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    """Links of blocks are mostly stars: these are seen to be done from the least neighbours alone, and a path
+    of three takes one round."""
+    written = []
+    cut = neardup.common.cut
+    monkeypatch.setattr(neardup.common, "cut", lambda df, label: written.append(label) or cut(df, label))
+    stars = [(9, 1), (8, 1), (1, 7), (9, 1), (30, 20), (5, 5)]
+    got = sorted(map(tuple, neardup.components(spark.createDataFrame(stars, "a long, b long")).collect()))
+    assert got == [(1, 1), (7, 1), (8, 1), (9, 1), (20, 20), (30, 20)] and written == ["links", "least"]
+    written.clear()
+    got = sorted(map(tuple, neardup.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()))
+    assert got == [(1, 1), (2, 1), (3, 1)] and written == ["links", "least", "large", "low", "stars", "least"]
+    assert neardup.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == []
+
+
 def brute_removed(rows, span=100):
     seen, out = set(), {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
