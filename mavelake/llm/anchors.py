@@ -18,8 +18,8 @@ from .shingles import mix
 
 SPAN, GRAM = 100, 48
 WINDOW = SPAN - GRAM + 1  # gram starts in a window
-#: Bytes of text that are hashed together: the arrays take about sixty times that.
-PIECE = 1 << 20
+#: Bytes of text that are hashed together, so few that the arrays, about sixty times that, hardly leave a core's cache.
+PIECE = 1 << 18
 #: Hashes are compared without their last bits, which number the places in the buffer: the same at every size.
 PLACE_BITS = 23
 

@@ -17,16 +17,16 @@ def encode(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the segments and where each begins."""
     lengths = np.fromiter(map(len, segments), np.int64, len(segments))
     starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    codes = np.zeros(starts[-1], np.int64)
+    codes = np.zeros(starts[-1], np.int16)
     inside = np.ones(starts[-1], bool)
     inside[starts[1:] - 1] = False
-    codes[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + 1
+    codes[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int16) + 1
     return codes, starts[:-1]
 
 
 def keys(codes: np.ndarray) -> np.ndarray:
     """The next STEP codes from each place on, as one number; nothing counts after a closing code."""
-    padded = np.append(codes, np.zeros(STEP, np.int64))
+    padded = np.append(codes, np.zeros(STEP, codes.dtype))
     out = np.zeros(len(codes), np.int64)
     inside = np.ones(len(codes), bool)
     for k in range(STEP):
@@ -39,16 +39,20 @@ def keys(codes: np.ndarray) -> np.ndarray:
 def left_in_segment(codes: np.ndarray) -> np.ndarray:
     """How many codes follow from each place on before the closing one."""
     ends = np.flatnonzero(codes == 0)
-    return ends[np.searchsorted(ends, np.arange(len(codes)))] - np.arange(len(codes))
+    return np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(codes))
 
 
 def _sort_small(small: np.ndarray, key: np.ndarray, left: np.ndarray, most: int | None = None) -> np.ndarray:
     """Places of the small suffixes in suffix order, refined STEP codes at a time where they tie, up to `most` codes."""
-    order = small[np.argsort(key[small], kind="stable")]
-    value = key[order]
+    own = key[small]
+    by = np.argsort(own)
+    value = own[by]
     group = np.cumsum(np.append(0, value[1:] != value[:-1]))
     depth = STEP
     size = np.bincount(group)
+    tied = np.flatnonzero(size[group] > 1)  # these by place: an unstable sort and one of numbers take less than a stable one
+    by[tied] = np.sort(group[tied] << 32 | by[tied]) & 0xFFFFFFFF
+    order = small[by]
     active = np.flatnonzero((size[group] > 1) & (left[order] >= depth))
     while len(active) and (most is None or depth < most):
         at = order[active]
@@ -81,7 +85,7 @@ def suffix_array(codes: np.ndarray, key: np.ndarray | None = None, left: np.ndar
     key = keys(codes) if key is None else key
     left = left_in_segment(codes) if left is None else left
     differs = np.append(np.flatnonzero(codes[1:] != codes[:-1]), n - 1)
-    after = differs[np.searchsorted(differs, np.arange(n))] + 1
+    after = np.repeat(differs, np.diff(differs, prepend=-1)) + 1
     small = (codes == 0) | (np.append(codes, 0)[after] > codes)
     ordered = _sort_small(np.flatnonzero(small), key, left, most)
     edges = np.searchsorted(codes[ordered], np.arange(258))
@@ -101,7 +105,7 @@ def suffix_array(codes: np.ndarray, key: np.ndarray | None = None, left: np.ndar
         before = before[codes[before] > c]
         if len(before):
             first = codes[before]
-            by = np.argsort(first, kind="stable")
+            by = np.argsort(first.astype(np.int16), kind="stable")  # sixteen bits are sorted by counting
             first, before = first[by], before[by]
             cuts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
             for part, code in zip(np.split(before, cuts[1:]), first[cuts], strict=True):
@@ -136,6 +140,18 @@ def common_prefixes(order: np.ndarray, key: np.ndarray, codes: np.ndarray, left:
     return length
 
 
+def agree(order: np.ndarray, key: np.ndarray, span: int) -> np.ndarray:
+    """Whether each suffix has a common prefix of at least `span` codes with the one before it in order; false for the first.
+    All suffixes have so many codes left. Codes are compared STEP at a time, and most neighbours differ in the first few."""
+    out = np.zeros(len(order), bool)
+    a, b, live = order[:-1], order[1:], np.arange(1, len(order))
+    for depth in [*range(0, span - STEP, STEP), span - STEP]:  # the last two steps may overlap
+        same = key[a + depth] == key[b + depth]
+        a, b, live = a[same], b[same], live[same]
+    out[live] = True
+    return out
+
+
 def repeats(segments: list[bytes], doc: np.ndarray, place: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Segment and start in there of every span-byte string of the segments that also starts earlier: in a smaller doc, or at
     a smaller place of the same; in order. Segment i stands at place[i] of doc[i]."""
@@ -145,7 +161,7 @@ def repeats(segments: list[bytes], doc: np.ndarray, place: np.ndarray, span: int
     order = order[left[order] >= span]
     if len(order) < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group = np.cumsum(common_prefixes(order, key, codes, left, span) < span)
+    group = np.cumsum(~agree(order, key, span) if span >= STEP else common_prefixes(order, key, codes, left, span) < span)
     many = np.bincount(group)[group] > 1
     order, group = order[many], group[many]
     if not len(order):

@@ -266,6 +266,29 @@ def test_suffix_arrays():
             assert k == lcp[j]
 
 
+def test_repeats_by_neighbours_alone(monkeypatch):
+    """Strings that repeat are told by whether neighbours agree in a span: no whole common prefix is measured for that."""
+
+    def brute(segs, doc, place, span):
+        every = sorted((d, p + k, i, k) for i, (s, d, p) in enumerate(zip(segs, doc, place, strict=True)) for k in range(len(s) - span + 1))
+        first, out = {}, []
+        for d, p, i, k in every:
+            if first.setdefault(segs[i][k : k + span], (d, p)) != (d, p):
+                out.append((i, k))
+        return sorted(out)
+
+    rng = np.random.default_rng(4)
+    for span in (5, 7, 14, 20):
+        with monkeypatch.context() as m:
+            if span >= suffixes.STEP:
+                m.setattr(suffixes, "common_prefixes", None)
+            for n in range(25):
+                segs = [bytes(rng.integers(97, 98 + n % 3, rng.integers(1, 90)).astype(np.uint8)) for _ in range(rng.integers(1, 9))]
+                doc, place = np.sort(rng.integers(0, 4, len(segs))), np.arange(len(segs)) * 100
+                got = suffixes.repeats(segs, doc, place, span)
+                assert list(zip(*(x.tolist() for x in got), strict=True)) == brute(segs, doc.tolist(), place.tolist(), span)
+
+
 def test_anchors_meet():
     rng = random.Random(4)
     common = "".join(rng.choice("abcd") for _ in range(150))
