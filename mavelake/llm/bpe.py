@@ -92,6 +92,9 @@ class ByteBpe:
         self.of_byte = np.array(of_byte, np.int32)
         self.shift = size.bit_length()
         self.rank: dict[int, int] = {}
+        # what a token merges with on its right and on its left, and the ranks: small tables that stay in a core's cache
+        self.with_right: dict[int, dict[int, int]] = {}
+        self.with_left: dict[int, dict[int, int]] = {}
         left_of, right_of, made = [], [], []
         born = set(of_byte)
         for r, merge in enumerate(model["merges"]):
@@ -101,6 +104,8 @@ class ByteBpe:
                 raise ValueError("a merge uses a token that only a later merge makes")
             born.add(new)
             self.rank[left << self.shift | right] = r
+            self.with_right.setdefault(left, {})[right] = r
+            self.with_left.setdefault(right, {})[left] = r
             left_of.append(left)
             right_of.append(right)
             made.append(new)
@@ -149,11 +154,11 @@ class ByteBpe:
         index = {r: places[a:z] for r, a, z in zip(heap, edges, edges[1:], strict=False)}
         symbol, nxt = first.tolist(), follows.tolist()
         prv = np.where(np.append(True, last[:-1]), -1, np.arange(-1, n - 1)).tolist()
-        rank_of, shift = self.rank.get, self.shift
+        none: dict[int, int] = {}
         while heap:
             r = heapq.heappop(heap)
             left, right, made = self.left_of[r], self.right_of[r], self.made[r]
-            before = made << shift
+            rank_right, rank_left = self.with_right.get(made, none), self.with_left.get(made, none)
             for p in sorted(index.pop(r)):  # overlapping occurrences merge from the left
                 q = nxt[p]
                 if symbol[p] != left or q < 0 or symbol[q] != right:
@@ -162,8 +167,9 @@ class ByteBpe:
                 nxt[p] = q = nxt[q]
                 if q >= 0:
                     prv[q] = p
-                    x = rank_of(before | symbol[q])
-                    if x is not None:
+                    x = symbol[q]
+                    if x in rank_right:
+                        x = rank_right[x]
                         if x in index:
                             index[x].append(p)
                         else:
@@ -171,8 +177,9 @@ class ByteBpe:
                             heapq.heappush(heap, x)
                 o = prv[p]
                 if o >= 0:
-                    x = rank_of(symbol[o] << shift | made)
-                    if x is not None:
+                    x = symbol[o]
+                    if x in rank_left:
+                        x = rank_left[x]
                         if x in index:
                             index[x].append(o)
                         else:
@@ -184,29 +191,22 @@ class ByteBpe:
         flat = left[alive].tobytes()
         return [flat[a:z] for a, z in zip(ends, ends[1:], strict=False)]
 
-    def known(self, words: dict[str, None]) -> dict[str, bytes]:
-        """The ids of words, of which those in no cache are merged now."""
-        out: dict[str, bytes] = {}
-        new = []
-        for w in words:
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.older.get(w)
-                if ids is None:
-                    new.append(w)
-                    continue
-                self._keep(w, ids)
-            out[w] = ids
-        for w, ids in zip(new, self.merge(new), strict=True):
-            out[w] = ids
-            self._keep(w, ids)
-        return out
-
-    def _keep(self, word: str, ids: bytes) -> None:
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, of which those in no cache are merged now."""
         if self.words_held > self.cache_bytes:
             self.words, self.older, self.words_held = {}, self.words, 0
-        self.words[word] = ids
-        self.words_held += len(word) + len(ids) + 180
+        out = list(map(self.words.get, words))
+        at = [i for i, ids in enumerate(out) if ids is None]
+        lacking = [words[i] for i in at]
+        ids = list(map(self.older.get, lacking))
+        new = [w for w, x in zip(lacking, ids, strict=True) if x is None]
+        merged = iter(self.merge(new))
+        ids = [next(merged) if x is None else x for x in ids]
+        for i, x in zip(at, ids, strict=True):
+            out[i] = x
+        self.words.update(zip(lacking, ids, strict=True))
+        self.words_held += sum(map(len, lacking)) + sum(map(len, ids)) + 180 * len(ids)
+        return out
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens; a string of a special token is a piece of its own."""
@@ -220,29 +220,47 @@ class ByteBpe:
                 out.extend(self.split(part))
         return out
 
-    def numbers(self, chunks: list[str]) -> np.ndarray:
-        """The cache's numbers of chunks, of which the unknown ones are encoded now."""
+    def numbers(self, chunks: list[str], spaced: bool = False) -> np.ndarray:
+        """The cache's numbers of chunks, of which the unknown ones are encoded now; spaced: each is a lone space and what
+        follows it up to the next one, so they can be split as one text."""
         cache = self.cache
         new = [c for c in dict.fromkeys(chunks) if c not in cache]
         if new:
-            split = [[c] if c in self.added else self.split(c) for c in new]
-            known = self.known(dict.fromkeys(w for ws in split for w in ws if w not in self.added)) | {x: np.int32(i).tobytes() for x, i in self.added.items()}
-            flat = np.frombuffer(b"".join([known[w] for ws in split for w in ws]), np.int32)
-            size = {w: len(x) // 4 for w, x in known.items()}
-            counts = [sum([size[w] for w in ws]) for ws in split]
-            first, end = len(cache), self.used + len(flat)
+            if spaced:
+                tokens = self.split("".join(new))
+            else:
+                split = [[c] if c in self.added else self.split(c) for c in new]
+                tokens = [w for ws in split for w in ws]
+            coded = pa.array(tokens, pa.string()).dictionary_encode()
+            words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            special = [i for i, w in enumerate(words) if w in self.added] if self.added and not spaced else []
+            known = self.known(words if not special else [w for w in words if w not in self.added])
+            for i in special:  # in ascending order
+                known.insert(i, np.int32(self.added[words[i]]).tobytes())
+            sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            per_token = sizes[at]
+            ends = np.cumsum(per_token)
+            total = int(ends[-1]) if len(ends) else 0
+            flat = np.frombuffer(b"".join(known), np.int32)
+            flat = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - per_token), per_token) + np.arange(total)]
+            if spaced:
+                begin = np.flatnonzero(np.fromiter((w[0] == " " for w in words), bool, len(words))[at])
+                edges = np.append(0, ends)[np.append(begin, len(at))]
+            else:
+                edges = np.append(0, ends)[np.cumsum([0, *map(len, split)])]
+            first, end = len(cache), self.used + total
             if end > len(self.ids):
                 self.ids = np.append(self.ids, np.zeros(end, np.int32))
             if first + len(new) > len(self.start):
                 more = np.zeros(first + len(new), np.int64)
                 self.start, self.count = np.append(self.start, more), np.append(self.count, more)
             self.ids[self.used : end] = flat
-            self.count[first : first + len(new)] = counts
-            self.start[first : first + len(new)] = self.used + np.cumsum([0, *counts[:-1]])
+            self.count[first : first + len(new)] = np.diff(edges)
+            self.start[first : first + len(new)] = self.used + edges[:-1]
             self.used = end
             cache.update(zip(new, range(first, first + len(new)), strict=True))
             # a string with its dictionary entry and number, and its ids and bounds
-            self.held += sum(map(len, new)) + 180 * len(new) + 4 * len(flat)
+            self.held += sum(map(len, new)) + 180 * len(new) + 4 * total
         return np.fromiter(map(cache.__getitem__, chunks), np.int64, len(chunks))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +284,12 @@ class ByteBpe:
         lists = pc.split_pattern(cut, " ")
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
-        number = self.numbers([f" {c}" for c in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        distinct = coded.dictionary.to_pylist()
+        empty = distinct.index("") if "" in distinct else -1  # stands first in a text only, where it is replaced below
+        if empty >= 0:
+            del distinct[empty]
+        found = self.numbers([f" {c}" for c in distinct], spaced=True)
+        number = (found if empty < 0 else np.insert(found, empty, 0))[coded.indices.to_numpy()]
         out = set(whole)
         number[offsets[:-1] - offsets[0]] = self.numbers(["" if i in out else t.partition(" ")[0] for i, t in enumerate(as_py)])
         number = np.split(number, offsets[1:-1] - offsets[0]) if whole else [number]

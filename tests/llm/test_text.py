@@ -85,6 +85,22 @@ def test_bpe_any_text(engine, library, texts):
     assert engine.decode(ids, n) == texts
 
 
+def test_bpe_chunks_are_split_together(library, monkeypatch):
+    """New chunks between lone spaces are pre-tokenized as one text; only first chunks and odd texts go one by one."""
+    with open(MODEL, "rb") as f:
+        model = bpe.ByteBpe(f.read(), cache_bytes=10_000)
+    calls, split = [], model.split
+    monkeypatch.setattr(model, "split", lambda t: calls.append(t) or split(t))
+    rng = random.Random(3)
+    parts = ["the", "don't", "'s", "été", "1984,", "x\ny", "日本語", "(a)", "²", "😀"]
+    for _ in range(4):  # the caches of ten kilobytes are dropped meanwhile
+        texts = ["", *("the " + " ".join(rng.choice(parts) + rng.choice(parts) + str(rng.randrange(99)) for _ in range(60)) for _ in range(20))]
+        calls.clear()
+        ids, n = model.encode(pa.array(texts))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert len(calls) <= 3  # one for all chunks; the first chunks are "" and "the"
+
+
 def test_bpe_merge_order(engine, library):
     rng = random.Random(1)
     words = ["".join(rng.choice("ab ing the") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
