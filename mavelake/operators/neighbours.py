@@ -27,21 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genetics import hamming
+from .meeting import Bucket, chosen, differing, first_of, keyed, meet, mix, numbered
 
 #: Choices of changes and masks that a string may have as keys; strings longer than MASKED aren't masked.
 KEYS, MASK_KEYS, MASKED = 600, 40, 24
 NEAR, PARTS, PLACES, BLOCKS = range(4)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finalizer: equal inputs give equal keys, and different ones hardly ever."""
-    x = np.asarray(x, np.uint64)
-    with np.errstate(over="ignore"):  # of single numbers; arrays wrap anyway
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def _letters(strings: list[str], n: int) -> np.ndarray:
     """A row per string of its code points."""
     return np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32).reshape(len(strings), n).astype(np.uint64)
@@ -52,9 +44,13 @@ def choices(k: int, d: int) -> int:
     return sum(comb(k, j) * sum(comb(j, max(0, j + i - d)) for i in range(d + 1)) for j in range(min(k, d) + 1))
 
 
+def mask_parts(n: int, d: int) -> int:
+    return max(b for b in range(d, n + 1) if b == d + 1 or comb(b, d) <= MASK_KEYS)
+
+
 def mask_keys(x: np.ndarray, d: int) -> Iterator[np.ndarray]:
     n = x.shape[1]
-    parts = max(b for b in range(d, n + 1) if b == d + 1 or comb(b, d) <= MASK_KEYS)
+    parts = mask_parts(n, d)
     letter = mix(x + (np.arange(n, dtype=np.uint64) << np.uint64(32)) + np.uint64(1))
     part = np.add.reduceat(letter, np.array(_cuts(n, parts)[:-1]), axis=1)
     whole = part.sum(1, dtype=np.uint64)
@@ -171,10 +167,10 @@ def _keyed(df: DataFrame, keys: Keys, left: bool, kinds: set[int], by: list[str]
 def candidates(left: DataFrame, right: DataFrame, d: int, parent: str | None = None, by: list[str] | None = None) -> DataFrame:
     """(by, a, b), repeats included: all pairs of strings within distance d, and others that share a key."""
     by = by or []
-    longest = max((r.n or 0 for x in (left, right) for r in x.agg(F.max(F.length("s")).alias("n")).collect()), default=0)
+    most = longest(left, right)
     parents: dict[int, str] = {}
     kinds: set[int] = set()
-    if longest > max(d, MASKED):
+    if most > max(d, MASKED):
         both = left.select(*by, "s") if left is right else left.select(*by, "s").union(right.select(*by, "s"))
         parents = consensus(both, by) if parent is None else {len(parent): parent}
         if parent is not None:
@@ -196,17 +192,64 @@ def candidates(left: DataFrame, right: DataFrame, d: int, parent: str | None = N
     y = _keyed(right, keys, False, kinds, by).withColumnRenamed("s", "b")
     on = [*by, "kind", "key"]
     # a pair meets by the keys of a far string's own kind, or, if both are near, by their changes
-    parts = [x.where("far = 0 AND kind = 0").join(y.where("far = 0 AND kind = 0").drop("far"), on)]
+    # a table of keys is many times the table that Spark estimates it by, so it must not be broadcast
+    parts = [x.where("far = 0 AND kind = 0").join(y.where("far = 0 AND kind = 0").drop("far").hint("merge"), on)]
     if kinds - {NEAR}:
-        parts += [x.where("far > 0 AND kind = far").join(y.where("kind > 0").drop("far"), on), x.where("kind > 0").drop("far").join(y.where("far > 0 AND kind = far"), on)]
+        parts += [x.where("far > 0 AND kind = far").join(y.where("kind > 0").drop("far").hint("merge"), on), x.where("kind > 0").drop("far").join(y.where("far > 0 AND kind = far").hint("merge"), on)]
     out = parts[0].select(*by, "a", "b")
     for p in parts[1:]:
         out = out.union(p.select(*by, "a", "b"))
     return out
 
 
+def short_keys(df: DataFrame, d: int, by: list[str] | None = None) -> DataFrame:
+    """(by, s, key) for strings of at most MASKED letters, by masks; the key ends with the mask's number."""
+
+    def keys(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at, n = np.arange(len(x)), x.shape[1]
+        salt = mix(np.uint64(n))
+        if n <= d:
+            yield at, numbered(np.full(len(x), salt), 0)
+            return
+        for number, key in enumerate(mask_keys(x, d)):
+            yield at, numbered(key ^ salt, number)
+
+    return keyed(df, keys, by)
+
+
+def short_pairs(left: DataFrame, right: DataFrame, d: int, by: list[str] | None = None) -> DataFrame:
+    """(by, a, b, dist): the pairs within distance d of two tables of short_keys, each once: by the first mask that they share."""
+
+    def near(rows: Bucket, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        places = differing(rows.x[a], rows.x[b])
+        dist = np.bitwise_count(places).astype(np.int64)
+        take = np.flatnonzero((dist <= d) & (rows.n[a] == rows.n[b]))
+        places, length, number = places[take], rows.n[a[take]], rows.number[a[take]]
+        first = length <= d
+        for n in np.unique(length[~first]):
+            some = np.flatnonzero(length == n)
+            parts = mask_parts(int(n), d)
+            cuts = _cuts(int(n), parts)
+            inside = np.zeros(len(some), np.uint64)
+            for k in range(parts):
+                part = np.uint64((1 << cuts[k + 1]) - (1 << cuts[k]))
+                inside |= ((places[some] & part) != 0).astype(np.uint64) << np.uint64(k)
+            masks = chosen(parts, d)
+            first[some] = first_of(masks[np.minimum(number[some], len(masks) - 1)], inside)
+        take = take[first]
+        return take, dist[take]
+
+    return meet(left, right, near, by)
+
+
+def longest(*tables: DataFrame) -> int:
+    return max((r.n or 0 for x in tables for r in x.agg(F.max(F.length("s")).alias("n")).collect()), default=0)
+
+
 def hamming_pairs(left: DataFrame, right: DataFrame, d: int, parent: str | None = None, by: list[str] | None = None) -> DataFrame:
     """(by, a, b, dist) for strings a of left (column s) and b of right within Hamming distance d, equal ones included; with
     `by`, only strings that agree in these columns are compared. Both have distinct rows."""
+    if longest(*([left] if left is right else [left, right])) <= MASKED:
+        return short_pairs(short_keys(left, d, by), short_keys(right, d, by), d, by)
     found = candidates(left, right, d, parent, by).distinct()
     return found.withColumn("dist", hamming(F.col("a"), F.col("b"))).where(F.col("dist") <= d)
