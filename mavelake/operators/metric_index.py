@@ -9,8 +9,9 @@ The index is a set of tables in the shared folder, and every change gives a new
   as many of them as strings that are left, the segments are written anew without them.
 
 A search is an equi-join of the queries' keys with the segments' and never writes the keys of the items again. A key is what
-two strings within `radius` share (see `neighbours` and `similarity.edit_pairs`); candidates are verified, so answers are exact.
-Beyond the radius the items are searched without keys.
+two strings within `radius` share (see `neighbours`, `edits` and `similarity.edit_pairs`); candidates are verified, so answers are
+exact. Beyond the radius the items are searched without keys. Short strings of another length than a query's have no keys for edit
+distances in the segments; a search makes them, for the lengths that need them.
 
 Defined cases: null strings are no items and match nothing; repeated strings count once, at their first number; the empty
 string is an item like others; inserting what is there, and removing what isn't, changes nothing. A removed string that comes
@@ -28,8 +29,11 @@ from pyspark.sql import functions as F
 from ..plans import ordered
 from ..plans.scratch import cut
 from . import similarity
-from .neighbours import BLOCKS, NEAR, PARTS, PLACES, Keys, consensus, _keyed
+from .edits import edit_keys, edit_near, lengths_of, reach
+from .neighbours import BLOCKS, MASKED, NEAR, PARTS, PLACES, Keys, consensus, _keyed, short_keys, short_pairs
 
+#: The kind of the keys of short strings, by which pairs meet in arrays.
+SHORT = -1
 KINDS = {NEAR, PARTS, PLACES, BLOCKS}
 
 
@@ -81,10 +85,8 @@ class MetricIndex:
             return asked.where("false").select(F.col("s").alias("query"), F.col("s").alias("match"), F.lit(0).alias("dist"))
         if tol > self.radius:
             return similarity.similarity_search(self.all(), asked, tol, self.metric)
-        keys = reduce(DataFrame.unionByName, (x.keys for x in self.segments)).withColumnRenamed("s", "match")
-        found = self._meet(self._query_keys(asked), keys).select("query", "match").distinct()
-        dist = similarity.METRICS[self.metric](F.col("query"), F.col("match"))
-        near = found.withColumn("dist", dist.cast("int")).where(F.col("dist") <= tol)
+        keys = reduce(DataFrame.unionByName, (x.keys for x in self.segments))
+        near = reduce(DataFrame.union, self._near(asked, keys)).where(F.col("dist") <= tol)
         return near.join(self.tombstones.withColumnRenamed("s", "match"), "match", "left_anti").select("query", "match", "dist") if self.removed else near
 
     def has(self, queries: DataFrame, tol: int = 0, col: str = "s") -> DataFrame:
@@ -139,9 +141,9 @@ class MetricIndex:
         """The same strings in one segment, without tombstones."""
         if not self.size:
             return self.remove_all()
-        keys = reduce(DataFrame.unionByName, (x.keys for x in self.segments)).join(self.tombstones, "s", "left_anti")
-        empty = self.tombstones.where("false")
-        return replace(self, items=cut(self.all()), tombstones=empty, segments=(Segment(cut(keys), self.size),), removed=0)
+        items = cut(self.all())
+        keys = self._item_keys(items, dict(self.parents))  # made again: there are many times as many of them as strings
+        return replace(self, items=items, tombstones=self.tombstones.where("false"), segments=(Segment(cut(keys), self.size),), removed=0)
 
     # -- keys
 
@@ -154,22 +156,48 @@ class MetricIndex:
         return tuple(sorted((consensus(new, []) | known).items()))
 
     def _item_keys(self, strings: DataFrame, parents: dict[int, str]) -> DataFrame:
+        """(s, far, kind, key)."""
+        n, both = F.length("s"), []
         if self.metric == "hamming":
-            return _keyed(strings, Keys(self.radius, parents), False, KINDS, [])
-        return similarity.edit_places(strings, self.radius).select("s", F.xxhash64("n", "i", "block").alias("key"))
-
-    def _query_keys(self, asked: DataFrame) -> DataFrame:
+            if min(parents, default=0) <= MASKED:
+                both.append(short_keys(strings.where(n <= MASKED), self.radius))
+            if max(parents, default=0) > MASKED:
+                return reduce(DataFrame.unionByName, [*map(_short, both), _keyed(strings.where(n > MASKED), Keys(self.radius, parents), False, KINDS, [])])
+            return _short(both[0])
+        most = reach(self.radius)
+        keys = _short(edit_keys(strings.where(n <= most), self.radius, [0], False))
+        if max(lengths_of(strings), default=0) <= most - self.radius:
+            return keys
+        places = similarity.edit_places(strings.where(n > most - self.radius), self.radius)
+        return keys.unionByName(places.select("s", F.lit(0).alias("far"), F.lit(0).alias("kind"), F.xxhash64("n", "i", "block").alias("key")))
+
+    def _near(self, asked: DataFrame, keys: DataFrame) -> list[DataFrame]:
+        """Tables (query, match, dist) of what is within the radius, removed strings included."""
+        n, short, r = F.length("s"), keys.where(F.col("kind") == SHORT).select("s", "key"), self.radius
+        out = []
         if self.metric == "hamming":
             known = dict(self.parents)
-            some = asked.where(F.length("s").isin(list(known)))  # no other length is near
-            keys = _keyed(some, Keys(self.radius, known), True, KINDS, [])
+            some = asked.where(n.isin(list(known)))  # no other length is near
+            if min(known, default=0) <= MASKED:
+                out.append(short_pairs(short_keys(some.where(n <= MASKED), r), short, r))
+            if max(known, default=0) > MASKED:
+                queries = _keyed(some.where(n > MASKED), Keys(r, known), True, KINDS, []).withColumnRenamed("s", "query")
+                out.append(self._verified(self._meet(queries, keys.where(F.col("kind") != SHORT).withColumnRenamed("s", "match"))))
         else:
-            keys = asked.select("s", F.explode(similarity.blocks(F.col("s"), self.radius)).alias("k")).select("s", F.xxhash64("k.n", "k.i", "k.block").alias("key"))
-        return keys.withColumnRenamed("s", "query")
+            most = reach(r)
+            out.append(edit_near(asked.where(n <= most), self.all().where(n <= most).select("s"), r, self.metric, short))
+            if max(lengths_of(asked), default=0) > most - r:
+                places = keys.where(F.col("kind") != SHORT).select(F.col("s").alias("match"), "key")
+                queries = asked.where(n > most - r).select(F.col("s").alias("query"), F.explode(similarity.blocks(F.col("s"), r)).alias("k")).select("query", F.xxhash64("k.n", "k.i", "k.block").alias("key"))
+                far = queries.join(places.hint("merge"), "key").where(F.greatest(F.length("query"), F.length("match")) > most)
+                out.append(self._verified(far))
+        return [x.toDF("query", "match", "dist") for x in out]
+
+    def _verified(self, found: DataFrame) -> DataFrame:
+        dist = similarity.METRICS[self.metric](F.col("query"), F.col("match"))
+        return found.select("query", "match").distinct().withColumn("dist", dist.cast("int")).where(F.col("dist") <= self.radius)
 
     def _meet(self, queries: DataFrame, items: DataFrame) -> DataFrame:
-        if self.metric != "hamming":
-            return queries.join(items, "key")
         # two strings with few changes meet by these; others by the kind of the far one
         queries = queries.withColumnRenamed("far", "query_far")
         near_q, near_i = F.col("query_far") == NEAR, F.col("far") == NEAR
@@ -178,4 +206,8 @@ class MetricIndex:
             (queries.where(~near_q & (F.col("kind") == F.col("query_far"))), items.where(F.col("kind") != NEAR)),
             (queries.where(near_q & (F.col("kind") != NEAR)), items.where(~near_i & (F.col("kind") == F.col("far")))),
         ]
-        return reduce(DataFrame.unionByName, (q.join(i, ["kind", "key"]).select("query", "match") for q, i in meetings))
+        return reduce(DataFrame.unionByName, (q.join(i.hint("merge"), ["kind", "key"]).select("query", "match") for q, i in meetings))
+
+
+def _short(keys: DataFrame) -> DataFrame:
+    return keys.select("s", F.lit(0).alias("far"), F.lit(SHORT).alias("kind"), "key")

@@ -1,7 +1,7 @@
 """Similarity joins over strings: search, nearest distance, and greedy grouping.
 
-A Hamming radius over strings of one length is an equi-join (see `neighbours`). Edit distances and shifts have one with d + 1
-blocks that may have moved. Candidates are verified, so results are exact.
+A Hamming radius over strings of one length is an equi-join (see `neighbours`), and so is an edit distance between short strings
+(see `edits`); between long ones it is one with d + 1 blocks that may have moved. Candidates are verified, so results are exact.
 
 Greedy choices in an order (groups of similar sequences, UMIs that count once) run as rounds over the table of near pairs.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.genetics import hamming, hamming_shift
 from ..plans.scratch import cut
-from .neighbours import hamming_pairs
+from .edits import edit_near, reach
+from .neighbours import hamming_pairs, longest
 
 INT_MAX = 2147483647
 METRICS = {"hamming": hamming, "hamming_shift": hamming_shift, "levenshtein": F.levenshtein}
@@ -48,7 +49,7 @@ def edit_pairs(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
     most d: so b is listed by what it has at all those places, for all those lengths."""
     one = left.select(F.col("s").alias("a"), F.explode(blocks(F.col("s"), d)).alias("k")).select("a", "k.*")
     two = edit_places(right, d).withColumnRenamed("s", "b")
-    found = one.join(two, ["n", "i", "block"]).select("a", "b").distinct()
+    found = one.join(two.hint("merge"), ["n", "i", "block"]).select("a", "b").distinct()
     return found.where(F.size(F.array_except(grams("a"), grams("b"))) <= 2 * d)
 
 
@@ -71,9 +72,18 @@ def similarity_search(strings: DataFrame, queries: DataFrame, tol: int, name: st
     s, q = (x.select(F.col(col).alias("s")).distinct() for x in (strings, queries))
     if name == "hamming":
         return hamming_pairs(q, s, tol).toDF("query", "match", "dist")
-    # a shift by k costs 2 k, as much as k insertions and k deletions: no distance is below the edit distance
-    both = edit_pairs(q, s, tol).toDF("query", "match")
-    return both.withColumn("dist", METRICS[name](F.col("query"), F.col("match"))).where(F.col("dist") <= tol)
+    return within(q, s, tol, name).toDF("query", "match", "dist")
+
+
+def within(left: DataFrame, right: DataFrame, d: int, name: str) -> DataFrame:
+    """(a, b, dist): the pairs of distinct strings a of left and b of right within an edit distance or a distance with shifts. A
+    shift by k costs 2 k, as much as k insertions and k deletions: no distance is below the edit distance."""
+    most, n = reach(d), F.length("s")
+    out = edit_near(left.where(n <= most), right.where(n <= most), d, name)
+    if longest(left, right) > most:
+        far = edit_pairs(left.where(n > most - d), right.where(n > most - d), d).where(F.greatest(F.length("a"), F.length("b")) > most)
+        out = out.union(far.withColumn("dist", METRICS[name](F.col("a"), F.col("b"))).where(F.col("dist") <= d))
+    return out
 
 
 def nearest_string_dist(strings: DataFrame, name: str = "hamming", id_col: str = "id", col: str = "s") -> DataFrame:
