@@ -11,14 +11,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genetics import hamming, hamming_shift
 from ..plans.scratch import cut
-from .edits import edit_near, reach
-from .neighbours import hamming_pairs, longest
+from .edits import LETTERS, count, edit_near, reach
+from .meeting import distances, letters
+from .neighbours import MASK_KEYS, hamming_pairs, longest
 
 INT_MAX = 2147483647
 METRICS = {"hamming": hamming, "hamming_shift": hamming_shift, "levenshtein": F.levenshtein}
@@ -86,12 +89,43 @@ def within(left: DataFrame, right: DataFrame, d: int, name: str) -> DataFrame:
     return out
 
 
+#: Strings that are compared with all others rather than looked up: so many for each key that a string would have, and where keys
+#: don't reach; the sizes of the blocks that are compared at once.
+PER_KEY, FEW, BLOCK_LEFT, BLOCK_RIGHT = 44, 1 << 15, 512, 2048
+
+
+def nearest_of_all(left: DataFrame, right: DataFrame, n_left: int, n_right: int, name: str) -> DataFrame:
+    """(s, dist): the least distance of each string of a small table to those of right that aren't itself, by comparing all."""
+
+    def packed(df: DataFrame, n: int, size: int, out: str) -> DataFrame:
+        return df.groupBy(F.pmod(F.xxhash64("s"), F.lit(-(-n // size))).alias("block")).agg(F.collect_list("s").alias(out)).select(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):
+                a, b = (batch.column(i)[at].values for i in (0, 1))
+                (x, n), (y, m) = letters(a), letters(b)
+                least = np.full(len(x), INT_MAX, np.int64)
+                for one in np.unique(n):
+                    for two in np.unique(m):
+                        rows = np.flatnonzero(n == one)
+                        dist = distances(name, x[rows, None, :one], y[None, m == two, :two], int(one), int(two))
+                        if dist is not None:
+                            dist = np.where(dist == 0, INT_MAX, dist.astype(np.int32)).min(1)  # only a string itself is at no distance
+                            least[rows] = np.minimum(least[rows], dist)
+                got = np.flatnonzero(least < INT_MAX)
+                yield pa.RecordBatch.from_arrays([a.take(pa.array(got)), pa.array(least[got].astype(np.int32))], ["s", "dist"])
+
+    blocks = packed(right, n_right, BLOCK_RIGHT, "t").repartition(min(-(-n_right // BLOCK_RIGHT), int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    pairs = blocks.crossJoin(F.broadcast(packed(left, n_left, BLOCK_LEFT, "s"))).select("s", "t")
+    return pairs.mapInArrow(run, "s string, dist int").groupBy("s").agg(F.min("dist").alias("dist"))
+
+
 def nearest_string_dist(strings: DataFrame, name: str = "hamming", id_col: str = "id", col: str = "s") -> DataFrame:
     """(id, dist): the least distance of each string to any other element; INT_MAX where there is no other.
 
-    The radius doubles, and only strings without a neighbour so far go on. Edit distances and shifts (which are never below the
-    edit distance) look for them by blocks that may have moved, so here too only strings that share something meet, until the
-    radius reaches the length.
+    The radius grows, and only strings without a neighbour so far go on. As soon as they are so few that comparing them with all
+    strings is less work than the keys of all strings for the next radius, they are compared.
     """
     metric(name)
     base = strings.select(F.col(id_col).alias("id"), F.col(col).alias("s"))
@@ -100,22 +134,24 @@ def nearest_string_dist(strings: DataFrame, name: str = "hamming", id_col: str =
     lengths = all_.agg(F.max(F.length("s")).alias("m"), F.countDistinct(F.length("s")).alias("k")).collect()[0]
     if lengths.k and lengths.k > 1 and name == "hamming":
         raise ValueError("the Hamming distance needs strings of one length")
-    longest = lengths.m or 0  # no distance is above that
+    most = lengths.m or 0  # no distance is above that
     parts = [counts.where("n > 1").select("s", F.lit(0).alias("dist"))]
     open_ = cut(counts.where("n = 1").select("s"))
+    n_all = all_.count()
     d = 1
-    while not open_.isEmpty():
-        within = min(d, longest)
-        if name == "hamming":
-            near = hamming_pairs(open_, all_, within)
-        else:
-            near = edit_pairs(open_, all_, within).where("a <> b").withColumn("dist", METRICS[name](F.col("a"), F.col("b"))).where(F.col("dist") <= within)
+    while n_open := open_.count():
+        radius = min(d, most)
+        keys = MASK_KEYS if name == "hamming" else count(most, radius) if most <= reach(radius) else 0
+        if most <= LETTERS and n_open <= (PER_KEY * keys or FEW):
+            parts.append(cut(nearest_of_all(open_, all_, n_open, n_all, name)))
+            break
+        near = hamming_pairs(open_, all_, radius) if name == "hamming" else within(open_, all_, radius, name)
         near = cut(near.where("a <> b").groupBy("a").agg(F.min("dist").alias("dist")).toDF("s", "dist"))
         parts.append(near)
-        if d >= longest:
+        if d >= most:
             break
         open_ = cut(open_.join(near, "s", "left_anti"))
-        d *= 2
+        d += max(1, d // 2)
     found = reduce(DataFrame.union, parts)
     return base.join(found, "s", "left").select("id", F.coalesce("dist", F.lit(INT_MAX)).cast("int").alias("dist"))
 

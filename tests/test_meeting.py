@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mavelake.operators import edits as E
 from mavelake.operators import meeting as M
@@ -12,7 +13,7 @@ from mavelake.operators.metric_index import MetricIndex
 
 from .test_metric_index import column
 from .test_neighbours import pairs_of
-from .test_similarity import plain_levenshtein
+from .test_similarity import plain_levenshtein, plain_shift
 
 
 def derived(spark, n, length):
@@ -81,3 +82,24 @@ def test_index_of_crowded_strings(spark, monkeypatch, keys):
     assert {tuple(r) for r in got} == {(a, b, x) for a in some for b in some[9:] if (x := plain_levenshtein(a, b)) <= 2}
     hamming = MetricIndex.build(spark, derived(spark, 80, 10), "hamming", 2)
     assert "BroadcastHashJoin" not in plan(hamming.search(derived(spark, 50, 10), 2))
+
+
+@pytest.mark.parametrize("few", [0, 1 << 15])
+@pytest.mark.parametrize("metric", ["levenshtein", "hamming_shift"])
+def test_nearest_of_short_strings(spark, monkeypatch, metric, few):
+    """By keys alone and by comparing all; blocks, which nearly all short strings share, aren't asked."""
+    monkeypatch.setattr(S, "FEW", few)
+    monkeypatch.setattr(S, "PER_KEY", few)
+    monkeypatch.setattr(S, "BLOCK_LEFT", 7)
+    monkeypatch.setattr(S, "BLOCK_RIGHT", 16)
+    monkeypatch.setattr(S, "edit_pairs", None)
+    monkeypatch.setattr(E, "KEYS", 5000)
+    some = words(random.Random(4), 50, [7] if metric == "hamming_shift" else [5, 7, 8])
+    far = {"levenshtein": plain_levenshtein, "hamming_shift": lambda a, b: plain_shift(a, b, -1)}[metric]
+    df = spark.createDataFrame([*enumerate(some), (99, some[3])], "id int, s string")
+    got = {r.id: r.dist for r in S.nearest_string_dist(df, metric).collect()}
+    want = {i: min(far(a, b) for b in some if a != b) for i, a in enumerate(some)} | {3: 0, 99: 0}
+    assert got == want
+    if few:  # a longer string has no mismatches with the other
+        alone = df.limit(1).union(df.where("id = 99").withColumn("s", F.lit("CCCCCCCCCCCCCC")))
+        assert {r.dist for r in S.nearest_string_dist(alone, "hamming_shift").collect()} == {S.INT_MAX}
