@@ -14,6 +14,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,20 +195,127 @@ def settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("s").join(first, "s", "left").select("s", F.coalesce("f.q", "s").alias("rep"))
 
 
+#: Comparisons that one task makes for a group, and strings and kept ones that it compares at once.
+COMPARED, TOGETHER, TILE = 1 << 33, 1024, 64
+
+
+class _Kept:
+    """The strings of one length that are kept so far, packed into words of 64 bits."""
+
+    def __init__(self, n: int, tolerance: int, codes: dict[int, int]):
+        self.n, self.tolerance, self.codes = n, tolerance, codes
+        self.rows: list[np.ndarray] = []  # letters
+        self.words = np.zeros((0, 0), np.uint64)
+        self.bits = self.size = self.compared = 0
+
+    def _pack(self, x: np.ndarray) -> np.ndarray:
+        """16 letters a word as long as a task meets no more than 16 of them, otherwise two."""
+        if self.bits == 4:
+            x = np.array([self.codes.get(c, 0) for c in range(256)], np.uint64)[x]
+        per = 64 // self.bits
+        x = np.pad(x.astype(np.uint64), ((0, 0), (0, -x.shape[1] % per))).reshape(len(x), -1, per)
+        return (x << (np.arange(per, dtype=np.uint64) * np.uint64(self.bits))).sum(2, dtype=np.uint64)
+
+    def _near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        self.compared += len(a) * len(b)
+        far = np.zeros((len(a), len(b)), np.uint16)
+        ones = np.uint64(sum(1 << i for i in range(0, 64, self.bits)))
+        for word in range(a.shape[1]):
+            z = a[:, word, None] ^ b[None, :, word]
+            shift = self.bits // 2
+            while shift:
+                z |= z >> np.uint64(shift)
+                shift //= 2
+            z &= ones
+            far = np.bitwise_count(z) if a.shape[1] == 1 else far + np.bitwise_count(z)
+        return far <= self.tolerance
+
+    def keep(self, x: np.ndarray) -> np.ndarray:
+        """Which of the next strings in order, by rows of letters, are kept."""
+        if self.bits != 32:
+            for c in np.unique(x).tolist():
+                self.codes.setdefault(c, len(self.codes))
+            bits = 4 if len(self.codes) <= 16 and max(self.codes) < 256 else 32
+            if bits != self.bits:
+                self.bits = bits
+                self.words = self._pack(np.concatenate(self.rows).astype(np.int64)) if self.rows else np.zeros((0, -(-self.n // (64 // bits))), np.uint64)
+        words = self._pack(x)
+        left = np.arange(len(x))
+        for end in range(self.size, 0, -TILE):  # the latest are the likeliest to be near
+            left = left[~self._near(words[left], self.words[max(0, end - TILE) : end]).any(1)]
+            if not len(left):
+                return left
+        open_, new = np.ones(len(left), bool), []
+        for at in range(len(left)):
+            if open_[at]:
+                new.append(left[at])
+                open_[at:] &= ~self._near(words[left[at :]], words[left[at : at + 1]])[:, 0]
+        new = np.array(new)
+        while self.size + len(new) > len(self.words):
+            self.words = np.concatenate([self.words, np.zeros((max(TILE, len(self.words)), words.shape[1]), np.uint64)])
+        self.words[self.size : self.size + len(new)] = words[new]
+        self.size += len(new)
+        self.rows.append(x[new])
+        return new
+
+
+def _kept_in_order(rows: DataFrame, tolerance: int, by: list[str]) -> DataFrame:
+    """(by, umi, kept): the kept UMIs of each group, in one pass over its UMIs in their order; where a group takes a task more than
+    COMPARED comparisons, also those that it hasn't looked at, with kept as false."""
+    dealt = rows.select(*by, F.length("umi").alias("n"), "umi").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[int, int] = {}
+        last, kept = None, None
+        for batch in batches:
+            new = np.zeros(len(batch), bool)
+            for c in range(len(by) + 1):
+                column = batch.column(c)
+                new[1:] |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+            starts = [0, *np.flatnonzero(new).tolist(), len(batch)] if len(batch) else [0]
+            for start, end in zip(starts, starts[1:], strict=False):
+                group = tuple(batch.column(c)[start].as_py() for c in range(len(by) + 1))
+                if group != last or None in group:
+                    last, kept = group, _Kept(group[-1], tolerance, codes)
+                for at in range(start, end, TOGETHER):
+                    part = batch.slice(at, min(TOGETHER, end - at))
+                    looked = kept.compared <= COMPARED
+                    if looked:
+                        x, _ = letters(part.column(len(by) + 1))
+                        part = part.take(pa.array(kept.keep(x[:, : kept.n]), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(by))), part.column(len(by) + 1), pa.array(np.full(len(part), looked))], [*by, "umi", "kept"])
+
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by) + "umi string, kept boolean"
+    return dealt.sortWithinPartitions(*by, "n", "umi").mapInArrow(run, schema)
+
+
 def collapse_umis(umis: DataFrame, tolerance: int, by: list[str]) -> DataFrame:
     """(by, umi): the distinct UMIs of each group that are kept when, in their order, one is kept unless one of its group that
-    is kept already is within the tolerance. No group is gathered: near pairs are an edge table, settled in rounds."""
+    is kept already is within the tolerance.
+
+    A task goes through a group's sorted UMIs and holds the kept ones only, which are few where UMIs crowd their space, while near
+    pairs there grow with the square of the group. A group of many kept ones has few near pairs: what a task leaves of it becomes
+    an edge table of near pairs, settled in rounds."""
     rows = umis.select(*by, "umi").distinct()
     if tolerance <= 0:
         return rows
     # those no longer than the tolerance are all within it: the first of each length is kept
     short = rows.where(F.length("umi") <= tolerance).groupBy(*by, F.length("umi").alias("n")).agg(F.min("umi").alias("umi")).select(*by, "umi")
-    long = cut(rows.where(F.length("umi") > tolerance).select(*by, "umi", F.monotonically_increasing_id().alias("id")))
+    seen = cut(_kept_in_order(rows.where(F.length("umi") > tolerance), tolerance, by))
+    kept, rest = (seen.where(x).select(*by, "umi") for x in ("kept", "NOT kept"))
+    if not rest.isEmpty():
+        taken = hamming_pairs(rest.withColumnRenamed("umi", "s"), kept.withColumnRenamed("umi", "s"), tolerance, by=by).select(*by, F.col("a").alias("umi")).distinct()
+        kept = kept.union(_kept_by_edges(rest.join(taken, [*by, "umi"], "left_anti"), tolerance, by))
+    return kept.union(short)
+
+
+def _kept_by_edges(rows: DataFrame, tolerance: int, by: list[str]) -> DataFrame:
+    long = cut(rows.select(*by, "umi", F.monotonically_increasing_id().alias("id")))
     near = hamming_pairs(long.withColumnRenamed("umi", "s"), long.withColumnRenamed("umi", "s"), tolerance, by=by).where("a < b")
     ids = [long.select(*by, F.col("umi").alias(x), F.col("id").alias(y)) for x, y in (("a", "q"), ("b", "s"))]
     edges = cut(near.join(ids[0], [*by, "a"]).join(ids[1], [*by, "b"]).select("q", F.col("a").alias("prio"), "s"))
     kept = settle(long.select(F.col("id").alias("s")), edges).where("s = rep")
-    return long.join(kept.select(F.col("s").alias("id")), "id", "left_semi").select(*by, "umi").union(short)
+    return long.join(kept.select(F.col("s").alias("id")), "id", "left_semi").select(*by, "umi")
 
 
 def group_similar_sequences(sequences: DataFrame, max_dist: float = 0, min_score: float = 0, min_ratio: float = 0, seq_col: str = "sequence", score_col: str = "score", parent: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from mavelake.operators import similarity as S
 from mavelake.operators.metric_index import MetricIndex
 
 from .test_metric_index import column
-from .test_neighbours import pairs_of
+from .test_neighbours import pairs_of, plain_umis
 from .test_similarity import plain_levenshtein, plain_shift
 
 
@@ -103,3 +103,27 @@ def test_nearest_of_short_strings(spark, monkeypatch, metric, few):
     if few:  # a longer string has no mismatches with the other
         alone = df.limit(1).union(df.where("id = 99").withColumn("s", F.lit("CCCCCCCCCCCCCC")))
         assert {r.dist for r in S.nearest_string_dist(alone, "hamming_shift").collect()} == {S.INT_MAX}
+
+
+@pytest.mark.parametrize("compared", [-1, 300, 1 << 33])
+@pytest.mark.parametrize(("alphabet", "length", "tolerance"), [("ACGT", [4, 5], 1), ("ACG", [17, 20], 9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", [3], 1), ("ACÄ€", [5], 2)])
+def test_umis_in_one_pass(spark, monkeypatch, compared, alphabet, length, tolerance):
+    """Groups in pieces, and what a task leaves of them for the edge table; alphabets of more letters than a word has room for."""
+    monkeypatch.setattr(S, "COMPARED", compared)
+    monkeypatch.setattr(S, "TOGETHER", 16)
+    monkeypatch.setattr(S, "TILE", 3)
+    rng = random.Random(tolerance)
+    groups = {g: words(rng, n, length, alphabet) for g, n in (("wt", 150), ("a", 20), ("b", 1))}
+    df = spark.createDataFrame([(g, u) for g, us in groups.items() for u in us], "mutantName string, umi string").repartition(3)
+    got = {}
+    for r in S.collapse_umis(df, tolerance, ["mutantName"]).collect():
+        got.setdefault(r.mutantName, []).append(r.umi)
+    assert {g: sorted(u) for g, u in got.items()} == {g: plain_umis(us, tolerance) for g, us in groups.items()}
+
+
+def test_crowded_umis_make_no_edges(spark, monkeypatch):
+    """Each of 4,096 UMIs has hundreds of near ones: they are gone through without a table of near pairs."""
+    monkeypatch.setattr(S, "settle", None)
+    df = spark.createDataFrame([("".join("ACGT"[i >> 2 * p & 3] for p in range(6)),) for i in range(4096)], "umi string").selectExpr("'x' AS mutantName", "umi")
+    kept = sorted(r.umi for r in S.collapse_umis(df, 3, ["mutantName"]).collect())
+    assert kept == plain_umis([r.umi for r in df.collect()], 3)
